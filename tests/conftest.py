@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -11,6 +12,7 @@ def spark(tmp_path_factory):
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
         .getOrCreate()
@@ -34,7 +36,7 @@ MICRO = [
 
 @pytest.fixture(scope="session")
 def micro_texts(spark):
-    return spark.createDataFrame(MICRO, "text_id long, text string")
+    return spark.createDataFrame(pd.DataFrame(MICRO, columns=["text_id", "text"]))
 
 
 @pytest.fixture(scope="session")
@@ -47,6 +49,7 @@ def micro_index(spark, micro_texts, tmp_path_factory):
 @pytest.fixture
 def ask(spark):
     def requests(*texts):
-        return spark.createDataFrame(list(enumerate(texts)), "query_id long, request string")
+        rows = pd.DataFrame({"query_id": range(len(texts)), "request": texts})
+        return spark.createDataFrame(rows, "query_id long, request string")
 
     return requests

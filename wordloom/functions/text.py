@@ -47,6 +47,7 @@ YOUNG_CAPITALS = (
 
 # The Hangul syllable block and its jamo (Unicode, chapter 3.12).
 HANGUL_FIRST, HANGUL_LAST = 0xAC00, 0xD7A3
+LEADING_JAMO, VOWEL_JAMO, TRAILING_JAMO = (0x1100, 0x1112), (0x1161, 0x1175), (0x11A8, 0x11C2)
 HANGUL_TEST = "[\\x{AC00}-\\x{D7A3}]"
 
 # What a word is, for text that is already normalized.  ASCII text needs only the first.
@@ -58,15 +59,19 @@ UNICODE_WORD = (
 )
 
 
-def _within(code: int, ranges) -> bool:
-    return any(first <= code <= last for first, last in ranges)
+def _codes(ranges) -> frozenset[int]:
+    return frozenset(code for first, last in ranges for code in range(first, last + 1))
+
+
+_KEPT = _codes(KEPT_MARKS)
+_DROPPED = _codes(DROPPED_LETTERS)
 
 
 def fold_character(char: str) -> str:
     """The normalized form of one character, by rule."""
-    if _within(ord(char), KEPT_MARKS):
+    if ord(char) in _KEPT:
         return char
-    if _within(ord(char), DROPPED_LETTERS):
+    if ord(char) in _DROPPED:
         return ""
     parts = unicodedata.normalize("NFD", char)
     return "".join(part.lower() for part in parts if unicodedata.category(part)[0] != "M")
@@ -85,7 +90,8 @@ def fold_alphabet() -> tuple[str, str]:
         for code in range(first, last + 1)
     }
     changed, dropped = [], []
-    for code in range(0x110000):
+    # No other plane has characters that change.
+    for code in (*range(0x30000), *range(0xE0000, 0xE1000)):
         if 0xD800 <= code <= 0xDFFF or HANGUL_FIRST <= code <= HANGUL_LAST:
             continue
         char = chr(code)
@@ -98,33 +104,26 @@ def fold_alphabet() -> tuple[str, str]:
     return source, "".join(folded for _, folded in changed)
 
 
-@functools.cache
-def _jamo_alphabets() -> tuple[str, str, str, str, str]:
-    """Syllables with their leading, vowel and trailing jamo (only some syllables have the last)."""
-    parts = [
-        (chr(code), *unicodedata.normalize("NFD", chr(code)))
-        for code in range(HANGUL_FIRST, HANGUL_LAST + 1)
-    ]
-    closed = [part for part in parts if len(part) == 4]
-    return (
-        "".join(part[0] for part in parts),
-        "".join(part[1] for part in parts),
-        "".join(part[2] for part in parts),
-        "".join(part[0] for part in closed) + "".join(part[0] for part in parts if len(part) == 3),
-        "".join(part[3] for part in closed),
+def _decompose_hangul(text: Column) -> Column:
+    """Every syllable as its leading, vowel and, if it has one, trailing jamo; arithmetic of its number."""
+    leading, vowel, trailing = (
+        "".join(chr(code) for code in range(first, last + 1))
+        for first, last in (LEADING_JAMO, VOWEL_JAMO, TRAILING_JAMO)
     )
+    trailings = len(trailing) + 1
 
-
-def _decompose_hangul(text: Column) -> Column:
-    syllables, leading, vowel, by_trailing, trailing = _jamo_alphabets()
+    def jamo(alphabet: str, place: Column) -> Column:
+        return F.substring(F.lit(alphabet), place.cast("int"), F.lit(1))
 
     def split_syllable(char: Column) -> Column:
+        number = F.ascii(char) - F.lit(HANGUL_FIRST)
+        rest = number % F.lit(trailings)
         return F.when(
             char.between(chr(HANGUL_FIRST), chr(HANGUL_LAST)),
             F.concat(
-                F.translate(char, syllables, leading),
-                F.translate(char, syllables, vowel),
-                F.translate(char, by_trailing, trailing),
+                jamo(leading, F.floor(number / (len(vowel) * trailings)) + 1),
+                jamo(vowel, F.floor(number / trailings) % F.lit(len(vowel)) + 1),
+                F.when(rest > 0, jamo(trailing, rest)).otherwise(F.lit("")),
             ),
         ).otherwise(char)
 

@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from wordloom.operators.indexing import Index
 from wordloom.operators.requests import distinct_terms, request_terms
-from wordloom.session import BROADCAST_ROWS, LITERAL_HASHES, durable
+from wordloom.session import BROADCAST_ROWS, LITERAL_HASHES, durable, no_rows
 
 UNKNOWN_TERMS = ("drop", "require")
 
@@ -68,9 +68,8 @@ def join_words(rows: DataFrame, words: DataFrame, key: str, spread: str, small:
     """
     if small:
         return rows.join(F.broadcast(words), key)
-    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    salted_words = words.withColumn("salt", F.explode(salts).cast("long"))
-    salted_rows = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS).cast("long")))
+    salted_words = words.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted_rows = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
     return salted_rows.join(salted_words, [key, "salt"]).drop("salt")
 
 
@@ -220,8 +219,8 @@ def phrase_lists(index: Index, plan: RequestPlan) -> DataFrame:
 
 def _no_lists(plan: RequestPlan) -> DataFrame:
     query_type = plan.terms.schema["query_id"].dataType.simpleString()
-    return plan.terms.sparkSession.createDataFrame(
-        [],
+    return no_rows(
+        plan.terms.sparkSession,
         f"query_id {query_type}, text_id long, words_total int, "
         "lists array<struct<hash: string, positions: array<int>>>",
     )

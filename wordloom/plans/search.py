@@ -27,7 +27,7 @@ from wordloom.plans.matching import (
     route_hits,
     union_all,
 )
-from wordloom.session import BROADCAST_ROWS, durable
+from wordloom.session import BROADCAST_ROWS, durable, no_rows
 
 METHODS = ("exact_phrase", "any_position")
 RESULTS = 10
@@ -53,8 +53,8 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
 
 def _no_matches(frame: DataFrame) -> DataFrame:
     query_type = frame.schema["query_id"].dataType.simpleString()
-    return frame.sparkSession.createDataFrame(
-        [],
+    return no_rows(
+        frame.sparkSession,
         f"query_id {query_type}, text_id long, bm25_score double, matching_words long",
     )
 

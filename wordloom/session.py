@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # At most this many rows are broadcast, counted before each broadcast (around 100 bytes a row).
 BROADCAST_ROWS = 500_000
@@ -37,3 +39,16 @@ def durable(frame: DataFrame) -> DataFrame:
     """The frame computed once and kept in the shared folder, where it outlives lost executors."""
     shared_folder(frame.sparkSession)
     return frame.checkpoint()
+
+
+def no_rows(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
+    return one_row(spark, schema).limit(0)
+
+
+def one_row(spark: SparkSession, schema: str | T.StructType, **values) -> DataFrame:
+    """A row of literals; columns without a value are NULL."""
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    return spark.range(0, 1, 1, 1).select(
+        [F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in schema.fields]
+    )

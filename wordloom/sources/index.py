@@ -21,7 +21,7 @@ from wordloom.operators.indexing import (
     postings_and_lengths,
 )
 from wordloom.functions.hashing import HASH_FUNCTIONS, hash_bin
-from wordloom.session import BROADCAST_ROWS
+from wordloom.session import BROADCAST_ROWS, no_rows, one_row
 
 _SETTINGS = "bins int, hash_function string"
 _COMMITS = "entry string, batch long, texts long, words long, version long"
@@ -39,8 +39,8 @@ def create_index(
     hash_bin(F.lit(""), bins)
     if hash_function not in HASH_FUNCTIONS:
         raise ValueError(f"unknown hash function {hash_function!r}, choose one of {HASH_FUNCTIONS}")
-    settings = spark.createDataFrame([(bins, hash_function)], _SETTINGS)
-    settings.coalesce(1).write.mode("error").json(f"{path}/settings")
+    settings = one_row(spark, _SETTINGS, bins=bins, hash_function=hash_function)
+    settings.write.mode("error").json(f"{path}/settings")
     # An entry with nothing in it, so that the folder exists.
     _commit(spark, path, "created")
 
@@ -55,10 +55,8 @@ def commits(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _commit(spark: SparkSession, path: str, entry: str, **values: int) -> None:
-    row = [(values.get(name),) for name in ("batch", "texts", "words", "version")]
-    spark.createDataFrame(
-        [tuple(value for (value,) in row)], "batch long, texts long, words long, version long"
-    ).coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/entry={entry}")
+    row = one_row(spark, _COMMITS, **values).drop("entry")
+    row.write.mode("overwrite").parquet(f"{path}/commits/entry={entry}")
 
 
 def _finished(spark: SparkSession, path: str) -> tuple[list[int], int | None]:
@@ -74,7 +72,7 @@ def _finished(spark: SparkSession, path: str) -> tuple[list[int], int | None]:
 def _stored_rows(spark: SparkSession, path: str, batches: list[int]) -> DataFrame:
     """Postings and lengths of the given batches."""
     if not batches:
-        return spark.createDataFrame([], _POSTINGS)
+        return no_rows(spark, _POSTINGS)
     rows = spark.read.schema(_POSTINGS).parquet(f"{path}/postings")
     return rows.filter(F.col("batch").isin(batches))
 
@@ -95,7 +93,7 @@ def read_index(spark: SparkSession, path: str) -> Index:
     batches, version = _finished(spark, path)
     rows = _stored_rows(spark, path, batches)
     if version is None:
-        metadata = spark.createDataFrame([], _METADATA)
+        metadata = no_rows(spark, _METADATA)
     else:
         metadata = (
             spark.read.schema(_METADATA)
@@ -189,7 +187,7 @@ def optimize_index(spark: SparkSession, path: str, target: str) -> tuple[int, in
 
     Partitions are ranges of (bin, hash, text_id): a word found in a third of all texts is cut into many
     of them, and every file covers a narrow span of hashes that its statistics show to the scan.  Returns
-    the numbers of postings rows per call as (texts, words) of the rewritten index.
+    the numbers of texts and words in it.
     """
     bins, hash_function = index_settings(spark, path)
     batches, _ = _finished(spark, path)
