@@ -11,7 +11,7 @@ from wordloom.functions.hashing import hash_bin, word_hash
 from wordloom.functions.postings import run_starts, runs, words_with_positions
 from wordloom.functions.text import with_tokens
 
-DEFAULT_BINS = 64
+DEFAULT_BINS = 16
 
 
 @dataclasses.dataclass(frozen=True)

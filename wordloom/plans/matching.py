@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from wordloom.operators.indexing import Index
 from wordloom.operators.requests import distinct_terms, request_terms
-from wordloom.session import BROADCAST_ROWS, LITERAL_HASHES, durable, no_rows
+from wordloom.session import BROADCAST_ROWS, LITERAL_HASHES, no_rows, settled
 
 UNKNOWN_TERMS = ("drop", "require")
 
@@ -73,14 +73,38 @@ def join_words(rows: DataFrame, words: DataFrame, key: str, spread: str, small:
     return salted_rows.join(salted_words, [key, "salt"]).drop("salt")
 
 
-def _pruning(words: DataFrame, bins: int) -> Pruning:
-    """What a scan for these words needs: at most ``bins`` numbers and ``LITERAL_HASHES`` hashes."""
-    found_bins = words.agg(F.sort_array(F.collect_set("bin"))).first()[0]
-    hashes = [row.hash for row in words.select("hash").distinct().limit(LITERAL_HASHES + 1).collect()]
-    return Pruning(
-        bins=found_bins if len(found_bins) < bins else None,
-        hashes=sorted(hashes) if len(hashes) <= LITERAL_HASHES else None,
-    )
+def word_pruning(words: DataFrame, bins: int) -> Pruning:
+    """What a scan for these words needs, in a single small job.
+
+    Up to ``LITERAL_HASHES`` words are named one by one; for more, only their bins are.
+    """
+    rows = words.select("bin", "hash").limit(LITERAL_HASHES + 1).collect()
+    if len(rows) <= LITERAL_HASHES:
+        return Pruning(sorted({row.bin for row in rows}), sorted({row.hash for row in rows}))
+    found = words.agg(F.sort_array(F.collect_set("bin"))).first()[0]
+    return Pruning(found if len(found) < bins else None, None)
+
+
+def _profile(words: DataFrame, bins: int) -> tuple[dict[str, Pruning], bool]:
+    """Pruning of every route in use, and whether ``word_key`` tells all words of the batch apart."""
+    rows = words.select("route", "bin", "hash", "word_key").limit(LITERAL_HASHES + 1).collect()
+    if len(rows) <= LITERAL_HASHES:
+        routes = {
+            route: Pruning(
+                sorted({row.bin for row in rows if row.route == route}),
+                sorted({row.hash for row in rows if row.route == route}),
+            )
+            for route in sorted({row.route for row in rows})
+        }
+        return routes, len({row.word_key for row in rows}) == len({row.hash for row in rows})
+    keys = words.agg(
+        F.count_distinct("hash").alias("hashes"), F.count_distinct("word_key").alias("keys")
+    ).first()
+    found = words.groupBy("route").agg(F.sort_array(F.collect_set("bin")).alias("bins")).collect()
+    routes = {
+        row.route: Pruning(row.bins if len(row.bins) < bins else None, None) for row in found
+    }
+    return routes, keys.hashes == keys.keys
 
 
 def compile_requests(index: Index, requests: DataFrame, unknown_terms: str = "drop") -> RequestPlan:
@@ -91,7 +115,7 @@ def compile_requests(index: Index, requests: DataFrame, unknown_terms: str = "dr
     """
     if unknown_terms not in UNKNOWN_TERMS:
         raise ValueError(f"unknown_terms must be one of {UNKNOWN_TERMS}, not {unknown_terms!r}")
-    terms = durable(request_terms(requests, index.hash_function).drop("term"))
+    terms = settled(request_terms(requests, index.hash_function).drop("term"))
     wanted = distinct_terms(terms, index.bins)
     size = wanted.agg(
         F.count(F.lit(1)).alias("rows"), F.count_distinct("query_id").alias("queries")
@@ -100,7 +124,7 @@ def compile_requests(index: Index, requests: DataFrame, unknown_terms: str = "dr
 
     # Document frequency of the batch's vocabulary, then of every word of every request.
     vocabulary = wanted.select("bin", "hash").distinct()
-    metadata = _pruning(wanted, index.bins).apply(index.hash_metadata)
+    metadata = word_pruning(wanted, index.bins).apply(index.hash_metadata)
     if small:
         vocabulary = F.broadcast(vocabulary)
     found = metadata.join(vocabulary, ["bin", "hash"], "left_semi")
@@ -125,28 +149,21 @@ def compile_requests(index: Index, requests: DataFrame, unknown_terms: str = "dr
     if unknown_terms == "require":
         words = words.filter(F.col("required") == F.col("distinct_words"))
     narrow = candidates <= F.lit(BROADCAST_ROWS) if small else F.lit(False)
-    words = durable(
+    words = settled(
         words.withColumn(
             "route",
             F.when(F.col("required") == 1, "single").when(narrow, "narrow").otherwise("wide"),
         )
     )
-    check = words.agg(
-        F.count_distinct("hash").alias("hashes"),
-        F.count_distinct("word_key").alias("keys"),
-        F.sort_array(F.collect_set("route")).alias("routes"),
-    ).first()
-    if check.hashes != check.keys:
+    routes, distinct_keys = _profile(words, index.bins)
+    if not distinct_keys:
         words = words.withColumn("word_key", F.col("hash"))
     stats = index.stats.first()
     return RequestPlan(
         terms=terms,
         words=words,
         broadcastable=small,
-        routes={
-            route: _pruning(words.filter(F.col("route") == route), index.bins)
-            for route in check.routes
-        },
+        routes=routes,
         total_documents=stats.total_documents,
         average_document_length=stats.average_document_length,
     )

@@ -20,14 +20,14 @@ from wordloom.operators.requests import distinct_terms, request_terms
 from wordloom.operators.results import attach_texts
 from wordloom.plans.matching import (
     RequestPlan,
-    _pruning,
     compile_requests,
     join_words,
     phrase_lists,
     route_hits,
     union_all,
+    word_pruning,
 )
-from wordloom.session import BROADCAST_ROWS, durable, no_rows
+from wordloom.session import BROADCAST_ROWS, no_rows, settled
 
 METHODS = ("exact_phrase", "any_position")
 RESULTS = 10
@@ -62,7 +62,7 @@ def _no_matches(frame: DataFrame) -> DataFrame:
 def _word_matches(index: Index, terms: DataFrame, k1: float, b: float) -> DataFrame:
     """All texts with the only word of a request; ``terms`` has one row per request."""
     small = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    pruning = _pruning(terms, index.bins)
+    pruning = word_pruning(terms, index.bins)
     frequency = terms.select("hash").distinct()
     metadata = pruning.apply(index.hash_metadata)
     if small:
@@ -95,7 +95,7 @@ def search_word(
     Answers requests of exactly one word.  A word whose document frequency is not known yet still matches,
     with a NULL score.
     """
-    terms = durable(
+    terms = settled(
         distinct_terms(
             request_terms(requests, index.hash_function).filter("slots = 1"), index.bins
         ).drop("term")
@@ -216,6 +216,6 @@ def search(
         single.join(plan.words.select("query_id"), "query_id", "left_anti"), index.bins
     )
     if not uncounted.isEmpty():
-        matches = matches.unionByName(_word_matches(index, durable(uncounted), K1, B))
+        matches = matches.unionByName(_word_matches(index, settled(uncounted), K1, B))
     results = _ranked(matches, k)
     return results if texts is None else attach_texts(results, texts, text_bins)

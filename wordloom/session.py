@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 # At most this many rows are broadcast, counted before each broadcast (around 100 bytes a row).
 BROADCAST_ROWS = 500_000
 
-# At most this many word hashes become literals of a scan filter.
+# At most this many rows are taken to the driver, and at most this many hashes become scan literals.
 LITERAL_HASHES = 200
 
 
@@ -41,6 +41,24 @@ def durable(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def settled(frame: DataFrame, rows: int = LITERAL_HASHES) -> DataFrame:
+    """The frame computed once: up to ``rows`` rows become literals of the plan, more are ``durable``."""
+    table = frame.limit(rows + 1).toArrow()
+    if table.num_rows > rows:
+        return durable(frame)
+    return frame.sparkSession.createDataFrame(table, frame.schema)
+
+
+def spread(frame: DataFrame, column: str) -> DataFrame:
+    """The frame over all cores of the cluster, if it comes in fewer parts than these.
+
+    Only a small or unsplittable input is moved; counting its parts reads nothing but ``column``.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    parts = frame.select(column, F.spark_partition_id().alias("part")).agg(F.count_distinct("part"))
+    return frame if parts.first()[0] >= cores else frame.repartition(cores)
+
+
 def no_rows(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
     return one_row(spark, schema).limit(0)
 

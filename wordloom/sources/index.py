@@ -11,6 +11,8 @@ running append is invisible.  An entry written again replaces the first attempt.
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ from wordloom.operators.indexing import (
     postings_and_lengths,
 )
 from wordloom.functions.hashing import HASH_FUNCTIONS, hash_bin
-from wordloom.session import BROADCAST_ROWS, no_rows, one_row
+from wordloom.session import BROADCAST_ROWS, no_rows, one_row, spread
 
 _SETTINGS = "bins int, hash_function string"
 _COMMITS = "entry string, batch long, texts long, words long, version long"
@@ -59,14 +61,28 @@ def _commit(spark: SparkSession, path: str, entry: str, **values: int) -> None:
     row.write.mode("overwrite").parquet(f"{path}/commits/entry={entry}")
 
 
-def _finished(spark: SparkSession, path: str) -> tuple[list[int], int | None]:
-    """Batches and the newest document frequency; one small row per append since the last rewrite."""
+@dataclasses.dataclass(frozen=True)
+class _Snapshot:
+    """What is finished; the batches are as many as there were appends since the last rewrite."""
+
+    batches: list[int]
+    version: int | None
+    texts: int
+    words: int
+
+
+def _finished(spark: SparkSession, path: str) -> _Snapshot:
     row = (
         commits(spark, path)
-        .agg(F.sort_array(F.collect_set("batch")).alias("batches"), F.max("version").alias("version"))
+        .agg(
+            F.sort_array(F.collect_set("batch")).alias("batches"),
+            F.max("version").alias("version"),
+            F.coalesce(F.sum("texts"), F.lit(0)).alias("texts"),
+            F.coalesce(F.sum("words"), F.lit(0)).alias("words"),
+        )
         .first()
     )
-    return row.batches, row.version
+    return _Snapshot(**row.asDict())
 
 
 def _stored_rows(spark: SparkSession, path: str, batches: list[int]) -> DataFrame:
@@ -90,24 +106,25 @@ def _lengths(rows: DataFrame) -> DataFrame:
 def read_index(spark: SparkSession, path: str) -> Index:
     """The index as it is now.  Later appends do not show; read it again for them."""
     bins, hash_function = index_settings(spark, path)
-    batches, version = _finished(spark, path)
-    rows = _stored_rows(spark, path, batches)
-    if version is None:
+    found = _finished(spark, path)
+    rows = _stored_rows(spark, path, found.batches)
+    if found.version is None:
         metadata = no_rows(spark, _METADATA)
     else:
         metadata = (
             spark.read.schema(_METADATA)
             .parquet(f"{path}/hash_metadata")
-            .filter(F.col("version") == version)
+            .filter(F.col("version") == found.version)
         )
-    totals = commits(spark, path).filter(F.col("batch").isin(batches))
     return Index(
         postings=_postings(rows),
         word_counts=_lengths(rows),
         hash_metadata=metadata.select("bin", "hash", "document_count"),
-        stats=totals.agg(
-            F.coalesce(F.sum("texts"), F.lit(0)).alias("total_documents"),
-            (F.sum("words") / F.sum("texts")).alias("average_document_length"),
+        stats=one_row(
+            spark,
+            "total_documents long, average_document_length double",
+            total_documents=found.texts,
+            average_document_length=found.words / found.texts if found.texts else None,
         ),
         bins=bins,
         hash_function=hash_function,
@@ -151,7 +168,7 @@ def append_index(
         raise ValueError(f"on_duplicate must be 'error' or 'skip', not {on_duplicate!r}")
     spark = texts.sparkSession
     bins, hash_function = index_settings(spark, path)
-    batches, _ = _finished(spark, path)
+    batches = _finished(spark, path).batches
     if batch is None:
         batch = max(batches, default=-1) + 1
 
@@ -167,15 +184,16 @@ def append_index(
         if repeated:
             texts = texts.join(known, "text_id", "left_anti")
 
-    rows = postings_and_lengths(texts.select("text_id", "text"), bins, hash_function)
+    texts = spread(texts.select("text_id", "text"), "text_id")
+    rows = postings_and_lengths(texts, bins, hash_function)
     return _write_batch(spark, path, _in_bins(rows), batch)
 
 
 def refresh_document_frequency(spark: SparkSession, path: str) -> int:
     """Count document frequency anew over all finished batches; returns the number of hashes."""
-    batches, version = _finished(spark, path)
-    version = 0 if version is None else version + 1
-    counted = document_frequency(_postings(_stored_rows(spark, path, batches)))
+    found = _finished(spark, path)
+    version = 0 if found.version is None else found.version + 1
+    counted = document_frequency(_postings(_stored_rows(spark, path, found.batches)))
     folder = f"{path}/hash_metadata/version={version}"
     _in_bins(counted).write.mode("overwrite").partitionBy("bin").parquet(folder)
     _commit(spark, path, f"version-{version}", version=version)
@@ -190,7 +208,7 @@ def optimize_index(spark: SparkSession, path: str, target: str) -> tuple[int, in
     the numbers of texts and words in it.
     """
     bins, hash_function = index_settings(spark, path)
-    batches, _ = _finished(spark, path)
+    batches = _finished(spark, path).batches
     create_index(spark, target, bins, hash_function)
     rows = (
         _stored_rows(spark, path, batches)
