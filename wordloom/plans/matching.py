@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from wordloom.operators.indexing import Index
 from wordloom.operators.requests import distinct_terms, request_terms
-from wordloom.session import BROADCAST_ROWS, LITERAL_HASHES, no_rows, settled
+from wordloom.session import BROADCAST_ROWS, LITERAL_HASHES, durable, no_rows, settled
 
 UNKNOWN_TERMS = ("drop", "require")
 
@@ -37,13 +37,19 @@ class Pruning:
     hashes: list[str] | None
 
     def apply(self, frame: DataFrame) -> DataFrame:
+        # Written as text, which saves a call to the JVM per literal; both are made of digits.
         if self.bins is not None:
-            frame = frame.filter(F.col("bin").isin(self.bins))
+            frame = frame.filter(_is_one_of("bin", map(str, self.bins)))
         if self.hashes is not None:
-            frame = frame.filter(F.col("hash").isin(self.hashes))
+            frame = frame.filter(_is_one_of("hash", map(repr, self.hashes)))
         return frame
 
 
+def _is_one_of(column: str, literals) -> str:
+    listed = ", ".join(literals)
+    return f"{column} IN ({listed})" if listed else "false"
+
+
 @dataclasses.dataclass(frozen=True)
 class RequestPlan:
     """A batch of requests, ready to be matched.
@@ -73,38 +79,45 @@ def join_words(rows: DataFrame, words: DataFrame, key: str, spread: str, small:
     return salted_rows.join(salted_words, [key, "salt"]).drop("salt")
 
 
+def _pruning_of(rows: list) -> Pruning:
+    return Pruning(sorted({row.bin for row in rows}), sorted({row.hash for row in rows}))
+
+
 def word_pruning(words: DataFrame, bins: int) -> Pruning:
-    """What a scan for these words needs, in a single small job.
+    """What a scan for these words needs.
 
     Up to ``LITERAL_HASHES`` words are named one by one; for more, only their bins are.
     """
     rows = words.select("bin", "hash").limit(LITERAL_HASHES + 1).collect()
     if len(rows) <= LITERAL_HASHES:
-        return Pruning(sorted({row.bin for row in rows}), sorted({row.hash for row in rows}))
-    found = words.agg(F.sort_array(F.collect_set("bin"))).first()[0]
-    return Pruning(found if len(found) < bins else None, None)
+        return _pruning_of(rows)
+    return _bin_pruning(words.agg(F.collect_set("bin")).first()[0], bins)
 
 
-def _profile(words: DataFrame, bins: int) -> tuple[dict[str, Pruning], bool]:
-    """Pruning of every route in use, and whether ``word_key`` tells all words of the batch apart."""
-    rows = words.select("route", "bin", "hash", "word_key").limit(LITERAL_HASHES + 1).collect()
-    if len(rows) <= LITERAL_HASHES:
+def _bin_pruning(found: list[int], bins: int) -> Pruning:
+    return Pruning(sorted(found) if len(found) < bins else None, None)
+
+
+def _route_pruning(words: DataFrame, bins: int, few: bool) -> tuple[dict[str, Pruning], bool]:
+    """Pruning of every route in use, and whether ``word_key`` tells the words of a route apart."""
+    if few:
+        rows = words.select("route", "bin", "hash", "word_key").collect()
         routes = {
-            route: Pruning(
-                sorted({row.bin for row in rows if row.route == route}),
-                sorted({row.hash for row in rows if row.route == route}),
-            )
+            route: _pruning_of([row for row in rows if row.route == route])
             for route in sorted({row.route for row in rows})
         }
         return routes, len({row.word_key for row in rows}) == len({row.hash for row in rows})
-    keys = words.agg(
-        F.count_distinct("hash").alias("hashes"), F.count_distinct("word_key").alias("keys")
-    ).first()
-    found = words.groupBy("route").agg(F.sort_array(F.collect_set("bin")).alias("bins")).collect()
-    routes = {
-        row.route: Pruning(row.bins if len(row.bins) < bins else None, None) for row in found
-    }
-    return routes, keys.hashes == keys.keys
+    found = (
+        words.groupBy("route")
+        .agg(
+            F.collect_set("bin").alias("bins"),
+            F.count_distinct("hash").alias("hashes"),
+            F.count_distinct("word_key").alias("keys"),
+        )
+        .collect()
+    )
+    routes = {row.route: _bin_pruning(row.bins, bins) for row in found}
+    return routes, all(row.hashes == row.keys for row in found)
 
 
 def compile_requests(index: Index, requests: DataFrame, unknown_terms: str = "drop") -> RequestPlan:
@@ -118,13 +131,17 @@ def compile_requests(index: Index, requests: DataFrame, unknown_terms: str = "dr
     terms = settled(request_terms(requests, index.hash_function).drop("term"))
     wanted = distinct_terms(terms, index.bins)
     size = wanted.agg(
-        F.count(F.lit(1)).alias("rows"), F.count_distinct("query_id").alias("queries")
+        F.count(F.lit(1)).alias("rows"),
+        F.count_distinct("query_id").alias("queries"),
+        F.collect_set("bin").alias("bins"),
     ).first()
     small = size.rows <= BROADCAST_ROWS
+    few = size.rows <= LITERAL_HASHES
 
     # Document frequency of the batch's vocabulary, then of every word of every request.
     vocabulary = wanted.select("bin", "hash").distinct()
-    metadata = word_pruning(wanted, index.bins).apply(index.hash_metadata)
+    pruning = word_pruning(wanted, index.bins) if few else _bin_pruning(size.bins, index.bins)
+    metadata = pruning.apply(index.hash_metadata)
     if small:
         vocabulary = F.broadcast(vocabulary)
     found = metadata.join(vocabulary, ["bin", "hash"], "left_semi")
@@ -149,13 +166,11 @@ def compile_requests(index: Index, requests: DataFrame, unknown_terms: str = "dr
     if unknown_terms == "require":
         words = words.filter(F.col("required") == F.col("distinct_words"))
     narrow = candidates <= F.lit(BROADCAST_ROWS) if small else F.lit(False)
-    words = settled(
-        words.withColumn(
-            "route",
-            F.when(F.col("required") == 1, "single").when(narrow, "narrow").otherwise("wide"),
-        )
+    words = words.withColumn(
+        "route", F.when(F.col("required") == 1, "single").when(narrow, "narrow").otherwise("wide")
     )
-    routes, distinct_keys = _profile(words, index.bins)
+    words = settled(words) if few else durable(words)
+    routes, distinct_keys = _route_pruning(words, index.bins, few)
     if not distinct_keys:
         words = words.withColumn("word_key", F.col("hash"))
     stats = index.stats.first()
