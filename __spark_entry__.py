@@ -29,8 +29,8 @@ from wordloom import (
 )
 from wordloom.functions.text import with_tokens
 from wordloom.operators import indexing
-from wordloom.operators.requests import request_plan, request_terms
-from wordloom.plans.matching import match_all_by_intersection
+from wordloom.operators.requests import request_terms
+from wordloom.plans.matching import match_all_by_intersection, request_plan
 from wordloom.session import new_shared_path
 from wordloom.sources import corpus
 

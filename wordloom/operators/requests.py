@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from wordloom.functions.hashing import hash_bin, word_hash
+from wordloom.functions.hashing import word_hash
 from wordloom.functions.text import with_tokens
-from wordloom.operators.indexing import Index
 
 
 def request_terms(requests: DataFrame, hash_function: str = "md5") -> DataFrame:
@@ -34,19 +32,3 @@ def request_terms(requests: DataFrame, hash_function: str = "md5") -> DataFrame:
             "distinct_words",
         )
     )
-
-
-def distinct_terms(terms: DataFrame, bins: int) -> DataFrame:
-    """Different words per request with their bin."""
-    return terms.dropDuplicates(["query_id", "hash"]).withColumn("bin", hash_bin("hash", bins))
-
-
-def request_plan(index: Index, requests: DataFrame) -> DataFrame:
-    """Known words of every request from rarest to most frequent (``rarity`` 1, 2, ...)."""
-    terms = distinct_terms(request_terms(requests, index.hash_function), index.bins)
-    wanted = terms.select("bin", "hash").distinct()
-    found = index.hash_metadata.join(wanted, ["bin", "hash"], "left_semi")
-    rarest_first = Window.partitionBy("query_id").orderBy("document_count", "term")
-    return terms.join(found, ["bin", "hash"]).select(
-        "query_id", F.row_number().over(rarest_first).alias("rarity"), "term", "hash", "document_count"
-    )

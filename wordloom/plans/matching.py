@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wordloom.functions.hashing import hash_bin
 from wordloom.operators.indexing import Index
-from wordloom.operators.requests import distinct_terms, request_terms
+from wordloom.operators.requests import request_terms
 from wordloom.session import BROADCAST_ROWS, LITERAL_HASHES, durable, no_rows, settled
 
 UNKNOWN_TERMS = ("drop", "require")
@@ -54,12 +55,13 @@ def _is_one_of(column: str, literals) -> str:
 class RequestPlan:
     """A batch of requests, ready to be matched.
 
-    terms   query_id, phrase_offset, hash, slots, distinct_words, bin
-    words   query_id, hash, bin, word_key, document_count, required, minimum_count, route
+    terms   query_id, phrase_offset, term, hash, bin, slots, distinct_words
+    words   query_id, term, hash, bin, word_key, document_count, rarity, required, minimum_count, route
     """
 
     terms: DataFrame
     words: DataFrame
+    few: bool
     broadcastable: bool
     routes: dict[str, Pruning]
     total_documents: int
@@ -128,38 +130,46 @@ def compile_requests(index: Index, requests: DataFrame, unknown_terms: str = "dr
     """
     if unknown_terms not in UNKNOWN_TERMS:
         raise ValueError(f"unknown_terms must be one of {UNKNOWN_TERMS}, not {unknown_terms!r}")
-    terms = settled(request_terms(requests, index.hash_function).drop("term"))
-    wanted = distinct_terms(terms, index.bins)
-    size = wanted.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_distinct("query_id").alias("queries"),
-        F.collect_set("bin").alias("bins"),
-    ).first()
-    small = size.rows <= BROADCAST_ROWS
-    few = size.rows <= LITERAL_HASHES
+    terms = settled(
+        request_terms(requests, index.hash_function).withColumn("bin", hash_bin("hash", index.bins))
+    )
+    rows = terms.limit(LITERAL_HASHES + 1).collect()
+    few = len(rows) <= LITERAL_HASHES
+    if few:
+        term_count, query_count = len(rows), len({row.query_id for row in rows})
+        pruning = _pruning_of(rows)
+    else:
+        size = terms.agg(
+            F.count(F.lit(1)).alias("terms"),
+            F.count_distinct("query_id").alias("queries"),
+            F.collect_set("bin").alias("bins"),
+        ).first()
+        term_count, query_count = size.terms, size.queries
+        pruning = _bin_pruning(size.bins, index.bins)
+    small = term_count <= BROADCAST_ROWS
 
     # Document frequency of the batch's vocabulary, then of every word of every request.
-    vocabulary = wanted.select("bin", "hash").distinct()
-    pruning = word_pruning(wanted, index.bins) if few else _bin_pruning(size.bins, index.bins)
+    wanted = terms.dropDuplicates(["query_id", "hash"])
+    vocabulary = terms.select("bin", "hash").distinct()
     metadata = pruning.apply(index.hash_metadata)
     if small:
         vocabulary = F.broadcast(vocabulary)
     found = metadata.join(vocabulary, ["bin", "hash"], "left_semi")
     known = join_words(
-        wanted.select("query_id", "hash", "bin", "distinct_words"),
+        wanted.select("query_id", "term", "hash", "bin", "distinct_words"),
         found.select("hash", "document_count"),
         "hash",
         "query_id",
         small,
     )
     per_query = Window.partitionBy("query_id")
-    rarest_first = per_query.orderBy("document_count", "hash")
-    candidates = F.col("minimum_count") * F.col("required") * F.lit(max(size.queries, 1))
+    rarest_first = per_query.orderBy("document_count", "term")
+    candidates = F.col("minimum_count") * F.col("required") * F.lit(max(query_count, 1))
     words = known.withColumns(
         {
             "required": F.count(F.lit(1)).over(per_query),
             "minimum_count": F.min("document_count").over(per_query),
-            "rarest": F.row_number().over(rarest_first) == 1,
+            "rarity": F.row_number().over(rarest_first),
             "word_key": F.xxhash64("hash"),
         }
     )
@@ -177,6 +187,7 @@ def compile_requests(index: Index, requests: DataFrame, unknown_terms: str = "dr
     return RequestPlan(
         terms=terms,
         words=words,
+        few=few,
         broadcastable=small,
         routes=routes,
         total_documents=stats.total_documents,
@@ -184,6 +195,24 @@ def compile_requests(index: Index, requests: DataFrame, unknown_terms: str = "dr
     )
 
 
+def request_plan(index: Index, requests: DataFrame) -> DataFrame:
+    """Known words of every request from rarest to most frequent (``rarity`` 1, 2, ...)."""
+    words = compile_requests(index, requests).words
+    return words.select("query_id", "rarity", "term", "hash", "document_count")
+
+
+def uncounted_words(plan: RequestPlan) -> DataFrame | None:
+    """Requests of one word whose document frequency is not known, as rows of ``terms``."""
+    single = plan.terms.filter("slots = 1")
+    if plan.few:
+        # Both tables are literals of the plan; this starts no job.
+        known = {row.query_id for row in plan.words.select("query_id").collect()}
+        if all(row.query_id in known for row in single.select("query_id").collect()):
+            return None
+    uncounted = single.join(plan.words.select("query_id"), "query_id", "left_anti")
+    return None if uncounted.isEmpty() else settled(uncounted)
+
+
 def route_hits(index: Index, plan: RequestPlan, route: str, values: list[str]) -> DataFrame:
     """Postings of one route's words, one row per request, text and word.
 
@@ -206,7 +235,7 @@ def route_hits(index: Index, plan: RequestPlan, route: str, values: list[str]) -
 
     if route == "narrow":
         # Postings of the rarest words are the candidates, at most BROADCAST_ROWS with their words.
-        rarest = words.filter("rarest").select("query_id", "hash")
+        rarest = words.filter("rarity = 1").select("query_id", "hash")
         candidates = rows.join(F.broadcast(rarest), "hash").select("query_id", "text_id")
         needed = candidates.join(F.broadcast(words.select(*asked)), "query_id")
         return rows.select("hash", "text_id", *values).join(
@@ -272,6 +301,6 @@ def match_all_by_intersection(index: Index, requests: DataFrame, query_id) -> Da
     words = compile_requests(index, requests.filter(F.col("query_id") == query_id)).words
     branches = [
         index.postings.filter((F.col("bin") == row.bin) & (F.col("hash") == row.hash)).select("text_id")
-        for row in words.orderBy("document_count", "hash").collect()
+        for row in words.orderBy("rarity").collect()
     ]
     return reduce(DataFrame.intersect, branches)

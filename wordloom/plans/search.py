@@ -12,11 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.functions.hashing import hash_bin
 from wordloom.functions.postings import phrase_occurrences
 from wordloom.functions.ranking import K1, SCORE_DIGITS, B, bm25
 from wordloom.operators.indexing import Index
 from wordloom.operators.ranking import top_k
-from wordloom.operators.requests import distinct_terms, request_terms
+from wordloom.operators.requests import request_terms
 from wordloom.operators.results import attach_texts
 from wordloom.plans.matching import (
     RequestPlan,
@@ -24,6 +25,7 @@ from wordloom.plans.matching import (
     join_words,
     phrase_lists,
     route_hits,
+    uncounted_words,
     union_all,
     word_pruning,
 )
@@ -95,11 +97,8 @@ def search_word(
     Answers requests of exactly one word.  A word whose document frequency is not known yet still matches,
     with a NULL score.
     """
-    terms = settled(
-        distinct_terms(
-            request_terms(requests, index.hash_function).filter("slots = 1"), index.bins
-        ).drop("term")
-    )
+    terms = request_terms(requests, index.hash_function).filter("slots = 1")
+    terms = settled(terms.withColumn("bin", hash_bin("hash", index.bins)))
     return _ranked(_word_matches(index, terms, k1, b), k)
 
 
@@ -211,11 +210,8 @@ def search(
     find = _phrase_matches if phrase else _any_position_matches
     matches = find(index, plan, K1, B)
 
-    single = plan.terms.filter("slots = 1")
-    uncounted = distinct_terms(
-        single.join(plan.words.select("query_id"), "query_id", "left_anti"), index.bins
-    )
-    if not uncounted.isEmpty():
-        matches = matches.unionByName(_word_matches(index, settled(uncounted), K1, B))
+    uncounted = uncounted_words(plan)
+    if uncounted is not None:
+        matches = matches.unionByName(_word_matches(index, uncounted, K1, B))
     results = _ranked(matches, k)
     return results if texts is None else attach_texts(results, texts, text_bins)

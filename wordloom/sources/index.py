@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import dataclasses
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,11 +121,15 @@ def read_index(spark: SparkSession, path: str) -> Index:
         postings=_postings(rows),
         word_counts=_lengths(rows),
         hash_metadata=metadata.select("bin", "hash", "document_count"),
-        stats=one_row(
-            spark,
-            "total_documents long, average_document_length double",
-            total_documents=found.texts,
-            average_document_length=found.words / found.texts if found.texts else None,
+        stats=spark.createDataFrame(
+            pa.table(
+                {
+                    "total_documents": pa.array([found.texts], pa.int64()),
+                    "average_document_length": pa.array(
+                        [found.words / found.texts if found.texts else None], pa.float64()
+                    ),
+                }
+            )
         ),
         bins=bins,
         hash_function=hash_function,
