@@ -27,6 +27,9 @@ def attach_texts(results: DataFrame, texts: DataFrame, text_bins: int | None = N
                 wanted = wanted.filter(F.col("text_bin").isin(sorted(bins)))
         wanted = wanted.join(F.broadcast(ids), "text_id", "left_semi")
     head = [name for name in ("query_id", "result_number") if name in results.columns]
-    return results.join(wanted, "text_id", "left").select(
-        *head, "bm25_score", "matching_words", "text_id", *columns, "text"
+    order = head or [F.col("bm25_score").desc_nulls_last(), F.col("text_id")]
+    return (
+        results.join(wanted, "text_id", "left")
+        .select(*head, "bm25_score", "matching_words", "text_id", *columns, "text")
+        .orderBy(*order)
     )
