@@ -109,14 +109,14 @@ def test_create_twice_fails(spark, path):
 def test_duplicates(spark, micro_texts, micro_index, path):
     create_index(spark, path, 7)
     some = micro_texts.filter("text_id < 4")
-    append_index(some, path)
+    append_index(some, path, batch="first")
     with pytest.raises(ValueError, match="3 texts are in the index"):
         append_index(micro_texts, path)
-    with pytest.raises(ValueError, match="more than once"):
-        append_index(some.union(some), path, batch=9)
-    assert append_index(micro_texts, path, on_duplicate="skip") == (5, 17)
+    with pytest.raises(ValueError, match="no two the same"):
+        append_index(some.union(some), path)
+    assert append_index(micro_texts, path, "rest", on_duplicate="skip") == (5, 17)
     # The same batch again replaces itself.
-    assert append_index(micro_texts.filter("text_id >= 4"), path, batch=1) == (5, 17)
+    assert append_index(micro_texts.filter("text_id >= 4"), path, "rest") == (5, 17)
     refresh_document_frequency(spark, path)
     assert content(read_index(spark, path)) == content(micro_index)
     assert commits(spark, path).agg(F.sum("texts")).first()[0] == 8
@@ -129,7 +129,7 @@ def test_unfinished_append_is_invisible(spark, micro_texts, micro_index, path):
     rows = indexing.postings_and_lengths(
         spark.sql("SELECT 99L AS text_id, 'green' AS text"), 7
     )
-    rows.write.partitionBy("bin").parquet(f"{path}/postings/batch=5")
+    rows.write.partitionBy("bin").parquet(f"{path}/postings/batch=lost")
     rows.write.partitionBy("bin").parquet(f"{path}/hash_metadata/version=5")
     assert content(read_index(spark, path)) == content(micro_index)
 

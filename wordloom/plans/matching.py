@@ -32,17 +32,20 @@ SALTS = 64
 
 @dataclasses.dataclass(frozen=True)
 class Pruning:
-    """Bins and hashes a scan may be limited to; None means all."""
+    """Bins, hashes and texts a scan may be limited to; None means all."""
 
-    bins: list[int] | None
-    hashes: list[str] | None
+    bins: list[int] | None = None
+    hashes: list[str] | None = None
+    text_ids: list[int] | None = None
 
     def apply(self, frame: DataFrame) -> DataFrame:
-        # Written as text, which saves a call to the JVM per literal; both are made of digits.
+        # Written as text, which saves a call to the JVM per literal; all are made of digits.
         if self.bins is not None:
             frame = frame.filter(_is_one_of("bin", map(str, self.bins)))
         if self.hashes is not None:
             frame = frame.filter(_is_one_of("hash", map(repr, self.hashes)))
+        if self.text_ids is not None:
+            frame = frame.filter(_is_one_of("text_id", map(str, self.text_ids)))
         return frame
 
 
@@ -51,6 +54,16 @@ def _is_one_of(column: str, literals) -> str:
     return f"{column} IN ({listed})" if listed else "false"
 
 
+@dataclasses.dataclass(frozen=True)
+class Route:
+    """What the scans of a route need: all its words, the rarest word of each request, how many postings
+    the rarest words have."""
+
+    words: Pruning
+    rarest: Pruning
+    rarest_postings: int
+
+
 @dataclasses.dataclass(frozen=True)
 class RequestPlan:
     """A batch of requests, ready to be matched.
@@ -63,7 +76,7 @@ class RequestPlan:
     words: DataFrame
     few: bool
     broadcastable: bool
-    routes: dict[str, Pruning]
+    routes: dict[str, Route]
     total_documents: int
     average_document_length: float | None
 
@@ -97,28 +110,38 @@ def word_pruning(words: DataFrame, bins: int) -> Pruning:
 
 
 def _bin_pruning(found: list[int], bins: int) -> Pruning:
-    return Pruning(sorted(found) if len(found) < bins else None, None)
+    return Pruning(sorted(found) if len(found) < bins else None)
 
 
-def _route_pruning(words: DataFrame, bins: int, few: bool) -> tuple[dict[str, Pruning], bool]:
-    """Pruning of every route in use, and whether ``word_key`` tells the words of a route apart."""
+def _routes(words: DataFrame, bins: int, few: bool) -> tuple[dict[str, Route], bool]:
+    """The routes in use, and whether ``word_key`` tells the words of each apart."""
     if few:
-        rows = words.select("route", "bin", "hash", "word_key").collect()
-        routes = {
-            route: _pruning_of([row for row in rows if row.route == route])
-            for route in sorted({row.route for row in rows})
-        }
+        rows = words.collect()
+        routes = {}
+        for name in sorted({row.route for row in rows}):
+            taken = [row for row in rows if row.route == name]
+            rarest = [row for row in taken if row.rarity == 1]
+            postings = sum(row.document_count for row in rarest)
+            routes[name] = Route(_pruning_of(taken), _pruning_of(rarest), postings)
         return routes, len({row.word_key for row in rows}) == len({row.hash for row in rows})
+    is_rarest = F.col("rarity") == 1
     found = (
         words.groupBy("route")
         .agg(
             F.collect_set("bin").alias("bins"),
+            F.collect_set(F.when(is_rarest, F.col("bin"))).alias("rarest_bins"),
+            F.sum(F.when(is_rarest, F.col("document_count"))).alias("rarest_postings"),
             F.count_distinct("hash").alias("hashes"),
             F.count_distinct("word_key").alias("keys"),
         )
         .collect()
     )
-    routes = {row.route: _bin_pruning(row.bins, bins) for row in found}
+    routes = {
+        row.route: Route(
+            _bin_pruning(row.bins, bins), _bin_pruning(row.rarest_bins, bins), row.rarest_postings
+        )
+        for row in found
+    }
     return routes, all(row.hashes == row.keys for row in found)
 
 
@@ -180,7 +203,7 @@ def compile_requests(index: Index, requests: DataFrame, unknown_terms: str = "dr
         "route", F.when(F.col("required") == 1, "single").when(narrow, "narrow").otherwise("wide")
     )
     words = settled(words) if few else durable(words)
-    routes, distinct_keys = _route_pruning(words, index.bins, few)
+    routes, distinct_keys = _routes(words, index.bins, few)
     if not distinct_keys:
         words = words.withColumn("word_key", F.col("hash"))
     stats = index.stats.first()
@@ -220,7 +243,8 @@ def route_hits(index: Index, plan: RequestPlan, route: str, values: list[str]) -
     ``values`` names the posting columns to keep.
     """
     words = plan.words.filter(F.col("route") == route)
-    rows = plan.routes[route].apply(index.postings)
+    needs = plan.routes[route]
+    rows = needs.words.apply(index.postings)
     asked = ["query_id", "hash", "document_count", "required"]
     output = ["query_id", "text_id", "hash", "document_count", "required", *values]
 
@@ -236,7 +260,16 @@ def route_hits(index: Index, plan: RequestPlan, route: str, values: list[str]) -
     if route == "narrow":
         # Postings of the rarest words are the candidates, at most BROADCAST_ROWS with their words.
         rarest = words.filter("rarity = 1").select("query_id", "hash")
-        candidates = rows.join(F.broadcast(rarest), "hash").select("query_id", "text_id")
+        candidates = (
+            needs.rarest.apply(index.postings)
+            .join(F.broadcast(rarest), "hash")
+            .select("query_id", "text_id")
+        )
+        if needs.rarest_postings <= LITERAL_HASHES:
+            # So few that the scan can look for them in the long lists of the frequent words.
+            candidates = settled(candidates)
+            text_ids = sorted({row.text_id for row in candidates.collect()})
+            rows = Pruning(text_ids=text_ids).apply(rows)
         needed = candidates.join(F.broadcast(words.select(*asked)), "query_id")
         return rows.select("hash", "text_id", *values).join(
             F.broadcast(needed), ["text_id", "hash"]

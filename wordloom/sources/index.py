@@ -1,7 +1,7 @@
 """The stored index: Parquet folders partitioned by batch and bin.
 
     settings/                                bins and hash function
-    postings/batch=<n>/bin=<n>/              postings; bin 0 holds the lengths of the batch's texts
+    postings/batch=<name>/bin=<n>/           postings; bin 0 holds the lengths of the batch's texts
     hash_metadata/version=<n>/bin=<n>/       document frequency, replaced as a whole
     commits/entry=<...>/                     one row per finished batch or document frequency
 
@@ -12,6 +12,7 @@ running append is invisible.  An entry written again replaces the first attempt.
 from __future__ import annotations
 
 import dataclasses
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,10 +28,10 @@ from wordloom.functions.hashing import HASH_FUNCTIONS, hash_bin
 from wordloom.session import BROADCAST_ROWS, no_rows, one_row, spread
 
 _SETTINGS = "bins int, hash_function string"
-_COMMITS = "entry string, batch long, texts long, words long, version long"
+_COMMITS = "entry string, batch string, texts long, words long, version long"
 _POSTINGS = (
     "hash string, text_id long, positions array<int>, term_frequency int, words_total int, "
-    "batch long, bin int"
+    "batch string, bin int"
 )
 _METADATA = "hash string, document_count long, version long, bin int"
 
@@ -57,7 +58,7 @@ def commits(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_COMMITS).parquet(f"{path}/commits")
 
 
-def _commit(spark: SparkSession, path: str, entry: str, **values: int) -> None:
+def _commit(spark: SparkSession, path: str, entry: str, **values: int | str) -> None:
     row = one_row(spark, _COMMITS, **values).drop("entry")
     row.write.mode("overwrite").parquet(f"{path}/commits/entry={entry}")
 
@@ -66,7 +67,7 @@ def _commit(spark: SparkSession, path: str, entry: str, **values: int) -> None:
 class _Snapshot:
     """What is finished; the batches are as many as there were appends since the last rewrite."""
 
-    batches: list[int]
+    batches: list[str]
     version: int | None
     texts: int
     words: int
@@ -86,7 +87,7 @@ def _finished(spark: SparkSession, path: str) -> _Snapshot:
     return _Snapshot(**row.asDict())
 
 
-def _stored_rows(spark: SparkSession, path: str, batches: list[int]) -> DataFrame:
+def _stored_rows(spark: SparkSession, path: str, batches: list[str]) -> DataFrame:
     """Postings and lengths of the given batches."""
     if not batches:
         return no_rows(spark, _POSTINGS)
@@ -142,7 +143,7 @@ def _in_bins(rows: DataFrame) -> DataFrame:
     return rows.hint("rebalance", "bin").sortWithinPartitions(*order)
 
 
-def _write_batch(spark: SparkSession, path: str, rows: DataFrame, batch: int) -> tuple[int, int]:
+def _write_batch(spark: SparkSession, path: str, rows: DataFrame, batch: str) -> tuple[int, int]:
     folder = f"{path}/postings/batch={batch}"
     rows.write.mode("overwrite").partitionBy("bin").parquet(folder)
     lengths = spark.read.schema(_POSTINGS).parquet(folder).filter("bin = 0")
@@ -153,43 +154,51 @@ def _write_batch(spark: SparkSession, path: str, rows: DataFrame, batch: int) ->
     return totals.texts, totals.words
 
 
-def duplicate_ids(texts: DataFrame, known: DataFrame) -> DataFrame:
-    """Ids of ``texts`` that ``known`` has too."""
-    ids = texts.select("text_id")
-    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return known.select("text_id").join(F.broadcast(ids), "text_id", "left_semi")
-    return ids.join(known.select("text_id"), "text_id", "left_semi")
+def duplicate_ids(texts: DataFrame, known: DataFrame, few: bool) -> DataFrame:
+    """Ids of ``texts`` that ``known`` has too; ``few`` texts are broadcast."""
+    ids, known = texts.select("text_id"), known.select("text_id")
+    if few:
+        return known.join(F.broadcast(ids), "text_id", "left_semi")
+    return ids.join(known, "text_id", "left_semi")
 
 
 def append_index(
-    texts: DataFrame, path: str, batch: int | None = None, on_duplicate: str = "error"
+    texts: DataFrame, path: str, batch: str | None = None, on_duplicate: str = "error"
 ) -> tuple[int, int]:
     """Index texts (``text_id``, ``text``) as one batch; returns the numbers of texts and words added.
 
     Texts that are in the index already are an error, or left out with ``on_duplicate="skip"``.  A batch
-    number given again replaces that batch.  Document frequency stays as it is until it is refreshed.
+    that is named again replaces its first attempt; without a name it is a new one.  Document frequency
+    stays as it is until it is refreshed.
     """
     if on_duplicate not in ("error", "skip"):
         raise ValueError(f"on_duplicate must be 'error' or 'skip', not {on_duplicate!r}")
     spark = texts.sparkSession
     bins, hash_function = index_settings(spark, path)
-    batches = _finished(spark, path).batches
-    if batch is None:
-        batch = max(batches, default=-1) + 1
-
-    twice = texts.groupBy("text_id").count().filter("count > 1").limit(1).count()
-    if twice:
-        raise ValueError("a text_id occurs more than once in the texts to append")
-    others = [number for number in batches if number != batch]
-    if others:
-        known = duplicate_ids(texts, _lengths(_stored_rows(spark, path, others)))
+    batch = batch or uuid.uuid4().hex
+    texts = spread(texts.select("text_id", "text"), "text_id")
+
+    ids = texts.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_distinct("text_id").alias("different"),
+        F.min("text_id").alias("lowest"),
+        F.max("text_id").alias("highest"),
+    ).first()
+    if ids.rows != ids.different:
+        raise ValueError("texts to append must have a text_id each, and no two the same")
+    others = [name for name in _finished(spark, path).batches if name != batch]
+    if others and ids.rows:
+        # Lengths are sorted by text id in their files: new numbers skip nearly all of them.
+        known = _lengths(_stored_rows(spark, path, others)).filter(
+            F.col("text_id").between(ids.lowest, ids.highest)
+        )
+        known = duplicate_ids(texts, known, ids.rows <= BROADCAST_ROWS)
         repeated = known.count()
         if repeated and on_duplicate == "error":
             raise ValueError(f"{repeated} texts are in the index already")
         if repeated:
             texts = texts.join(known, "text_id", "left_anti")
 
-    texts = spread(texts.select("text_id", "text"), "text_id")
     rows = postings_and_lengths(texts, bins, hash_function)
     return _write_batch(spark, path, _in_bins(rows), batch)
 
@@ -221,7 +230,7 @@ def optimize_index(spark: SparkSession, path: str, target: str) -> tuple[int, in
         .repartitionByRange("bin", "hash", "text_id")
         .sortWithinPartitions("bin", "hash", "text_id")
     )
-    totals = _write_batch(spark, target, rows, 0)
+    totals = _write_batch(spark, target, rows, "all")
     refresh_document_frequency(spark, target)
     return totals
 

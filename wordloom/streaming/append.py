@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,8 +21,12 @@ def stream_index(
     the new words are to count.
     """
 
+    # A checkpoint is one stream: its batches keep their names when they run again, and never take the
+    # name of a batch of another stream.
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()
+
     def append(batch: DataFrame, batch_id: int) -> None:
-        append_index(batch, index_path, batch_id, on_duplicate)
+        append_index(batch, index_path, f"{stream}-{batch_id}", on_duplicate)
 
     return (
         texts.select("text_id", "text")
