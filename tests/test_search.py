@@ -108,7 +108,9 @@ def test_every_route_gives_the_same(monkeypatch, micro_index, ask, limit, salts)
     elif salts:
         monkeypatch.setattr(matching, "BROADCAST_ROWS", 0)
         monkeypatch.setattr(searching, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(matching, "LITERAL_HASHES", limit)
+    monkeypatch.setattr(matching, "LITERALS", limit)
+    if limit != 10:
+        monkeypatch.setattr(matching, "LOCAL_ROWS", limit)
     requests = ask(*ANY)
     assert answers(search_any_position(micro_index, requests), requests) == ANY
     requests = ask(*PHRASE)

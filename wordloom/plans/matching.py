@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from wordloom.functions.hashing import hash_bin
 from wordloom.operators.indexing import Index
 from wordloom.operators.requests import request_terms
-from wordloom.session import BROADCAST_ROWS, LITERAL_HASHES, durable, no_rows, settled
+from wordloom.session import BROADCAST_ROWS, LITERALS, LOCAL_ROWS, durable, no_rows, settled
 
 UNKNOWN_TERMS = ("drop", "require")
 
@@ -94,22 +94,24 @@ def join_words(rows: DataFrame, words: DataFrame, key: str, spread: str, small:
     return salted_rows.join(salted_words, [key, "salt"]).drop("salt")
 
 
-def _pruning_of(rows: list) -> Pruning:
-    return Pruning(sorted({row.bin for row in rows}), sorted({row.hash for row in rows}))
+def _pruning_of(rows: list, bins: int) -> Pruning:
+    hashes = sorted({row.hash for row in rows})
+    found = _bin_pruning({row.bin for row in rows}, bins)
+    return dataclasses.replace(found, hashes=hashes if len(hashes) <= LITERALS else None)
 
 
 def word_pruning(words: DataFrame, bins: int) -> Pruning:
     """What a scan for these words needs.
 
-    Up to ``LITERAL_HASHES`` words are named one by one; for more, only their bins are.
+    Up to ``LITERALS`` words are named one by one; for more, only their bins are.
     """
-    rows = words.select("bin", "hash").limit(LITERAL_HASHES + 1).collect()
-    if len(rows) <= LITERAL_HASHES:
-        return _pruning_of(rows)
+    rows = words.select("bin", "hash").limit(LOCAL_ROWS + 1).collect()
+    if len(rows) <= LOCAL_ROWS:
+        return _pruning_of(rows, bins)
     return _bin_pruning(words.agg(F.collect_set("bin")).first()[0], bins)
 
 
-def _bin_pruning(found: list[int], bins: int) -> Pruning:
+def _bin_pruning(found, bins: int) -> Pruning:
     return Pruning(sorted(found) if len(found) < bins else None)
 
 
@@ -122,7 +124,7 @@ def _routes(words: DataFrame, bins: int, few: bool) -> tuple[dict[str, Route], b
             taken = [row for row in rows if row.route == name]
             rarest = [row for row in taken if row.rarity == 1]
             postings = sum(row.document_count for row in rarest)
-            routes[name] = Route(_pruning_of(taken), _pruning_of(rarest), postings)
+            routes[name] = Route(_pruning_of(taken, bins), _pruning_of(rarest, bins), postings)
         return routes, len({row.word_key for row in rows}) == len({row.hash for row in rows})
     is_rarest = F.col("rarity") == 1
     found = (
@@ -156,11 +158,11 @@ def compile_requests(index: Index, requests: DataFrame, unknown_terms: str = "dr
     terms = settled(
         request_terms(requests, index.hash_function).withColumn("bin", hash_bin("hash", index.bins))
     )
-    rows = terms.limit(LITERAL_HASHES + 1).collect()
-    few = len(rows) <= LITERAL_HASHES
+    rows = terms.limit(LOCAL_ROWS + 1).collect()
+    few = len(rows) <= LOCAL_ROWS
     if few:
         term_count, query_count = len(rows), len({row.query_id for row in rows})
-        pruning = _pruning_of(rows)
+        pruning = _pruning_of(rows, index.bins)
     else:
         size = terms.agg(
             F.count(F.lit(1)).alias("terms"),
@@ -265,7 +267,7 @@ def route_hits(index: Index, plan: RequestPlan, route: str, values: list[str]) -
             .join(F.broadcast(rarest), "hash")
             .select("query_id", "text_id")
         )
-        if needs.rarest_postings <= LITERAL_HASHES:
+        if needs.rarest_postings <= LITERALS:
             # So few that the scan can look for them in the long lists of the frequent words.
             candidates = settled(candidates)
             text_ids = sorted({row.text_id for row in candidates.collect()})

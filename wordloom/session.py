@@ -12,8 +12,11 @@ from pyspark.sql import types as T
 # At most this many rows are broadcast, counted before each broadcast (around 100 bytes a row).
 BROADCAST_ROWS = 500_000
 
-# At most this many rows are taken to the driver, and at most this many hashes become scan literals.
-LITERAL_HASHES = 200
+# At most this many word hashes or text ids become literals of a scan filter.
+LITERALS = 200
+
+# At most this many rows (a megabyte or two) are kept in the plan itself instead of in the shared folder.
+LOCAL_ROWS = 10_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,8 +44,8 @@ def durable(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
-def settled(frame: DataFrame, rows: int = LITERAL_HASHES) -> DataFrame:
-    """The frame computed once: up to ``rows`` rows become literals of the plan, more are ``durable``."""
+def settled(frame: DataFrame, rows: int = LOCAL_ROWS) -> DataFrame:
+    """The frame computed once: up to ``rows`` rows become part of the plan, more are ``durable``."""
     table = frame.limit(rows + 1).toArrow()
     if table.num_rows > rows:
         return durable(frame)
