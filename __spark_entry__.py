@@ -6,13 +6,17 @@ session and folder, in the shared folder of the session.
 
 from __future__ import annotations
 
+import pathlib
+import sys
 from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom import (
+sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent))
+
+from wordloom import (  # noqa: E402
     append_index,
     build_index,
     create_index,

@@ -173,3 +173,33 @@ def test_overlapping_occurrences(spark, ask):
     texts = spark.createDataFrame([(1, "a a a a"), (2, "b"), (3, "c")], "text_id long, text string")
     found = search_phrase(build_index(texts, 4), ask("a a")).collect()
     assert [(row.text_id, row.matching_words) for row in found] == [(1, 6)]
+
+
+@pytest.mark.parametrize("broadcast", [1_000, 2])
+def test_repeated_requests_share_an_answer(monkeypatch, micro_index, ask, broadcast):
+    import wordloom.plans.matching as matching
+    import wordloom.plans.search as searching
+
+    monkeypatch.setattr(matching, "LOCAL_ROWS", 0)
+    monkeypatch.setattr(matching, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(searching, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(searching, "LOCAL_ROWS", 0)
+    texts = ["energy green", "Energy, green!", "green energy", "the the", "energy green", "the", "zzz"]
+    found = search_phrase(micro_index, ask(*texts)).collect()
+    rows = [
+        [tuple(row)[2:] for row in sorted(found) if row.query_id == query_id]
+        for query_id in range(len(texts))
+    ]
+    assert rows == [
+        PHRASE["energy green"],
+        PHRASE["energy green"],
+        PHRASE["green energy"],
+        PHRASE["the the"],
+        PHRASE["energy green"],
+        WORD["the"],
+        [],
+    ]
+    found = sorted(search_word(micro_index, ask("green", "Green!", "the", "a b", "green")).collect())
+    assert [row.text_id for row in found] == 2 * [7, 1, 2] + [3, 8, 2, 6, 4] + [7, 1, 2]
+    found = search(micro_index, ask(*texts), method="any_position").collect()
+    assert [row.text_id for row in sorted(found) if row.query_id == 4] == [7, 1, 2]

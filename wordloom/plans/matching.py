@@ -70,6 +70,8 @@ class RequestPlan:
 
     terms   query_id, phrase_offset, term, hash, bin, slots, distinct_words
     words   query_id, term, hash, bin, word_key, document_count, rarity, required, minimum_count, route
+
+    In a folded batch both hold one request of those with the same words in the same order.
     """
 
     terms: DataFrame
@@ -79,6 +81,7 @@ class RequestPlan:
     routes: dict[str, Route]
     total_documents: int
     average_document_length: float | None
+    folded: Folded | None = None
 
 
 def join_words(rows: DataFrame, words: DataFrame, key: str, spread: str, small: bool) -> DataFrame:
@@ -147,23 +150,62 @@ def _routes(words: DataFrame, bins: int, few: bool) -> tuple[dict[str, Route], b
     return routes, all(row.hashes == row.keys for row in found)
 
 
-def compile_requests(index: Index, requests: DataFrame, unknown_terms: str = "drop") -> RequestPlan:
+@dataclasses.dataclass(frozen=True)
+class Folded:
+    """Who answers for whom: ``asked`` has query_id and answered_by, ``different`` counts the latter."""
+
+    asked: DataFrame
+    different: int
+
+    def spread_answers(self, results: DataFrame, k: int) -> DataFrame:
+        """Every request with the answer to its words, at most ``k`` rows each."""
+        answers = results.withColumnRenamed("query_id", "answered_by")
+        small = self.different * k <= BROADCAST_ROWS
+        return join_words(self.asked, answers, "answered_by", "query_id", small)
+
+
+def fold_requests(terms: DataFrame) -> tuple[DataFrame, Folded]:
+    """Terms of one request out of those with the same words in the same order, and who shares its answer.
+
+    A request that makes up much of the batch is counted on the map side first, and its copies are spread.
+    """
+    requests = terms.groupBy("query_id").agg(
+        F.sort_array(F.collect_list(F.struct("phrase_offset", "hash"))).alias("words")
+    )
+    requests = requests.select("query_id", F.to_json("words").alias("words"))
+    answered = durable(requests.groupBy("words").agg(F.min("query_id").alias("answered_by")))
+    different = answered.count()
+    asked = join_words(requests, answered, "words", "query_id", different <= BROADCAST_ROWS)
+    leaders = answered.select(F.col("answered_by").alias("query_id"))
+    return (
+        terms.join(leaders, "query_id", "left_semi"),
+        Folded(durable(asked.select("query_id", "answered_by")), different),
+    )
+
+
+def compile_requests(
+    index: Index, requests: DataFrame, unknown_terms: str = "drop", fold: bool = False
+) -> RequestPlan:
     """Look up the words of requests (``query_id``, ``request``) and choose a route for each request.
 
     A word the index does not know is left out, so the request asks for its other words, or with
-    ``unknown_terms="require"`` makes the request match nothing.
+    ``unknown_terms="require"`` makes the request match nothing.  With ``fold`` a big batch is planned
+    without repeated requests.
     """
     if unknown_terms not in UNKNOWN_TERMS:
         raise ValueError(f"unknown_terms must be one of {UNKNOWN_TERMS}, not {unknown_terms!r}")
     terms = settled(
         request_terms(requests, index.hash_function).withColumn("bin", hash_bin("hash", index.bins))
     )
+    folded = None
     rows = terms.limit(LOCAL_ROWS + 1).collect()
     few = len(rows) <= LOCAL_ROWS
     if few:
         term_count, query_count = len(rows), len({row.query_id for row in rows})
         pruning = _pruning_of(rows, index.bins)
     else:
+        if fold:
+            terms, folded = fold_requests(terms)
         size = terms.agg(
             F.count(F.lit(1)).alias("terms"),
             F.count_distinct("query_id").alias("queries"),
@@ -217,6 +259,7 @@ def compile_requests(index: Index, requests: DataFrame, unknown_terms: str = "dr
         routes=routes,
         total_documents=stats.total_documents,
         average_document_length=stats.average_document_length,
+        folded=folded,
     )
 
 

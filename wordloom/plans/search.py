@@ -20,8 +20,10 @@ from wordloom.operators.ranking import top_k
 from wordloom.operators.requests import request_terms
 from wordloom.operators.results import attach_texts
 from wordloom.plans.matching import (
+    Folded,
     RequestPlan,
     compile_requests,
+    fold_requests,
     join_words,
     phrase_lists,
     route_hits,
@@ -29,7 +31,7 @@ from wordloom.plans.matching import (
     union_all,
     word_pruning,
 )
-from wordloom.session import BROADCAST_ROWS, no_rows, settled
+from wordloom.session import BROADCAST_ROWS, LOCAL_ROWS, no_rows, settled
 
 METHODS = ("exact_phrase", "any_position")
 RESULTS = 10
@@ -47,10 +49,11 @@ def _score(term_frequency, document_count, total_documents, average_length, k1,
     )
 
 
-def _ranked(scored: DataFrame, k: int) -> DataFrame:
-    return top_k(scored, k).select(
-        "query_id", "result_number", "text_id", "bm25_score", "matching_words"
-    )
+def _ranked(scored: DataFrame, k: int, folded: Folded | None = None) -> DataFrame:
+    results = top_k(scored, k)
+    if folded is not None:
+        results = folded.spread_answers(results, k)
+    return results.select("query_id", "result_number", "text_id", "bm25_score", "matching_words")
 
 
 def _no_matches(frame: DataFrame) -> DataFrame:
@@ -99,7 +102,10 @@ def search_word(
     """
     terms = request_terms(requests, index.hash_function).filter("slots = 1")
     terms = settled(terms.withColumn("bin", hash_bin("hash", index.bins)))
-    return _ranked(_word_matches(index, terms, k1, b), k)
+    folded = None
+    if terms.limit(LOCAL_ROWS + 1).count() > LOCAL_ROWS:
+        terms, folded = fold_requests(terms)
+    return _ranked(_word_matches(index, terms, k1, b), k, folded)
 
 
 def _any_position_matches(index: Index, plan: RequestPlan, k1: float, b: float) -> DataFrame:
@@ -141,8 +147,8 @@ def search_any_position(
     unknown_terms: str = "drop",
 ) -> DataFrame:
     """Texts with all words in any order; the score is the sum over the different words."""
-    plan = compile_requests(index, requests, unknown_terms)
-    return _ranked(_any_position_matches(index, plan, k1, b), k)
+    plan = compile_requests(index, requests, unknown_terms, fold=True)
+    return _ranked(_any_position_matches(index, plan, k1, b), k, plan.folded)
 
 
 def _phrase_matches(index: Index, plan: RequestPlan, k1: float, b: float) -> DataFrame:
@@ -186,8 +192,8 @@ def search_phrase(
     ``matching_words`` is the number of occurrences times the number of words.  A request with a word the
     index does not know matches nothing.
     """
-    plan = compile_requests(index, requests, "require")
-    return _ranked(_phrase_matches(index, plan, k1, b), k)
+    plan = compile_requests(index, requests, "require", fold=True)
+    return _ranked(_phrase_matches(index, plan, k1, b), k, plan.folded)
 
 
 def search(
@@ -206,12 +212,12 @@ def search(
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}, not {method!r}")
     phrase = method == "exact_phrase"
-    plan = compile_requests(index, requests, "require" if phrase else unknown_terms)
+    plan = compile_requests(index, requests, "require" if phrase else unknown_terms, fold=True)
     find = _phrase_matches if phrase else _any_position_matches
     matches = find(index, plan, K1, B)
 
     uncounted = uncounted_words(plan)
     if uncounted is not None:
         matches = matches.unionByName(_word_matches(index, uncounted, K1, B))
-    results = _ranked(matches, k)
+    results = _ranked(matches, k, plan.folded)
     return results if texts is None else attach_texts(results, texts, text_bins)
