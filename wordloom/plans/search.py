@@ -160,8 +160,6 @@ def _phrase_matches(index: Index, plan: RequestPlan, k1: float, b: float) -> Dat
     )
     frequency = plan.words.select("query_id", "minimum_count").distinct()
     phrases = slots.join(frequency, "query_id")
-    if plan.broadcastable:
-        phrases = F.broadcast(phrases)
     score = _score(
         "occurrences",
         "minimum_count",
@@ -170,9 +168,9 @@ def _phrase_matches(index: Index, plan: RequestPlan, k1: float, b: float) -> Dat
         k1,
         b,
     )
+    candidates = phrase_lists(index, plan)
     return (
-        phrase_lists(index, plan)
-        .join(phrases, "query_id")
+        join_words(candidates, phrases, "query_id", "text_id", plan.broadcastable)
         .withColumn("occurrences", phrase_occurrences("slots", "lists"))
         .filter("occurrences > 0")
         .select(
