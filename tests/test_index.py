@@ -197,3 +197,17 @@ def test_streamed_index(spark, micro_texts, micro_index, tmp_path):
     assert run() == content(micro_index)
     micro_texts.filter("text_id = 3").write.mode("append").parquet(source)
     assert run() == content(micro_index)
+
+
+def test_frequent_words_are_moved_once(monkeypatch, micro_index, ask):
+    import wordloom.plans.matching as matching
+
+    monkeypatch.setattr(matching, "BROADCAST_ROWS", 5)
+    plan = matching.compile_requests(micro_index, ask("the market", "the green"))
+    assert set(plan.routes) == {"wide"}
+    hits = matching.route_hits(micro_index, plan, "wide", ["term_frequency"])
+    counted = hits.groupBy("text_id", "query_id").count()
+    text = counted._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in text.splitlines() if "Exchange hashpartitioning(text_id" in line]
+    assert len(moved) == 1 and "REPARTITION_BY_COL" in moved[0]
+    assert "SortMergeJoin" not in text
