@@ -38,6 +38,15 @@ from wordloom.plans.matching import match_all_by_intersection, request_plan
 from wordloom.session import new_shared_path
 from wordloom.sources import corpus
 
+try:
+    import corpus_pipeline
+    from wordloom.llm import queries as llm
+except ModuleNotFoundError as missing:
+    # Both are taken away together; anything else that is missing is an error.
+    if missing.name not in ("corpus_pipeline", "wordloom.llm"):
+        raise
+    corpus_pipeline = llm = None
+
 TEXT_BINS = 7
 MANY_BINS = 100
 
@@ -312,6 +321,10 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every operator of the engine; each callable takes (spark, sf_dir)."""
+    return search_queries() | (llm.queries() | {"pipeline": corpus_pipeline.run} if llm else {})
+
+
+def search_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     def found(find, asked, **options):
         return partial(_search, partial(find, **options), asked)
@@ -487,7 +500,11 @@ def _phrase_sql(with_requests: str, k: int = 10, k1: float = 1.5, b: float = 0.7
 
 
 def oracle_sql() -> dict[str, str]:
-    """The SQL of each query, over the same tables."""
+    """The SQL of each query that SQL can express, over the same tables."""
+    return search_sql() | (llm.oracle_sql() if llm else {})
+
+
+def search_sql() -> dict[str, str]:
     filtered = "SELECT doc_id, source AS title, text FROM documents WHERE lang IN ('fr', 'en') AND n_chars >= 500"
     mixed, words, phrases = (_requests_sql(asked) for asked in (MIXED, WORDS, PHRASES))
     return {

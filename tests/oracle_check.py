@@ -39,7 +39,7 @@ def compare(spark, sf_dir, names=None):
         )
     sql = entry.oracle_sql()
     for name, query in entry.queries().items():
-        if names and name not in names:
+        if name not in sql or (names and name not in names):
             continue
         start = time.time()
         frame = query(spark, sf_dir)
