@@ -19,7 +19,10 @@ sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent))
 from wordloom import (  # noqa: E402
     append_index,
     build_index,
+    compact_index,
     create_index,
+    index_texts,
+    ingest_corpus,
     match_all,
     optimize_index,
     read_index,
@@ -37,6 +40,7 @@ from wordloom.operators.requests import request_terms
 from wordloom.plans.matching import match_all_by_intersection, request_plan
 from wordloom.session import new_shared_path
 from wordloom.sources import corpus
+from wordloom.sources.index import commits
 
 try:
     import corpus_pipeline
@@ -77,10 +81,35 @@ def titled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three words of every benchmark passage."""
-    first = F.slice(F.split("text", " "), 1, 3)
+    """Every benchmark passage as a request."""
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(
-        F.col("item_id").alias("query_id"), F.array_join(first, " ").alias("request")
+        F.col("item_id").alias("query_id"), F.col("text").alias("request")
+    )
+
+
+def _numbered_requests(texts_of_requests: DataFrame) -> DataFrame:
+    """Different texts as requests, numbered in their order."""
+    return corpus.assign_text_ids(texts_of_requests.distinct(), ["request"]).select(
+        F.col("text_id").alias("query_id"), "request"
+    )
+
+
+def word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of words that follow each other in conversations."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    found = with_tokens(turns.select("text"), "text", "tokens").filter(F.size("tokens") > 1)
+    places = F.sequence(F.lit(1), F.size("tokens") - 1)
+    pairs = F.transform(places, lambda place: F.array_join(F.slice("tokens", place, 2), " "))
+    return _once(
+        spark, sf_dir, "pairs", lambda: _numbered_requests(found.select(F.explode(pairs).alias("request")))
+    )
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns of conversations as requests."""
+    found = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter(F.col("text").isNotNull())
+    return _once(
+        spark, sf_dir, "turns", lambda: _numbered_requests(found.select(F.col("text").alias("request")))
     )
 
 
@@ -105,15 +134,36 @@ def stored_index(spark: SparkSession, sf_dir: str):
     return _once(spark, sf_dir, "index", make)
 
 
-def stored_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stored_texts(spark: SparkSession, sf_dir: str) -> corpus.TextStore:
     def make():
-        path = new_shared_path(spark, "texts")
-        corpus.write_texts(titled_texts(spark, sf_dir), path, TEXT_BINS)
-        return corpus.read_texts(spark, path)
+        return corpus.write_texts(titled_texts(spark, sf_dir), new_shared_path(spark, "texts"), TEXT_BINS)
 
     return _once(spark, sf_dir, "texts", make)
 
 
+def appended_index(spark: SparkSession, sf_dir: str):
+    """An index whose document frequency does not know half of its texts."""
+
+    def make():
+        path = new_shared_path(spark, "stale")
+        create_index(spark, path)
+        rows = titled_texts(spark, sf_dir)
+        append_index(rows.filter("title < 'src5'"), path)
+        refresh_document_frequency(spark, path)
+        append_index(rows.filter("title >= 'src5'"), path)
+        return read_index(spark, path)
+
+    return _once(spark, sf_dir, "stale", make)
+
+
+def blake2b_index(spark: SparkSession, sf_dir: str):
+    def make():
+        path = new_shared_path(spark, "blake2b")
+        return write_index(texts(spark, sf_dir), path, MANY_BINS, "blake2b")
+
+    return _once(spark, sf_dir, "blake2b", make)
+
+
 # Corpus
 
 
@@ -147,8 +197,14 @@ def conversation_text_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.assign_text_ids(turns, ["conv_id", "turn"])
 
 
+def corpus_text_ids_with_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose key is not theirs alone, exact copies among them."""
+    rows = documents(spark, sf_dir).select("source", "text")
+    return corpus.assign_text_ids(rows, ["source", "text"])
+
+
 def corpus_text_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored_texts(spark, sf_dir).select(F.col("text_bin").cast("long"), "text_id", "title", "text")
+    return stored_texts(spark, sf_dir).texts.select(F.col("text_bin").cast("long"), "text_id", "title", "text")
 
 
 # Index
@@ -246,20 +302,58 @@ def posting_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def streamed_index_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, checkpoint = new_shared_path(spark, "streamed"), new_shared_path(spark, "progress")
+def index_batch_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of several appends added."""
+    path = new_shared_path(spark, "batches")
     create_index(spark, path)
-    source = corpus.read_corpus_stream(
-        spark,
-        sf_dir,
-        documents(spark, sf_dir).schema,
-        {"doc_id": "text_id", "text": "text"},
-        files_per_batch=1,
-        pathGlobFilter="documents.parquet",
-    )
-    stream_index(source, path, checkpoint).awaitTermination()
-    refresh_document_frequency(spark, path)
-    index = read_index(spark, path)
+    rows = titled_texts(spark, sf_dir)
+    append_index(rows.filter("title < 'src2'"), path, "first")
+    append_index(rows.filter("title >= 'src2'"), path, "second")
+    found = commits(spark, path).filter("batch IS NOT NULL")
+    return found.select("batch", F.col("texts").alias("texts_added"), F.col("words").alias("words_added"))
+
+
+def compacted_index_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three appends; two of them rewritten as one, then some bins of all."""
+    path = new_shared_path(spark, "compacted")
+    create_index(spark, path)
+    rows = titled_texts(spark, sf_dir)
+    for batch, wanted in (("a", "title < 'src2'"), ("b", "title BETWEEN 'src2' AND 'src5'"), ("c", "title > 'src5'")):
+        append_index(rows.filter(wanted), path, batch)
+    compact_index(spark, path, ["a", "b"])
+    compact_index(spark, path, bins=[2, 5])
+    return _postings_view(read_index(spark, path).postings)
+
+
+def _streamed_index(spark: SparkSession, sf_dir: str):
+    """An index from a stream of four files, with texts that come again inside a file and in the next."""
+
+    def make():
+        path, checkpoint = new_shared_path(spark, "streamed"), new_shared_path(spark, "progress")
+        files = new_shared_path(spark, "files")
+        rows = documents(spark, sf_dir).select("doc_id", "text")
+        for part in range(4):
+            own = rows.filter(F.col("doc_id") % 4 == part)
+            again = rows.filter((F.col("doc_id") % 4 == (part - 1) % 4) & (F.col("doc_id") % 8 < 4))
+            twice = own.filter(F.col("doc_id") % 3 == 0)
+            own.unionByName(again).unionByName(twice).coalesce(1).write.mode("append").parquet(files)
+        create_index(spark, path)
+        source = corpus.read_corpus_stream(
+            spark, files, rows.schema, {"doc_id": "text_id", "text": "text"}, files_per_batch=1
+        )
+        stream_index(source, path, checkpoint).awaitTermination()
+        refresh_document_frequency(spark, path)
+        return read_index(spark, path)
+
+    return _once(spark, sf_dir, "streamed", make)
+
+
+def streamed_index_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _postings_view(_streamed_index(spark, sf_dir).postings)
+
+
+def streamed_index_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _streamed_index(spark, sf_dir)
     totals = indexing.index_totals(index.word_counts)
     hashes = index.hash_metadata.agg(
         F.count("hash").alias("hashes"), F.sum("document_count").alias("postings")
@@ -293,24 +387,45 @@ def match_all_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_all_by_intersection(index, requests(spark, ["in the of"]), 0)
 
 
-def _search(find, asked, spark: SparkSession, sf_dir: str) -> DataFrame:
+def _search(find, asked, index, spark: SparkSession, sf_dir: str) -> DataFrame:
     if not callable(asked):
         asked = partial(lambda texts_of_requests, spark, _: requests(spark, texts_of_requests), asked)
-    found = find(stored_index(spark, sf_dir), asked(spark, sf_dir))
+    found = find(index(spark, sf_dir), asked(spark, sf_dir))
     return found.select(
         "query_id", *_long("result_number"), "text_id", "bm25_score", "matching_words"
     )
 
 
+def _with_texts(found: DataFrame) -> DataFrame:
+    return found.withColumn("result_number", F.col("result_number").cast("long"))
+
+
 def search_with_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, store = stored_index(spark, sf_dir), stored_texts(spark, sf_dir)
+    return _with_texts(search(index, requests(spark, PHRASES), k=5, texts=store))
+
+
+def search_with_many_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """So many results that their texts are not looked up one by one."""
+    index, store = stored_index(spark, sf_dir), stored_texts(spark, sf_dir)
+    return _with_texts(search(index, requests(spark, MIXED), k=250, method="any_position", texts=store))
+
+
+def ingest_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way: source, filter, ids, text store, index of the store, sorted index, search, texts."""
+    store, index, target = (new_shared_path(spark, name) for name in ("store", "flow", "flow-sorted"))
+    source = corpus.read_corpus(
+        spark,
+        f"{sf_dir}/documents.parquet",
+        {"doc_id": "document", "source": "title", "text": "text", "lang": "language", "n_chars": "language_score"},
+    )
+    ingest_corpus(source, store, TEXT_BINS, ["document"], ["fr", "en"], 500)
+    index_texts(spark, store, index, MANY_BINS)
+    optimize_index(spark, index, target)
     found = search(
-        stored_index(spark, sf_dir),
-        requests(spark, PHRASES),
-        k=5,
-        texts=stored_texts(spark, sf_dir),
-        text_bins=TEXT_BINS,
+        read_index(spark, target), requests(spark, PHRASES), k=5, texts=corpus.read_texts(spark, store)
     )
-    return found.withColumn("result_number", F.col("result_number").cast("long"))
+    return _with_texts(found)
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -326,14 +441,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def search_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
-    def found(find, asked, **options):
-        return partial(_search, partial(find, **options), asked)
+    def found(find, asked, index=stored_index, **options):
+        return partial(_search, partial(find, **options), asked, index)
 
     return {
         "corpus_filter": wanted_corpus,
         "corpus_text_ids": corpus_text_ids,
         "corpus_max_texts": corpus_max_texts,
         "conversation_text_ids": conversation_text_ids,
+        "corpus_text_ids_with_copies": corpus_text_ids_with_copies,
         "corpus_text_bins": corpus_text_bins,
         "tokens": tokens,
         "word_counts": word_counts,
@@ -349,7 +465,10 @@ def search_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stored_index_word_counts": stored_index_word_counts,
         "stored_index_document_frequency": stored_index_document_frequency,
         "optimized_index_postings": optimized_index_postings,
+        "compacted_index_postings": compacted_index_postings,
+        "index_batch_totals": index_batch_totals,
         "streamed_index_counts": streamed_index_counts,
+        "streamed_index_postings": streamed_index_postings,
         "request_terms": request_terms_of_benchmark,
         "request_plan": request_plan_of_benchmark,
         "match_all": match_all_words,
@@ -369,7 +488,15 @@ def search_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "search_batch_phrase_topk": found(search_phrase, benchmark_requests, k=20),
         "search_dispatch_one_word": found(search, WORDS, method="any_position"),
         "search_dispatch_phrase": found(search, MIXED),
+        "search_after_append": found(search_any_position, MIXED, appended_index, k=50),
+        "search_blake2b": found(search_any_position, MIXED, blake2b_index),
+        "search_word_pairs": found(search_any_position, word_pairs, k=5),
+        "search_word_pairs_phrase": found(search_phrase, word_pairs, k=5),
+        "search_turns": found(search_any_position, turns, k=5),
+        "search_turns_phrase": found(search_phrase, turns, k=5),
         "search_with_texts": search_with_texts,
+        "search_with_many_texts": search_with_many_texts,
+        "ingest_index_search": ingest_index_search,
     }
 
 
@@ -382,8 +509,11 @@ def _tokens_sql(column: str) -> str:
     return f"regexp_extract_all(lower(strip_accents({column})), '{_WORD}')"
 
 
-_INDEX = f"""
-    tokens AS (SELECT doc_id AS text_id, {_tokens_sql("text")} AS tokens FROM documents),
+def _index_sql(source: str = "SELECT doc_id AS text_id, text FROM documents", counted: str = "true") -> str:
+    """The tables of an index over ``source``; document frequency counts the texts that are ``counted``."""
+    return f"""
+    source AS ({source}),
+    tokens AS (SELECT text_id, {_tokens_sql("text")} AS tokens FROM source),
     word_counts AS (SELECT text_id, CAST(len(tokens) AS BIGINT) AS words_total FROM tokens),
     flat AS (
         SELECT text_id, unnest(tokens) AS word, unnest(range(len(tokens))) AS position FROM tokens
@@ -397,12 +527,18 @@ _INDEX = f"""
         SELECT md5(word) AS hash, text_id, positions, term_frequency, words_total
         FROM words JOIN word_counts USING (text_id)
     ),
-    metadata AS (SELECT hash, count(*) AS document_count FROM postings GROUP BY hash),
+    metadata AS (
+        SELECT hash, count(*) AS document_count FROM postings
+        WHERE text_id IN (SELECT text_id FROM source WHERE {counted}) GROUP BY hash
+    ),
     stats AS (
         SELECT count(*) AS total_documents, avg(words_total) AS average_document_length
         FROM word_counts
     )"""
 
+
+_INDEX = _index_sql()
+
 _POSTINGS = f"""WITH {_INDEX}
     SELECT hash, text_id, array_to_string(positions, ',') AS positions, term_frequency, words_total
     FROM postings"""
@@ -413,10 +549,20 @@ for _chunk in _CHUNKS:
     _BIN = f"(({_BIN}) * 4294967296 + {_chunk}) % {MANY_BINS}"
 _BIN = f"CAST({_BIN} + 1 AS BIGINT)"
 
-_BENCHMARK = """
+_BENCHMARK = "requests AS (SELECT item_id AS query_id, text AS request FROM benchmark)"
+
+_PAIRS = f"""
+    spoken AS (SELECT {_tokens_sql("text")} AS tokens FROM conversations),
+    asked_texts AS (
+        SELECT DISTINCT array_to_string(list_slice(tokens, place, place + 1), ' ') AS request
+        FROM (SELECT tokens, unnest(range(1, len(tokens))) AS place FROM spoken)
+    ),
+    requests AS (SELECT row_number() OVER (ORDER BY request) AS query_id, request FROM asked_texts)"""
+
+_TURNS = """
     requests AS (
-        SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:3], ' ') AS request
-        FROM benchmark
+        SELECT row_number() OVER (ORDER BY request) AS query_id, request
+        FROM (SELECT DISTINCT text AS request FROM conversations WHERE text IS NOT NULL)
     )"""
 
 
@@ -453,8 +599,8 @@ def _bm25_sql(frequency: str, count: str, k1: float, b: float) -> str:
     )
 
 
-def _top_sql(with_requests: str, scored: str, k: int) -> str:
-    return f"""WITH {_INDEX}, {with_requests}, {_TERMS}, scored AS ({scored}), ranked AS (
+def _top_sql(with_requests: str, scored: str, k: int, index: str = _INDEX) -> str:
+    return f"""WITH {index}, {with_requests}, {_TERMS}, scored AS ({scored}), ranked AS (
             SELECT *, row_number() OVER (
                 PARTITION BY query_id ORDER BY bm25_score DESC NULLS LAST, text_id
             ) AS result_number
@@ -472,31 +618,42 @@ def _word_sql(with_requests: str, k: int = 10, k1: float = 1.5, b: float = 0.75)
 
 
 def _any_sql(
-    with_requests: str, k: int = 10, k1: float = 1.5, b: float = 0.75, extra: str = "true"
+    with_requests: str,
+    k: int = 10,
+    k1: float = 1.5,
+    b: float = 0.75,
+    extra: str = "true",
+    index: str = _INDEX,
 ) -> str:
     scored = f"""SELECT query_id, text_id,
             round(sum({_bm25_sql("term_frequency", "document_count", k1, b)}), 3) AS bm25_score,
             count(DISTINCT hash) AS matching_words
         FROM hits JOIN matches USING (query_id, text_id) CROSS JOIN stats
         WHERE {extra} GROUP BY query_id, text_id"""
-    return _top_sql(with_requests, scored, k)
+    return _top_sql(with_requests, scored, k, index)
 
 
-def _phrase_sql(with_requests: str, k: int = 10, k1: float = 1.5, b: float = 0.75) -> str:
-    starts = """SELECT query_id, text_id, slots, minimum_count, position - phrase_offset AS start
-        FROM (
-            SELECT hash, text_id, unnest(positions) AS position FROM postings
-            WHERE hash IN (SELECT hash FROM slots)
-        )
-        JOIN slots USING (hash) JOIN matches USING (query_id, text_id)
-        GROUP BY query_id, text_id, slots, minimum_count, start HAVING count(*) = slots"""
-    phrases = f"""SELECT query_id, text_id, slots, minimum_count, count(*) AS occurrences
-        FROM ({starts}) GROUP BY query_id, text_id, slots, minimum_count"""
+def _phrase_sql(
+    with_requests: str, k: int = 10, k1: float = 1.5, b: float = 0.75, index: str = _INDEX
+) -> str:
+    """Places where the request's first two words stand, compared with the request word by word."""
+    followed = """SELECT text_id, position, word, lead(word) OVER (
+            PARTITION BY text_id ORDER BY position) AS next_word FROM flat"""
+    starts = f"""SELECT query_id, text_id, len(asked.tokens) AS slots
+        FROM ({followed}) f JOIN asked ON word = asked.tokens[1] AND next_word = asked.tokens[2]
+            JOIN tokens USING (text_id)
+        WHERE len(asked.tokens) = 2
+            OR list_slice(tokens.tokens, position + 1, position + len(asked.tokens)) = asked.tokens
+        UNION ALL SELECT query_id, text_id, 1 FROM flat JOIN asked ON word = asked.tokens[1]
+        WHERE len(asked.tokens) = 1"""
+    phrases = f"""SELECT query_id, text_id, slots, count(*) AS occurrences
+        FROM ({starts}) GROUP BY query_id, text_id, slots"""
+    least = """SELECT query_id, min(document_count) AS minimum_count FROM known GROUP BY query_id"""
     scored = f"""SELECT query_id, text_id,
             {_bm25_sql("occurrences", "minimum_count", k1, b)} AS bm25_score,
             occurrences * slots AS matching_words
-        FROM ({phrases}) JOIN word_counts USING (text_id) CROSS JOIN stats"""
-    return _top_sql(with_requests, scored, k)
+        FROM ({phrases}) JOIN ({least}) USING (query_id) JOIN word_counts USING (text_id) CROSS JOIN stats"""
+    return _top_sql(with_requests, scored, k, index)
 
 
 def oracle_sql() -> dict[str, str]:
@@ -506,6 +663,9 @@ def oracle_sql() -> dict[str, str]:
 
 def search_sql() -> dict[str, str]:
     filtered = "SELECT doc_id, source AS title, text FROM documents WHERE lang IN ('fr', 'en') AND n_chars >= 500"
+    numbers = f"""SELECT row_number() OVER (ORDER BY document) AS text_id, * FROM (
+        SELECT doc_id AS document, source AS title, text FROM documents
+        WHERE lang IN ('fr', 'en') AND n_chars >= 500)"""
     mixed, words, phrases = (_requests_sql(asked) for asked in (MIXED, WORDS, PHRASES))
     return {
         "corpus_filter": filtered,
@@ -515,6 +675,8 @@ def search_sql() -> dict[str, str]:
         ) WHERE text_id <= 1250""",
         "conversation_text_ids": """SELECT row_number() OVER (ORDER BY conv_id, turn) AS text_id,
             conv_id, turn, text FROM conversations""",
+        "corpus_text_ids_with_copies": """SELECT row_number() OVER (
+            ORDER BY source NULLS FIRST, text NULLS FIRST) AS text_id, source, text FROM documents""",
         "corpus_text_bins": f"""SELECT doc_id % {TEXT_BINS} + 1 AS text_bin, doc_id AS text_id,
             source AS title, text FROM documents""",
         "tokens": f"WITH {_INDEX} SELECT text_id, array_to_string(tokens, ' ') AS tokens FROM tokens",
@@ -535,6 +697,12 @@ def search_sql() -> dict[str, str]:
         "stored_index_word_counts": f"WITH {_INDEX} SELECT * FROM word_counts",
         "stored_index_document_frequency": f"WITH {_INDEX} SELECT hash, document_count FROM metadata",
         "optimized_index_postings": _POSTINGS,
+        "compacted_index_postings": _POSTINGS,
+        "streamed_index_postings": _POSTINGS,
+        "index_batch_totals": f"""WITH {_INDEX}
+            SELECT CASE WHEN source < 'src2' THEN 'first' ELSE 'second' END AS batch,
+                count(*) AS texts_added, CAST(sum(words_total) AS BIGINT) AS words_added
+            FROM word_counts JOIN documents ON doc_id = text_id GROUP BY 1""",
         "streamed_index_counts": f"""WITH {_INDEX} SELECT
             (SELECT count(*) FROM word_counts) AS texts_total,
             (SELECT CAST(sum(words_total) AS BIGINT) FROM word_counts) AS words_total,
@@ -567,6 +735,23 @@ def search_sql() -> dict[str, str]:
         "search_batch_phrase_topk": _phrase_sql(_BENCHMARK, k=20),
         "search_dispatch_one_word": _any_sql(words),
         "search_dispatch_phrase": _phrase_sql(mixed),
+        "search_after_append": _any_sql(
+            mixed,
+            k=50,
+            index=_index_sql("SELECT doc_id AS text_id, text, source FROM documents", "source < 'src5'"),
+        ),
+        "search_blake2b": _any_sql(mixed),
+        "search_word_pairs": _any_sql(_PAIRS, k=5),
+        "search_word_pairs_phrase": _phrase_sql(_PAIRS, k=5),
+        "search_turns": _any_sql(_TURNS, k=5),
+        "search_turns_phrase": _phrase_sql(_TURNS, k=5),
+        "search_with_many_texts": f"""SELECT query_id, result_number, bm25_score, matching_words,
+            doc_id AS text_id, source AS title, text
+            FROM ({_any_sql(mixed, k=250)}) JOIN documents ON doc_id = text_id""",
+        "ingest_index_search": f"""SELECT found.query_id, result_number, bm25_score, matching_words,
+            numbers.text_id, document, title, text
+            FROM ({_phrase_sql(phrases, k=5, index=_index_sql(f"SELECT text_id, text FROM ({numbers})"))}) found
+            JOIN ({numbers}) numbers ON numbers.text_id = found.text_id""",
         "search_with_texts": f"""SELECT query_id, result_number, bm25_score, matching_words,
             doc_id AS text_id, source AS title, text
             FROM ({_phrase_sql(phrases, k=5)}) JOIN documents ON doc_id = text_id""",

@@ -7,6 +7,7 @@ from wordloom.plans.matching import match_all
 from wordloom.plans.search import search, search_any_position, search_phrase, search_word
 from wordloom.sources.index import (
     append_index,
+    compact_index,
     create_index,
     optimize_index,
     read_index,
@@ -20,6 +21,7 @@ __all__ = [
     "append_index",
     "attach_texts",
     "build_index",
+    "compact_index",
     "create_index",
     "index_texts",
     "ingest_corpus",

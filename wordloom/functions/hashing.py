@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HASH_FUNCTIONS = ("md5", "blake2b")
+JVM_HASHES = ("md5",)
+
+# A bin is a folder; more than so many are never of use.
+MAX_BINS = 1_000_000
 
 # 128-bit digests written as hexadecimal digits.
 DIGEST_BYTES = 16
@@ -52,8 +56,8 @@ def hash_bin(digest: Column | str, bins: int) -> Column:
     The remainder so far is below ``bins``, so a group of 8 digits keeps the sum within a long for up to
     2^31 bins.  Where ``bins`` divides 2^32 the last group alone decides.
     """
-    if not 1 <= bins < 2**31:
-        raise ValueError(f"bins must be between 1 and 2^31 - 1, not {bins}")
+    if not 1 <= bins <= MAX_BINS:
+        raise ValueError(f"bins must be between 1 and {MAX_BINS}, not {bins}")
     digest = F.col(digest) if isinstance(digest, str) else digest
     group = 8
     first_digit = DIGEST_DIGITS - group + 1 if 2**32 % bins == 0 else 1
@@ -66,5 +70,7 @@ def hash_bin(digest: Column | str, bins: int) -> Column:
 
 def text_bin(text_id: Column | str, bins: int) -> Column:
     """``text_id % bins + 1``."""
+    if not 1 <= bins <= MAX_BINS:
+        raise ValueError(f"bins must be between 1 and {MAX_BINS}, not {bins}")
     text_id = F.col(text_id) if isinstance(text_id, str) else text_id
     return (F.pmod(text_id, F.lit(bins)) + 1).cast("int")

@@ -7,9 +7,10 @@ import dataclasses
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.functions.hashing import hash_bin, word_hash
+from wordloom.functions.hashing import JVM_HASHES, hash_bin, word_hash
 from wordloom.functions.postings import run_starts, runs, words_with_positions
 from wordloom.functions.text import with_tokens
+from wordloom.session import BROADCAST_ROWS, written
 
 DEFAULT_BINS = 16
 
@@ -24,7 +25,8 @@ class Index:
     stats           total_documents, average_document_length (one row)
 
     A posting repeats the length of its text, so ranking needs no join with ``word_counts``, and its term
-    frequency, so only phrase search has to read positions.
+    frequency, so only phrase search has to read positions.  A stored index knows its statistics without a
+    job, and how many texts document frequency may not count yet.
     """
 
     postings: DataFrame
@@ -33,6 +35,12 @@ class Index:
     stats: DataFrame
     bins: int
     hash_function: str
+    known_stats: tuple[int, float | None] | None = None
+    uncounted_texts: int = 0
+
+    def statistics(self) -> tuple[int, float | None]:
+        """Number of texts and their average length."""
+        return self.known_stats or tuple(self.stats.first())
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -59,9 +67,28 @@ def text_words(texts: DataFrame) -> DataFrame:
     return _grouped_words(texts).select("text_id", "words_total", F.inline(runs("ordered", "starts")))
 
 
+def _with_hashes(words: DataFrame, hash_function: str) -> DataFrame:
+    if hash_function in JVM_HASHES:
+        return words.withColumn("hash", word_hash("word", hash_function))
+    # Each different word is hashed once.  The table of words is broadcast if it is small; the words of a
+    # hot bin are spread by Spark's skew handling if it is not.
+    kept = written(words, "words")
+    vocabulary = written(
+        kept.filter(F.col("word").isNotNull())
+        .select("word")
+        .distinct()
+        .withColumn("hash", word_hash("word", hash_function))
+        .withColumnRenamed("word", "known_word"),
+        "vocabulary",
+    )
+    small = vocabulary.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return kept.join(
+        F.broadcast(vocabulary) if small else vocabulary, F.col("word") == F.col("known_word"), "left"
+    ).drop("known_word")
+
+
 def _as_postings(words: DataFrame, bins: int, hash_function: str) -> DataFrame:
-    hashed = words.withColumn("hash", word_hash("word", hash_function))
-    return hashed.select(
+    return _with_hashes(words, hash_function).select(
         hash_bin("hash", bins).alias("bin"),
         "hash",
         "text_id",

@@ -10,9 +10,11 @@ from pyspark.sql.window import Window
 SLICES = 256
 
 
-def top_k(scored: DataFrame, k: int) -> DataFrame:
+def top_k(scored: DataFrame, k: int, one_query: bool = False) -> DataFrame:
     """At most ``k`` rows per ``query_id``, numbered from 1 by falling score, then text id.
 
+    The answer to a single request needs no shuffle: the best of each task are merged.
+
     Spark drops all but the k best rows of a request in every task before it shuffles, as long as k is
     within ``spark.sql.optimizer.windowGroupLimitThreshold``.  Beyond that the rows are ranked in slices
     first, so that no task sorts all matches of a frequent request.
@@ -21,6 +23,10 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     threshold = int(
         scored.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")
     )
+    if one_query and k <= threshold:
+        # A window without a key over at most k rows, which stand in one partition already.
+        best = scored.orderBy(*order).limit(k)
+        return best.withColumn("result_number", F.row_number().over(Window.orderBy(*order)))
     if k > threshold:
         slices = Window.partitionBy("query_id", "slice").orderBy(*order)
         scored = (

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wordloom.operators.indexing import DEFAULT_BINS, Index
 from wordloom.sources.corpus import (
+    append_texts,
     assign_text_ids,
+    create_texts,
     filter_corpus,
     next_text_id,
     read_texts,
-    write_texts,
 )
 from wordloom.sources.index import append_index, create_index, read_index, refresh_document_frequency
 
@@ -26,16 +27,19 @@ def ingest_corpus(
     minimum_score: float,
     max_texts: int | None = None,
     existing: bool = False,
-) -> None:
-    """Filter a corpus, number its texts and add them to the text store.
+    batch: str | None = None,
+) -> int:
+    """Filter a corpus, number its texts and add them to the text store; returns how many.
 
-    ``corpus`` has ``language``, ``language_score`` and the columns to store; with ``existing`` texts the
-    numbers continue after the highest one in the store.
+    ``corpus`` has ``language``, ``language_score`` and the columns to store.  A new store gets
+    ``text_bins`` bins; with ``existing`` the numbers continue after the highest one in the store.
     """
     spark = corpus.sparkSession
-    start = next_text_id(read_texts(spark, path)) if existing else 1
+    if not existing:
+        create_texts(spark, path, text_bins)
+    start = next_text_id(read_texts(spark, path).texts) if existing else 1
     wanted = filter_corpus(corpus, languages, minimum_score).drop("language", "language_score")
-    write_texts(assign_text_ids(wanted, order_by, start, max_texts), path, text_bins)
+    return append_texts(assign_text_ids(wanted, order_by, start, max_texts), path, batch)
 
 
 def index_texts(
@@ -47,6 +51,6 @@ def index_texts(
 ) -> Index:
     """Index a whole text store in one job and make it ready to search."""
     create_index(spark, index_path, bins, hash_function)
-    append_index(read_texts(spark, texts_path).select("text_id", "text"), index_path)
+    append_index(read_texts(spark, texts_path).texts.select("text_id", "text"), index_path)
     refresh_document_frequency(spark, index_path)
     return read_index(spark, index_path)

@@ -1,33 +1,49 @@
 """Conjunctive matching: the postings of all words of a request in the texts that have all of them.
 
 A batch of requests is planned from the document frequency of its words, which bounds every intermediate
-result before a posting is read.  Each request takes one of three routes:
+result before a posting is read; texts that were appended since it was counted are added to each bound.  A
+small batch of words with few postings is answered ``directly``: its words are literals of one scan.  Otherwise
+each request takes one of three routes:
 
 single  one distinct word: its postings are the matches, nothing is shuffled.
-narrow  the rarest word has few postings: these name the candidate texts, a proven small table that is
+narrow  the rarest word has few postings: these name the candidate texts, a small table that is
         broadcast, and the postings of the frequent words are cut down to them during the scan.
-wide    even the rarest word is frequent: every posting the batch needs is moved once, by text id, however
-        many requests share the word; requests meet it after the shuffle.
+wide    even the rarest word is frequent, or the batch is too big to broadcast: every posting the batch
+        needs is moved once, by text id, however many requests share the word.  A text meets a request
+        only through the request's rarest word, and the other words are looked up inside the text.
 """
 
 from __future__ import annotations
 
 import dataclasses
-from functools import reduce
+from collections import defaultdict
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wordloom.functions.hashing import hash_bin
 from wordloom.operators.indexing import Index
 from wordloom.operators.requests import request_terms
-from wordloom.session import BROADCAST_ROWS, LITERALS, LOCAL_ROWS, durable, no_rows, settled
+from wordloom.session import (
+    BROADCAST_ROWS,
+    LITERALS,
+    LOCAL_ROWS,
+    durable,
+    is_one_of,
+    no_rows,
+    settled,
+    union_all,
+)
 
 UNKNOWN_TERMS = ("drop", "require")
 
-# Copies of a word table that is too big to broadcast; a frequent word's rows spread over as many tasks.
-SALTS = 64
+# A key with more rows than this is spread over copies of the other side, one per so many rows.
+ROWS_PER_SALT = 1_000_000
+
+# Postings that a small batch may read without being pruned any further.
+DIRECT_POSTINGS = 2_000_000
 
 
 @dataclasses.dataclass(frozen=True)
@@ -41,23 +57,34 @@ class Pruning:
     def apply(self, frame: DataFrame) -> DataFrame:
         # Written as text, which saves a call to the JVM per literal; all are made of digits.
         if self.bins is not None:
-            frame = frame.filter(_is_one_of("bin", map(str, self.bins)))
+            listed = ", ".join(map(str, self.bins))
+            frame = frame.filter(f"bin IN ({listed})" if listed else "false")
         if self.hashes is not None:
-            frame = frame.filter(_is_one_of("hash", map(repr, self.hashes)))
+            frame = frame.filter(is_one_of("hash", map(repr, self.hashes)))
         if self.text_ids is not None:
-            frame = frame.filter(_is_one_of("text_id", map(str, self.text_ids)))
+            frame = frame.filter(is_one_of("text_id", map(str, self.text_ids)))
         return frame
 
 
-def _is_one_of(column: str, literals) -> str:
-    listed = ", ".join(literals)
-    return f"{column} IN ({listed})" if listed else "false"
+@dataclasses.dataclass(frozen=True)
+class Word:
+    """A word of a request of a small batch."""
+
+    query: int
+    term: str
+    hash: str
+    bin: int
+    document_count: int
+    rarity: int
+    required: int
+    minimum_count: int
+    route: str
 
 
 @dataclasses.dataclass(frozen=True)
 class Route:
-    """What the scans of a route need: all its words, the rarest word of each request, how many postings
-    the rarest words have."""
+    """What the scans of a route need: all its words, the rarest word of each request, and a bound of the
+    postings of the rarest words."""
 
     words: Pruning
     rarest: Pruning
@@ -69,35 +96,61 @@ class RequestPlan:
     """A batch of requests, ready to be matched.
 
     terms   query_id, phrase_offset, term, hash, bin, slots, distinct_words
-    words   query_id, term, hash, bin, word_key, document_count, rarity, required, minimum_count, route
+    words   query_id, term, hash, bin, document_count, rarity, required, minimum_count, route
 
-    In a folded batch both hold one request of those with the same words in the same order.
+    In a folded batch both hold one request of those with the same words in the same order.  A small batch
+    is listed on the driver too: ``queries`` are its ids, ``slots`` the hashes of each, ``listed`` the words.
     """
 
     terms: DataFrame
     words: DataFrame
-    few: bool
     broadcastable: bool
     routes: dict[str, Route]
     total_documents: int
     average_document_length: float | None
     folded: Folded | None = None
+    queries: list | None = None
+    slots: list[list[str]] | None = None
+    listed: list[Word] | None = None
+    direct: bool = False
 
 
 def join_words(rows: DataFrame, words: DataFrame, key: str, spread: str, small: bool) -> DataFrame:
     """Rows with the word table on a key whose values may be very frequent.
 
-    A small word table is broadcast.  A bigger one is copied to ``SALTS`` salts and the rows choose theirs by
-    ``spread``, so that no word's rows meet in one task.
+    A small word table is broadcast.  Otherwise the rows of each key are counted; a key with more than
+    ``ROWS_PER_SALT`` is spread over as many copies of its words as that takes, all others have one.
     """
     if small:
         return rows.join(F.broadcast(words), key)
-    salted_words = words.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted_rows = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    return salted_rows.join(salted_words, [key, "salt"]).drop("salt")
+    # Keys above the limit are few: no more than all rows over the limit.
+    hot = (
+        rows.groupBy(key)
+        .agg(F.count(F.lit(1)).alias("__rows"))
+        .filter(F.col("__rows") > ROWS_PER_SALT)
+        .select(key, F.ceil(F.col("__rows") / ROWS_PER_SALT).cast("int").alias("__salts"))
+    )
+    hot = durable(hot)
+    if hot.isEmpty():
+        return rows.join(words, key)
+    if hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        hot = F.broadcast(hot)
+    salts = F.coalesce("__salts", F.lit(1))
+    salted_words = words.join(hot, key, "left").withColumn(
+        "__salt", F.explode(F.sequence(F.lit(0), salts - 1))
+    )
+    salted_rows = rows.join(hot, key, "left").withColumn(
+        "__salt", F.pmod(F.xxhash64(spread), salts).cast("int")
+    )
+    joined = salted_rows.drop("__salts").join(salted_words.drop("__salts"), [key, "__salt"])
+    return joined.drop("__salt")
 
 
-def _pruning_of(rows: list, bins: int) -> Pruning:
+def _bin_pruning(found, bins: int) -> Pruning:
+    return Pruning(sorted(found) if len(found) < bins else None)
+
+
+def _pruning_of(rows, bins: int) -> Pruning:
     hashes = sorted({row.hash for row in rows})
     found = _bin_pruning({row.bin for row in rows}, bins)
     return dataclasses.replace(found, hashes=hashes if len(hashes) <= LITERALS else None)
@@ -114,40 +167,10 @@ def word_pruning(words: DataFrame, bins: int) -> Pruning:
     return _bin_pruning(words.agg(F.collect_set("bin")).first()[0], bins)
 
 
-def _bin_pruning(found, bins: int) -> Pruning:
-    return Pruning(sorted(found) if len(found) < bins else None)
-
-
-def _routes(words: DataFrame, bins: int, few: bool) -> tuple[dict[str, Route], bool]:
-    """The routes in use, and whether ``word_key`` tells the words of each apart."""
-    if few:
-        rows = words.collect()
-        routes = {}
-        for name in sorted({row.route for row in rows}):
-            taken = [row for row in rows if row.route == name]
-            rarest = [row for row in taken if row.rarity == 1]
-            postings = sum(row.document_count for row in rarest)
-            routes[name] = Route(_pruning_of(taken, bins), _pruning_of(rarest, bins), postings)
-        return routes, len({row.word_key for row in rows}) == len({row.hash for row in rows})
-    is_rarest = F.col("rarity") == 1
-    found = (
-        words.groupBy("route")
-        .agg(
-            F.collect_set("bin").alias("bins"),
-            F.collect_set(F.when(is_rarest, F.col("bin"))).alias("rarest_bins"),
-            F.sum(F.when(is_rarest, F.col("document_count"))).alias("rarest_postings"),
-            F.count_distinct("hash").alias("hashes"),
-            F.count_distinct("word_key").alias("keys"),
-        )
-        .collect()
-    )
-    routes = {
-        row.route: Route(
-            _bin_pruning(row.bins, bins), _bin_pruning(row.rarest_bins, bins), row.rarest_postings
-        )
-        for row in found
-    }
-    return routes, all(row.hashes == row.keys for row in found)
+def lookup(key: Column, values: dict, kind: str) -> Column:
+    """The value of a key out of a few: ``values`` holds SQL expressions of type ``kind`` by SQL literal."""
+    listed = ", ".join(f"{name}, {value}" for name, value in values.items())
+    return F.try_element_at(F.expr(f"map({listed})"), key) if values else F.lit(None).cast(kind)
 
 
 @dataclasses.dataclass(frozen=True)
@@ -183,6 +206,34 @@ def fold_requests(terms: DataFrame) -> tuple[DataFrame, Folded]:
     )
 
 
+def check_requests(requests: DataFrame) -> None:
+    """Requests need an id each, and no two the same."""
+    ids = requests.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("query_id").alias("different")
+    ).first()
+    if ids.rows != ids.different:
+        raise ValueError("requests must have a query_id each, and no two the same")
+
+
+def asked_terms(index: Index, requests: DataFrame) -> DataFrame:
+    """The words of requests with their bins, computed once.
+
+    A small table of requests is checked and kept together with its words in one job: a request without
+    words has a row without a hash until it is checked.
+    """
+    requests = requests.select("query_id", "request")
+    found = requests.limit(LOCAL_ROWS + 1).toArrow()
+    if found.num_rows > LOCAL_ROWS:
+        check_requests(requests)
+    else:
+        ids = found.column("query_id").to_pylist()
+        if None in ids or len(set(ids)) != len(ids):
+            raise ValueError("requests must have a query_id each, and no two the same")
+        requests = requests.sparkSession.createDataFrame(found, requests.schema)
+    terms = request_terms(requests, index.hash_function)
+    return settled(terms.withColumn("bin", hash_bin("hash", index.bins)))
+
+
 def compile_requests(
     index: Index, requests: DataFrame, unknown_terms: str = "drop", fold: bool = False
 ) -> RequestPlan:
@@ -194,26 +245,97 @@ def compile_requests(
     """
     if unknown_terms not in UNKNOWN_TERMS:
         raise ValueError(f"unknown_terms must be one of {UNKNOWN_TERMS}, not {unknown_terms!r}")
-    terms = settled(
-        request_terms(requests, index.hash_function).withColumn("bin", hash_bin("hash", index.bins))
+    terms = asked_terms(index, requests)
+    rows = terms.limit(LOCAL_ROWS + 1).collect()
+    if len(rows) <= LOCAL_ROWS:
+        return _small_plan(index, terms, rows, unknown_terms)
+    return _big_plan(index, terms, unknown_terms, fold)
+
+
+def _small_plan(index: Index, terms: DataFrame, rows: list, unknown_terms: str) -> RequestPlan:
+    """The plan of a batch whose words the driver can hold: one look at document frequency, no other job."""
+    spark = terms.sparkSession
+    pruning = _pruning_of(rows, index.bins)
+    metadata = pruning.apply(index.hash_metadata).select("hash", "document_count")
+    if rows and pruning.hashes is None:
+        vocabulary = terms.select("hash").distinct()
+        metadata = metadata.join(F.broadcast(vocabulary), "hash", "left_semi")
+    counts = {row.hash: row.document_count for row in metadata.collect()} if rows else {}
+
+    by_query: dict = defaultdict(list)
+    for row in rows:
+        by_query[row.query_id].append(row)
+    queries, slots, words = [], [], []
+    for query_id, own in by_query.items():
+        different = {row.hash: row for row in own if row.hash in counts}
+        if unknown_terms == "require" and len(different) != own[0].distinct_words:
+            continue
+        if not different:
+            continue
+        ordered = sorted(different.values(), key=lambda row: (counts[row.hash], row.term))
+        least = counts[ordered[0].hash]
+        bound = (least + index.uncounted_texts) * len(ordered) * len(by_query)
+        route = "single" if len(ordered) == 1 else "narrow" if bound <= BROADCAST_ROWS else "wide"
+        for rarity, row in enumerate(ordered, 1):
+            words.append(
+                Word(len(queries), row.term, row.hash, row.bin, counts[row.hash], rarity, len(ordered), least, route)
+            )
+        queries.append(query_id)
+        slots.append([row.hash for row in sorted(own, key=lambda row: row.phrase_offset)])
+
+    routes = {}
+    for name in sorted({word.route for word in words}):
+        taken = [word for word in words if word.route == name]
+        rarest = [word for word in taken if word.rarity == 1]
+        bound = sum(word.document_count + index.uncounted_texts for word in rarest)
+        routes[name] = Route(_pruning_of(taken, index.bins), _pruning_of(rarest, index.bins), bound)
+    postings = {word.hash: word.document_count + index.uncounted_texts for word in words}
+    columns = {
+        "query_id": pa.array([queries[word.query] for word in words], type=_arrow_type(terms)),
+        **{
+            name: pa.array([getattr(word, name) for word in words], type=kind)
+            for name, kind in (
+                ("term", pa.string()),
+                ("hash", pa.string()),
+                ("bin", pa.int32()),
+                ("document_count", pa.int64()),
+                ("rarity", pa.int32()),
+                ("required", pa.int64()),
+                ("minimum_count", pa.int64()),
+                ("route", pa.string()),
+            )
+        },
+    }
+    total, average = index.statistics()
+    return RequestPlan(
+        terms=terms,
+        words=spark.createDataFrame(pa.table(columns)),
+        broadcastable=True,
+        routes=routes,
+        total_documents=total,
+        average_document_length=average,
+        queries=queries,
+        slots=slots,
+        listed=words,
+        direct=len(words) <= LITERALS and sum(postings.values()) <= DIRECT_POSTINGS,
     )
+
+
+def _arrow_type(terms: DataFrame) -> pa.DataType:
+    return terms.select("query_id").limit(0).toArrow().schema.field(0).type
+
+
+def _big_plan(index: Index, terms: DataFrame, unknown_terms: str, fold: bool) -> RequestPlan:
     folded = None
-    rows = terms.limit(LOCAL_ROWS + 1).collect()
-    few = len(rows) <= LOCAL_ROWS
-    if few:
-        term_count, query_count = len(rows), len({row.query_id for row in rows})
-        pruning = _pruning_of(rows, index.bins)
-    else:
-        if fold:
-            terms, folded = fold_requests(terms)
-        size = terms.agg(
-            F.count(F.lit(1)).alias("terms"),
-            F.count_distinct("query_id").alias("queries"),
-            F.collect_set("bin").alias("bins"),
-        ).first()
-        term_count, query_count = size.terms, size.queries
-        pruning = _bin_pruning(size.bins, index.bins)
-    small = term_count <= BROADCAST_ROWS
+    if fold:
+        terms, folded = fold_requests(terms)
+    size = terms.agg(
+        F.count(F.lit(1)).alias("terms"),
+        F.count_distinct("query_id").alias("queries"),
+        F.collect_set("bin").alias("bins"),
+    ).first()
+    pruning = _bin_pruning(size.bins, index.bins)
+    small = size.terms <= BROADCAST_ROWS
 
     # Document frequency of the batch's vocabulary, then of every word of every request.
     wanted = terms.dropDuplicates(["query_id", "hash"])
@@ -231,34 +353,50 @@ def compile_requests(
     )
     per_query = Window.partitionBy("query_id")
     rarest_first = per_query.orderBy("document_count", "term")
-    candidates = F.col("minimum_count") * F.col("required") * F.lit(max(query_count, 1))
+    uncounted = F.lit(index.uncounted_texts)
+    candidates = (F.col("minimum_count") + uncounted) * F.col("required") * F.lit(max(size.queries, 1))
     words = known.withColumns(
         {
             "required": F.count(F.lit(1)).over(per_query),
             "minimum_count": F.min("document_count").over(per_query),
             "rarity": F.row_number().over(rarest_first),
-            "word_key": F.xxhash64("hash"),
         }
     )
     if unknown_terms == "require":
         words = words.filter(F.col("required") == F.col("distinct_words"))
     narrow = candidates <= F.lit(BROADCAST_ROWS) if small else F.lit(False)
-    words = words.withColumn(
-        "route", F.when(F.col("required") == 1, "single").when(narrow, "narrow").otherwise("wide")
+    words = durable(
+        words.withColumn(
+            "route",
+            F.when(F.col("required") == 1, "single").when(narrow, "narrow").otherwise("wide"),
+        )
+    )
+    is_rarest = F.col("rarity") == 1
+    rows = (
+        words.groupBy("route")
+        .agg(
+            F.collect_set("bin").alias("bins"),
+            F.collect_set(F.when(is_rarest, F.col("bin"))).alias("rarest_bins"),
+            F.sum(F.when(is_rarest, F.col("document_count") + uncounted)).alias("rarest_postings"),
+        )
+        .collect()
     )
-    words = settled(words) if few else durable(words)
-    routes, distinct_keys = _routes(words, index.bins, few)
-    if not distinct_keys:
-        words = words.withColumn("word_key", F.col("hash"))
-    stats = index.stats.first()
+    routes = {
+        row.route: Route(
+            _bin_pruning(row.bins, index.bins),
+            _bin_pruning(row.rarest_bins, index.bins),
+            row.rarest_postings,
+        )
+        for row in rows
+    }
+    total, average = index.statistics()
     return RequestPlan(
         terms=terms,
         words=words,
-        few=few,
         broadcastable=small,
         routes=routes,
-        total_documents=stats.total_documents,
-        average_document_length=stats.average_document_length,
+        total_documents=total,
+        average_document_length=average,
         folded=folded,
     )
 
@@ -272,74 +410,120 @@ def request_plan(index: Index, requests: DataFrame) -> DataFrame:
 def uncounted_words(plan: RequestPlan) -> DataFrame | None:
     """Requests of one word whose document frequency is not known, as rows of ``terms``."""
     single = plan.terms.filter("slots = 1")
-    if plan.few:
-        # Both tables are literals of the plan; this starts no job.
-        known = {row.query_id for row in plan.words.select("query_id").collect()}
+    if plan.queries is not None:
+        # The terms are literals of the plan; this starts no job.
+        known = set(plan.queries)
         if all(row.query_id in known for row in single.select("query_id").collect()):
             return None
     uncounted = single.join(plan.words.select("query_id"), "query_id", "left_anti")
     return None if uncounted.isEmpty() else settled(uncounted)
 
 
+# Hits: one row per request, text and word of the request that the text has.
+
+_ASKED = "array<struct<query_id: int, document_count: bigint, required: bigint>>"
+
+
+def _direct_hits(index: Index, plan: RequestPlan, values: list[str]) -> DataFrame:
+    """Hits of all requests of a small batch; ``query_id`` is the request's place in ``plan.queries``."""
+    asked: dict[str, list[str]] = defaultdict(list)
+    for word in plan.listed:
+        asked[repr(word.hash)].append(
+            f"named_struct('query_id', {word.query}, 'document_count', {word.document_count}L, "
+            f"'required', {word.required}L)"
+        )
+    found = lookup(
+        F.col("hash"), {name: f"array({', '.join(own)})" for name, own in asked.items()}, _ASKED
+    )
+    rows = _pruning_of(plan.listed, index.bins).apply(index.postings)
+    return rows.select("hash", "text_id", *values, F.inline(found))
+
+
+def _narrow_hits(index: Index, plan: RequestPlan, words: DataFrame, values: list[str]) -> DataFrame:
+    needs = plan.routes["narrow"]
+    rows = needs.words.apply(index.postings)
+    # Postings of the rarest words are the candidates, at most BROADCAST_ROWS with their words.
+    rarest = words.filter("rarity = 1").select("query_id", "hash")
+    candidates = (
+        needs.rarest.apply(index.postings)
+        .join(F.broadcast(rarest), "hash")
+        .select("query_id", "text_id")
+    )
+    if needs.rarest_postings <= LITERALS:
+        # So few that the scan can look for them in the long lists of the frequent words.
+        candidates = settled(candidates)
+        text_ids = sorted({row.text_id for row in candidates.collect()})
+        rows = Pruning(text_ids=text_ids).apply(rows)
+    needed = candidates.join(
+        F.broadcast(words.select("query_id", "hash", "document_count", "required")), "query_id"
+    )
+    return rows.select("hash", "text_id", *values).join(F.broadcast(needed), ["text_id", "hash"])
+
+
+def _wide_hits(index: Index, plan: RequestPlan, words: DataFrame, values: list[str]) -> DataFrame:
+    small = plan.broadcastable
+    vocabulary = words.groupBy("hash").agg(F.max(F.col("rarity") == 1).alias("is_rarest"))
+    rows = plan.routes["wide"].words.apply(index.postings).select("hash", "text_id", *values)
+    moved = join_words(rows, vocabulary, "hash", "text_id", small).repartition("text_id")
+    # From here on all is partitioned by text: what the text has of the batch's words stands in one row.
+    held = moved.groupBy("text_id").agg(F.collect_set("hash").alias("held"))
+    requests = words.groupBy("query_id").agg(
+        F.min(F.when(F.col("rarity") == 1, F.col("hash"))).alias("hash"),
+        F.collect_list("hash").alias("asked"),
+    )
+    rare = moved.filter("is_rarest").select("text_id", "hash").join(held, "text_id")
+    candidates = join_words(rare, requests, "hash", "text_id", small)
+    matched = candidates.filter(F.size(F.array_except("asked", "held")) == 0).select(
+        "query_id", "text_id"
+    )
+    entries = words.select("query_id", "hash", "document_count", "required")
+    if small:
+        wanted = matched.join(F.broadcast(entries), "query_id")
+    else:
+        wanted = join_words(matched, entries, "query_id", "text_id", False)
+    return moved.drop("is_rarest").join(wanted, ["text_id", "hash"])
+
+
 def route_hits(index: Index, plan: RequestPlan, route: str, values: list[str]) -> DataFrame:
-    """Postings of one route's words, one row per request, text and word.
+    """Hits of one route's requests.
 
     A text has rows for as many different words as it holds; ``required`` says how many a match needs.
     ``values`` names the posting columns to keep.
     """
     words = plan.words.filter(F.col("route") == route)
-    needs = plan.routes[route]
-    rows = needs.words.apply(index.postings)
-    asked = ["query_id", "hash", "document_count", "required"]
-    output = ["query_id", "text_id", "hash", "document_count", "required", *values]
-
-    if route == "single" or (route == "wide" and not plan.broadcastable):
-        return join_words(
-            rows.select("hash", "text_id", *values),
-            words.select(*asked),
-            "hash",
-            "text_id",
-            plan.broadcastable,
-        ).select(output)
-
-    if route == "narrow":
-        # Postings of the rarest words are the candidates, at most BROADCAST_ROWS with their words.
-        rarest = words.filter("rarity = 1").select("query_id", "hash")
-        candidates = (
-            needs.rarest.apply(index.postings)
-            .join(F.broadcast(rarest), "hash")
-            .select("query_id", "text_id")
-        )
-        if needs.rarest_postings <= LITERALS:
-            # So few that the scan can look for them in the long lists of the frequent words.
-            candidates = settled(candidates)
-            text_ids = sorted({row.text_id for row in candidates.collect()})
-            rows = Pruning(text_ids=text_ids).apply(rows)
-        needed = candidates.join(F.broadcast(words.select(*asked)), "query_id")
-        return rows.select("hash", "text_id", *values).join(
-            F.broadcast(needed), ["text_id", "hash"]
-        ).select(output)
-
-    vocabulary = words.select("hash", "word_key").distinct()
-    moved = (
-        rows.select("hash", "text_id", *values)
-        .join(F.broadcast(vocabulary), "hash")
-        .drop("hash")
-        .repartition("text_id")
-    )
-    return moved.join(F.broadcast(words.select(*asked, "word_key")), "word_key").select(output)
+    if route == "single":
+        rows = plan.routes[route].words.apply(index.postings).select("hash", "text_id", *values)
+        asked = words.select("query_id", "hash", "document_count", "required")
+        found = join_words(rows, asked, "hash", "text_id", plan.broadcastable)
+    else:
+        found = (_narrow_hits if route == "narrow" else _wide_hits)(index, plan, words, values)
+    return found.select("query_id", "text_id", "hash", "document_count", "required", *values)
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+def all_hits(index: Index, plan: RequestPlan, values: list[str]) -> list[tuple[str, DataFrame]]:
+    """Hits by route, or all at once for a direct batch."""
+    if plan.direct:
+        return [("direct", _direct_hits(index, plan, values))] if plan.listed else []
+    return [(route, route_hits(index, plan, route, values)) for route in plan.routes]
+
+
+def named_queries(plan: RequestPlan, frame: DataFrame) -> DataFrame:
+    """A direct batch's rows with the ids of their requests instead of their places."""
+    if not plan.direct:
+        return frame
+    ids = F.array(*[F.lit(query) for query in plan.queries]) if plan.queries else F.array()
+    kind = plan.terms.schema["query_id"].dataType
+    return frame.withColumn("query_id", F.get(ids, F.col("query_id")).cast(kind))
 
 
 def phrase_lists(index: Index, plan: RequestPlan) -> DataFrame:
-    """One row per request and text with all its words: ``lists`` of hash and positions, and text length."""
+    """One row per request and text with all its words: ``lists`` of hash and positions, and text length.
+
+    In a direct batch ``query_id`` is the request's place.
+    """
     entry = F.struct("hash", "positions")
     matched = []
-    for route in plan.routes:
-        hits = route_hits(index, plan, route, ["positions", "words_total"])
+    for route, hits in all_hits(index, plan, ["positions", "words_total"]):
         if route == "single":
             lists = hits.withColumn("lists", F.array(entry))
         else:
@@ -357,7 +541,7 @@ def phrase_lists(index: Index, plan: RequestPlan) -> DataFrame:
 
 
 def _no_lists(plan: RequestPlan) -> DataFrame:
-    query_type = plan.terms.schema["query_id"].dataType.simpleString()
+    query_type = "int" if plan.direct else plan.terms.schema["query_id"].dataType.simpleString()
     return no_rows(
         plan.terms.sparkSession,
         f"query_id {query_type}, text_id long, words_total int, "
@@ -368,7 +552,8 @@ def _no_lists(plan: RequestPlan) -> DataFrame:
 def match_all(index: Index, requests: DataFrame, unknown_terms: str = "drop") -> DataFrame:
     """Postings of all words of each request, in the texts that have all of them."""
     plan = compile_requests(index, requests, unknown_terms)
-    return phrase_lists(index, plan).select("query_id", "text_id", F.inline("lists"))
+    lists = named_queries(plan, phrase_lists(index, plan))
+    return lists.select("query_id", "text_id", F.inline("lists"))
 
 
 def match_all_by_intersection(index: Index, requests: DataFrame, query_id) -> DataFrame:
@@ -377,8 +562,8 @@ def match_all_by_intersection(index: Index, requests: DataFrame, query_id) -> Da
     The plain form of the same question, kept to check ``match_all`` against.
     """
     words = compile_requests(index, requests.filter(F.col("query_id") == query_id)).words
-    branches = [
-        index.postings.filter((F.col("bin") == row.bin) & (F.col("hash") == row.hash)).select("text_id")
-        for row in words.orderBy("rarity").collect()
-    ]
-    return reduce(DataFrame.intersect, branches)
+    found = None
+    for row in words.orderBy("rarity").collect():
+        own = index.postings.filter((F.col("bin") == row.bin) & (F.col("hash") == row.hash)).select("text_id")
+        found = own if found is None else found.intersect(own)
+    return no_rows(requests.sparkSession, "text_id long") if found is None else found

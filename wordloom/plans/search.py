@@ -12,26 +12,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.functions.hashing import hash_bin
 from wordloom.functions.postings import phrase_occurrences
 from wordloom.functions.ranking import K1, SCORE_DIGITS, B, bm25
 from wordloom.operators.indexing import Index
 from wordloom.operators.ranking import top_k
-from wordloom.operators.requests import request_terms
 from wordloom.operators.results import attach_texts
 from wordloom.plans.matching import (
     Folded,
     RequestPlan,
+    all_hits,
+    asked_terms,
     compile_requests,
     fold_requests,
     join_words,
+    lookup,
+    named_queries,
     phrase_lists,
-    route_hits,
     uncounted_words,
-    union_all,
     word_pruning,
 )
-from wordloom.session import BROADCAST_ROWS, LOCAL_ROWS, no_rows, settled
+from wordloom.session import BROADCAST_ROWS, LITERALS, LOCAL_ROWS, no_rows, union_all
+from wordloom.sources.corpus import TextStore
 
 METHODS = ("exact_phrase", "any_position")
 RESULTS = 10
@@ -49,8 +50,8 @@ def _score(term_frequency, document_count, total_documents, average_length, k1,
     )
 
 
-def _ranked(scored: DataFrame, k: int, folded: Folded | None = None) -> DataFrame:
-    results = top_k(scored, k)
+def _ranked(scored: DataFrame, k: int, folded: Folded | None = None, queries: int | None = None) -> DataFrame:
+    results = top_k(scored, k, one_query=queries is not None and queries <= 1)
     if folded is not None:
         results = folded.spread_answers(results, k)
     return results.select("query_id", "result_number", "text_id", "bm25_score", "matching_words")
@@ -66,25 +67,40 @@ def _no_matches(frame: DataFrame) -> DataFrame:
 
 def _word_matches(index: Index, terms: DataFrame, k1: float, b: float) -> DataFrame:
     """All texts with the only word of a request; ``terms`` has one row per request."""
-    small = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    total, average = index.statistics()
+    score = _score("term_frequency", "document_count", total, average, k1, b)
     pruning = word_pruning(terms, index.bins)
-    frequency = terms.select("hash").distinct()
     metadata = pruning.apply(index.hash_metadata)
-    if small:
-        frequency = F.broadcast(frequency)
-    metadata = metadata.join(frequency, "hash", "left_semi").select("hash", "document_count")
-    known = terms.select("query_id", "hash").join(metadata, "hash", "left")
-    stats = index.stats.first()
-    score = _score(
-        "term_frequency",
-        "document_count",
-        stats.total_documents,
-        stats.average_document_length,
-        k1,
-        b,
-    )
     rows = pruning.apply(index.postings).select("hash", "text_id", "term_frequency", "words_total")
-    return join_words(rows, known, "hash", "text_id", small).select(
+    few = terms.select("query_id", "hash").limit(LITERALS + 1).collect()
+    if len(few) <= LITERALS and pruning.hashes is not None:
+        counts = {row.hash: row.document_count for row in metadata.collect()}
+        kind = terms.schema["query_id"].dataType
+        asked: dict[str, list[int]] = {}
+        for place, row in enumerate(few):
+            asked.setdefault(row.hash, []).append(place)
+        places = lookup(
+            F.col("hash"),
+            {repr(name): f"array({', '.join(map(str, own))})" for name, own in asked.items()},
+            "array<int>",
+        )
+        count = lookup(
+            F.col("hash"),
+            {repr(name): f"{counts[name]}L" if name in counts else "CAST(NULL AS BIGINT)" for name in asked},
+            "long",
+        )
+        ids = F.array(*[F.lit(row.query_id) for row in few]) if few else F.array()
+        found = rows.withColumn("document_count", count).withColumn("place", F.explode(places))
+        found = found.withColumn("query_id", F.get(ids, F.col("place")).cast(kind))
+    else:
+        small = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        frequency = terms.select("hash").distinct()
+        if small:
+            frequency = F.broadcast(frequency)
+        metadata = metadata.join(frequency, "hash", "left_semi").select("hash", "document_count")
+        known = terms.select("query_id", "hash").join(metadata, "hash", "left")
+        found = join_words(rows, known, "hash", "text_id", small)
+    return found.select(
         "query_id",
         "text_id",
         score.alias("bm25_score"),
@@ -100,12 +116,12 @@ def search_word(
     Answers requests of exactly one word.  A word whose document frequency is not known yet still matches,
     with a NULL score.
     """
-    terms = request_terms(requests, index.hash_function).filter("slots = 1")
-    terms = settled(terms.withColumn("bin", hash_bin("hash", index.bins)))
+    terms = asked_terms(index, requests).filter("slots = 1")
+    queries = terms.select("query_id").limit(LOCAL_ROWS + 1).collect()
     folded = None
-    if terms.limit(LOCAL_ROWS + 1).count() > LOCAL_ROWS:
+    if len(queries) > LOCAL_ROWS:
         terms, folded = fold_requests(terms)
-    return _ranked(_word_matches(index, terms, k1, b), k, folded)
+    return _ranked(_word_matches(index, terms, k1, b), k, folded, len(queries))
 
 
 def _any_position_matches(index: Index, plan: RequestPlan, k1: float, b: float) -> DataFrame:
@@ -118,10 +134,8 @@ def _any_position_matches(index: Index, plan: RequestPlan, k1: float, b: float)
         b,
     )
     matched = []
-    for route in plan.routes:
-        scored = route_hits(index, plan, route, ["term_frequency", "words_total"]).select(
-            "query_id", "text_id", "required", score.alias("bm25_score")
-        )
+    for route, hits in all_hits(index, plan, ["term_frequency", "words_total"]):
+        scored = hits.select("query_id", "text_id", "required", score.alias("bm25_score"))
         if route == "single":
             scored = scored.withColumn("matching_words", F.lit(1).cast("long"))
         else:
@@ -135,7 +149,7 @@ def _any_position_matches(index: Index, plan: RequestPlan, k1: float, b: float)
                 .filter(F.col("matching_words") == F.col("required"))
             )
         matched.append(scored.select("query_id", "text_id", "bm25_score", "matching_words"))
-    return union_all(matched) if matched else _no_matches(plan.terms)
+    return named_queries(plan, union_all(matched)) if matched else _no_matches(plan.terms)
 
 
 def search_any_position(
@@ -148,11 +162,24 @@ def search_any_position(
 ) -> DataFrame:
     """Texts with all words in any order; the score is the sum over the different words."""
     plan = compile_requests(index, requests, unknown_terms, fold=True)
-    return _ranked(_any_position_matches(index, plan, k1, b), k, plan.folded)
+    return _ranked(_any_position_matches(index, plan, k1, b), k, plan.folded, _queries(plan))
 
 
-def _phrase_matches(index: Index, plan: RequestPlan, k1: float, b: float) -> DataFrame:
-    # Requests with their words in order; a phrase is as frequent as its rarest word.
+def _queries(plan: RequestPlan) -> int | None:
+    return None if plan.queries is None else len(plan.queries)
+
+
+def _with_phrases(plan: RequestPlan, lists: DataFrame) -> DataFrame:
+    """Candidates with the phrase asked for: ``slots``, and ``minimum_count``, its rarest word's frequency."""
+    if plan.direct:
+        least = {word.query: word.minimum_count for word in plan.listed}
+        slots = {n: f"array({', '.join(map(repr, own))})" for n, own in enumerate(plan.slots)}
+        return lists.withColumns(
+            {
+                "slots": lookup(F.col("query_id"), slots, "array<string>"),
+                "minimum_count": lookup(F.col("query_id"), {n: f"{c}L" for n, c in least.items()}, "long"),
+            }
+        )
     slots = (
         plan.terms.groupBy("query_id")
         .agg(F.sort_array(F.collect_list(F.struct("phrase_offset", "hash"))).alias("slots"))
@@ -160,6 +187,10 @@ def _phrase_matches(index: Index, plan: RequestPlan, k1: float, b: float) -> Dat
     )
     frequency = plan.words.select("query_id", "minimum_count").distinct()
     phrases = slots.join(frequency, "query_id")
+    return join_words(lists, phrases, "query_id", "text_id", plan.broadcastable)
+
+
+def _phrase_matches(index: Index, plan: RequestPlan, k1: float, b: float) -> DataFrame:
     score = _score(
         "occurrences",
         "minimum_count",
@@ -168,18 +199,27 @@ def _phrase_matches(index: Index, plan: RequestPlan, k1: float, b: float) -> Dat
         k1,
         b,
     )
-    candidates = phrase_lists(index, plan)
-    return (
-        join_words(candidates, phrases, "query_id", "text_id", plan.broadcastable)
-        .withColumn("occurrences", phrase_occurrences("slots", "lists"))
-        .filter("occurrences > 0")
+    # The generator drops candidates without an occurrence: a filter would make Catalyst copy the
+    # expression and compare all positions twice.
+    occurrences = F.filter(F.array(phrase_occurrences("slots", "lists")), lambda found: found > 0)
+    found = (
+        _with_phrases(plan, phrase_lists(index, plan))
+        .select(
+            "query_id",
+            "text_id",
+            "words_total",
+            "minimum_count",
+            F.size("slots").alias("phrase_length"),
+            F.explode(occurrences).alias("occurrences"),
+        )
         .select(
             "query_id",
             "text_id",
             score.alias("bm25_score"),
-            (F.col("occurrences") * F.size("slots")).cast("long").alias("matching_words"),
+            (F.col("occurrences") * F.col("phrase_length")).cast("long").alias("matching_words"),
         )
     )
+    return named_queries(plan, found)
 
 
 def search_phrase(
@@ -191,7 +231,7 @@ def search_phrase(
     index does not know matches nothing.
     """
     plan = compile_requests(index, requests, "require", fold=True)
-    return _ranked(_phrase_matches(index, plan, k1, b), k, plan.folded)
+    return _ranked(_phrase_matches(index, plan, k1, b), k, plan.folded, _queries(plan))
 
 
 def search(
@@ -199,23 +239,27 @@ def search(
     requests: DataFrame,
     k: int = RESULTS,
     method: str = "exact_phrase",
-    texts: DataFrame | None = None,
-    text_bins: int | None = None,
-    unknown_terms: str = "drop",
+    texts: TextStore | None = None,
+    unknown_terms: str | None = None,
 ) -> DataFrame:
-    """Answer requests as a phrase or in any position, with their texts if a text table is given.
+    """Answer requests as a phrase or in any position, with their texts if a text store is given.
 
     A request of one word that has postings but no document frequency yet is answered by word alone.
+    ``unknown_terms`` says what a word does that the index does not know; a phrase always needs all words.
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}, not {method!r}")
     phrase = method == "exact_phrase"
-    plan = compile_requests(index, requests, "require" if phrase else unknown_terms, fold=True)
+    if phrase and unknown_terms not in (None, "require"):
+        raise ValueError("a phrase requires all of its words")
+    plan = compile_requests(index, requests, "require" if phrase else unknown_terms or "drop", fold=True)
     find = _phrase_matches if phrase else _any_position_matches
     matches = find(index, plan, K1, B)
 
+    queries = _queries(plan)
     uncounted = uncounted_words(plan)
     if uncounted is not None:
         matches = matches.unionByName(_word_matches(index, uncounted, K1, B))
-    results = _ranked(matches, k, plan.folded)
-    return results if texts is None else attach_texts(results, texts, text_bins)
+        queries = None
+    results = _ranked(matches, k, plan.folded, queries)
+    return results if texts is None else attach_texts(results, texts)

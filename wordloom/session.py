@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,12 +22,12 @@ LOCAL_ROWS = 10_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one in local mode if none is named."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one if none is named and all runs in one JVM."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         folder = spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="wordloom-")
     if spark.sparkContext.getCheckpointDir() is None:
@@ -44,6 +46,13 @@ def durable(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """The frame computed once, as a table in the shared folder."""
+    path = new_shared_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def settled(frame: DataFrame, rows: int = LOCAL_ROWS) -> DataFrame:
     """The frame computed once: up to ``rows`` rows become part of the plan, more are ``durable``."""
     table = frame.limit(rows + 1).toArrow()
@@ -62,6 +71,18 @@ def spread(frame: DataFrame, column: str) -> DataFrame:
     return frame if parts.first()[0] >= cores else frame.repartition(cores)
 
 
+def is_one_of(column: str, literals) -> str:
+    """A condition with few values; each is an equality of its own, which prunes files and row groups.
+
+    Spark turns a long ``IN`` into the span of its values, which for hashes is everything.
+    """
+    return " OR ".join(f"{column} = {literal}" for literal in literals) or "false"
+
+
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
 def no_rows(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
     return one_row(spark, schema).limit(0)
 

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
+import dataclasses
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from wordloom.functions.hashing import text_bin
-from wordloom.session import durable
-
-# A partition holds at most 2^33 rows in the ids Spark gives out.
-_ROWS_BITS = 33
+from wordloom.operators.numbering import numbered
+from wordloom.session import no_rows, one_row
 
 
 def read_corpus(
@@ -60,49 +59,15 @@ def filter_corpus(
 def assign_text_ids(
     corpus: DataFrame, order_by: Sequence[str], start: int = 1, max_texts: int | None = None
 ) -> DataFrame:
-    """Consecutive ids in the order of a key: the rank of the key, so that a rerun numbers alike.
+    """Consecutive ids in the order of ``order_by``, NULLs first; a rerun numbers alike.
 
-    Only the keys are sorted, as a range-partitioned table in the shared folder; a text's id is the number
-    of keys in earlier partitions plus its place in its own.  The texts themselves move once, to meet
-    their ids.  ``max_texts`` keeps the first so many of the whole corpus.
+    Any rows can be numbered: those that share a key follow each other by their other columns, and exact
+    copies have an id each.  ``max_texts`` keeps the first so many of the whole corpus.
     """
-    keys = list(order_by)
-    numbered = durable(
-        corpus.select(keys)
-        .repartitionByRange(*keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("place", F.monotonically_increasing_id())
-    )
-    unclear = numbered.filter(_any_null(keys)).limit(1).count() + (
-        numbered.groupBy(keys).count().filter("count > 1").limit(1).count()
-    )
-    if unclear:
-        raise ValueError(f"{keys} must be filled and different in every row")
-
-    part = F.shiftright("place", _ROWS_BITS)
-    # One row per partition, so the only window without a key stays as small as their number.
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = (
-        numbered.groupBy(part.alias("part"))
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .select("part", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
-    )
-    in_part = F.col("place").bitwiseAND(2**_ROWS_BITS - 1)
-    ids = (
-        numbered.withColumn("part", part)
-        .join(F.broadcast(parts), "part")
-        .select(*keys, (F.col("before") + in_part + start).alias("text_id"))
-    )
+    ids = numbered(corpus, order_by, "text_id", start)
     if max_texts is not None:
         ids = ids.filter(F.col("text_id") < start + max_texts)
-    return corpus.join(ids, keys).select("text_id", *corpus.columns)
-
-
-def _any_null(columns: Sequence[str]) -> Column:
-    found = F.lit(False)
-    for column in columns:
-        found = found | F.col(column).isNull()
-    return found
+    return ids.select("text_id", *corpus.columns)
 
 
 def next_text_id(texts: DataFrame) -> int:
@@ -114,17 +79,95 @@ def with_text_bins(texts: DataFrame, bins: int) -> DataFrame:
     return texts.withColumn("text_bin", text_bin("text_id", bins))
 
 
-def write_texts(texts: DataFrame, path: str, bins: int, mode: str = "append") -> None:
-    """Texts in bins, each task writing few of them; big bins are spread over several files."""
+# The text store: settings/ (number of bins), texts/batch=<name>/text_bin=<n>/, commits/entry=<name>/.
+
+_SETTINGS = "text_bins int"
+_COMMITS = "entry string, texts long"
+
+
+@dataclasses.dataclass(frozen=True)
+class TextStore:
+    """Texts with their ``text_bin``, and the number of bins they were written with."""
+
+    texts: DataFrame
+    bins: int
+
+
+def _text_batches(spark: SparkSession, path: str) -> dict[str, int]:
+    rows = spark.read.schema(_COMMITS).parquet(f"{path}/commits").collect()
+    return {row.entry: row.texts for row in rows if row.texts is not None}
+
+
+def create_texts(spark: SparkSession, path: str, bins: int) -> None:
+    """An empty text store; fails if there is one already."""
+    text_bin(F.lit(0), bins)
+    one_row(spark, _SETTINGS, text_bins=bins).write.mode("error").json(f"{path}/settings")
+    _commit_texts(spark, path, "created", None)
+
+
+def _commit_texts(spark: SparkSession, path: str, entry: str, texts: int | None) -> None:
+    row = one_row(spark, _COMMITS, texts=texts).drop("entry")
+    row.write.mode("overwrite").parquet(f"{path}/commits/entry={entry}")
+
+
+def append_texts(texts: DataFrame, path: str, batch: str | None = None) -> int:
+    """Adds texts with ids of their own to a store; returns how many.
+
+    Each task writes few bins, and big bins are spread over several files, sorted by id.  Readers see the
+    batch when it is complete; a batch that is named again replaces its first attempt.
+    """
+    spark = texts.sparkSession
+    bins = text_bins_of(spark, path)
+    batch = batch or uuid.uuid4().hex
+    folder = f"{path}/texts/batch={batch}"
     (
         with_text_bins(texts, bins)
         .hint("rebalance", "text_bin")
         .sortWithinPartitions("text_bin", "text_id")
-        .write.mode(mode)
+        .write.mode("overwrite")
         .partitionBy("text_bin")
-        .parquet(path)
+        .parquet(folder)
     )
-
-
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    added = spark.read.schema("text_id long").parquet(folder)
+    ids = added.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count("text_id").alias("filled"),
+        F.min("text_id").alias("lowest"),
+        F.max("text_id").alias("highest"),
+    ).first()
+    repeated = added.groupBy("text_id").count().filter("count > 1").limit(1).count()
+    if ids.filled != ids.rows or repeated:
+        raise ValueError("texts to store must have a text_id each, and no two the same")
+    others = [name for name in _text_batches(spark, path) if name != batch]
+    if others and ids.rows:
+        known = _read_batches(spark, path, others).select("text_id")
+        known = known.filter(F.col("text_id").between(ids.lowest, ids.highest))
+        if not known.join(added, "text_id", "left_semi").isEmpty():
+            raise ValueError("texts are in the store already")
+    _commit_texts(spark, path, batch, ids.rows)
+    return ids.rows
+
+
+def text_bins_of(spark: SparkSession, path: str) -> int:
+    return spark.read.schema(_SETTINGS).json(f"{path}/settings").first()[0]
+
+
+def _read_batches(spark: SparkSession, path: str, batches: Sequence[str]) -> DataFrame:
+    # Only folders of finished batches are listed.
+    folders = [f"{path}/texts/batch={name}" for name in sorted(batches)]
+    return spark.read.option("basePath", f"{path}/texts").parquet(*folders).drop("batch")
+
+
+def write_texts(texts: DataFrame, path: str, bins: int) -> TextStore:
+    """A new text store with these texts."""
+    create_texts(texts.sparkSession, path, bins)
+    append_texts(texts, path)
+    return read_texts(texts.sparkSession, path)
+
+
+def read_texts(spark: SparkSession, path: str) -> TextStore:
+    """The store as it is now."""
+    batches = list(_text_batches(spark, path))
+    if not batches:
+        return TextStore(no_rows(spark, "text_id long, text string, text_bin int"), text_bins_of(spark, path))
+    return TextStore(_read_batches(spark, path, batches), text_bins_of(spark, path))

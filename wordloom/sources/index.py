@@ -6,13 +6,15 @@
     commits/entry=<...>/                     one row per finished batch or document frequency
 
 Writers add their row to ``commits`` last and readers see only what is listed there, so a failed or
-running append is invisible.  An entry written again replaces the first attempt.
+running append is invisible.  An entry written again replaces the first attempt.  A batch that rewrites
+others, as a whole or some of their bins, says so in its row: readers then leave the rewritten parts out.
 """
 
 from __future__ import annotations
 
 import dataclasses
 import uuid
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +30,11 @@ from wordloom.functions.hashing import HASH_FUNCTIONS, hash_bin
 from wordloom.session import BROADCAST_ROWS, no_rows, one_row, spread
 
 _SETTINGS = "bins int, hash_function string"
-_COMMITS = "entry string, batch string, texts long, words long, version long"
+# A batch knows which document frequency was the last when it was written: that one does not count it.
+_COMMITS = (
+    "entry string, batch string, texts long, words long, version long, after_version long, "
+    "replaces array<string>, replaced_bins array<int>"
+)
 _POSTINGS = (
     "hash string, text_id long, positions array<int>, term_frequency int, words_total int, "
     "batch string, bin int"
@@ -65,34 +71,56 @@ def _commit(spark: SparkSession, path: str, entry: str, **values: int | str) ->
 
 @dataclasses.dataclass(frozen=True)
 class _Snapshot:
-    """What is finished; the batches are as many as there were appends since the last rewrite."""
+    """What is finished.
+
+    ``parts`` are the batches to read with the bins to leave out (None: nothing is left out);
+    ``uncounted`` is how many texts the last document frequency may not know.
+    """
 
-    batches: list[str]
+    parts: dict[str, set[int] | None]
     version: int | None
     texts: int
     words: int
+    uncounted: int
 
 
 def _finished(spark: SparkSession, path: str) -> _Snapshot:
-    row = (
-        commits(spark, path)
-        .agg(
-            F.sort_array(F.collect_set("batch")).alias("batches"),
-            F.max("version").alias("version"),
-            F.coalesce(F.sum("texts"), F.lit(0)).alias("texts"),
-            F.coalesce(F.sum("words"), F.lit(0)).alias("words"),
-        )
-        .first()
+    """Commits are a few bytes per batch; ``compact_index`` keeps batches few."""
+    rows = commits(spark, path).collect()
+    versions = [row.version for row in rows if row.version is not None]
+    version = max(versions, default=None)
+    batches = {row.batch: row for row in rows if row.batch is not None}
+    parts: dict[str, set[int] | None] = dict.fromkeys(batches)
+    for row in batches.values():
+        for name in row.replaces or ():
+            if name not in parts:
+                continue
+            if row.replaced_bins is None:
+                del parts[name]
+            else:
+                parts[name] = (parts[name] or set()) | set(row.replaced_bins)
+    uncounted = [
+        row.texts for row in batches.values() if row.after_version == version and not row.replaces
+    ]
+    return _Snapshot(
+        parts,
+        version,
+        sum(row.texts for row in batches.values() if not row.replaces),
+        sum(row.words for row in batches.values() if not row.replaces),
+        sum(uncounted),
     )
-    return _Snapshot(**row.asDict())
 
 
-def _stored_rows(spark: SparkSession, path: str, batches: list[str]) -> DataFrame:
-    """Postings and lengths of the given batches."""
-    if not batches:
+def _stored_rows(spark: SparkSession, path: str, parts: dict[str, set[int] | None]) -> DataFrame:
+    """Postings and lengths of the given batches; no other folder is looked at."""
+    if not parts:
         return no_rows(spark, _POSTINGS)
-    rows = spark.read.schema(_POSTINGS).parquet(f"{path}/postings")
-    return rows.filter(F.col("batch").isin(batches))
+    reader = spark.read.schema(_POSTINGS).option("basePath", f"{path}/postings")
+    rows = reader.parquet(*[f"{path}/postings/batch={name}" for name in sorted(parts)])
+    for name, bins in sorted(parts.items()):
+        if bins:
+            rows = rows.filter((F.col("batch") != name) | ~F.col("bin").isin(sorted(bins)))
+    return rows
 
 
 def _postings(rows: DataFrame) -> DataFrame:
@@ -109,15 +137,11 @@ def read_index(spark: SparkSession, path: str) -> Index:
     """The index as it is now.  Later appends do not show; read it again for them."""
     bins, hash_function = index_settings(spark, path)
     found = _finished(spark, path)
-    rows = _stored_rows(spark, path, found.batches)
+    rows = _stored_rows(spark, path, found.parts)
     if found.version is None:
         metadata = no_rows(spark, _METADATA)
     else:
-        metadata = (
-            spark.read.schema(_METADATA)
-            .parquet(f"{path}/hash_metadata")
-            .filter(F.col("version") == found.version)
-        )
+        metadata = spark.read.schema(_METADATA).parquet(_version_folder(path, found.version))
     return Index(
         postings=_postings(rows),
         word_counts=_lengths(rows),
@@ -134,23 +158,32 @@ def read_index(spark: SparkSession, path: str) -> Index:
         ),
         bins=bins,
         hash_function=hash_function,
+        known_stats=(found.texts, found.words / found.texts if found.texts else None),
+        uncounted_texts=found.uncounted,
     )
 
 
+def _version_folder(path: str, version: int) -> str:
+    return f"{path}/hash_metadata/version={version}"
+
+
 def _in_bins(rows: DataFrame) -> DataFrame:
     """Rows of a bin brought together and sorted; a bin too big for a task is split by Spark."""
     order = [name for name in ("bin", "hash", "text_id") if name in rows.columns]
     return rows.hint("rebalance", "bin").sortWithinPartitions(*order)
 
 
-def _write_batch(spark: SparkSession, path: str, rows: DataFrame, batch: str) -> tuple[int, int]:
+def _write_batch(
+    spark: SparkSession, path: str, rows: DataFrame, batch: str, after_version: int | None
+) -> tuple[int, int]:
     folder = f"{path}/postings/batch={batch}"
     rows.write.mode("overwrite").partitionBy("bin").parquet(folder)
     lengths = spark.read.schema(_POSTINGS).parquet(folder).filter("bin = 0")
     totals = lengths.agg(
         F.count("text_id").alias("texts"), F.coalesce(F.sum("words_total"), F.lit(0)).alias("words")
     ).first()
-    _commit(spark, path, f"batch-{batch}", batch=batch, texts=totals.texts, words=totals.words)
+    values = {"batch": batch, "texts": totals.texts, "words": totals.words, "after_version": after_version}
+    _commit(spark, path, f"batch-{batch}", **values)
     return totals.texts, totals.words
 
 
@@ -167,9 +200,10 @@ def append_index(
 ) -> tuple[int, int]:
     """Index texts (``text_id``, ``text``) as one batch; returns the numbers of texts and words added.
 
-    Texts that are in the index already are an error, or left out with ``on_duplicate="skip"``.  A batch
-    that is named again replaces its first attempt; without a name it is a new one.  Document frequency
-    stays as it is until it is refreshed.
+    Texts that are in the index already, or twice in the batch, are an error; with ``on_duplicate="skip"``
+    they are left out, and of several texts with one id in a batch the smallest is taken.  A batch that is
+    named again replaces its first attempt; without a name it is a new one.  Document frequency stays as it
+    is until it is refreshed.
     """
     if on_duplicate not in ("error", "skip"):
         raise ValueError(f"on_duplicate must be 'error' or 'skip', not {on_duplicate!r}")
@@ -180,13 +214,17 @@ def append_index(
 
     ids = texts.agg(
         F.count(F.lit(1)).alias("rows"),
+        F.count("text_id").alias("filled"),
         F.count_distinct("text_id").alias("different"),
         F.min("text_id").alias("lowest"),
         F.max("text_id").alias("highest"),
     ).first()
-    if ids.rows != ids.different:
+    if ids.filled != ids.rows or (ids.rows != ids.different and on_duplicate == "error"):
         raise ValueError("texts to append must have a text_id each, and no two the same")
-    others = [name for name in _finished(spark, path).batches if name != batch]
+    if ids.rows != ids.different:
+        texts = texts.groupBy("text_id").agg(F.min("text").alias("text"))
+    found = _finished(spark, path)
+    others = {name: bins for name, bins in found.parts.items() if name != batch}
     if others and ids.rows:
         # Lengths are sorted by text id in their files: new numbers skip nearly all of them.
         known = _lengths(_stored_rows(spark, path, others)).filter(
@@ -200,41 +238,81 @@ def append_index(
             texts = texts.join(known, "text_id", "left_anti")
 
     rows = postings_and_lengths(texts, bins, hash_function)
-    return _write_batch(spark, path, _in_bins(rows), batch)
+    return _write_batch(spark, path, _in_bins(rows), batch, found.version)
 
 
 def refresh_document_frequency(spark: SparkSession, path: str) -> int:
-    """Count document frequency anew over all finished batches; returns the number of hashes."""
+    """Count document frequency anew over all finished batches; returns the number of hashes.
+
+    The count before the last one is removed: readers of an index opened since then do not need it.
+    """
     found = _finished(spark, path)
     version = 0 if found.version is None else found.version + 1
-    counted = document_frequency(_postings(_stored_rows(spark, path, found.batches)))
-    folder = f"{path}/hash_metadata/version={version}"
+    counted = document_frequency(_postings(_stored_rows(spark, path, found.parts)))
+    folder = _version_folder(path, version)
     _in_bins(counted).write.mode("overwrite").partitionBy("bin").parquet(folder)
     _commit(spark, path, f"version-{version}", version=version)
+    if version >= 2:
+        _remove(spark, _version_folder(path, version - 2))
     return spark.read.schema(_METADATA).parquet(folder).count()
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(folder)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _sorted_rows(rows: DataFrame) -> DataFrame:
+    """Partitions are ranges of (bin, hash, text_id): a word in a third of all texts is cut into many."""
+    order = ["bin", "hash", "text_id"]
+    return rows.drop("batch").repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def optimize_index(spark: SparkSession, path: str, target: str) -> tuple[int, int]:
     """Rewrite all batches as one, sorted by bin, hash and text id, into a new folder.
 
-    Partitions are ranges of (bin, hash, text_id): a word found in a third of all texts is cut into many
-    of them, and every file covers a narrow span of hashes that its statistics show to the scan.  Returns
-    the numbers of texts and words in it.
+    Every file covers a narrow span of hashes that its statistics show to the scan.  Returns the numbers
+    of texts and words in it.
     """
     bins, hash_function = index_settings(spark, path)
-    batches = _finished(spark, path).batches
+    rows = _sorted_rows(_stored_rows(spark, path, _finished(spark, path).parts))
     create_index(spark, target, bins, hash_function)
-    rows = (
-        _stored_rows(spark, path, batches)
-        .drop("batch")
-        .repartitionByRange("bin", "hash", "text_id")
-        .sortWithinPartitions("bin", "hash", "text_id")
-    )
-    totals = _write_batch(spark, target, rows, "all")
+    totals = _write_batch(spark, target, rows, "all", None)
     refresh_document_frequency(spark, target)
     return totals
 
 
+def compact_index(
+    spark: SparkSession,
+    path: str,
+    batches: Sequence[str] | None = None,
+    bins: Sequence[int] | None = None,
+) -> str:
+    """Rewrite some batches as one, or only some of their bins, sorted; returns the new batch's name.
+
+    Nothing changes for readers but the number of folders; the rewritten ones are left for readers of an
+    index that was opened before.
+    """
+    found = _finished(spark, path)
+    chosen = sorted(found.parts if batches is None else batches)
+    unknown = [name for name in chosen if name not in found.parts]
+    if unknown:
+        raise ValueError(f"no such batches: {unknown}")
+    rows = _stored_rows(spark, path, {name: found.parts[name] for name in chosen})
+    if bins is not None:
+        rows = rows.filter(F.col("bin").isin([int(number) for number in bins]))
+    name = uuid.uuid4().hex
+    _sorted_rows(rows).write.partitionBy("bin").parquet(f"{path}/postings/batch={name}")
+    # Batches that only stand in for these are replaced with them, so that what they replaced stays out.
+    values = F.array(*[F.lit(batch) for batch in chosen])
+    row = one_row(spark, _COMMITS, batch=name, texts=0, words=0).withColumn("replaces", values)
+    if bins is not None:
+        row = row.withColumn("replaced_bins", F.array(*[F.lit(int(number)) for number in bins]))
+    row.drop("entry").write.mode("overwrite").parquet(f"{path}/commits/entry=batch-{name}")
+    return name
+
+
 def write_index(
     texts: DataFrame, path: str, bins: int = DEFAULT_BINS, hash_function: str = "md5"
 ) -> Index:
