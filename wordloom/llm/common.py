@@ -1,16 +1,14 @@
-"""What several operators share: words, stable samples, class labels of linked rows, lasting tables."""
+"""What several operators share: words, stable samples, classes of linked rows."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from wordloom.session import new_shared_path
+from wordloom.session import written
 
 # A word over UTF-8 bytes, once A-Z are in lower case: digits, letters a-z, and all beyond ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -31,13 +29,6 @@ def arrow_bounded(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_BYTES))
 
 
-def written(frame: DataFrame, name: str) -> DataFrame:
-    """The frame computed once, as a table in the shared folder."""
-    path = new_shared_path(frame.sparkSession, name)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
-
-
 def held_out(doc_id: Column | str) -> Column:
     """Rows never learned from: crc32 of the id as text, modulo 4, is 2.  A null id counts as empty text."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -49,39 +40,6 @@ def hash_share(columns: Sequence[Column | str]) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def join_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
-def numbered(frame: DataFrame, order: Sequence[str], number: str) -> DataFrame:
-    """Rows numbered from 0 in a total order, without a global window.
-
-    Rows are cut into ranges and counted per range.  The ranges are kept as a table first: a range that was
-    computed again might be cut in another way.
-    """
-    ranges = written(
-        frame.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn(number, F.monotonically_increasing_id()),
-        "numbered",
-    )
-    in_range = 33
-    part = F.shiftright(number, in_range)
-    # One row per range of rows.
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        ranges.groupBy(part.alias("part"))
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .select("part", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
-    )
-    place = F.col("before") + F.col(number).bitwiseAND((1 << in_range) - 1)
-    return (
-        ranges.withColumn("part", part)
-        .join(F.broadcast(starts), "part")
-        .select(*[name for name in frame.columns if name != number], place.alias(number))
-    )
-
-
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """``node, component`` for every end of ``links`` (``left``, ``right``): the smallest id reachable.
 

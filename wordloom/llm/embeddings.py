@@ -21,7 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import arrow_bounded, components, numbered, written
+from wordloom.llm.common import arrow_bounded, components
+from wordloom.operators.numbering import numbered
+from wordloom.session import written
 
 COSINE = 0.98
 TILE = 2048

@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wordloom.llm.common import arrow_bounded, components, join_all, written
+from wordloom.llm.common import arrow_bounded, components
+from wordloom.session import union_all, written
 
 SHINGLE = 5
 SIMILARITY = 0.8

@@ -180,8 +180,8 @@ _MIX_SQL = f"""
     ),
     placed AS (
         SELECT doc_id, size, source_size, target, floor(target / nullif(source_size, 0)) AS passes,
-            CAST(sum(size) OVER (PARTITION BY source ORDER BY hash RANGE UNBOUNDED PRECEDING) AS BIGINT) AS up_to,
-            CAST(sum(size) OVER (PARTITION BY source, hash) AS BIGINT) AS same
+            CAST(sum(size) OVER (PARTITION BY docs.source ORDER BY hash RANGE UNBOUNDED PRECEDING) AS BIGINT) AS up_to,
+            CAST(sum(size) OVER (PARTITION BY docs.source, hash) AS BIGINT) AS same
         FROM docs JOIN targets ON docs.source IS NOT DISTINCT FROM targets.source
     )
     SELECT doc_id, size, source_size, target, CAST(size * (coalesce(passes, 0) + CASE

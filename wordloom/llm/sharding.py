@@ -19,7 +19,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import numbered, written
+from wordloom.operators.numbering import numbered
+from wordloom.session import written
 
 SHARDS = 24
 # A group of at least capacity / FINE bytes is packed by itself, and as many bundles are made per shard.
@@ -244,6 +245,7 @@ def shard_documents(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def sharded(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """All columns of ``documents``, then ``shard`` and ``slot``."""
-    row = F.struct(*[F.col(f"`{name}`") for name in documents.columns]).alias("row")
+    """All columns of ``documents``, then ``shard`` and ``slot``, which replace columns of these names."""
+    names = [name for name in documents.columns if name not in ("shard", "slot")]
+    row = F.struct(*[F.col(f"`{name}`") for name in names]).alias("row")
     return assign_shards(_measured(documents, row), shards).select("row.*", "shard", "slot")
