@@ -27,7 +27,8 @@ from wordloom.llm.common import arrow_bounded, hash_share, held_out, words_of
 SAMPLE_ROWS = 20_000
 # Word beginnings of these lengths in bytes are features.
 PREFIXES = (4, 5, 6, 7)
-# A mined feature's rate of toxic texts is at least this, by the lower end of its interval.
+# A mined feature's texts are toxic at least at this rate, and at MINED_RATE by the lower end of its interval.
+MINED_SEEN = 0.9
 MINED_RATE = 0.5
 MINED_Z = 2.58
 MINED_FEATURES = 4096
@@ -159,7 +160,9 @@ def fit_label_model(
         odds = prior * toxic / np.maximum((1 - prior) * clean, 1e-300)
         posterior = odds / (1 + odds)
         if step == rounds:
-            pairs = _correlated(heavy, votes)
+            # Labels tell a correlation within a class from one that makes the class; few labels do not.
+            told = labelled.sum(0).min() >= 50
+            pairs = _correlated([labelled[:, 0], labelled[:, 1]] if told else heavy, votes)
             if not pairs:
                 break
     rates = [np.array([w @ votes / max(w.sum(), 1e-9)])[0] for w in heavy]
@@ -182,7 +185,8 @@ def _correlated(heavy: list[np.ndarray], votes: np.ndarray, least: float = 0.1)
         correlation = (both - np.outer(mean, mean)) / np.outer(spread, spread)
         for i in range(votes.shape[1]):
             for j in range(i):
-                if min(mean[i], mean[j]) * total >= 5 and abs(correlation[i, j]) >= least:
+                size = abs(correlation[i, j])
+                if min(mean[i], mean[j]) * total >= 5 and size >= max(least, 4 / math.sqrt(total)):
                     found.add((j, i))
     return sorted(found)
 
@@ -257,7 +261,7 @@ def _feature_counts(rows: DataFrame, known: frozenset[bytes] | None) -> DataFram
 
 
 def _mined(sample: DataFrame, total: dict[int, int]) -> dict[bytes, int]:
-    """Features whose texts are toxic at a rate of ``MINED_RATE`` at least, by Wilson's lower bound."""
+    """Features whose texts are nearly always toxic, and often enough by Wilson's lower bound."""
     least = math.ceil(MINED_RATE * MINED_Z**2 / (1 - MINED_RATE))
     toxic = _feature_counts(sample.filter("toxic = 1"), None).filter(F.col("n") >= least).collect()
     found = {bytes(row.feature): row.n for row in toxic}
@@ -268,13 +272,15 @@ def _mined(sample: DataFrame, total: dict[int, int]) -> dict[bytes, int]:
         size = n + other.get(feature, 0)
         rate, z2 = n / size, MINED_Z**2
         low = (rate + z2 / (2 * size) - MINED_Z * math.sqrt(rate * (1 - rate) / size + z2 / (4 * size**2))) / (1 + z2 / size)
-        if low >= max(MINED_RATE, total[1] / (total[0] + total[1])):
+        if rate >= MINED_SEEN and low >= max(MINED_RATE, total[1] / (total[0] + total[1])):
             rated.append((-low, feature))
     return {feature: i for i, (_, feature) in enumerate(sorted(rated)[:MINED_FEATURES])}
 
 
 def _linear(active: list[list[int]], targets: np.ndarray, width: int, rounds: int = 400, l2: float = 1e-3):
     """Logistic regression on posterior labels: full-batch gradient steps with momentum."""
+    if not active:
+        return np.zeros(width), -2.0
     rows = np.repeat(np.arange(len(active)), [len(own) for own in active])
     columns = np.array([i for own in active for i in own], dtype=np.int64)
     weights, bias, n = np.zeros(width), -2.0, max(len(active), 1)
@@ -294,8 +300,9 @@ def _linear(active: list[list[int]], targets: np.ndarray, width: int, rounds: in
 def fit_toxicity(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Learn from ``documents`` (``doc_id``, ``text``) and ``labels`` (``doc_id``, ``toxic``).
 
-    Labels of held-out rows are not read.  Vote patterns are counted over all texts; words are mined and the
-    classifier is trained on about ``sample_rows`` labelled texts, chosen by a hash of their ids.
+    Labels of held-out rows are not read.  Vote patterns are counted over all texts.  Words are mined in about
+    ``sample_rows`` labelled texts, chosen by a hash of their ids; the classifier is trained on these and about
+    as many unlabelled ones.
     """
     spark = documents.sparkSession
     arrow_bounded(spark)
@@ -345,7 +352,10 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, sample_rows: int = SAM
             found.append({"votes": bits, "active": active})
         return pa.array(found, pa.struct([("votes", pa.int32()), ("active", pa.list_(pa.int32()))]))
 
-    sample = chosen if both else rows.filter(hash_share(["doc_id"]) < min(1.0, sample_rows / max(counts.sum(), 1)))
+    # Unlabelled texts have posterior labels too; held-out ones stay out.
+    others = min(1.0, sample_rows / max(counts.sum(), 1))
+    unlabelled = rows.filter(F.col("toxic").isNull() & ~held_out("doc_id") & (hash_share(["doc_id"]) < others))
+    sample = chosen.unionByName(unlabelled) if both else rows.filter(~held_out("doc_id") & (hash_share(["doc_id"]) < others))
     seen = F.arrow_udf(activate, "votes int, active array<int>")(F.col("text").cast("binary"))
     # Texts alike to the classifier are one row with a weight.
     table = (
