@@ -26,8 +26,10 @@ from wordloom import (
     search_phrase,
     search_word,
 )
+from wordloom.functions.text import with_tokens
 from wordloom.operators import indexing
 from wordloom.session import new_shared_path, spread
+from wordloom.sources import corpus
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -60,10 +62,22 @@ def main() -> None:
     # The table has a single row group; without the spread one core would do all the work.
     documents = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     texts = spread(documents.select(F.col("doc_id").alias("text_id"), "text"), "text_id")
+    # Whole passages; and every pair of words that follow each other in conversations.
     batch = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").select(
-        F.col("item_id").alias("query_id"),
-        F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("request"),
+        F.col("item_id").alias("query_id"), F.col("text").alias("request")
     )
+    tokens = with_tokens(spark.read.parquet(f"{SF_DIR}/conversations.parquet").select("text"), "text", "tokens")
+    places = F.sequence(F.lit(1), F.size("tokens") - 1)
+    pairs = (
+        tokens.filter(F.size("tokens") > 1)
+        .select(
+            F.explode(
+                F.transform(places, lambda place: F.array_join(F.slice("tokens", place, 2), " "))
+            ).alias("request")
+        )
+        .distinct()
+    )
+    pairs = corpus.assign_text_ids(pairs, ["request"]).withColumnRenamed("text_id", "query_id")
     seconds: dict[str, float] = {}
 
     def timed(name, job, warm=1):
@@ -106,9 +120,13 @@ def main() -> None:
         timed(f"phrase_{name}", lambda: search_phrase(index, one).collect())
     timed("any_position_batch", lambda: search_any_position(index, batch).collect())
     timed("phrase_batch", lambda: search_phrase(index, batch).collect())
-    timed("search_with_texts", lambda: search(index, batch, texts=texts).collect())
+    timed("any_position_word_pairs", lambda: noop(search_any_position(index, pairs, k=5)))
+    timed("phrase_word_pairs", lambda: noop(search_phrase(index, pairs, k=5)))
+    store = corpus.write_texts(texts, new_shared_path(spark, "texts"), 16)
+    timed("search_with_texts", lambda: search(index, asked(["of the"]), texts=store).collect())
 
     requests = batch.count()
+    pair_requests = pairs.count()
     print(
         json.dumps(
             {
@@ -126,6 +144,9 @@ def main() -> None:
                 ),
                 "any_position_requests_per_sec": round(requests / seconds["any_position_batch"], 1),
                 "phrase_requests_per_sec": round(requests / seconds["phrase_batch"], 1),
+                "word_pairs": pair_requests,
+                "any_position_pairs_per_sec": round(pair_requests / seconds["any_position_word_pairs"]),
+                "phrase_pairs_per_sec": round(pair_requests / seconds["phrase_word_pairs"]),
             }
         ),
         flush=True,
