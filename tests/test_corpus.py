@@ -41,7 +41,7 @@ def test_ingest_index_and_search(spark, source, tmp_path, ask):
     texts_path, index_path = str(tmp_path / "texts"), str(tmp_path / "index")
     rows = corpus.read_corpus(spark, source, COLUMNS)
     ingest_corpus(rows, texts_path, 5, ["title"], ["bg", "en"], 0.85)
-    stored = corpus.read_texts(spark, texts_path)
+    stored = corpus.read_texts(spark, texts_path).texts
     found = stored.orderBy("text_id").collect()
     assert [row.title for row in found] == expected_titles()
     assert [row.text_id for row in found] == list(range(1, len(found) + 1))
@@ -51,12 +51,12 @@ def test_ingest_index_and_search(spark, source, tmp_path, ask):
     # More texts continue the numbers.
     more = rows.withColumn("title", F.concat(F.lit("more "), "title"))
     ingest_corpus(more, texts_path, 5, ["title"], ["bg"], 0.85, max_texts=10, existing=True)
-    ids = sorted(row.text_id for row in corpus.read_texts(spark, texts_path).collect())
+    ids = sorted(row.text_id for row in corpus.read_texts(spark, texts_path).texts.collect())
     assert ids == list(range(1, len(found) + 11))
 
     index = index_texts(spark, texts_path, index_path, bins=4)
     hit = search_phrase(index, ask("number 9")).collect()
-    titles = {row.title for row in corpus.read_texts(spark, texts_path).join(
+    titles = {row.title for row in corpus.read_texts(spark, texts_path).texts.join(
         spark.createDataFrame(hit).select("text_id"), "text_id").collect()}
     assert {title.removeprefix("more ") for title in titles} == {"news 9"}
 
@@ -71,13 +71,50 @@ def test_numbers_do_not_depend_on_partitions(spark, source):
     assert [title for _, title in numbers[0]] == sorted(title for _, title in numbers[0])
 
 
-def test_a_key_must_tell_rows_apart(spark):
-    rows = spark.sql("SELECT * FROM VALUES (1, 'a'), (1, 'b') AS t(k, text)")
-    with pytest.raises(ValueError):
-        corpus.assign_text_ids(rows, ["k"])
-    rows = spark.sql("SELECT * FROM VALUES (1, 'a'), (NULL, 'b') AS t(k, text)")
+def test_copies_and_null_keys_have_ids_of_their_own(spark):
+    rows = spark.sql(
+        "SELECT * FROM VALUES (1, 'a'), (1, 'b'), (NULL, 'c'), (1, 'a'), (NULL, NULL), (0, 'z') AS t(k, text)"
+    )
+    runs = [
+        sorted(map(tuple, corpus.assign_text_ids(rows.repartition(n), ["k"]).collect())) for n in (1, 4)
+    ]
+    assert runs[0] == runs[1]
+    assert [text_id for text_id, _, _ in runs[0]] == [1, 2, 3, 4, 5, 6]
+    assert [k for _, k, _ in runs[0]] == [None, None, 0, 1, 1, 1]
+    assert corpus.assign_text_ids(rows.limit(0), ["k"]).collect() == []
+
+
+def test_one_key_in_all_rows_is_numbered_in_parts(spark):
+    rows = spark.range(0, 50_000, 1, 8).select(F.lit("hot").alias("k"), F.lit("same").alias("text"))
+    # Without joining small partitions again.
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        numbered = corpus.assign_text_ids(rows, ["k"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    parts = numbered.groupBy(F.input_file_name()).count().collect()
+    assert len(parts) >= 3 and max(row["count"] for row in parts) < 35_000
+    assert numbered.agg(F.count_distinct("text_id"), F.max("text_id")).first() == (50_000, 50_000)
+
+
+def test_text_store_knows_its_bins_and_ids(spark, tmp_path):
+    path = str(tmp_path / "store")
+    texts = spark.sql("SELECT * FROM VALUES (1L, 'a'), (2L, 'b') AS t(text_id, text)")
+    store = corpus.write_texts(texts, path, 3)
+    assert store.bins == 3 and store.texts.count() == 2
+    with pytest.raises(Exception, match="already exists"):
+        corpus.create_texts(spark, path, 4)
+    with pytest.raises(ValueError, match="in the store already"):
+        corpus.append_texts(texts.filter("text_id = 2"), path)
+    with pytest.raises(ValueError, match="no two the same"):
+        corpus.append_texts(texts.union(texts).withColumn("text_id", F.col("text_id") + 10), path)
+    more = texts.withColumn("text_id", F.col("text_id") + 10)
+    assert corpus.append_texts(more, path, "more") == corpus.append_texts(more, path, "more") == 2
+    assert sorted(row.text_id for row in corpus.read_texts(spark, path).texts.collect()) == [1, 2, 11, 12]
     with pytest.raises(ValueError):
-        corpus.assign_text_ids(rows, ["k"])
+        corpus.create_texts(spark, path + "0", 0)
+    empty = corpus.write_texts(texts.limit(0), path + "1", 2)
+    assert empty.texts.count() == 0
 
 
 def test_filter_reaches_the_scan(spark, source):
@@ -91,18 +128,20 @@ def test_no_shared_folder_outside_local_mode():
     from wordloom.session import shared_folder
 
     class Context:
-        master = "spark://host:7077"
+        def __init__(self, master):
+            self.master = master
 
         def getCheckpointDir(self):
             return None
 
     class Session:
-        sparkContext = Context()
-
         class conf:
             @staticmethod
             def get(name, default):
                 return default
 
-    with pytest.raises(RuntimeError):
-        shared_folder(Session())
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]"):
+        session = Session()
+        session.sparkContext = Context(master)
+        with pytest.raises(RuntimeError):
+            shared_folder(session)

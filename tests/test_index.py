@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from wordloom import (
     append_index,
+    compact_index,
     create_index,
     optimize_index,
     read_index,
@@ -168,8 +169,10 @@ def test_scan_reads_only_the_bins_and_columns_of_the_request(spark, micro_index,
 
 
 def test_best_rows_are_cut_before_the_shuffle(micro_index, ask):
-    plan = search_any_position(micro_index, ask("green energy"), k=10)
+    plan = search_any_position(micro_index, ask("green energy", "the market"), k=10)
     assert "WindowGroupLimit" in plan._jdf.queryExecution().executedPlan().toString()
+    plan = search_any_position(micro_index, ask("green energy"), k=10)
+    assert "TakeOrderedAndProject" in plan._jdf.queryExecution().executedPlan().toString()
 
 
 def test_index_is_built_without_python_or_shuffle(spark, micro_texts):
@@ -199,15 +202,69 @@ def test_streamed_index(spark, micro_texts, micro_index, tmp_path):
     assert run() == content(micro_index)
 
 
-def test_frequent_words_are_moved_once(monkeypatch, micro_index, ask):
+def test_frequent_words_are_moved_by_text_only(monkeypatch, micro_index, ask):
     import wordloom.plans.matching as matching
 
     monkeypatch.setattr(matching, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(matching, "DIRECT_POSTINGS", 0)
     plan = matching.compile_requests(micro_index, ask("the market", "the green"))
     assert set(plan.routes) == {"wide"}
     hits = matching.route_hits(micro_index, plan, "wide", ["term_frequency"])
     counted = hits.groupBy("text_id", "query_id").count()
     text = counted._jdf.queryExecution().executedPlan().toString()
-    moved = [line for line in text.splitlines() if "Exchange hashpartitioning(text_id" in line]
-    assert len(moved) == 1 and "REPARTITION_BY_COL" in moved[0]
-    assert "SortMergeJoin" not in text
+    moved = [line for line in text.splitlines() if "Exchange hashpartitioning(" in line]
+    by_text = [line for line in moved if "(text_id" in line]
+    assert by_text and all("REPARTITION_BY_COL" in line for line in by_text)
+
+
+def test_a_batch_with_repeated_ids(spark, micro_texts, micro_index, path):
+    create_index(spark, path, 7)
+    twice = micro_texts.union(micro_texts.withColumn("text", F.concat("text", F.lit(" zzz"))))
+    assert append_index(twice, path, "all", on_duplicate="skip") == (8, 32)
+    refresh_document_frequency(spark, path)
+    assert content(read_index(spark, path)) == content(micro_index)
+    with pytest.raises(ValueError, match="no two the same"):
+        append_index(spark.sql("SELECT CAST(NULL AS LONG) AS text_id, 'x' AS text"), path, on_duplicate="skip")
+
+
+def test_rebuilding_batches_and_bins(spark, micro_texts, micro_index, path):
+    create_index(spark, path, 7)
+    for part in range(3):
+        append_index(micro_texts.filter(F.col("text_id") % 3 == part), path, f"part{part}")
+    refresh_document_frequency(spark, path)
+    fullest = micro_index.postings.groupBy("bin").count().orderBy(F.desc("count")).first().bin
+    compact_index(spark, path, bins=[fullest])
+    assert content(read_index(spark, path)) == content(micro_index)
+    own = read_index(spark, path).postings.filter(F.col("bin") == fullest)
+    files = own.select(F.input_file_name()).distinct()
+    assert files.count() == 1
+    compact_index(spark, path, ["part0", "part1"])
+    assert content(read_index(spark, path)) == content(micro_index)
+    compact_index(spark, path)
+    index = read_index(spark, path)
+    assert content(index) == content(micro_index)
+    assert len(index.postings.inputFiles()) <= 8
+    with pytest.raises(ValueError, match="no such batches"):
+        compact_index(spark, path, ["part0"])
+    # An append after a rewrite is one more batch.
+    assert append_index(spark.sql("SELECT 50L AS text_id, 'green' AS text"), path) == (1, 1)
+    with pytest.raises(ValueError, match="in the index already"):
+        append_index(micro_texts.filter("text_id = 1"), path)
+
+
+def test_only_finished_batches_are_listed(spark, micro_texts, path):
+    create_index(spark, path, 7)
+    append_index(micro_texts, path, "done")
+    micro_texts.write.parquet(f"{path}/postings/batch=broken/bin=1")
+    assert read_index(spark, path).postings.count() > 0
+    assert all("batch=done" in name for name in read_index(spark, path).postings.inputFiles())
+
+
+def test_old_document_frequencies_go(spark, micro_texts, path):
+    import os
+
+    create_index(spark, path, 7)
+    append_index(micro_texts, path)
+    for _ in range(4):
+        refresh_document_frequency(spark, path)
+    assert sorted(os.listdir(f"{path}/hash_metadata")) == ["version=2", "version=3"]

@@ -102,6 +102,9 @@ def test_every_route_gives_the_same(monkeypatch, micro_index, ask, limit, salts)
     import wordloom.plans.matching as matching
     import wordloom.plans.search as searching
 
+    monkeypatch.setattr(matching, "DIRECT_POSTINGS", 0)
+    monkeypatch.setattr(searching, "LITERALS", limit)
+    monkeypatch.setattr(matching, "ROWS_PER_SALT", 2)
     if not salts and limit < 40:
         # Requests stay broadcastable, their candidates do not.
         monkeypatch.setattr(matching, "BROADCAST_ROWS", 25)
@@ -152,23 +155,136 @@ def test_phrase_is_subset_of_any_position(micro_index, ask):
     assert phrases.join(anywhere, ["query_id", "text_id"], "left_anti").isEmpty()
 
 
-def test_texts_are_attached(micro_index, micro_texts, ask):
-    from wordloom.sources.corpus import with_text_bins
+@pytest.mark.parametrize("literals, broadcast", [(200, 1000), (1, 1000), (1, 1)])
+def test_texts_are_attached(monkeypatch, micro_index, micro_texts, ask, tmp_path, literals, broadcast):
+    from wordloom.operators import results
+    from wordloom.sources import corpus
 
-    stored = with_text_bins(
-        micro_texts.filter("text_id <> 7").withColumn("title", F.concat(F.lit("t"), "text_id")), 5
-    )
-    found = search(micro_index, ask("energy green"), texts=stored, text_bins=5)
+    monkeypatch.setattr(results, "LITERALS", literals)
+    monkeypatch.setattr(results, "BROADCAST_ROWS", broadcast)
+    rows = micro_texts.filter("text_id <> 7").withColumn("title", F.concat(F.lit("t"), "text_id"))
+    store = corpus.write_texts(rows, str(tmp_path / "store"), 5)
+    found = search(micro_index, ask("energy green"), texts=store)
     assert found.columns == [
         "query_id", "result_number", "bm25_score", "matching_words", "text_id", "title", "text",
     ]
-    rows = found.orderBy("result_number").collect()
+    rows = found.collect()
     assert [(r.text_id, r.title, r.text) for r in rows] == [
         (7, None, None),
         (1, "t1", "Green energy, green jobs."),
     ]
 
 
+def test_few_texts_are_looked_up_by_id(spark, micro_index, ask, tmp_path):
+    from wordloom.sources import corpus
+
+    rows = spark.range(0, 20_000, 1, 4).select(F.col("id").alias("text_id"), F.repeat(F.lit("long "), 40).alias("text"))
+    store = corpus.write_texts(rows, str(tmp_path / "store"), 4)
+    found = search(micro_index, ask("energy green"), texts=store)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan" in line and "text_bin" in line)
+    assert "EqualTo(text_id,1)" in scan.split("PushedFilters:")[1]
+    assert "text_bin" in scan.split("PartitionFilters:")[1].split("]")[0]
+
+
+def test_many_literals_are_pushed_one_by_one(micro_index):
+    from wordloom.plans.matching import Pruning
+
+    hashes = [f"{n:032x}" for n in range(150)]
+    plan = Pruning(hashes=hashes).apply(micro_index.postings)._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan" in line)
+    assert "Or(" in scan.split("PushedFilters:")[1] and "In(hash" not in scan
+
+
+@pytest.mark.parametrize("ids", [[1, 1], [1, None]])
+def test_requests_need_ids_of_their_own(spark, micro_index, ids):
+    requests = spark.createDataFrame([(ids[0], "green"), (ids[1], "market")], "query_id long, request string")
+    for find in (search_any_position, search_phrase, search_word, search):
+        with pytest.raises(ValueError, match="no two the same"):
+            find(micro_index, requests)
+
+
+def test_a_phrase_requires_all_words(micro_index, ask):
+    with pytest.raises(ValueError):
+        search(micro_index, ask("green"), unknown_terms="drop")
+
+
+def test_intersection_of_nothing(micro_index, ask):
+    assert match_all_by_intersection(micro_index, ask("zzz", "?!"), 0).collect() == []
+    assert match_all_by_intersection(micro_index, ask("zzz", "?!"), 1).collect() == []
+
+
+def test_phrases_are_compared_once(monkeypatch, micro_index, ask):
+    import wordloom.plans.matching as matching
+
+    for postings in (matching.DIRECT_POSTINGS, 0):
+        monkeypatch.setattr(matching, "DIRECT_POSTINGS", postings)
+        plan = search_phrase(micro_index, ask("green energy", "the market"))
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count("array_intersect(") == 1
+
+
+def jobs_of(spark, work):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("counted", "counted")
+    before = len(tracker.getJobIdsForGroup("counted"))
+    try:
+        work()
+    finally:
+        spark.sparkContext.setJobGroup("other", "other")
+    return len(tracker.getJobIdsForGroup("counted")) - before
+
+
+def test_a_request_starts_few_jobs(spark, micro_index, micro_texts, ask, tmp_path):
+    from wordloom.sources import corpus
+
+    store = corpus.write_texts(micro_texts, str(tmp_path / "store"), 5)
+    asked = {text: ask(text) for text in ("green", "the market")}
+    assert jobs_of(spark, lambda: search_word(micro_index, asked["green"]).collect()) <= 4
+    assert jobs_of(spark, lambda: search_any_position(micro_index, asked["the market"]).collect()) <= 4
+    assert jobs_of(spark, lambda: search_phrase(micro_index, asked["the market"]).collect()) <= 4
+    assert jobs_of(spark, lambda: search(micro_index, asked["the market"], texts=store).collect()) <= 6
+
+
+def test_stale_counts_never_become_literals(spark, ask, tmp_path, monkeypatch):
+    """Words that were rare when they were counted, and are not any more."""
+    import wordloom.plans.matching as matching
+    from wordloom import append_index, create_index, read_index, refresh_document_frequency
+
+    path = str(tmp_path / "index")
+    create_index(spark, path, 3)
+    append_index(spark.sql("SELECT * FROM VALUES (1L, 'a b'), (2L, 'b c') AS t(text_id, text)"), path)
+    refresh_document_frequency(spark, path)
+    more = spark.range(10, 2010).select(F.col("id").alias("text_id"), F.lit("a b").alias("text"))
+    append_index(more, path)
+    index = read_index(spark, path)
+    assert index.uncounted_texts == 2000
+    monkeypatch.setattr(matching, "DIRECT_POSTINGS", 0)
+    named = []
+    apply = matching.Pruning.apply
+    monkeypatch.setattr(
+        matching.Pruning, "apply", lambda self, frame: named.append(self.text_ids or []) or apply(self, frame)
+    )
+    for limit, route in ((matching.BROADCAST_ROWS, "narrow"), (100, "wide")):
+        monkeypatch.setattr(matching, "BROADCAST_ROWS", limit)
+        plan = matching.compile_requests(index, ask("a b"))
+        assert set(plan.routes) == {route}
+        assert search_any_position(index, ask("a b"), k=3000).count() == 2001
+    assert all(len(ids) <= matching.LITERALS for ids in named)
+    refresh_document_frequency(spark, path)
+    assert read_index(spark, path).uncounted_texts == 0
+
+
+def test_big_batches_are_folded_and_take_the_wide_route(spark):
+    import __spark_entry__ as entry
+    import wordloom.plans.matching as matching
+
+    sf_dir = "/root/testdata/sf0.01"
+    index = entry.stored_index(spark, sf_dir)
+    plan = matching.compile_requests(index, entry.word_pairs(spark, sf_dir), fold=True)
+    assert plan.folded is not None and {"wide"} <= set(plan.routes)
+
+
 def test_overlapping_occurrences(spark, ask):
     texts = spark.createDataFrame([(1, "a a a a"), (2, "b"), (3, "c")], "text_id long, text string")
     found = search_phrase(build_index(texts, 4), ask("a a")).collect()

@@ -9,19 +9,22 @@ from wordloom.functions.hashing import word_hash
 from wordloom.functions.text import with_tokens
 
 
-def request_terms(requests: DataFrame, hash_function: str = "md5") -> DataFrame:
+def request_terms(
+    requests: DataFrame, hash_function: str = "md5", keep_empty: bool = False
+) -> DataFrame:
     """The words of requests (``query_id``, ``request``) in order, repeats kept.
 
     Made with the column functions of indexing.  ``slots`` is the number of words, ``distinct_words`` of
-    different ones; a request without words has no rows.
+    different ones; a request without words has no rows, or with ``keep_empty`` one without a word.
     """
+    listed = F.posexplode_outer if keep_empty else F.posexplode
     return (
         with_tokens(requests.select("query_id", "request"), "request", "tokens")
         .select(
             "query_id",
             F.size("tokens").alias("slots"),
             F.size(F.array_distinct("tokens")).alias("distinct_words"),
-            F.posexplode("tokens").alias("phrase_offset", "term"),
+            listed("tokens").alias("phrase_offset", "term"),
         )
         .select(
             "query_id",

@@ -19,7 +19,7 @@ import dataclasses
 from collections import defaultdict
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -206,32 +206,29 @@ def fold_requests(terms: DataFrame) -> tuple[DataFrame, Folded]:
     )
 
 
-def check_requests(requests: DataFrame) -> None:
-    """Requests need an id each, and no two the same."""
-    ids = requests.agg(
-        F.count(F.lit(1)).alias("rows"), F.count_distinct("query_id").alias("different")
-    ).first()
-    if ids.rows != ids.different:
-        raise ValueError("requests must have a query_id each, and no two the same")
-
+def asked_terms(index: Index, requests: DataFrame) -> tuple[DataFrame, pa.Table | None]:
+    """The words of requests with their bins, computed once; few are given as a table too.
 
-def asked_terms(index: Index, requests: DataFrame) -> DataFrame:
-    """The words of requests with their bins, computed once.
-
-    A small table of requests is checked and kept together with its words in one job: a request without
-    words has a row without a hash until it is checked.
+    Requests need an id each, and no two the same: a request has one first word, or one row without any.
     """
-    requests = requests.select("query_id", "request")
-    found = requests.limit(LOCAL_ROWS + 1).toArrow()
-    if found.num_rows > LOCAL_ROWS:
-        check_requests(requests)
-    else:
-        ids = found.column("query_id").to_pylist()
-        if None in ids or len(set(ids)) != len(ids):
+    found = request_terms(requests, index.hash_function, keep_empty=True)
+    found = found.withColumn("bin", hash_bin("hash", index.bins))
+    table = found.limit(LOCAL_ROWS + 1).toArrow()
+    if table.num_rows > LOCAL_ROWS:
+        found = durable(found)
+        firsts = found.filter(F.coalesce("phrase_offset", F.lit(0)) == 0)
+        counted = firsts.agg(
+            F.count(F.lit(1)).alias("rows"), F.count_distinct("query_id").alias("different")
+        ).first()
+        if counted.rows != counted.different:
             raise ValueError("requests must have a query_id each, and no two the same")
-        requests = requests.sparkSession.createDataFrame(found, requests.schema)
-    terms = request_terms(requests, index.hash_function)
-    return settled(terms.withColumn("bin", hash_bin("hash", index.bins)))
+        return found.filter(F.col("hash").isNotNull()), None
+    offsets = table.column("phrase_offset").to_pylist()
+    ids = [query_id for query_id, place in zip(table.column("query_id").to_pylist(), offsets, strict=True) if not place]
+    if None in ids or len(set(ids)) != len(ids):
+        raise ValueError("requests must have a query_id each, and no two the same")
+    table = table.filter(table.column("hash").is_valid())
+    return requests.sparkSession.createDataFrame(table, found.schema), table
 
 
 def compile_requests(
@@ -245,16 +242,16 @@ def compile_requests(
     """
     if unknown_terms not in UNKNOWN_TERMS:
         raise ValueError(f"unknown_terms must be one of {UNKNOWN_TERMS}, not {unknown_terms!r}")
-    terms = asked_terms(index, requests)
-    rows = terms.limit(LOCAL_ROWS + 1).collect()
-    if len(rows) <= LOCAL_ROWS:
-        return _small_plan(index, terms, rows, unknown_terms)
+    terms, table = asked_terms(index, requests)
+    if table is not None:
+        return _small_plan(index, terms, table, unknown_terms)
     return _big_plan(index, terms, unknown_terms, fold)
 
 
-def _small_plan(index: Index, terms: DataFrame, rows: list, unknown_terms: str) -> RequestPlan:
+def _small_plan(index: Index, terms: DataFrame, table: pa.Table, unknown_terms: str) -> RequestPlan:
     """The plan of a batch whose words the driver can hold: one look at document frequency, no other job."""
     spark = terms.sparkSession
+    rows = [Row(**row) for row in table.to_pylist()]
     pruning = _pruning_of(rows, index.bins)
     metadata = pruning.apply(index.hash_metadata).select("hash", "document_count")
     if rows and pruning.hashes is None:
@@ -291,7 +288,7 @@ def _small_plan(index: Index, terms: DataFrame, rows: list, unknown_terms: str)
         routes[name] = Route(_pruning_of(taken, index.bins), _pruning_of(rarest, index.bins), bound)
     postings = {word.hash: word.document_count + index.uncounted_texts for word in words}
     columns = {
-        "query_id": pa.array([queries[word.query] for word in words], type=_arrow_type(terms)),
+        "query_id": pa.array([queries[word.query] for word in words], type=table.schema.field("query_id").type),
         **{
             name: pa.array([getattr(word, name) for word in words], type=kind)
             for name, kind in (
@@ -321,10 +318,6 @@ def _small_plan(index: Index, terms: DataFrame, rows: list, unknown_terms: str)
     )
 
 
-def _arrow_type(terms: DataFrame) -> pa.DataType:
-    return terms.select("query_id").limit(0).toArrow().schema.field(0).type
-
-
 def _big_plan(index: Index, terms: DataFrame, unknown_terms: str, fold: bool) -> RequestPlan:
     folded = None
     if fold:

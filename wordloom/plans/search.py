@@ -116,7 +116,7 @@ def search_word(
     Answers requests of exactly one word.  A word whose document frequency is not known yet still matches,
     with a NULL score.
     """
-    terms = asked_terms(index, requests).filter("slots = 1")
+    terms = asked_terms(index, requests)[0].filter("slots = 1")
     queries = terms.select("query_id").limit(LOCAL_ROWS + 1).collect()
     folded = None
     if len(queries) > LOCAL_ROWS:

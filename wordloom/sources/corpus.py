@@ -95,7 +95,8 @@ class TextStore:
 
 def _text_batches(spark: SparkSession, path: str) -> dict[str, int]:
     rows = spark.read.schema(_COMMITS).parquet(f"{path}/commits").collect()
-    return {row.entry: row.texts for row in rows if row.texts is not None}
+    # A batch without texts has no file.
+    return {row.entry: row.texts for row in rows if row.texts}
 
 
 def create_texts(spark: SparkSession, path: str, bins: int) -> None:
