@@ -77,13 +77,9 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
             .distinct()
         )
         edges = written(small, "links")
-        # Stars: every node has one link, to a node that has none upwards.
-        state = tuple(
-            edges.agg(
-                F.count(F.lit(1)), F.count_distinct("high"), F.bit_xor(F.xxhash64("high", "low"))
-            ).first()
-        )
-        if state == before and state[0] == state[1]:
+        # Nothing changes once every node is linked with the smallest of its component, and only with that.
+        state = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("high", "low"))).first())
+        if state == before:
             break
         before = state
     else:
@@ -91,3 +87,23 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     nodes = edges.select(F.col("high").alias("node"), F.col("low").alias("component"))
     roots = edges.select(F.col("low").alias("node"), F.col("low").alias("component")).distinct()
     return nodes.unionByName(roots)
+
+
+def more_components(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``groups`` (as ``components`` gives them) after more ``links``: only components are linked anew."""
+
+    def of(end: str) -> DataFrame:
+        return groups.select(F.col("node").alias(end), F.col("component").alias(f"{end}_component"))
+
+    between = links.join(of("left"), "left", "left").join(of("right"), "right", "left")
+    joined = components(
+        between.select(
+            F.coalesce("left_component", "left").alias("left"),
+            F.coalesce("right_component", "right").alias("right"),
+        )
+    )
+    renamed = joined.select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    old = groups.join(renamed, "component", "left").select(
+        "node", F.coalesce("joined", "component").alias("component")
+    )
+    return written(old.unionByName(joined.join(groups, "node", "left_anti")), "components")

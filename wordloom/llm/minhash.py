@@ -8,9 +8,10 @@ probability that is their weighted Jaccard similarity) are banded.  Texts that s
 exactly, and linked at ``SIMILARITY`` or more.
 
 Texts that are equal are one node from the start.  In a band's bucket everything is compared with the most
-central text; what is not linked with it yet is compared with all others of the bucket, a growing number of
-texts at a time, until no pair is left that other links do not connect.  So copies never make all pairs and
-no link between two texts that share a bucket is lost.
+central text first.  What that does not connect is compared with all others of the bucket, in blocks: a
+sketch of each text (its weight in ``GROUPS`` groups of shingles) bounds the similarity of two texts from
+above, and only pairs that can reach the threshold and that nothing connects yet are compared exactly, the
+likeliest first.  So copies never make all pairs, and no link between two texts that share a bucket is lost.
 
 Texts without words (null, empty, signs only) are near to nothing; shorter texts than a shingle are one
 shingle.  The class of a document is the smallest ``doc_id`` of its group, null if all are null; of several
@@ -23,10 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from wordloom.llm.common import arrow_bounded, components
-from wordloom.session import union_all, written
+from wordloom.llm.common import arrow_bounded, components, more_components
+from wordloom.session import written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -37,8 +37,12 @@ FEATURE_BITS = 18
 _SLICES = 16
 # Texts of about so many bytes are hashed at once.
 _CHUNK = 1 << 20
-# Texts of a bucket that are compared with all others, by round; the last number holds on.
-_PIVOTS = (1, 16, 256, 4096)
+GROUPS = 64
+# Texts of a block, and of a bucket that is not cut into blocks.
+BLOCK = 2048
+SMALL = 64
+# Pairs tried first for a text and each component near it; then all that are left.
+TRIES = 3
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -211,19 +215,22 @@ def samples(owner: np.ndarray, hashes: np.ndarray, weights: np.ndarray, texts: i
     return found
 
 
-def band_keys(texts: list[bytes | None], idf: np.ndarray) -> list[list[int]]:
-    """Band keys of each text; none for a text without words."""
+def signed(texts: list[bytes | None], idf: np.ndarray) -> tuple[list[list[int]], list[bytes]]:
+    """Band keys and sketch of each text; no keys for a text without words."""
     keys: list[list[int]] = []
+    drawn: list[bytes] = []
     for begin, end in _chunks(texts):
         owner, hashes, often = shingles([text or b"" for text in texts[begin:end]])
-        found = samples(owner, hashes, often * idf[_buckets(hashes)], end - begin, BANDS * ROWS)
+        weights = often * idf[_buckets(hashes)]
+        found = samples(owner, hashes, weights, end - begin, BANDS * ROWS)
         bands = np.zeros((BANDS, end - begin), np.uint64)
         for row in range(ROWS):
             bands = _mix(bands + found[row::ROWS] + np.uint64(row + 1))
         bands = _mix(bands + np.arange(BANDS, dtype=np.uint64)[:, None]).view(np.int64)
         filled = np.bincount(owner, minlength=end - begin) > 0
         keys += [own if has else [] for own, has in zip(bands.T.tolist(), filled.tolist(), strict=True)]
-    return keys
+        drawn += [own.tobytes() for own in sketches(owner, hashes, weights, end - begin)]
+    return keys, drawn
 
 
 def weighted_jaccard(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> float:
@@ -239,6 +246,38 @@ def _weighted(text: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hashes, (often * idf[_buckets(hashes)]).astype(np.float64)
 
 
+def sketches(owner: np.ndarray, hashes: np.ndarray, weights: np.ndarray, texts: int) -> np.ndarray:
+    """The weight of each text's shingles in each group of hashes."""
+    group = (_mix(hashes + np.uint64(77)) % np.uint64(GROUPS)).astype(np.int64)
+    summed = np.bincount(owner * GROUPS + group, weights, minlength=texts * GROUPS)
+    return summed.reshape(texts, GROUPS).astype(np.float32)
+
+
+def similarity_bounds(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """No two texts of these sketches are more similar than this."""
+    shared = np.zeros((len(one), len(two)), np.float32)
+    for group in range(GROUPS):
+        shared += np.minimum(one[:, group, None], two[None, :, group])
+    both = one.sum(1)[:, None] + two.sum(1)[None, :] - shared
+    return shared / np.maximum(both, 1e-12)
+
+
+# Sketches are rounded to 32 bits.
+_ROUNDING = 1e-4
+
+
+def _reachable(least: float) -> Column:
+    def bound(ones: pa.Array, twos: pa.Array) -> pa.Array:
+        one, two = (
+            np.frombuffer(b"".join(side.to_pylist()), np.float32).reshape(-1, GROUPS) for side in (ones, twos)
+        )
+        shared = np.minimum(one, two).sum(1)
+        both = np.maximum(one.sum(1) + two.sum(1) - shared, 1e-12)
+        return pa.array(shared / both >= least - _ROUNDING)
+
+    return F.arrow_udf(bound, "boolean")("pivot_sketch", "sketch")
+
+
 def _similar(idf: np.ndarray, least: float) -> Column:
     def compare(ones: pa.Array, twos: pa.Array) -> pa.Array:
         found = []
@@ -259,13 +298,17 @@ def _node() -> Column:
 
 
 def signatures(documents: DataFrame, idf: np.ndarray) -> DataFrame:
-    """``doc_id, node, bands`` of every document, as a table."""
+    """``doc_id, node, bands, sketch`` of every document, as a table."""
 
-    def keys(texts: pa.Array) -> pa.Array:
-        return pa.array(band_keys(texts.to_pylist(), idf), pa.list_(pa.int64()))
+    def sign(texts: pa.Array) -> pa.Array:
+        keys, drawn = signed(texts.to_pylist(), idf)
+        return pa.StructArray.from_arrays(
+            [pa.array(keys, pa.list_(pa.int64())), pa.array(drawn, pa.binary())], ["bands", "sketch"]
+        )
 
-    bands = F.arrow_udf(keys, "array<long>")(F.col("text").cast("binary"))
-    return written(documents.select("doc_id", _node().alias("node"), bands.alias("bands")), "signatures")
+    found = F.arrow_udf(sign, "bands array<long>, sketch binary")(F.col("text").cast("binary"))
+    rows = documents.select("doc_id", _node().alias("node"), found.alias("found"))
+    return written(rows.select("doc_id", "node", "found.bands", "found.sketch"), "signatures")
 
 
 def _texts_of(nodes: DataFrame, documents: DataFrame) -> DataFrame:
@@ -275,82 +318,145 @@ def _texts_of(nodes: DataFrame, documents: DataFrame) -> DataFrame:
     return written(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
-    """Those of ``pairs`` (``pivot``, ``node``) that are similar, as a table."""
+def _linked(pairs: DataFrame, texts: DataFrame, drawn: DataFrame | None, idf: np.ndarray, least: float) -> DataFrame:
+    """Those of ``pairs`` (``pivot``, ``node``) that are similar, as a table; hopeless ones go by their sketches."""
+    if drawn is not None:
+        of_pivot = drawn.select(F.col("node").alias("pivot"), F.col("sketch").alias("pivot_sketch"))
+        pairs = pairs.join(drawn, "node").join(of_pivot, "pivot").filter(_reachable(least)).select("pivot", "node")
     pivots = texts.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text"))
     similar = pairs.join(texts, "node").join(pivots, "pivot").filter(_similar(idf, least))
     return written(similar.select(F.col("pivot").alias("left"), F.col("node").alias("right")), "similar")
 
 
+def _unordered(pairs: DataFrame) -> DataFrame:
+    """Different pairs ``pivot, node``, each in one order."""
+    return pairs.select(
+        F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node")
+    ).distinct()
+
+
+def _grouped(rows: DataFrame, groups: DataFrame, node: str, component: str) -> DataFrame:
+    """Rows with the component of ``node``, which is the node itself if nothing is linked with it."""
+    own = groups.select(F.col("node").alias(node), F.col("component").alias(component))
+    return rows.join(own, node, "left").withColumn(component, F.coalesce(component, node))
+
+
+def _block_pairs(left: DataFrame, bucket: DataFrame, drawn: DataFrame, least: float, tries: int | None) -> DataFrame:
+    """``pivot, node`` from big buckets: each text of ``left`` with texts of other components it can be similar to.
+
+    Both have ``key, node, size, component``.  At most ``tries`` texts of a component and block, the likeliest
+    first, or all.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    every = F.explode(F.sequence(F.lit(0), blocks - 1))
+    ones = left.join(drawn, "node").select("key", "node", "component", "sketch", own.alias("one"), every.alias("two"))
+    # Only blocks in which a text is left are met.
+    met = left.select("key", own.alias("one")).distinct()
+    twos = (
+        bucket.join(drawn, "node")
+        .select("key", "node", "component", "sketch", own.alias("two"))
+        .join(met, "key")
+    )
+    # Both come from the same tables: their columns need names of their own.
+    twos = twos.select(*[F.col(name).alias(f"its_{name}") for name in twos.columns])
+
+    def compare(one: pa.Table, two: pa.Table) -> pa.Table:
+        found_one: list[bytes] = []
+        found_two: list[bytes] = []
+        if one.num_rows and two.num_rows:
+            a, b = (
+                np.frombuffer(b"".join(raw.to_pylist()), np.float32).reshape(-1, GROUPS)
+                for raw in (one.column("sketch"), two.column("its_sketch"))
+            )
+            nodes, others = one.column("node").to_pylist(), two.column("its_node").to_pylist()
+            components_ = one.column("component").to_pylist(), two.column("its_component").to_pylist()
+            names = {name: i for i, name in enumerate({*components_[0], *components_[1]})}
+            group_a, group_b = (np.array([names[name] for name in side]) for side in components_)
+            for begin in range(0, len(a), 256):
+                bounds = similarity_bounds(a[begin : begin + 256], b)
+                open_ = (bounds >= least - _ROUNDING) & (group_a[begin : begin + 256, None] != group_b)
+                rows, columns = np.nonzero(open_)
+                if tries is not None:
+                    order = np.lexsort((-bounds[rows, columns], group_b[columns], rows))
+                    rows, columns = rows[order], columns[order]
+                    fresh = np.concatenate(
+                        ([True], (rows[1:] != rows[:-1]) | (group_b[columns[1:]] != group_b[columns[:-1]]))
+                    ) if len(rows) else np.empty(0, bool)
+                    place = np.arange(len(rows)) - np.maximum.accumulate(np.where(fresh, np.arange(len(rows)), 0))
+                    rows, columns = rows[place < tries], columns[place < tries]
+                found_one += [nodes[begin + row] for row in rows.tolist()]
+                found_two += [others[column] for column in columns.tolist()]
+        return pa.table({"pivot": pa.array(found_one, pa.binary()), "node": pa.array(found_two, pa.binary())})
+
+    return (
+        ones.groupBy("key", "one", "two")
+        .cogroup(twos.groupBy("its_key", "its_one", "its_two"))
+        .applyInArrow(compare, "pivot binary, node binary")
+    )
+
+
 def near_duplicates(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """``doc_id, node, class_id, kept_node`` of every document; ``kept_node`` if its text stays."""
+    """``doc_id, node, class_id, kept`` of every document."""
     spark = documents.sparkSession
     arrow_bounded(spark)
     documents = documents.select("doc_id", "text")
     idf = inverse_frequencies(documents)
-    signed = signatures(documents, idf)
+    found = signatures(documents, idf)
     nodes = written(
-        signed.filter(F.size("bands") > 0)
+        found.filter(F.size("bands") > 0)
         .groupBy("node")
-        .agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")),
+        .agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
         "nodes",
     )
     rows = nodes.select("node", F.explode("bands").alias("key"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    shared = written(rows.join(sizes, "key").select("key", "node", "size"), "shared")
-    central = shared.groupBy("node").agg(F.sum("size").alias("central"))
-    # Unresolved texts of each bucket; at first all.
-    left = written(shared.drop("size").join(central, "node"), "unresolved")
-    bucket = left
-    nodes = nodes.select("node", "rep")
-    texts = _texts_of(nodes.join(shared.select("node").distinct(), "node", "left_semi"), documents)
-    links = spark.createDataFrame([], "left binary, right binary")
-    groups = nodes.select("node", F.col("node").alias("component")).limit(0)
-    step = 0
-    while not left.isEmpty():
-        best = Window.partitionBy("key").orderBy(F.desc("central"), "node")
-        size = _PIVOTS[min(step, len(_PIVOTS) - 1)]
-        pivots = (
-            left.withColumn("place", F.row_number().over(best))
-            .filter(F.col("place") <= size)
-            .select("key", F.col("node").alias("pivot"))
-        )
-        pivots = written(pivots, "pivots")
-        grouped = bucket.join(groups, "node", "left").select(
-            "key", "node", F.coalesce("component", "node").alias("component")
-        )
-        of_pivot = pivots.join(groups.withColumnRenamed("node", "pivot"), "pivot", "left").select(
-            "key", "pivot", F.coalesce("component", "pivot").alias("pivot_component")
-        )
-        pairs = written(
-            grouped.join(of_pivot, "key")
-            .filter("component != pivot_component")
-            .select("pivot", "node")
-            .distinct(),
-            "pairs",
-        )
-        found = _linked(pairs, texts, idf, least)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            groups = components(links)
-        # A text is done in a bucket once it was a pivot there or is connected with all pivots.
-        left = left.join(pivots.withColumnRenamed("pivot", "node"), ["key", "node"], "left_anti")
-        if step == 0:
-            regrouped = left.join(groups, "node", "left").select(
-                "key", "node", "central", F.coalesce("component", "node").alias("component")
-            )
-            of_pivot = pivots.join(groups.withColumnRenamed("node", "pivot"), "pivot", "left").select(
-                "key", F.coalesce("component", "pivot").alias("pivot_component")
-            )
-            left = (
-                regrouped.join(of_pivot, "key")
-                .filter("component != pivot_component")
-                .select("key", "node", "central")
-            )
-        left = written(left, "unresolved")
-        step += 1
+    bucket = written(rows.join(sizes, "key").select("key", "node", "size"), "buckets")
+    drawn = nodes.select("node", "sketch")
+    texts = _texts_of(
+        nodes.select("node", "rep").join(bucket.select("node").distinct(), "node", "left_semi"), documents
+    )
 
-    of_class = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # The text that stands in the biggest buckets is the most central of each.
+    central = bucket.groupBy("node").agg(F.sum("size").alias("central"))
+    pivots = written(
+        bucket.join(central, "node").groupBy("key").agg(F.max(F.struct("central", "node")).alias("best"))
+        .select("key", F.col("best.node").alias("pivot")),
+        "pivots",
+    )
+    pairs = written(_unordered(bucket.join(pivots, "key").filter("pivot != node")), "pairs")
+    links = _linked(pairs, texts, drawn, idf, least)
+    groups = components(links)
+
+    # What a bucket's pivot is not connected with is left to compare with all of the bucket.
+    grouped = written(_grouped(bucket, groups, "node", "component"), "grouped")
+    of_pivot = _grouped(pivots, groups, "pivot", "pivot_component").select("key", "pivot_component")
+    left = written(
+        grouped.join(of_pivot, "key").filter("component != pivot_component").drop("pivot_component", "component"),
+        "left",
+    )
+    few = left.filter(F.col("size") <= SMALL).select("key", F.col("node").alias("pivot"))
+    others = _grouped(few, groups, "pivot", "pivot_component").join(grouped, "key")
+    tried = pairs
+    pairs = _unordered(others.filter("component != pivot_component"))
+    left = left.filter(F.col("size") > SMALL)
+    big = not left.isEmpty()
+    members = bucket.join(left.select("key").distinct(), "key", "left_semi")
+    for tries in (TRIES, None):
+        if big:
+            ones = _grouped(left, groups, "node", "component")
+            twos = _grouped(members, groups, "node", "component")
+            near = _unordered(_block_pairs(ones, twos, drawn, least, tries))
+            pairs = pairs.unionByName(near).distinct() if tries else near
+        pairs = written(pairs.join(tried, ["pivot", "node"], "left_anti"), "pairs")
+        more = _linked(pairs, texts, drawn if tries else None, idf, least)
+        if not more.isEmpty():
+            groups = more_components(groups, more)
+        tried = tried.unionByName(pairs)
+        if not big:
+            break
+
+    of_class = _grouped(nodes.select("node", "rep"), groups, "node", "component")
     kept = of_class.groupBy("component").agg(
         F.min("rep").alias("class_id"),
         F.min(F.struct(F.col("rep").isNull().alias("no_id"), "rep", "node")).alias("kept"),
@@ -358,17 +464,15 @@ def near_duplicates(documents: DataFrame, least: float = SIMILARITY) -> DataFram
     of_node = of_class.join(kept, "component").select(
         "node", "rep", "class_id", (F.col("kept.node") == F.col("node")).alias("kept_node")
     )
+    alone = F.col("kept_node").isNull()
     return (
-        signed.select("doc_id", "node")
+        found.select("doc_id", "node")
         .join(of_node, "node", "left")
         .select(
             "doc_id",
             "node",
-            F.when(F.col("kept_node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-            (
-                F.col("kept_node").isNull()
-                | (F.col("kept_node") & F.col("doc_id").eqNullSafe(F.col("rep")))
-            ).alias("kept"),
+            F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+            (alone | (F.col("kept_node") & F.col("doc_id").eqNullSafe(F.col("rep")))).alias("kept"),
         )
     )
 
