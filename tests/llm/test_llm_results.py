@@ -216,7 +216,10 @@ def test_line_chunks_are_removed_after_their_first_place(spark):
 # Near copies
 
 
-def test_near_duplicates_next_to_all_pairs(spark):
+@pytest.mark.parametrize("small, block", [(64, 2048), (0, 7)])
+def test_near_duplicates_next_to_all_pairs(spark, monkeypatch, small, block):
+    monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(minhash, "BLOCK", block)
     random.seed(17)
     words = [f"w{i}" for i in range(4000)]
     texts = []
@@ -248,8 +251,10 @@ def test_near_duplicates_next_to_all_pairs(spark):
     assert len(wrong) <= 1, wrong
 
 
-def test_links_only_through_a_text_that_is_no_pivot(spark):
+@pytest.mark.parametrize("small", [64, 0])
+def test_links_only_through_a_text_that_is_no_pivot(spark, monkeypatch, small):
     """A chain of texts, each like the next and unlike the one after that, is one class."""
+    monkeypatch.setattr(minhash, "SMALL", small)
     words = [f"w{i}" for i in range(400)]
     texts = [" ".join(words[8 * i : 8 * i + 150]) for i in range(12)]
     rows = minhash.near_duplicates(frame(spark, texts)).collect()

@@ -344,18 +344,21 @@ def _grouped(rows: DataFrame, groups: DataFrame, node: str, component: str) -> D
 def _block_pairs(left: DataFrame, bucket: DataFrame, drawn: DataFrame, least: float, tries: int | None) -> DataFrame:
     """``pivot, node`` from big buckets: each text of ``left`` with texts of other components it can be similar to.
 
-    Both have ``key, node, size, component``.  At most ``tries`` texts of a component and block, the likeliest
-    first, or all.
+    Both have ``key, node, size, component``, ``bucket`` also ``open``: whether the text is in ``left`` too.
+    A pair is made in the first of the bands that it shares, and by one of its texts if both are in ``left``.
+    At most ``tries`` texts of a component and block, the likeliest first, or all.
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     every = F.explode(F.sequence(F.lit(0), blocks - 1))
-    ones = left.join(drawn, "node").select("key", "node", "component", "sketch", own.alias("one"), every.alias("two"))
+    ones = left.join(drawn, "node").select(
+        "key", "node", "component", "sketch", "bands", own.alias("one"), every.alias("two")
+    )
     # Only blocks in which a text is left are met.
     met = left.select("key", own.alias("one")).distinct()
     twos = (
         bucket.join(drawn, "node")
-        .select("key", "node", "component", "sketch", own.alias("two"))
+        .select("key", "node", "component", "sketch", "bands", "open", own.alias("two"))
         .join(met, "key")
     )
     # Both come from the same tables: their columns need names of their own.
@@ -373,10 +376,21 @@ def _block_pairs(left: DataFrame, bucket: DataFrame, drawn: DataFrame, least: fl
             components_ = one.column("component").to_pylist(), two.column("its_component").to_pylist()
             names = {name: i for i, name in enumerate({*components_[0], *components_[1]})}
             group_a, group_b = (np.array([names[name] for name in side]) for side in components_)
+            bands_a, bands_b = (
+                np.array(side.to_pylist()) for side in (one.column("bands"), two.column("its_bands"))
+            )
+            key = one.column("key")[0].as_py()
+            both_open = np.array(two.column("its_open").to_pylist())
+            order_of = {name: i for i, name in enumerate(sorted({*nodes, *others}))}
+            place_a, place_b = (np.array([order_of[name] for name in side]) for side in (nodes, others))
             for begin in range(0, len(a), 256):
                 bounds = similarity_bounds(a[begin : begin + 256], b)
                 open_ = (bounds >= least - _ROUNDING) & (group_a[begin : begin + 256, None] != group_b)
+                open_ &= ~both_open | (place_a[begin : begin + 256, None] < place_b)
                 rows, columns = np.nonzero(open_)
+                same = bands_a[begin + rows] == bands_b[columns]
+                first = bands_a[begin + rows, same.argmax(1)] == key
+                rows, columns = rows[first], columns[first]
                 if tries is not None:
                     order = np.lexsort((-bounds[rows, columns], group_b[columns], rows))
                     rows, columns = rows[order], columns[order]
@@ -412,7 +426,7 @@ def near_duplicates(documents: DataFrame, least: float = SIMILARITY) -> DataFram
     rows = nodes.select("node", F.explode("bands").alias("key"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     bucket = written(rows.join(sizes, "key").select("key", "node", "size"), "buckets")
-    drawn = nodes.select("node", "sketch")
+    drawn, drawn_bands = nodes.select("node", "sketch"), nodes.select("node", "sketch", "bands")
     texts = _texts_of(
         nodes.select("node", "rep").join(bucket.select("node").distinct(), "node", "left_semi"), documents
     )
@@ -441,12 +455,15 @@ def near_duplicates(documents: DataFrame, least: float = SIMILARITY) -> DataFram
     pairs = _unordered(others.filter("component != pivot_component"))
     left = left.filter(F.col("size") > SMALL)
     big = not left.isEmpty()
-    members = bucket.join(left.select("key").distinct(), "key", "left_semi")
+    members = bucket.join(left.select("key").distinct(), "key", "left_semi").join(
+        left.select("key", "node", F.lit(True).alias("open")), ["key", "node"], "left"
+    )
+    members = members.withColumn("open", F.coalesce("open", F.lit(False)))
     for tries in (TRIES, None):
         if big:
             ones = _grouped(left, groups, "node", "component")
             twos = _grouped(members, groups, "node", "component")
-            near = _unordered(_block_pairs(ones, twos, drawn, least, tries))
+            near = _unordered(_block_pairs(ones, twos, drawn_bands, least, tries))
             pairs = pairs.unionByName(near).distinct() if tries else near
         pairs = written(pairs.join(tried, ["pivot", "node"], "left_anti"), "pairs")
         more = _linked(pairs, texts, drawn if tries else None, idf, least)
