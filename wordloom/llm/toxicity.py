@@ -313,15 +313,17 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, sample_rows: int = SAM
         .agg(F.max("toxic").alias("toxic"))
     )
     total = {row.toxic: row["count"] for row in known.groupBy("toxic").count().collect()}
-    rows = documents.select("doc_id", "text").join(known, "doc_id", "left")
+    # Labels meet votes or sampled texts: the other texts are never shuffled.
+    rows = documents.select("doc_id", "text")
     share = min(1.0, sample_rows / max(sum(total.values()), 1))
-    chosen = rows.filter(F.col("toxic").isNotNull() & (hash_share(["doc_id"]) < share))
+    chosen = rows.filter(hash_share(["doc_id"]) < share).join(known, "doc_id")
     both = total.get(0, 0) > 0 and total.get(1, 0) > 0
     features = _mined(chosen, total) if both else {}
 
     votes = _votes_udf(features)
     patterns = (
-        rows.select(votes(F.col("text").cast("binary")).alias("votes"), "toxic")
+        rows.select("doc_id", votes(F.col("text").cast("binary")).alias("votes"))
+        .join(known, "doc_id", "left")
         .groupBy("votes", "toxic")
         .count()
         .collect()
@@ -354,8 +356,11 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, sample_rows: int = SAM
 
     # Unlabelled texts have posterior labels too; held-out ones stay out.
     others = min(1.0, sample_rows / max(counts.sum(), 1))
-    unlabelled = rows.filter(F.col("toxic").isNull() & ~held_out("doc_id") & (hash_share(["doc_id"]) < others))
-    sample = chosen.unionByName(unlabelled) if both else rows.filter(~held_out("doc_id") & (hash_share(["doc_id"]) < others))
+    unlabelled = rows.filter(~held_out("doc_id") & (hash_share(["doc_id"]) < others))
+    if both:
+        unlabelled = unlabelled.join(known, "doc_id", "left_anti")
+    unlabelled = unlabelled.withColumn("toxic", F.lit(None).cast("int"))
+    sample = chosen.unionByName(unlabelled) if both else unlabelled
     seen = F.arrow_udf(activate, "votes int, active array<int>")(F.col("text").cast("binary"))
     # Texts alike to the classifier are one row with a weight.
     table = (
