@@ -423,6 +423,22 @@ def test_suffix_search_next_to_all_windows():
         assert found == expected
 
 
+def test_one_document_shards_of_a_benchmark_with_thousands_of_words():
+    random.seed(31)
+    words = [f"w{i}".encode() for i in range(6000)]
+    items = [(str(i), b" ".join(random.choices(words, k=40))) for i in range(200)]
+    suffixes = decontamination.benchmark_suffixes(items)
+    assert len(suffixes.vocabulary) > 4000
+    for _ in range(60):
+        asked = [random.choice(items)[1].split() for _ in range(2)]
+        text = [*random.choices(words, k=20), *asked[0][5:30], b"zz", *random.choices(words, k=9), *asked[1][:12]]
+        tokens = np.array([suffixes.vocabulary.get(word, 0) for word in text] + [0])
+        places, _ = decontamination.search_shard(tokens, suffixes)
+        windows = {tuple(item.split()[j : j + 10]) for _, item in items for j in range(31)}
+        expected = {i for i in range(len(text) - 9) if tuple(text[i : i + 10]) in windows}
+        assert set(places.tolist()) == expected and len(expected) >= 19
+
+
 def test_longest_match_and_blocks(spark, monkeypatch):
     item = " ".join(f"i{n}" for n in range(30))
     text = "x y " + " ".join(f"i{n}" for n in range(5, 25)) + " z " + " ".join(f"i{n}" for n in range(12))

@@ -111,9 +111,9 @@ def in_long_runs(tokens: np.ndarray, shortest: int) -> np.ndarray:
 def suffix_array(tokens: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
     """``places`` in the order of the words that follow, by prefix doubling up to ``depth`` words."""
     rank = np.zeros(len(tokens) + 1, np.int64)
-    rank[places] = tokens[places]
+    # Ranks are dense from the start, as a benchmark may have more different words than the shard has tokens.
+    rank[places] = np.unique(tokens[places], return_inverse=True)[1] + 1
     width = 1
-    order = np.argsort(rank[places], kind="stable")
     while True:
         following = rank[np.minimum(places + width, len(tokens))]
         keys = rank[places] * np.int64(len(tokens) + len(places) + 2) + following
