@@ -112,6 +112,30 @@ def test_license_phrases(spark):
     ]
 
 
+def test_notices_broken_over_lines(spark):
+    texts = [
+        "MIT\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\n"
+        'of this software and associated documentation files (the "Software"), to deal',
+        "# Redistribution and use in source and binary forms, with or without\n"
+        "# modification, are permitted provided that the following conditions are met:\n# 1.",
+        "This Source Code Form is subject to the terms of the\nMozilla Public\nLicense, v. 2.0.",
+        "made available under the terms of the Eclipse\nPublic License 2.0",
+        "wir kommen mit dem Zug\nLicensed under the Apache License, Version 2.0",
+        "Licensed under\nthe\n" + "x " * 20 + "\nMIT License",
+        "all rights\nreserved, all rights reserved",
+    ]
+    rows = sorted(licenses.scan_licenses(frame(spark, texts)).collect())
+    assert [(row.labels, row.score, row.n_blocks) for row in rows] == [
+        ("mit-text", 1.0, 1),
+        ("bsd", 1.0, 1),
+        ("mpl-2.0", 1.0, 1),
+        ("epl-2.0", 1.0, 1),
+        ("apache,apache-2.0", 1.0, 1),
+        ("mit", 1.0, 0),
+        ("all-rights-reserved", 1.0, 1),
+    ]
+
+
 # Toxicity
 
 

@@ -7,6 +7,10 @@ template that is contained has one there), the block is long enough, and the wor
 still make up the threshold; then the overlap is counted.  Words that are in no template cannot match, so
 blocks are sets of template words.
 
+A notice may be broken over lines.  Across lines a template is met only by a run of words hardly longer than
+itself, as a block of 50 words over several lines takes scattered words (German "mit" before an Apache notice)
+for a notice.
+
 A null or empty text has no words, no labels and score 0.  Rows are scanned one by one: repeated rows give
 repeated results.
 """
@@ -14,6 +18,7 @@ repeated results.
 from __future__ import annotations
 
 import dataclasses
+from bisect import bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -61,11 +66,15 @@ TEMPLATES = (
 
 @dataclasses.dataclass(frozen=True)
 class Template:
-    """A label and the template's different words in global order; ``needed`` of them make a match."""
+    """A label and the template's different words in global order; ``needed`` of them make a match.
+
+    Across lines these stand within ``run`` words.
+    """
 
     label: str
     words: tuple[bytes, ...]
     needed: int
+    run: int = 0
 
     @property
     def prefix(self) -> tuple[bytes, ...]:
@@ -104,23 +113,27 @@ def ordered_templates(
     documents: DataFrame, templates=TEMPLATES, percent: int = CONTAINMENT
 ) -> tuple[list[Template], dict[bytes, int]]:
     """Templates with their words rarest first, and the place of each word in that order."""
-    sets = [(label, set(words_of(text.encode()))) for label, text in templates]
-    vocabulary = frozenset().union(*[words for _, words in sets])
+    lists = [(label, words_of(text.encode())) for label, text in templates]
+    vocabulary = frozenset().union(*[words for _, words in lists])
     counts = document_frequency(documents, vocabulary)
     order = {
         word: i for i, word in enumerate(sorted(vocabulary, key=lambda word: (counts.get(word, 0), word)))
     }
     found = [
-        Template(label, tuple(sorted(words, key=order.get)), needed_of(len(words), percent))
-        for label, words in sets
+        Template(
+            label,
+            tuple(sorted(set(words), key=order.get)),
+            needed_of(len(set(words)), percent),
+            -(-len(words) * 100 // percent),
+        )
+        for label, words in lists
         if words
     ]
     return found, order
 
 
-def blocks_of(line: bytes):
-    """Blocks of a line as lists of words."""
-    words = WORD.findall(line)
+def blocks_of(words: list[bytes]):
+    """Blocks of a line's words."""
     for start in range(0, max(len(words) - BLOCK // 2, 1), BLOCK // 2):
         yield words[start : start + BLOCK]
 
@@ -157,6 +170,30 @@ class Matcher:
         return found
 
 
+def wrapped(template: Template, words: list[bytes], distinct: set[bytes], lines: list[int]) -> float:
+    """Greatest containment of a template in a run over a line end, 0 if none meets it.
+
+    ``lines`` has the first word of each line.
+    """
+    asked = frozenset(template.words)
+    if len(asked.intersection(distinct)) < template.needed:
+        return 0.0
+    places = [place for place, word in enumerate(words) if word in asked]
+    held: Counter = Counter()
+    left, best = 0, 0
+    for place in places:
+        held[words[place]] += 1
+        while places[left] <= place - template.run:
+            gone = words[places[left]]
+            held[gone] -= 1
+            if not held[gone]:
+                del held[gone]
+            left += 1
+        if len(held) > best and bisect_right(lines, places[left]) != bisect_right(lines, place):
+            best = len(held)
+    return best / len(asked) if best >= template.needed else 0.0
+
+
 def phrase_places(words: list[bytes], distinct: set[bytes], phrases: dict[tuple[bytes, ...], str]):
     """Start and label of every place where a phrase's words stand consecutively."""
     for phrase, label in phrases.items():
@@ -194,7 +231,7 @@ def scanned(text: Column | str, templates: list[Template], order: dict[bytes, in
     """What a text says about licences, as a struct.
 
     ``score`` is 1 if a phrase occurs, else the highest containment of a template that is met, else 0;
-    ``n_blocks`` the number of blocks that meet a template.
+    ``n_blocks`` the number of blocks that meet a template, and of templates met across lines only.
     """
     asked = {tuple(words_of(phrase.encode())): label for phrase, label in phrases.items()}
 
@@ -209,12 +246,25 @@ def scanned(text: Column | str, templates: list[Template], order: dict[bytes, in
             base = {label for _, label in places}
             labels, best, blocks = set(base), 1.0 if places else 0.0, 0
             if not matcher.prefixes.isdisjoint(distinct):
+                found: dict[int, float] = {}
+                lines, size = [], 0
                 for line in raw.split(b"\n"):
-                    for block in blocks_of(line):
+                    own = WORD.findall(line)
+                    lines.append(size)
+                    size += len(own)
+                    for block in blocks_of(own):
                         met = matcher.match(block)
                         blocks += bool(met)
-                        labels.update(templates[number].label for number in met)
-                        best = max(best, *met.values(), 0.0)
+                        for number, share in met.items():
+                            found[number] = max(share, found.get(number, 0.0))
+                for number, template in enumerate(templates):
+                    if found.get(number, 0.0) < 1 and len(lines) > 1:
+                        share = wrapped(template, words, distinct, lines)
+                        blocks += share > 0 and number not in found
+                        if share > 0:
+                            found[number] = max(share, found.get(number, 0.0))
+                labels.update(templates[number].label for number in found)
+                best = max(best, *found.values(), 0.0)
             starts = [place for place, _ in places]
             rows.append(
                 {
