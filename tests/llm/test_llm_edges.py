@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from wordloom.llm import (
+    common,
     decontamination,
     embeddings,
     html_text,
@@ -98,6 +99,24 @@ def test_toxicity(documents, nothing, labels):
     assert len(toxicity.score_documents(documents, model).collect()) == len(ROWS)
 
 
+def test_samples_are_bounded_where_a_third_of_all_ids_is_null(spark, monkeypatch):
+    rows = [(None if i % 3 == 0 else i if i % 3 == 1 else -5, f"text {i} mill{i % 7}", "en") for i in range(3000)]
+    rows += [(None, "the same text", "en")] * 300
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(-5, 0)] + [(i, i % 2) for i in range(1, 100, 3)], "doc_id long, toxic int")
+    trained = []
+    linear = toxicity._linear
+    monkeypatch.setattr(toxicity, "_linear", lambda active, targets, many, width: trained.append((len(active), many.sum())) or linear(active, targets, many, width))
+    toxicity.fit_toxicity(documents, labels, sample_rows=200)
+    assert trained[0][0] < 100 and 200 < trained[0][1] < 500
+    learned = []
+    monkeypatch.setattr(language, "hash_share", lambda columns: learned.append(columns) or common.hash_share(columns))
+    language.fit_profiles(documents, sample_texts=200)
+    assert learned == [["doc_id", "text"]]
+    shares = documents.select(common.hash_share(["doc_id", "text"]).alias("share"), "doc_id")
+    assert 50 < shares.filter("doc_id IS NULL AND share < 0.1").distinct().count() < 150
+
+
 def test_mixing(documents, nothing):
     rows = mixing.mix(documents).collect()
     assert len(rows) == len(ROWS)

@@ -36,8 +36,10 @@ def held_out(doc_id: Column | str) -> Column:
 
 
 def hash_share(columns: Sequence[Column | str]) -> Column:
-    """A number from 0 to 1 that depends on the values alone."""
-    return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    """A number from 0 to 1 that depends on the values alone; a null is a value of its own."""
+    columns = [F.col(column) if isinstance(column, str) else column for column in columns]
+    nulls = [column.isNull() for column in columns]
+    return F.pmod(F.xxhash64(*columns, *nulls), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:

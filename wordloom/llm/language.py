@@ -116,7 +116,8 @@ class Profiles:
 def fit_profiles(documents: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> Profiles:
     """Profiles of the languages in ``documents`` (``doc_id``, ``text``, ``lang``), held-out rows left out.
 
-    Learned from about ``sample_texts`` texts of each language, chosen by a hash of id and text.
+    Learned from about ``sample_texts`` texts of each language, chosen by a hash of id and text; rows alike in
+    both are one text.
     """
     arrow_bounded(documents.sparkSession)
     rows = documents.select("doc_id", "text", "lang").filter(
@@ -128,7 +129,12 @@ def fit_profiles(documents: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> Prof
     shares = documents.sparkSession.createDataFrame(
         [(row.lang, sample_texts / row["count"]) for row in sizes], "lang string, share double"
     )
-    chosen = rows.join(F.broadcast(shares), "lang").filter(hash_share(["doc_id"]) < F.col("share"))
+    chosen = (
+        rows.join(F.broadcast(shares), "lang")
+        .filter(hash_share(["doc_id", "text"]) < F.col("share"))
+        .select("doc_id", "text", "lang")
+        .distinct()
+    )
 
     def count(batches):
         letters = letter_table()

@@ -277,22 +277,24 @@ def _mined(sample: DataFrame, total: dict[int, int]) -> dict[bytes, int]:
     return {feature: i for i, (_, feature) in enumerate(sorted(rated)[:MINED_FEATURES])}
 
 
-def _linear(active: list[list[int]], targets: np.ndarray, width: int, rounds: int = 400, l2: float = 1e-3):
-    """Logistic regression on posterior labels: full-batch gradient steps with momentum."""
+def _linear(
+    active: list[list[int]], targets: np.ndarray, many: np.ndarray, width: int, rounds: int = 400, l2: float = 1e-3
+):
+    """Logistic regression on posterior labels of weighted rows: full-batch gradient steps with momentum."""
     if not active:
         return np.zeros(width), -2.0
     rows = np.repeat(np.arange(len(active)), [len(own) for own in active])
     columns = np.array([i for own in active for i in own], dtype=np.int64)
-    weights, bias, n = np.zeros(width), -2.0, max(len(active), 1)
+    weights, bias, n = np.zeros(width), -2.0, many.sum()
     speed, bias_speed = np.zeros(width), 0.0
-    support = np.bincount(columns, minlength=width) if len(columns) else np.zeros(width)
+    support = np.bincount(columns, many[rows], minlength=width) if len(columns) else np.zeros(width)
     pace = 1.0 / np.maximum(support / n, 0.002)
     for _ in range(rounds):
-        total = bias + np.bincount(rows, weights[columns], minlength=n)
-        error = 1 / (1 + np.exp(-np.clip(total, -50, 50))) - targets
+        total = bias + np.bincount(rows, weights[columns], minlength=len(active))
+        error = many * (1 / (1 + np.exp(-np.clip(total, -50, 50))) - targets)
         slope = np.bincount(columns, error[rows], minlength=width) / n + l2 * weights
         speed = 0.9 * speed - 0.02 * np.minimum(pace, 50) * slope
-        bias_speed = 0.9 * bias_speed - 0.2 * error.mean()
+        bias_speed = 0.9 * bias_speed - 0.2 * error.sum() / n
         weights, bias = weights + speed, bias + bias_speed
     return weights, float(bias)
 
@@ -301,8 +303,8 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, sample_rows: int = SAM
     """Learn from ``documents`` (``doc_id``, ``text``) and ``labels`` (``doc_id``, ``toxic``).
 
     Labels of held-out rows are not read.  Vote patterns are counted over all texts.  Words are mined in about
-    ``sample_rows`` labelled texts, chosen by a hash of their ids; the classifier is trained on these and about
-    as many unlabelled ones.
+    ``sample_rows`` labelled texts, chosen by a hash of id and text; the classifier is trained on these and about
+    as many unlabelled ones.  Rows alike in id and text are one text of a sample.
     """
     spark = documents.sparkSession
     arrow_bounded(spark)
@@ -315,8 +317,10 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, sample_rows: int = SAM
     total = {row.toxic: row["count"] for row in known.groupBy("toxic").count().collect()}
     # Labels meet votes or sampled texts: the other texts are never shuffled.
     rows = documents.select("doc_id", "text")
-    share = min(1.0, sample_rows / max(sum(total.values()), 1))
-    chosen = rows.filter(hash_share(["doc_id"]) < share).join(known, "doc_id")
+    # One id may have many rows, so rows are counted, not ids.
+    labelled_rows = rows.select("doc_id").join(known, "doc_id").count()
+    share = min(1.0, sample_rows / max(labelled_rows, 1))
+    chosen = rows.filter(hash_share(["doc_id", "text"]) < share).join(known, "doc_id").distinct()
     both = total.get(0, 0) > 0 and total.get(1, 0) > 0
     features = _mined(chosen, total) if both else {}
 
@@ -356,24 +360,32 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, sample_rows: int = SAM
 
     # Unlabelled texts have posterior labels too; held-out ones stay out.
     others = min(1.0, sample_rows / max(counts.sum(), 1))
-    unlabelled = rows.filter(~held_out("doc_id") & (hash_share(["doc_id"]) < others))
+    unlabelled = rows.filter(~held_out("doc_id") & (hash_share(["doc_id", "text"]) < others))
     if both:
         unlabelled = unlabelled.join(known, "doc_id", "left_anti")
     unlabelled = unlabelled.withColumn("toxic", F.lit(None).cast("int"))
     sample = chosen.unionByName(unlabelled) if both else unlabelled
+    key = [F.xxhash64("doc_id", "text", F.col("doc_id").isNull(), F.col("text").isNull()).alias("key"), "toxic"]
     seen = F.arrow_udf(activate, "votes int, active array<int>")(F.col("text").cast("binary"))
-    # Texts alike to the classifier are one row with a weight.
+    # Copies of a text count once; texts alike to the classifier are one row with a weight.
     table = (
-        sample.select(seen.alias("seen"), "toxic").select("seen.votes", "seen.active", "toxic").toArrow()
+        sample.select(*key, seen.alias("seen"))
+        .select("key", "toxic", "seen.votes", "seen.active")
+        .distinct()
+        .groupBy("votes", "active", "toxic")
+        .agg(F.count(F.lit(1)).alias("weight"))
+        .orderBy("votes", "active", "toxic")
+        .toArrow()
     )
-    active, targets = [], []
+    active, targets, many = [], [], []
     for row in table.to_pylist():
         odds = model.posterior[row["votes"]] / max(1 - model.posterior[row["votes"]], 1e-9)
         if row["toxic"] is not None and both:
             odds *= (accuracy / (1 - accuracy)) ** (1 if row["toxic"] else -1)
         active.append(row["active"])
         targets.append(odds / (1 + odds))
-    weights, bias = _linear(active, np.array(targets), len(features) + len(VOTERS))
+        many.append(row["weight"])
+    weights, bias = _linear(active, np.array(targets), np.array(many, float), len(features) + len(VOTERS))
     return ToxicityModel(features, weights, bias, model)
 
 
