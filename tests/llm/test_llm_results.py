@@ -343,6 +343,30 @@ def test_html_without_an_article_by_surge_and_dive():
     assert html_text.main_text(page).split("\n") == ["Heading", long.strip(), "Short one.", long.strip()]
 
 
+@pytest.mark.parametrize("anchor", ["<a name=x>", "<a id='x'/>", "<a name='top'><b>", "<a href='/x'>"])
+def test_html_anchors_end_no_text(anchor):
+    long = "This is a paragraph of running text that is long enough to be told from a menu. " * 2
+    page = f"<p>{long}</p><p>{anchor}</p><p>One {long}</p><p>Two {long}</p><p>Three <a href=1>link</a></p>"
+    expected = [long.strip(), f"One {long}".strip(), f"Two {long}".strip(), "Three link"]
+    assert html_text.main_text(page).split("\n") == expected
+    assert html_text.main_text(f"<article>{anchor}<p>The only text</p></article>") == "The only text"
+
+
+def test_html_link_paragraphs_within_running_text():
+    long = "This is a paragraph of running text that is long enough to be told from a menu. " * 2
+    page = f"<div><a href=1>Home</a></div><p>{long}</p><p><a href=2>The source</a></p><h2><a href=3>Part</a></h2><p>{long}</p>"
+    assert html_text.main_text(page).split("\n") == [long.strip(), "The source", "Part", long.strip()]
+
+
+def test_html_boxes_within_a_line():
+    page = (
+        "<article><p>First <button>Subscribe</button> text <span class='ad'>Buy <div>this</div> now</span> goes on "
+        "<select><option>One<option>Two</select>here.</p><p class='share'>Share<div class='promo'>Offer</div>"
+        "<table><tr><td class='sidebar'>Side</td><td>Cell</td></tr></table><p><a class='share' href=1>Tweet</a> End.</p></article>"
+    )
+    assert html_text.main_text(page).split("\n") == ["First text goes on here.", "Cell", "End."]
+
+
 @pytest.mark.parametrize("page", ["<", "<p", "<!--", "<script>x", "<a href='", "&amp", "</p></p>", "<nav>x", "x > y"])
 def test_html_broken_markup(page):
     assert isinstance(html_text.main_text(page), str)

@@ -2,11 +2,12 @@
 
 A page is cut into lines at block elements, markup is stripped, and the text lengths of sliding windows of
 lines show where running text begins (surge) and ends (dive); the text between is kept.  What the markup
-itself marks as menu, header, footer, sidebar, notice, advert, form, script, style or comments has length 0,
-as have links; an article or main element is the page if there is one.
+itself marks as menu, header, footer, sidebar, notice, advert, form, script, style or comments is left out,
+within a line too; links have length 0; an article or main element is the page if there is one.
 
 A null or empty page, one without text and one with nothing but menus give an empty text.  Broken markup is
-read to the end of the page; a box that is never closed counts as ordinary text.
+read to the end of the page; a box that is never closed counts as ordinary text, and a link that is not closed
+before the next one ends with its line.  An anchor without href is no link.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 
 from wordloom.llm.common import arrow_bounded
 
+# Blocks whose text may be one link within running text; a bare div of links is a teaser or a menu.
+_TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote figcaption dd dt li pre".split())
 # Lines summed up for a point of the distribution, and the sum that marks running text.
 WINDOW = 3
 SURGE = 86
@@ -74,10 +77,10 @@ def _close_of(name: str, tokens: list, start: int) -> int | None:
     return None
 
 
-def lines_of(page: str) -> list[tuple[str, int, int | None]]:
-    """Lines of a page in order: text, length without links and marked boxes, number of the article.
+def lines_of(page: str) -> list[tuple[str, int, int | None, bool]]:
+    """Lines of a page in order: text, length without links, number of the article, whether a block of text.
 
-    A line in a marked box has length -1.
+    What stands in a marked box is no part of them.
     """
     tokens, place = [], 0
     pieces = [""]
@@ -100,36 +103,53 @@ def lines_of(page: str) -> list[tuple[str, int, int | None]]:
         pieces.append("")
     pieces[-1] += page[place:]
 
-    lines: list[tuple[str, int, int | None]] = []
+    # Whether the next anchor token closes the one at hand.
+    closes = [False] * len(tokens)
+    closing_next = False
+    for at in range(len(tokens) - 1, -1, -1):
+        if tokens[at][1] == "a":
+            closes[at] = closing_next
+            closing_next = bool(tokens[at][0])
+
+    lines: list[tuple[str, int, int | None, bool]] = []
     parts: list[tuple[str, bool]] = []
     boxed_until = -1
     article: list[int] = []
     articles = 0
-    links, breaks = 0, 0
+    links, open_link, breaks, block = 0, False, 0, ""
 
     def end_line() -> None:
+        nonlocal links, open_link
         text = " ".join(html.unescape("".join(text for text, _ in parts)).split())
         own = " ".join(html.unescape("".join(text for text, linked in parts if not linked)).split())
         if text:
-            lines.append((text, -1 if boxed_until >= 0 else len(own), article[0] if article else None))
+            lines.append((text, len(own), article[0] if article else None, block in _TEXT_BLOCKS))
         parts.clear()
+        if open_link:
+            links, open_link = 0, False
 
     for i, piece in enumerate(pieces):
         if i:
             closing, name, rest = tokens[i - 1]
             at = i - 1
             if name in _BLOCKS:
-                end_line()
-            elif name in _SPACED:
-                breaks = breaks + 1 if name == "br" else breaks
-                if breaks > 1:
+                # A box within a line does not end it.
+                if boxed_until < 0 or at == boxed_until:
                     end_line()
-                parts.append((" ", links > 0))
+                    block = "" if closing else name
+            elif name in _SPACED:
+                if boxed_until < 0:
+                    breaks = breaks + 1 if name == "br" else breaks
+                    if breaks > 1:
+                        end_line()
+                    parts.append((" ", links > 0))
             elif name == "a":
-                links = 0 if closing else 1
+                links = 0 if closing or "href" not in _attributes(rest) else 1
+                open_link = links > 0 and not closes[at]
             if at == boxed_until:
                 boxed_until = -1
-            elif not closing and name not in _VOID and boxed_until < 0:
+                parts.append((" ", links > 0))
+            if not closing and name not in _VOID and boxed_until < 0:
                 box = name in _BOXES or (name == "header" and not article)
                 if (box or _is_marked(rest)) and name not in ("html", "body", "main"):
                     close = _close_of(name, tokens, at)
@@ -146,6 +166,8 @@ def lines_of(page: str) -> list[tuple[str, int, int | None]]:
                     article.append(articles)
             if closing and name in ("article", "main") and article and boxed_until < 0 and at != boxed_until:
                 article.pop()
+        if boxed_until >= 0:
+            continue
         if piece.strip():
             breaks = 0
         if piece:
@@ -154,17 +176,16 @@ def lines_of(page: str) -> list[tuple[str, int, int | None]]:
     return lines
 
 
-def main_lines(lines: list[tuple[str, int, int | None]]) -> list[str]:
+def main_lines(lines: list[tuple[str, int, int | None, bool]]) -> list[str]:
     """Lines between the surge and the dive of the distribution."""
     sizes: dict[int, int] = {}
-    for _, length, article in lines:
+    for _, length, article, _ in lines:
         if article is not None and length > 0:
             sizes[article] = sizes.get(article, 0) + length
     inside = max(sizes, key=lambda article: (sizes[article], -article)) if sizes else None
     if inside is not None:
         lines = [line for line in lines if line[2] == inside]
-    lines = [line for line in lines if line[1] >= 0]
-    lengths = [length for _, length, _ in lines]
+    lengths = [length for _, length, _, _ in lines]
     if not any(lengths):
         return []
     sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
@@ -178,8 +199,8 @@ def main_lines(lines: list[tuple[str, int, int | None]]) -> list[str]:
         last += 1
     if inside is not None:
         first, last = 0, len(lines) - 1
-    # A line of nothing but links inside running text belongs to it only where markup names the article.
-    return [text for text, length, _ in lines[first : last + 1] if length > 0 or inside is not None]
+    # A line of nothing but links inside running text belongs to it where markup names the article, or text.
+    return [text for text, length, _, block in lines[first : last + 1] if length > 0 or block or inside is not None]
 
 
 def main_text(page: str | None) -> str:
