@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.llm import (
+    centroids,
     decontamination,
     embeddings,
+    hidden_markov,
     html_text,
     language,
     licenses,
@@ -17,6 +19,7 @@ from wordloom.llm import (
     minhash,
     mixing,
     sharding,
+    shared_search,
     toxicity,
 )
 
@@ -72,6 +75,18 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents, language.fit_profiles(documents))
 
 
+def item_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_search.search_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def vector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": license_scan,
@@ -84,6 +99,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_links": embedding_links,
         "op9_contamination": contamination,
         "op10_language": languages,
+        "op11_shared_search": item_search,
+        "op12_centroids": vector_clusters,
+        "op13_hidden_markov": text_scores,
     }
 
 
@@ -281,6 +299,88 @@ _CONTAMINATION_SQL = f"""
     FROM docs LEFT JOIN marked USING (row) LEFT JOIN named USING (row)"""
 
 
+_SEARCH_SQL = f"""
+    WITH docs AS (SELECT row_number() OVER () AS row, doc_id, {_words("text")} AS words FROM documents),
+    corpus AS (SELECT count(*) AS docs, CAST(sum(len(words)) AS BIGINT) AS length FROM docs WHERE len(words) > 0),
+    asked AS (
+        SELECT item, item_id, term, count(*) AS times
+        FROM (SELECT row_number() OVER () AS item, item_id, unnest({_words("text")}) AS term
+            FROM (SELECT DISTINCT item_id, text FROM benchmark))
+        GROUP BY ALL
+    ),
+    counted AS (
+        SELECT row, doc_id, n, term, count(*) AS tf
+        FROM (SELECT row, doc_id, len(words) AS n, unnest(words) AS term FROM docs)
+        WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+    ),
+    weights AS (
+        SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS weight
+        FROM (SELECT term, count(*) AS df FROM counted GROUP BY term), corpus
+    ),
+    worth AS (
+        SELECT row, doc_id, term,
+            weight * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * docs) // length)))) AS value
+        FROM counted JOIN weights USING (term), corpus
+    ),
+    scored AS (
+        SELECT item, item_id, row, doc_id, CAST(sum(times * value) AS BIGINT) AS score
+        FROM asked JOIN worth USING (term) GROUP BY ALL
+    )
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+        SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank
+        FROM scored WHERE score > 0
+    ) WHERE rank <= {shared_search.RESULTS}"""
+
+
+def _clusters_sql() -> str:
+    def assigned(number: int) -> str:
+        return f"""assigned{number} AS (
+            SELECT row, arg_min(number, (distance, number)) AS number, min(distance) AS distance FROM (
+                SELECT row, number, sum((x - c) * (x - c)) AS distance
+                FROM flat JOIN centroids{number} USING (place) GROUP BY row, number
+            ) GROUP BY row
+        )"""
+
+    def moved(number: int) -> str:
+        # Floors of quotients, as integer division cuts towards zero.
+        return f"""centroids{number + 1} AS (
+            SELECT number, place, coalesce((s - ((s % n) + n) % n) // n, c) AS c
+            FROM centroids{number} LEFT JOIN (
+                SELECT number, place, sum(x) AS s, count(*) AS n
+                FROM assigned{number} JOIN flat USING (row) GROUP BY number, place
+            ) USING (number, place)
+        )"""
+
+    steps = ", ".join(f"{assigned(n)}, {moved(n)}" for n in range(centroids.ROUNDS))
+    last = centroids.ROUNDS
+    return f"""
+    WITH vectors AS (
+        SELECT row_number() OVER () AS row, vec_id, embedding FROM embeddings
+        WHERE len(embedding) = {centroids.DIMENSIONS}
+            AND len(list_filter(embedding, lambda x: isfinite(x))) = {centroids.DIMENSIONS}
+    ),
+    flat AS (
+        SELECT row, unnest(range({centroids.DIMENSIONS})) AS place,
+            CAST(floor({centroids.SCALE} * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x
+        FROM vectors
+    ),
+    first AS (
+        SELECT row, row_number() OVER (
+            ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), embedding) - 1 AS number
+        FROM vectors QUALIFY number < {centroids.CENTROIDS}
+    ),
+    centroids0 AS (SELECT number, place, CAST(x AS HUGEINT) AS c FROM first JOIN flat USING (row)),
+    {steps}, {assigned(last)},
+    named AS (
+        SELECT number, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY place)) AS centroid_sha256
+        FROM centroids{last} GROUP BY number
+    )
+    SELECT vec_id, CAST(number AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance,
+        CAST(sum(distance) OVER (PARTITION BY number) AS BIGINT) AS cluster_inertia,
+        CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+    FROM vectors JOIN assigned{last} USING (row) JOIN named USING (number)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it can express; the others are tested in ``tests/llm``."""
     return {
@@ -289,4 +389,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_line_chunks": _CHUNKS_SQL,
         "op8_embedding_links": _EMBEDDINGS_SQL,
         "op9_contamination": _CONTAMINATION_SQL,
+        "op11_shared_search": _SEARCH_SQL,
+        "op12_centroids": _clusters_sql(),
     }
