@@ -1,9 +1,11 @@
 import datetime
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from wordloom import index_texts, ingest_corpus, search_phrase
+from wordloom.operators import numbering
 from wordloom.sources import corpus
 
 
@@ -84,19 +86,42 @@ def test_copies_and_null_keys_have_ids_of_their_own(spark):
     assert corpus.assign_text_ids(rows.limit(0), ["k"]).collect() == []
 
 
-def test_one_key_in_all_rows_is_numbered_in_parts(spark):
+def test_one_key_in_all_rows_is_numbered_in_parts(spark, monkeypatch):
     rows = spark.range(0, 50_000, 1, 8).select(F.lit("hot").alias("k"), F.lit("same").alias("text"))
+    ranges = []
+    written = numbering.written
+    monkeypatch.setattr(numbering, "written", lambda *args: ranges.append(written(*args)) or ranges[-1])
     # Without joining small partitions again.
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         numbered = corpus.assign_text_ids(rows, ["k"])
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-    parts = numbered.groupBy(F.input_file_name()).count().collect()
+    parts = ranges[0].groupBy(F.input_file_name()).count().collect()
     assert len(parts) >= 3 and max(row["count"] for row in parts) < 35_000
     assert numbered.agg(F.count_distinct("text_id"), F.max("text_id")).first() == (50_000, 50_000)
 
 
+def test_range_keys_hold_no_payload(spark, monkeypatch):
+    """Spark samples range keys to the driver, so no text may be in them."""
+    rows = spark.sql("SELECT id % 5 AS k, repeat(concat('x', id), 500) AS text, named_struct('t', id) AS row, map(1, 2) AS m FROM range(50)")
+    plans = []
+    written = numbering.written
+
+    def spied(frame, name):
+        plans.append(frame._jdf.queryExecution().optimizedPlan().toString())
+        return written(frame, name)
+
+    monkeypatch.setattr(numbering, "written", spied)
+    numbered = numbering.numbered(rows, ["k"], "number")
+    keys = next(line for line in plans[0].split("\n") if "RepartitionByExpression" in line)
+    assert re.findall(r"[\[ (](\w+)#\d+L? ASC", keys) == ["k", "__hash", "__more", "__spread"]
+    found = numbered.collect()
+    assert sorted(row.number for row in found) == list(range(50))
+    assert [row.k for row in sorted(found, key=lambda row: row.number)] == sorted(row.k for row in found)
+    assert numbered.columns == [*rows.columns, "number"]
+
+
 def test_text_store_knows_its_bins_and_ids(spark, tmp_path):
     path = str(tmp_path / "store")
     texts = spark.sql("SELECT * FROM VALUES (1L, 'a'), (2L, 'b') AS t(text_id, text)")

@@ -202,19 +202,107 @@ def test_streamed_index(spark, micro_texts, micro_index, tmp_path):
     assert run() == content(micro_index)
 
 
-def test_frequent_words_are_moved_by_text_only(monkeypatch, micro_index, ask):
+@pytest.mark.parametrize("broadcasts", ["10MB", "-1"])
+def test_candidates_are_rows_of_fixed_size(spark, monkeypatch, micro_index, ask, broadcasts):
+    """What moves in the wide route is a posting, or a request with a text: nothing that grows with a text's words."""
     import wordloom.plans.matching as matching
 
     monkeypatch.setattr(matching, "BROADCAST_ROWS", 5)
     monkeypatch.setattr(matching, "DIRECT_POSTINGS", 0)
-    plan = matching.compile_requests(micro_index, ask("the market", "the green"))
-    assert set(plan.routes) == {"wide"}
-    hits = matching.route_hits(micro_index, plan, "wide", ["term_frequency"])
-    counted = hits.groupBy("text_id", "query_id").count()
-    text = counted._jdf.queryExecution().executedPlan().toString()
-    moved = [line for line in text.splitlines() if "Exchange hashpartitioning(" in line]
-    by_text = [line for line in moved if "(text_id" in line]
-    assert by_text and all("REPARTITION_BY_COL" in line for line in by_text)
+    plan = matching.compile_requests(micro_index, ask("the market", "the green energy market report"))
+    assert set(plan.routes) == {"wide"} and plan.most_words == 5
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcasts)
+    try:
+        hits = matching.route_hits(micro_index, plan, "wide", ["term_frequency"])
+        node = hits._jdf.queryExecution().sparkPlan()
+        nodes = [node]
+        for node in nodes:
+            children = node.children()
+            nodes += [children.apply(i) for i in range(children.size())]
+        assert any("SortMergeJoin" in node.nodeName() or "BroadcastHashJoin" in node.nodeName() for node in nodes)
+        assert not any("array" in node.schema().simpleString() for node in nodes)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_requests_go_to_the_texts_without_a_shuffle(spark, monkeypatch, micro_index, ask):
+    import wordloom.plans.matching as matching
+    from wordloom.plans.search import _any_position_matches, _phrase_matches
+
+    monkeypatch.setattr(matching, "DIRECT_POSTINGS", 0)
+    for matches in (_any_position_matches, _phrase_matches):
+        plan = matching.compile_requests(micro_index, ask("the market", "green energy"), "require", by_text=True)
+        assert set(plan.routes) == {"text"}
+        text = matches(micro_index, plan, 1.5, 0.75)._jdf.queryExecution().executedPlan().toString()
+        of_texts = [line for line in text.splitlines() if "FileScan" in line]
+        assert of_texts and "Exchange hashpartitioning" not in text and "postings" not in text
+        unread = "positions" if matches is _any_position_matches else "frequencies"
+        assert all(unread not in line.split("ReadSchema:")[1] for line in of_texts)
+
+
+def test_the_index_by_text_is_that_by_word(spark, micro_texts, tmp_path):
+    """Made in memory or stored, with either hash, appended, rewritten and compacted."""
+    for hash_function in ("md5", "blake2b"):
+        path, target = str(tmp_path / hash_function), str(tmp_path / f"{hash_function}-sorted")
+        create_index(spark, path, 7, hash_function)
+        for part in range(3):
+            append_index(micro_texts.filter(F.col("text_id") % 3 == part), path, f"part{part}")
+        refresh_document_frequency(spark, path)
+        compact_index(spark, path, ["part0", "part2"])
+        optimize_index(spark, path, target)
+        memory = indexing.build_index(micro_texts, 7, hash_function)
+        expected = sorted(map(tuple, memory.postings.select(POSTING).collect()))
+        for index in (memory, read_index(spark, path), read_index(spark, target)):
+            own = indexing.postings_of_texts(index.text_words, 7)
+            assert sorted(map(tuple, own.filter("bin > 0").select(POSTING).collect())) == expected
+            assert sorted(own.filter("bin = 0").select("text_id", "words_total").collect()) == sorted(
+                index.word_counts.collect()
+            )
+
+
+def test_document_frequency_adds_up_batches(spark, micro_texts, micro_index, path, monkeypatch):
+    """A refresh reads no posting; a batch that is written again is counted as it is now."""
+    from wordloom.sources import index as store
+
+    create_index(spark, path, 7)
+    append_index(micro_texts.filter("text_id < 3"), path, "first")
+    read = []
+    of_batches = store._of_batches
+
+    def spied(spark, folder, batches, schema):
+        read.append((folder.removeprefix(f"{path}/"), sorted(batches)))
+        return of_batches(spark, folder, batches, schema)
+
+    monkeypatch.setattr(store, "_of_batches", spied)
+    refresh_document_frequency(spark, path)
+    assert read == [("batch_frequency", ["first"])]
+    read.clear()
+    append_index(micro_texts.filter("text_id IN (3, 4)"), path, "second")
+    append_index(micro_texts.filter("text_id > 4"), path, "third")
+    # An append looks for its ids among the lengths of others, and otherwise reads only what it wrote.
+    assert {(folder, *names) for folder, names in read if names not in (["second"], ["third"])} == {
+        ("postings", "first"), ("postings", "first", "second"),
+    }
+    read.clear()
+    refresh_document_frequency(spark, path)
+    assert read == [("batch_frequency", ["second", "third"])]
+    assert content(read_index(spark, path)) == content(micro_index)
+    full = indexing.document_frequency(read_index(spark, path).postings)
+    assert sorted(map(tuple, full.collect())) == content(micro_index)[2]
+
+    read.clear()
+    append_index(micro_texts.filter("text_id = 3"), path, "second")
+    assert read_index(spark, path).uncounted_texts == 1
+    read.clear()
+    refresh_document_frequency(spark, path)
+    assert read == [("batch_frequency", ["first", "second", "third"])]
+    index = read_index(spark, path)
+    full = indexing.document_frequency(index.postings)
+    assert sorted(map(tuple, index.hash_metadata.select("bin", "hash", "document_count").collect())) == sorted(
+        map(tuple, full.collect())
+    )
+    assert index.uncounted_texts == 0 and index.known_postings == index.postings.count()
 
 
 def test_a_batch_with_repeated_ids(spark, micro_texts, micro_index, path):

@@ -97,12 +97,14 @@ def test_tuning(micro_index, ask):
 
 @pytest.mark.parametrize("limit", [0, 3, 10, 40])
 @pytest.mark.parametrize("salts", [False, True])
-def test_every_route_gives_the_same(monkeypatch, micro_index, ask, limit, salts):
+@pytest.mark.parametrize("by_text", [False, True])
+def test_every_route_gives_the_same(monkeypatch, micro_index, ask, limit, salts, by_text):
     """The limits choose routes and joins; they must not change a result."""
     import wordloom.plans.matching as matching
     import wordloom.plans.search as searching
 
     monkeypatch.setattr(matching, "DIRECT_POSTINGS", 0)
+    monkeypatch.setattr(matching, "TEXT_SHARE", 0 if by_text else 100)
     monkeypatch.setattr(searching, "LITERALS", limit)
     monkeypatch.setattr(matching, "ROWS_PER_SALT", 2)
     if not salts and limit < 40:
@@ -217,6 +219,8 @@ def test_intersection_of_nothing(micro_index, ask):
 def test_phrases_are_compared_once(monkeypatch, micro_index, ask):
     import wordloom.plans.matching as matching
 
+    # Where positions are compared in columns, not inside the texts.
+    monkeypatch.setattr(matching, "TEXT_SHARE", 100)
     for postings in (matching.DIRECT_POSTINGS, 0):
         monkeypatch.setattr(matching, "DIRECT_POSTINGS", postings)
         plan = search_phrase(micro_index, ask("green energy", "the market"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import dataclasses
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.functions.hashing import JVM_HASHES, hash_bin, word_hash
+from wordloom.functions.hashing import JVM_HASHES, digest_at, hash_bin, word_digests, word_hash
 from wordloom.functions.postings import run_starts, runs, words_with_positions
 from wordloom.functions.text import with_tokens
 from wordloom.session import BROADCAST_ROWS, written
@@ -23,6 +23,7 @@ class Index:
     word_counts     text_id, words_total
     hash_metadata   bin, hash, document_count
     stats           total_documents, average_document_length (one row)
+    text_words      text_id, words_total, hashes, frequencies, positions: the same by text
 
     A posting repeats the length of its text, so ranking needs no join with ``word_counts``, and its term
     frequency, so only phrase search has to read positions.  A stored index knows its statistics without a
@@ -33,10 +34,12 @@ class Index:
     word_counts: DataFrame
     hash_metadata: DataFrame
     stats: DataFrame
+    text_words: DataFrame
     bins: int
     hash_function: str
     known_stats: tuple[int, float | None] | None = None
     uncounted_texts: int = 0
+    known_postings: int | None = None
 
     def statistics(self) -> tuple[int, float | None]:
         """Number of texts and their average length."""
@@ -103,23 +106,52 @@ def postings(texts: DataFrame, bins: int = DEFAULT_BINS, hash_function: str = "m
     return _as_postings(text_words(texts), bins, hash_function)
 
 
+def words_by_text(texts: DataFrame, hash_function: str = "md5") -> DataFrame:
+    """The index by text: one row per text with its distinct words.  No shuffle.
+
+    ``hashes`` holds the digests of its words one after the other, ``frequencies`` how often each occurs and
+    ``positions`` where, in the same order.
+    """
+    found = _grouped_words(texts).select("text_id", "words_total", runs("ordered", "starts").alias("runs"))
+    return found.select(
+        "text_id",
+        "words_total",
+        word_digests(F.transform("runs", lambda run: run.word), hash_function).alias("hashes"),
+        F.transform("runs", lambda run: F.size(run.positions)).alias("frequencies"),
+        F.transform("runs", lambda run: run.positions).alias("positions"),
+    )
+
+
+def postings_of_texts(by_text: DataFrame, bins: int) -> DataFrame:
+    """Postings of an index by text, and in bin 0 one row per text that holds its length."""
+
+    def posting(frequency: Column, place: Column) -> Column:
+        return F.struct(
+            digest_at(F.col("hashes"), place).alias("hash"),
+            F.get("positions", place).alias("positions"),
+            frequency.alias("term_frequency"),
+        )
+
+    kind = "array<struct<hash: string, positions: array<int>, term_frequency: int>>"
+    length = F.array(F.struct(F.lit(None), F.lit(None), F.lit(None))).cast(kind)
+    rows = by_text.select(
+        "text_id", "words_total", F.inline(F.concat(length, F.transform("frequencies", posting).cast(kind)))
+    )
+    return rows.select(
+        F.coalesce(hash_bin("hash", bins), F.lit(0)).alias("bin"),
+        "hash",
+        "text_id",
+        "positions",
+        "term_frequency",
+        "words_total",
+    )
+
+
 def postings_and_lengths(
     texts: DataFrame, bins: int = DEFAULT_BINS, hash_function: str = "md5"
 ) -> DataFrame:
     """Postings, and in bin 0 one row per text that holds its length, from a single pass over the texts."""
-    no_word = F.struct(
-        F.lit(None).cast("string").alias("word"), F.lit(None).cast("array<int>").alias("positions")
-    )
-    words = _grouped_words(texts).select(
-        "text_id", "words_total", F.inline(F.concat(F.array(no_word), runs("ordered", "starts")))
-    )
-    rows = _as_postings(words, bins, hash_function)
-    return rows.withColumns(
-        {
-            "bin": F.coalesce("bin", F.lit(0)),
-            "term_frequency": F.when(F.col("hash").isNotNull(), F.col("term_frequency")),
-        }
-    )
+    return postings_of_texts(words_by_text(texts, hash_function), bins)
 
 
 def posting_positions(posting_rows: DataFrame) -> DataFrame:
@@ -169,6 +201,7 @@ def build_index(texts: DataFrame, bins: int = DEFAULT_BINS, hash_function: str =
         word_counts=counts,
         hash_metadata=document_frequency(posting_rows),
         stats=corpus_stats(counts),
+        text_words=words_by_text(texts, hash_function),
         bins=bins,
         hash_function=hash_function,
     )

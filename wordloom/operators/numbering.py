@@ -27,21 +27,28 @@ def numbered(frame: DataFrame, order: Sequence[str], number: str, start: int = 0
     """Rows with consecutive numbers in the order of ``order``, NULLs first; no global window.
 
     Rows are cut into ranges and counted per range.  The ranges are written once: if they were computed
-    again, Spark might cut them in another way.  Rows that are equal in ``order`` are ordered by their
-    other columns; rows that are equal in all share their numbers in any way, which shows in no result, so
-    they are spread over ranges too.
+    again, Spark might cut them in another way.  Rows that are equal in ``order`` are ordered by a hash of
+    their other columns; rows that are equal in all share their numbers in any way, which shows in no
+    result, so they are spread over ranges too.
+
+    Spark cuts ranges by a sample that the driver holds.  It has the columns of ``order`` and three numbers
+    of each row sampled; what the other columns hold never gets there.
     """
-    others = [
-        field.name
-        for field in frame.schema.fields
-        if field.name not in order and not isinstance(field.dataType, (T.MapType, T.VariantType))
-    ]
-    keys = [*[F.col(f"`{name}`") for name in [*order, *others]], F.col("__spread")]
+    others = [field for field in frame.schema.fields if field.name not in order]
+    hashed = [F.col(f"`{field.name}`") for field in others if _hashable(field.dataType)]
+    # Two hashes with different beginnings; a null does not change a hash, so it is one more value.
+    nulls = [column.isNull() for column in hashed]
+    ties = {
+        "__hash": F.xxhash64(F.lit(1), *hashed, *nulls),
+        "__more": F.xxhash64(F.lit(2), *hashed, *nulls),
+        "__spread": F.xxhash64(F.monotonically_increasing_id()),
+    }
+    keys = [F.col(f"`{name}`") for name in [*order, *ties]]
     ranges = written(
-        frame.withColumn("__spread", F.xxhash64(F.monotonically_increasing_id()))
+        frame.withColumns(ties)
         .repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
-        .drop("__spread")
+        .drop(*ties)
         .withColumn(number, F.monotonically_increasing_id()),
         "numbered",
     )

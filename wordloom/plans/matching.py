@@ -8,15 +8,18 @@ each request takes one of three routes:
 single  one distinct word: its postings are the matches, nothing is shuffled.
 narrow  the rarest word has few postings: these name the candidate texts, a small table that is
         broadcast, and the postings of the frequent words are cut down to them during the scan.
-wide    even the rarest word is frequent, or the batch is too big to broadcast: every posting the batch
-        needs is moved once, by text id, however many requests share the word.  A text meets a request
-        only through the request's rarest word, and the other words are looked up inside the text.
+text    the batch asks for a good part of all postings: the index by text is read once for each block of
+        requests, and nothing is shuffled (``plans/by_text.py``).
+wide    all others: the texts of the rarest word are candidates, rows of two ids, which meet the next rarer
+        words only if they have met the last, and what is left meets all words for their values.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import math
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
@@ -26,6 +29,7 @@ from pyspark.sql.window import Window
 from wordloom.functions.hashing import hash_bin
 from wordloom.operators.indexing import Index
 from wordloom.operators.requests import request_terms
+from wordloom.plans.by_text import Block
 from wordloom.session import (
     BROADCAST_ROWS,
     LITERALS,
@@ -42,6 +46,13 @@ UNKNOWN_TERMS = ("drop", "require")
 # A key with more rows than this is spread over copies of the other side, one per so many rows.
 ROWS_PER_SALT = 1_000_000
 
+# The index by text is read if the words of a batch have at least this part of all postings: it holds a posting in
+# about the space that moving one takes, but all of them.
+TEXT_SHARE = 1 / 8
+
+# Words by rarity that candidates meet step by step; what has met all of these meets the others at once.
+STEPS = ((2, 2), (3, 4))
+
 # Postings that a small batch may read without being pruned any further.
 DIRECT_POSTINGS = 2_000_000
 
@@ -113,6 +124,7 @@ class RequestPlan:
     slots: list[list[str]] | None = None
     listed: list[Word] | None = None
     direct: bool = False
+    most_words: int = 0
 
 
 def join_words(rows: DataFrame, words: DataFrame, key: str, spread: str, small: bool) -> DataFrame:
@@ -232,23 +244,35 @@ def asked_terms(index: Index, requests: DataFrame) -> tuple[DataFrame, pa.Table
 
 
 def compile_requests(
-    index: Index, requests: DataFrame, unknown_terms: str = "drop", fold: bool = False
+    index: Index,
+    requests: DataFrame,
+    unknown_terms: str = "drop",
+    fold: bool = False,
+    by_text: bool = False,
 ) -> RequestPlan:
     """Look up the words of requests (``query_id``, ``request``) and choose a route for each request.
 
     A word the index does not know is left out, so the request asks for its other words, or with
     ``unknown_terms="require"`` makes the request match nothing.  With ``fold`` a big batch is planned
-    without repeated requests.
+    without repeated requests, with ``by_text`` the index by text may be used.
     """
     if unknown_terms not in UNKNOWN_TERMS:
         raise ValueError(f"unknown_terms must be one of {UNKNOWN_TERMS}, not {unknown_terms!r}")
     terms, table = asked_terms(index, requests)
     if table is not None:
-        return _small_plan(index, terms, table, unknown_terms)
-    return _big_plan(index, terms, unknown_terms, fold)
+        return _small_plan(index, terms, table, unknown_terms, by_text)
+    return _big_plan(index, terms, unknown_terms, fold, by_text)
+
 
+def _worth_all_texts(index: Index, postings: int, different: int) -> bool:
+    """Whether words with so many postings are worth a look at every text."""
+    known = index.known_postings
+    return known is not None and postings + different * index.uncounted_texts >= TEXT_SHARE * known
 
-def _small_plan(index: Index, terms: DataFrame, table: pa.Table, unknown_terms: str) -> RequestPlan:
+
+def _small_plan(
+    index: Index, terms: DataFrame, table: pa.Table, unknown_terms: str, by_text: bool
+) -> RequestPlan:
     """The plan of a batch whose words the driver can hold: one look at document frequency, no other job."""
     spark = terms.sparkSession
     rows = [Row(**row) for row in table.to_pylist()]
@@ -279,6 +303,11 @@ def _small_plan(index: Index, terms: DataFrame, table: pa.Table, unknown_terms:
             )
         queries.append(query_id)
         slots.append([row.hash for row in sorted(own, key=lambda row: row.phrase_offset)])
+    postings = {word.hash: word.document_count + index.uncounted_texts for word in words}
+    direct = len(words) <= LITERALS and sum(postings.values()) <= DIRECT_POSTINGS
+    several = {word.hash: word.document_count for word in words if word.required > 1}
+    if by_text and not direct and several and _worth_all_texts(index, sum(several.values()), len(several)):
+        words = [word if word.required == 1 else dataclasses.replace(word, route="text") for word in words]
 
     routes = {}
     for name in sorted({word.route for word in words}):
@@ -286,7 +315,6 @@ def _small_plan(index: Index, terms: DataFrame, table: pa.Table, unknown_terms:
         rarest = [word for word in taken if word.rarity == 1]
         bound = sum(word.document_count + index.uncounted_texts for word in rarest)
         routes[name] = Route(_pruning_of(taken, index.bins), _pruning_of(rarest, index.bins), bound)
-    postings = {word.hash: word.document_count + index.uncounted_texts for word in words}
     columns = {
         "query_id": pa.array([queries[word.query] for word in words], type=table.schema.field("query_id").type),
         **{
@@ -314,11 +342,12 @@ def _small_plan(index: Index, terms: DataFrame, table: pa.Table, unknown_terms:
         queries=queries,
         slots=slots,
         listed=words,
-        direct=len(words) <= LITERALS and sum(postings.values()) <= DIRECT_POSTINGS,
+        direct=direct,
+        most_words=max((word.required for word in words), default=0),
     )
 
 
-def _big_plan(index: Index, terms: DataFrame, unknown_terms: str, fold: bool) -> RequestPlan:
+def _big_plan(index: Index, terms: DataFrame, unknown_terms: str, fold: bool, by_text: bool) -> RequestPlan:
     folded = None
     if fold:
         terms, folded = fold_requests(terms)
@@ -358,12 +387,14 @@ def _big_plan(index: Index, terms: DataFrame, unknown_terms: str, fold: bool) ->
     if unknown_terms == "require":
         words = words.filter(F.col("required") == F.col("distinct_words"))
     narrow = candidates <= F.lit(BROADCAST_ROWS) if small else F.lit(False)
-    words = durable(
-        words.withColumn(
-            "route",
-            F.when(F.col("required") == 1, "single").when(narrow, "narrow").otherwise("wide"),
-        )
-    )
+    words = durable(words)
+    others = F.when(narrow, "narrow").otherwise("wide")
+    if by_text:
+        several = words.filter("required > 1").select("hash", "document_count").distinct()
+        sums = several.agg(F.sum("document_count").alias("postings"), F.count(F.lit(1)).alias("different")).first()
+        if sums.different and _worth_all_texts(index, sums.postings, sums.different):
+            others = F.lit("text")
+    words = words.withColumn("route", F.when(F.col("required") == 1, "single").otherwise(others))
     is_rarest = F.col("rarity") == 1
     rows = (
         words.groupBy("route")
@@ -371,6 +402,7 @@ def _big_plan(index: Index, terms: DataFrame, unknown_terms: str, fold: bool) ->
             F.collect_set("bin").alias("bins"),
             F.collect_set(F.when(is_rarest, F.col("bin"))).alias("rarest_bins"),
             F.sum(F.when(is_rarest, F.col("document_count") + uncounted)).alias("rarest_postings"),
+            F.max("required").alias("most_words"),
         )
         .collect()
     )
@@ -391,6 +423,7 @@ def _big_plan(index: Index, terms: DataFrame, unknown_terms: str, fold: bool) ->
         total_documents=total,
         average_document_length=average,
         folded=folded,
+        most_words=max((row.most_words for row in rows), default=0),
     )
 
 
@@ -455,26 +488,30 @@ def _narrow_hits(index: Index, plan: RequestPlan, words: DataFrame, values: list
 
 def _wide_hits(index: Index, plan: RequestPlan, words: DataFrame, values: list[str]) -> DataFrame:
     small = plan.broadcastable
-    vocabulary = words.groupBy("hash").agg(F.max(F.col("rarity") == 1).alias("is_rarest"))
-    rows = plan.routes["wide"].words.apply(index.postings).select("hash", "text_id", *values)
-    moved = join_words(rows, vocabulary, "hash", "text_id", small).repartition("text_id")
-    # From here on all is partitioned by text: what the text has of the batch's words stands in one row.
-    held = moved.groupBy("text_id").agg(F.collect_set("hash").alias("held"))
-    requests = words.groupBy("query_id").agg(
-        F.min(F.when(F.col("rarity") == 1, F.col("hash"))).alias("hash"),
-        F.collect_list("hash").alias("asked"),
-    )
-    rare = moved.filter("is_rarest").select("text_id", "hash").join(held, "text_id")
-    candidates = join_words(rare, requests, "hash", "text_id", small)
-    matched = candidates.filter(F.size(F.array_except("asked", "held")) == 0).select(
-        "query_id", "text_id"
-    )
-    entries = words.select("query_id", "hash", "document_count", "required")
-    if small:
-        wanted = matched.join(F.broadcast(entries), "query_id")
-    else:
-        wanted = join_words(matched, entries, "query_id", "text_id", False)
-    return moved.drop("is_rarest").join(wanted, ["text_id", "hash"])
+    needs = plan.routes["wide"]
+    asked = words.select("query_id", "hash", "rarity", "document_count", "required")
+
+    def wanted(candidates: DataFrame, entries: DataFrame) -> DataFrame:
+        return join_words(candidates, entries, "query_id", "text_id", small)
+
+    # From rarest to most frequent: a candidate is a request and a text, whatever else either holds.
+    rarest = asked.filter("rarity = 1").select("query_id", "hash")
+    own = needs.rarest.apply(index.postings).select("hash", "text_id")
+    candidates = join_words(own, rarest, "hash", "text_id", small).select("query_id", "text_id")
+    rows = needs.words.apply(index.postings)
+    for first, last in STEPS:
+        if plan.most_words <= last:
+            # The words themselves are the next step.
+            break
+        step = asked.filter(F.col("rarity").between(first, last)).select("query_id", "hash", "required")
+        met = rows.select("hash", "text_id").join(wanted(candidates, step), ["text_id", "hash"])
+        met = met.groupBy("query_id", "text_id").agg(
+            F.count(F.lit(1)).alias("met"), F.first("required").alias("required")
+        )
+        enough = F.least("required", F.lit(last)) - (first - 1)
+        candidates = met.filter(F.col("met") == enough).select("query_id", "text_id")
+    entries = asked.select("query_id", "hash", "document_count", "required")
+    return rows.select("hash", "text_id", *values).join(wanted(candidates, entries), ["text_id", "hash"])
 
 
 def route_hits(index: Index, plan: RequestPlan, route: str, values: list[str]) -> DataFrame:
@@ -494,10 +531,24 @@ def route_hits(index: Index, plan: RequestPlan, route: str, values: list[str]) -
 
 
 def all_hits(index: Index, plan: RequestPlan, values: list[str]) -> list[tuple[str, DataFrame]]:
-    """Hits by route, or all at once for a direct batch."""
+    """Hits by route, or all at once for a direct batch; without those of the index by text."""
     if plan.direct:
         return [("direct", _direct_hits(index, plan, values))] if plan.listed else []
-    return [(route, route_hits(index, plan, route, values)) for route in plan.routes]
+    return [(route, route_hits(index, plan, route, values)) for route in plan.routes if route != "text"]
+
+
+def text_blocks(plan: RequestPlan) -> Iterator[tuple[Block, DataFrame]]:
+    """Requests for the index by text, at most about ``BROADCAST_ROWS`` words at a time, and their terms."""
+    if "text" not in plan.routes or plan.direct:
+        return
+    words, terms, blocks = plan.words.filter("route = 'text'"), plan.terms, 1
+    if plan.listed is None:
+        # A request may repeat its words, so its slots count.
+        terms = terms.join(words.filter("rarity = 1").select("query_id"), "query_id", "left_semi")
+        blocks = max(math.ceil(max(words.count(), terms.count()) / max(BROADCAST_ROWS, 1)), 1)
+    for block in range(blocks):
+        of_block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block
+        yield Block.collect(words.filter(of_block)), terms.filter(of_block)
 
 
 def named_queries(plan: RequestPlan, frame: DataFrame) -> DataFrame:

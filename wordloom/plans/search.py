@@ -28,6 +28,7 @@ from wordloom.plans.matching import (
     lookup,
     named_queries,
     phrase_lists,
+    text_blocks,
     uncounted_words,
     word_pruning,
 )
@@ -125,15 +126,30 @@ def search_word(
 
 
 def _any_position_matches(index: Index, plan: RequestPlan, k1: float, b: float) -> DataFrame:
-    score = _score(
-        "term_frequency",
-        "document_count",
-        plan.total_documents,
-        plan.average_document_length,
-        k1,
-        b,
-    )
+    def score_of(term_frequency: Column, document_count: Column) -> Column:
+        return bm25(
+            term_frequency,
+            document_count,
+            F.col("words_total"),
+            F.lit(plan.total_documents),
+            F.lit(plan.average_document_length).cast("double"),
+            k1,
+            b,
+        )
+
+    score = score_of(F.col("term_frequency"), F.col("document_count"))
     matched = []
+    for block, _ in text_blocks(plan):
+        scores = F.zip_with("frequencies", "counts", score_of)
+        total = F.aggregate(scores, F.lit(0.0), lambda sum_, own: sum_ + own)
+        matched.append(
+            block.any_position(index.text_words).select(
+                "query_id",
+                "text_id",
+                F.round(total, SCORE_DIGITS).alias("bm25_score"),
+                F.size("counts").cast("long").alias("matching_words"),
+            )
+        )
     for route, hits in all_hits(index, plan, ["term_frequency", "words_total"]):
         scored = hits.select("query_id", "text_id", "required", score.alias("bm25_score"))
         if route == "single":
@@ -161,7 +177,7 @@ def search_any_position(
     unknown_terms: str = "drop",
 ) -> DataFrame:
     """Texts with all words in any order; the score is the sum over the different words."""
-    plan = compile_requests(index, requests, unknown_terms, fold=True)
+    plan = compile_requests(index, requests, unknown_terms, fold=True, by_text=True)
     return _ranked(_any_position_matches(index, plan, k1, b), k, plan.folded, _queries(plan))
 
 
@@ -202,24 +218,19 @@ def _phrase_matches(index: Index, plan: RequestPlan, k1: float, b: float) -> Dat
     # The generator drops candidates without an occurrence: a filter would make Catalyst copy the
     # expression and compare all positions twice.
     occurrences = F.filter(F.array(phrase_occurrences("slots", "lists")), lambda found: found > 0)
-    found = (
-        _with_phrases(plan, phrase_lists(index, plan))
-        .select(
-            "query_id",
-            "text_id",
-            "words_total",
-            "minimum_count",
-            F.size("slots").alias("phrase_length"),
-            F.explode(occurrences).alias("occurrences"),
-        )
-        .select(
-            "query_id",
-            "text_id",
-            score.alias("bm25_score"),
-            (F.col("occurrences") * F.col("phrase_length")).cast("long").alias("matching_words"),
-        )
+    columns = ["query_id", "text_id", "words_total", "minimum_count"]
+    found = _with_phrases(plan, phrase_lists(index, plan)).select(
+        *columns, F.size("slots").alias("phrase_length"), F.explode(occurrences).alias("occurrences")
+    )
+    for block, terms in text_blocks(plan):
+        found = found.unionByName(block.phrases(index.text_words, terms).select(found.columns))
+    matches = found.select(
+        "query_id",
+        "text_id",
+        score.alias("bm25_score"),
+        (F.col("occurrences") * F.col("phrase_length")).cast("long").alias("matching_words"),
     )
-    return named_queries(plan, found)
+    return named_queries(plan, matches)
 
 
 def search_phrase(
@@ -230,7 +241,7 @@ def search_phrase(
     ``matching_words`` is the number of occurrences times the number of words.  A request with a word the
     index does not know matches nothing.
     """
-    plan = compile_requests(index, requests, "require", fold=True)
+    plan = compile_requests(index, requests, "require", fold=True, by_text=True)
     return _ranked(_phrase_matches(index, plan, k1, b), k, plan.folded, _queries(plan))
 
 
@@ -252,7 +263,8 @@ def search(
     phrase = method == "exact_phrase"
     if phrase and unknown_terms not in (None, "require"):
         raise ValueError("a phrase requires all of its words")
-    plan = compile_requests(index, requests, "require" if phrase else unknown_terms or "drop", fold=True)
+    unknown_terms = "require" if phrase else unknown_terms or "drop"
+    plan = compile_requests(index, requests, unknown_terms, fold=True, by_text=True)
     find = _phrase_matches if phrase else _any_position_matches
     matches = find(index, plan, K1, B)
 

@@ -1,10 +1,16 @@
 """The stored index: Parquet folders partitioned by batch and bin.
 
     settings/                                bins and hash function
+    texts/batch=<name>/                      the index by text, in the order the texts came in
     postings/batch=<name>/bin=<n>/           postings; bin 0 holds the lengths of the batch's texts
+    batch_frequency/batch=<name>/bin=<n>/    document frequency within the batch
     hash_metadata/version=<n>/bin=<n>/       document frequency, replaced as a whole
     commits/entry=<...>/                     one row per finished batch or document frequency
 
+Texts are cut into words once, when the index by text is written; postings are made from it, and the batch's
+document frequency from its postings.  A new document frequency is the last one and that of the batches since
+then, added up: no posting of an earlier batch is read again.
+
 Writers add their row to ``commits`` last and readers see only what is listed there, so a failed or
 running append is invisible.  An entry written again replaces the first attempt.  A batch that rewrites
 others, as a whole or some of their bins, says so in its row: readers then leave the rewritten parts out.
@@ -14,7 +20,7 @@ from __future__ import annotations
 
 import dataclasses
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,22 +30,28 @@ from wordloom.operators.indexing import (
     DEFAULT_BINS,
     Index,
     document_frequency,
-    postings_and_lengths,
+    postings_of_texts,
+    words_by_text,
 )
 from wordloom.functions.hashing import HASH_FUNCTIONS, hash_bin
 from wordloom.session import BROADCAST_ROWS, no_rows, one_row, spread
 
 _SETTINGS = "bins int, hash_function string"
-# A batch knows which document frequency was the last when it was written: that one does not count it.
+# Each attempt at a batch has a name of its own; a document frequency says which attempts it counts.
 _COMMITS = (
-    "entry string, batch string, texts long, words long, version long, after_version long, "
-    "replaces array<string>, replaced_bins array<int>"
+    "entry string, batch string, attempt string, texts long, words long, postings long, version long, "
+    "counted array<string>, replaces array<string>, replaced_bins array<int>"
 )
 _POSTINGS = (
     "hash string, text_id long, positions array<int>, term_frequency int, words_total int, "
     "batch string, bin int"
 )
 _METADATA = "hash string, document_count long, version long, bin int"
+_FREQUENCY = "hash string, document_count long, batch string, bin int"
+_TEXTS = (
+    "text_id long, words_total int, hashes binary, frequencies array<int>, positions array<array<int>>, "
+    "batch string"
+)
 
 
 def create_index(
@@ -73,22 +85,26 @@ def _commit(spark: SparkSession, path: str, entry: str, **values: int | str) ->
 class _Snapshot:
     """What is finished.
 
-    ``parts`` are the batches to read with the bins to leave out (None: nothing is left out);
-    ``uncounted`` is how many texts the last document frequency may not know.
+    ``parts`` are the batches to read postings of, with the bins to leave out (None: nothing is left out);
+    ``attempts`` the batches that brought texts, ``counted`` the attempts that the last document frequency knows
+    and ``uncounted`` how many texts it may not know.
     """
 
     parts: dict[str, set[int] | None]
+    attempts: dict[str, str]
     version: int | None
+    counted: set[str]
     texts: int
     words: int
+    postings: int
     uncounted: int
 
 
 def _finished(spark: SparkSession, path: str) -> _Snapshot:
     """Commits are a few bytes per batch; ``compact_index`` keeps batches few."""
     rows = commits(spark, path).collect()
-    versions = [row.version for row in rows if row.version is not None]
-    version = max(versions, default=None)
+    last = max((row for row in rows if row.version is not None), key=lambda row: row.version, default=None)
+    counted = set(last.counted) if last else set()
     batches = {row.batch: row for row in rows if row.batch is not None}
     parts: dict[str, set[int] | None] = dict.fromkeys(batches)
     for row in batches.values():
@@ -99,30 +115,36 @@ def _finished(spark: SparkSession, path: str) -> _Snapshot:
                 del parts[name]
             else:
                 parts[name] = (parts[name] or set()) | set(row.replaced_bins)
-    uncounted = [
-        row.texts for row in batches.values() if row.after_version == version and not row.replaces
-    ]
+    own = [row for row in batches.values() if not row.replaces]
     return _Snapshot(
-        parts,
-        version,
-        sum(row.texts for row in batches.values() if not row.replaces),
-        sum(row.words for row in batches.values() if not row.replaces),
-        sum(uncounted),
+        parts=parts,
+        attempts={row.batch: row.attempt for row in own},
+        version=last.version if last else None,
+        counted=counted,
+        texts=sum(row.texts for row in own),
+        words=sum(row.words for row in own),
+        postings=sum(row.postings for row in own),
+        uncounted=sum(row.texts for row in own if row.attempt not in counted),
     )
 
 
 def _stored_rows(spark: SparkSession, path: str, parts: dict[str, set[int] | None]) -> DataFrame:
     """Postings and lengths of the given batches; no other folder is looked at."""
-    if not parts:
-        return no_rows(spark, _POSTINGS)
-    reader = spark.read.schema(_POSTINGS).option("basePath", f"{path}/postings")
-    rows = reader.parquet(*[f"{path}/postings/batch={name}" for name in sorted(parts)])
+    rows = _of_batches(spark, f"{path}/postings", list(parts), _POSTINGS)
     for name, bins in sorted(parts.items()):
         if bins:
             rows = rows.filter((F.col("batch") != name) | ~F.col("bin").isin(sorted(bins)))
     return rows
 
 
+def _of_batches(spark: SparkSession, folder: str, batches: Sequence[str], schema: str) -> DataFrame:
+    """Rows of the given batches; no other folder is looked at."""
+    if not batches:
+        return no_rows(spark, schema)
+    reader = spark.read.schema(schema).option("basePath", folder)
+    return reader.parquet(*[f"{folder}/batch={name}" for name in sorted(batches)])
+
+
 def _postings(rows: DataFrame) -> DataFrame:
     return rows.filter("bin > 0").select(
         "bin", "hash", "text_id", "positions", "term_frequency", "words_total"
@@ -156,10 +178,12 @@ def read_index(spark: SparkSession, path: str) -> Index:
                 }
             )
         ),
+        text_words=_of_batches(spark, f"{path}/texts", list(found.attempts), _TEXTS).drop("batch"),
         bins=bins,
         hash_function=hash_function,
         known_stats=(found.texts, found.words / found.texts if found.texts else None),
         uncounted_texts=found.uncounted,
+        known_postings=found.postings,
     )
 
 
@@ -174,16 +198,25 @@ def _in_bins(rows: DataFrame) -> DataFrame:
 
 
 def _write_batch(
-    spark: SparkSession, path: str, rows: DataFrame, batch: str, after_version: int | None
+    spark: SparkSession, path: str, by_text: DataFrame, batch: str, layout: Callable[[DataFrame], DataFrame]
 ) -> tuple[int, int]:
-    folder = f"{path}/postings/batch={batch}"
-    rows.write.mode("overwrite").partitionBy("bin").parquet(folder)
-    lengths = spark.read.schema(_POSTINGS).parquet(folder).filter("bin = 0")
-    totals = lengths.agg(
-        F.count("text_id").alias("texts"), F.coalesce(F.sum("words_total"), F.lit(0)).alias("words")
+    """Write a batch from its index by text: that itself, postings in a layout, document frequency, totals."""
+    bins, _ = index_settings(spark, path)
+    by_text.write.mode("overwrite").parquet(f"{path}/texts/batch={batch}")
+    by_text = _of_batches(spark, f"{path}/texts", [batch], _TEXTS).drop("batch")
+    rows = layout(postings_of_texts(by_text, bins))
+    rows.write.mode("overwrite").partitionBy("bin").parquet(f"{path}/postings/batch={batch}")
+    written = _postings(_of_batches(spark, f"{path}/postings", [batch], _POSTINGS))
+    counted = _in_bins(document_frequency(written))
+    counted.write.mode("overwrite").partitionBy("bin").parquet(f"{path}/batch_frequency/batch={batch}")
+    counted = _of_batches(spark, f"{path}/batch_frequency", [batch], _FREQUENCY)
+    none = F.lit(0).cast("long")
+    totals = by_text.agg(
+        F.count("text_id").alias("texts"), F.coalesce(F.sum("words_total"), none).alias("words")
     ).first()
-    values = {"batch": batch, "texts": totals.texts, "words": totals.words, "after_version": after_version}
-    _commit(spark, path, f"batch-{batch}", **values)
+    postings = counted.agg(F.coalesce(F.sum("document_count"), none)).first()[0]
+    values = {"texts": totals.texts, "words": totals.words, "postings": postings}
+    _commit(spark, path, f"batch-{batch}", batch=batch, attempt=uuid.uuid4().hex, **values)
     return totals.texts, totals.words
 
 
@@ -208,7 +241,7 @@ def append_index(
     if on_duplicate not in ("error", "skip"):
         raise ValueError(f"on_duplicate must be 'error' or 'skip', not {on_duplicate!r}")
     spark = texts.sparkSession
-    bins, hash_function = index_settings(spark, path)
+    _, hash_function = index_settings(spark, path)
     batch = batch or uuid.uuid4().hex
     texts = spread(texts.select("text_id", "text"), "text_id")
 
@@ -237,21 +270,31 @@ def append_index(
         if repeated:
             texts = texts.join(known, "text_id", "left_anti")
 
-    rows = postings_and_lengths(texts, bins, hash_function)
-    return _write_batch(spark, path, _in_bins(rows), batch, found.version)
+    return _write_batch(spark, path, words_by_text(texts, hash_function), batch, _in_bins)
 
 
 def refresh_document_frequency(spark: SparkSession, path: str) -> int:
-    """Count document frequency anew over all finished batches; returns the number of hashes.
+    """Document frequency over all finished batches; returns the number of hashes.
 
-    The count before the last one is removed: readers of an index opened since then do not need it.
+    The last one and that of the batches since then are added up, batch by batch counts without reading any
+    posting.  Only if a batch that the last one counts was replaced since, all batches' counts are.  The count
+    before the last one is removed: readers of an index opened since then do not need it.
     """
     found = _finished(spark, path)
     version = 0 if found.version is None else found.version + 1
-    counted = document_frequency(_postings(_stored_rows(spark, path, found.parts)))
+    merges = found.version is not None and found.counted <= set(found.attempts.values())
+    since = [name for name, attempt in found.attempts.items() if not merges or attempt not in found.counted]
+    columns = ["bin", "hash", "document_count"]
+    counted = _of_batches(spark, f"{path}/batch_frequency", since, _FREQUENCY).select(*columns)
+    if merges:
+        last = spark.read.schema(_METADATA).parquet(_version_folder(path, found.version))
+        counted = last.select(*columns).unionByName(counted)
+    counted = counted.groupBy("bin", "hash").agg(F.sum("document_count").alias("document_count"))
     folder = _version_folder(path, version)
     _in_bins(counted).write.mode("overwrite").partitionBy("bin").parquet(folder)
-    _commit(spark, path, f"version-{version}", version=version)
+    attempts = F.array(*[F.lit(attempt) for attempt in sorted(found.attempts.values())]).cast("array<string>")
+    row = one_row(spark, _COMMITS, version=version).withColumn("counted", attempts).drop("entry")
+    row.write.mode("overwrite").parquet(f"{path}/commits/entry=version-{version}")
     if version >= 2:
         _remove(spark, _version_folder(path, version - 2))
     return spark.read.schema(_METADATA).parquet(folder).count()
@@ -266,7 +309,7 @@ def _remove(spark: SparkSession, folder: str) -> None:
 def _sorted_rows(rows: DataFrame) -> DataFrame:
     """Partitions are ranges of (bin, hash, text_id): a word in a third of all texts is cut into many."""
     order = ["bin", "hash", "text_id"]
-    return rows.drop("batch").repartitionByRange(*order).sortWithinPartitions(*order)
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def optimize_index(spark: SparkSession, path: str, target: str) -> tuple[int, int]:
@@ -276,9 +319,9 @@ def optimize_index(spark: SparkSession, path: str, target: str) -> tuple[int, in
     of texts and words in it.
     """
     bins, hash_function = index_settings(spark, path)
-    rows = _sorted_rows(_stored_rows(spark, path, _finished(spark, path).parts))
+    by_text = _of_batches(spark, f"{path}/texts", list(_finished(spark, path).attempts), _TEXTS).drop("batch")
     create_index(spark, target, bins, hash_function)
-    totals = _write_batch(spark, target, rows, "all", None)
+    totals = _write_batch(spark, target, by_text, "all", _sorted_rows)
     refresh_document_frequency(spark, target)
     return totals
 
@@ -303,10 +346,10 @@ def compact_index(
     if bins is not None:
         rows = rows.filter(F.col("bin").isin([int(number) for number in bins]))
     name = uuid.uuid4().hex
-    _sorted_rows(rows).write.partitionBy("bin").parquet(f"{path}/postings/batch={name}")
+    _sorted_rows(rows.drop("batch")).write.partitionBy("bin").parquet(f"{path}/postings/batch={name}")
     # Batches that only stand in for these are replaced with them, so that what they replaced stays out.
     values = F.array(*[F.lit(batch) for batch in chosen])
-    row = one_row(spark, _COMMITS, batch=name, texts=0, words=0).withColumn("replaces", values)
+    row = one_row(spark, _COMMITS, batch=name, texts=0, words=0, postings=0).withColumn("replaces", values)
     if bins is not None:
         row = row.withColumn("replaced_bins", F.array(*[F.lit(int(number)) for number in bins]))
     row.drop("entry").write.mode("overwrite").parquet(f"{path}/commits/entry=batch-{name}")
