@@ -69,7 +69,11 @@ def squared(ones: np.ndarray, two: np.ndarray) -> np.ndarray:
 
 
 def _root(distance) -> float:
-    return math.sqrt(distance) if distance < 10**300 else float(math.isqrt(int(distance)))
+    """The distance of a squared one; infinite beyond doubles, where no bound is made of it."""
+    try:
+        return math.sqrt(distance)
+    except OverflowError:
+        return math.inf
 
 
 def build_tree(centroids: np.ndarray) -> list[Node]:
@@ -153,9 +157,12 @@ def nearest(vectors: np.ndarray, centroids: np.ndarray, tree: list[Node]) -> tup
                 meet(rows, member)
             if node.vantage >= 0:
                 far = meet(rows, node.vantage)
+                known = np.isfinite(far) & math.isfinite(node.beyond)
                 room = _ROUNDING * (far + node.beyond)
-                bounds[rows, node.inner] = np.maximum(bound, far - node.radius - room)
-                bounds[rows, node.outer] = np.maximum(bound, node.beyond - far - room)
+                with np.errstate(invalid="ignore"):
+                    inner, outer = far - node.radius - room, node.beyond - far - room
+                bounds[rows, node.inner] = np.maximum(bound, np.where(known, inner, 0.0))
+                bounds[rows, node.outer] = np.maximum(bound, np.where(known, outer, 0.0))
     return found, best
 
 
