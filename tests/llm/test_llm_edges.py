@@ -117,6 +117,42 @@ def test_samples_are_bounded_where_a_third_of_all_ids_is_null(spark, monkeypatch
     assert 50 < shares.filter("doc_id IS NULL AND share < 0.1").distinct().count() < 150
 
 
+def test_hot_copies_push_no_text_out_of_the_samples(spark, monkeypatch):
+    """One text makes up nearly all of its language and of its label."""
+    words = {"en": "the house and the river with a bird", "de": "das Haus und der Fluss mit einem Vogel"}
+    rows = [(i, f"{text} {i}", lang) for lang, text in words.items() for i in range(300)]
+    hot = spark.range(20_000).select(
+        F.lit(None).cast("long").alias("doc_id"), F.lit("the same english text again").alias("text"), F.lit("en").alias("lang")
+    )
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string").unionByName(hot)
+    learned = []
+    count = language.Profiles
+    monkeypatch.setattr(language, "Profiles", lambda *own: learned.append(own[0]) or count(*own))
+    profiles = language.fit_profiles(documents, sample_texts=300)
+    assert learned == [["de", "en"]]
+    found = language.identify(documents.filter("doc_id IS NOT NULL"), profiles)
+    assert found.filter("lang_pred = 'en'").count() == 300 and found.filter("lang_pred = 'de'").count() == 300
+
+    hot = hot.withColumn("doc_id", F.lit(1000).cast("long"))
+    documents = documents.filter("doc_id IS NOT NULL").unionByName(hot)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(1000, 0)], "doc_id long, toxic int")
+    trained = []
+    linear = toxicity._linear
+    monkeypatch.setattr(toxicity, "_linear", lambda *own: trained.append((own[1], own[2])) or linear(*own))
+    toxicity.fit_toxicity(documents, labels, sample_rows=300)
+    # Labelled texts of both kinds, and no more than about twice the sample in all.
+    assert 200 < trained[0][1].sum() < 800 and min(trained[0][1]) > 100
+
+
+def test_more_values_than_languages(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    rows = [(i, f"text in language number {i % 5} {i}", f"l{i % 5}") for i in range(40)] + [(50, "one more text", "l3")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sizes = [sum(lang == f"l{i}" and zlib.crc32(str(n).encode()) % 4 != 2 for n, _, lang in rows) for i in range(5)]
+    most = sorted(range(5), key=lambda i: (-sizes[i], i))[:2]
+    assert language.fit_profiles(documents).languages == sorted(f"l{i}" for i in most)
+
+
 def test_mixing(documents, nothing):
     rows = mixing.mix(documents).collect()
     assert len(rows) == len(ROWS)

@@ -57,7 +57,10 @@ def test_words_are_those_of_the_pattern():
         assert [w.decode() for w in common.words_of(text.encode())] == pattern.findall(lower)
 
 
-def test_components_of_paths_stars_and_rings(spark):
+@pytest.mark.parametrize("hot_links", [10_000, 8, 1])
+def test_components_of_paths_stars_and_rings(spark, monkeypatch, hot_links):
+    monkeypatch.setattr(common, "HOT_LINKS", hot_links)
+    monkeypatch.setattr(common, "HOT_NODES", 50)
     random.seed(5)
     links = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)]
     links += [(200 + i, 200 + (i + 1) % 30) for i in range(30)]

@@ -17,13 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wordloom.llm.common import arrow_bounded, hash_share, held_out
+from wordloom.llm.common import arrow_bounded, different_rows, hash_share, held_out
 
 PROFILE = 400
 # About so many texts of each language are learned from.
 SAMPLE_TEXTS = 3_000
-# At most so many languages are told apart.
-LANGUAGES = 1_000
+# So many languages are told apart, those with most different texts; ties go by name.
+LANGUAGES = 200
 UNKNOWN = "und"
 # Word boundary; letters have larger numbers.
 _EDGE = 1
@@ -117,17 +117,17 @@ def fit_profiles(documents: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> Prof
     """Profiles of the languages in ``documents`` (``doc_id``, ``text``, ``lang``), held-out rows left out.
 
     Learned from about ``sample_texts`` texts of each language, chosen by a hash of id and text; rows alike in
-    both are one text.
+    both are one text, however many they are.  Of more than ``LANGUAGES`` values of ``lang``, which no corpus of
+    languages has, the others are not learned, as profiles go to every task.
     """
     arrow_bounded(documents.sparkSession)
     rows = documents.select("doc_id", "text", "lang").filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id")
     )
-    sizes = rows.groupBy("lang").count().limit(LANGUAGES + 1).collect()
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages to learn")
+    sizes = rows.groupBy("lang").agg(different_rows(["doc_id", "text"]).alias("texts"))
+    sizes = sizes.orderBy(F.col("texts").desc(), "lang").limit(LANGUAGES).collect()
     shares = documents.sparkSession.createDataFrame(
-        [(row.lang, sample_texts / row["count"]) for row in sizes], "lang string, share double"
+        [(row.lang, sample_texts / max(row.texts, 1)) for row in sizes], "lang string, share double"
     )
     chosen = (
         rows.join(F.broadcast(shares), "lang")

@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import arrow_bounded, hash_share, held_out, words_of
+from wordloom.llm.common import arrow_bounded, different_rows, hash_share, held_out, row_hash, words_of
+from wordloom.session import BROADCAST_ROWS, written
 
 # At most about so many labelled rows are mined for words and train the classifier.
 SAMPLE_ROWS = 20_000
@@ -31,7 +32,10 @@ PREFIXES = (4, 5, 6, 7)
 MINED_SEEN = 0.9
 MINED_RATE = 0.5
 MINED_Z = 2.58
+# So many mined features at most, the surest first: they go to every task.
 MINED_FEATURES = 4096
+# From so many labels of each kind on, correlations are those within labelled classes.
+TOLD_LABELS = 50
 THRESHOLD = 0.3
 
 INSULTS = {
@@ -161,7 +165,7 @@ def fit_label_model(
         posterior = odds / (1 + odds)
         if step == rounds:
             # Labels tell a correlation within a class from one that makes the class; few labels do not.
-            told = labelled.sum(0).min() >= 50
+            told = labelled.sum(0).min() >= TOLD_LABELS
             pairs = _correlated([labelled[:, 0], labelled[:, 1]] if told else heavy, votes)
             if not pairs:
                 break
@@ -278,13 +282,13 @@ def _mined(sample: DataFrame, total: dict[int, int]) -> dict[bytes, int]:
 
 
 def _linear(
-    active: list[list[int]], targets: np.ndarray, many: np.ndarray, width: int, rounds: int = 400, l2: float = 1e-3
+    active: pa.ListArray, targets: np.ndarray, many: np.ndarray, width: int, rounds: int = 400, l2: float = 1e-3
 ):
     """Logistic regression on posterior labels of weighted rows: full-batch gradient steps with momentum."""
-    if not active:
+    if not len(active):
         return np.zeros(width), -2.0
-    rows = np.repeat(np.arange(len(active)), [len(own) for own in active])
-    columns = np.array([i for own in active for i in own], dtype=np.int64)
+    rows = np.repeat(np.arange(len(active)), active.value_lengths().to_numpy(zero_copy_only=False))
+    columns = active.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     weights, bias, n = np.zeros(width), -2.0, many.sum()
     speed, bias_speed = np.zeros(width), 0.0
     support = np.bincount(columns, many[rows], minlength=width) if len(columns) else np.zeros(width)
@@ -304,7 +308,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, sample_rows: int = SAM
 
     Labels of held-out rows are not read.  Vote patterns are counted over all texts.  Words are mined in about
     ``sample_rows`` labelled texts, chosen by a hash of id and text; the classifier is trained on these and about
-    as many unlabelled ones.  Rows alike in id and text are one text of a sample.
+    as many unlabelled ones.  Rows alike in id and text are one text of a sample, however many they are.
     """
     spark = documents.sparkSession
     arrow_bounded(spark)
@@ -315,12 +319,20 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, sample_rows: int = SAM
         .agg(F.max("toxic").alias("toxic"))
     )
     total = {row.toxic: row["count"] for row in known.groupBy("toxic").count().collect()}
-    # Labels meet votes or sampled texts: the other texts are never shuffled.
+    if sum(total.values()) <= BROADCAST_ROWS:
+        known = F.broadcast(known)
+    # Labels meet hashes, votes or sampled texts: the other texts are never shuffled.
     rows = documents.select("doc_id", "text")
-    # One id may have many rows, so rows are counted, not ids.
-    labelled_rows = rows.select("doc_id").join(known, "doc_id").count()
-    share = min(1.0, sample_rows / max(labelled_rows, 1))
-    chosen = rows.filter(hash_share(["doc_id", "text"]) < share).join(known, "doc_id").distinct()
+    share_of = hash_share(["doc_id", "text"])
+    named = rows.select("doc_id", share_of.alias("share"), row_hash(["doc_id", "text"]).alias("name"))
+    # One id may have many rows, and many of them may be copies: what differs is counted, not rows.
+    different = named.join(known, "doc_id").agg(different_rows(["name"])).first()[0]
+    share = min(1.0, sample_rows / max(different, 1))
+    picked = named.filter(F.col("share") < share).join(known, "doc_id").select("doc_id", "toxic").distinct()
+    picked = written(picked, "picked")
+    if picked.count() <= BROADCAST_ROWS:
+        picked = F.broadcast(picked)
+    chosen = rows.filter(share_of < share).join(picked, "doc_id").distinct()
     both = total.get(0, 0) > 0 and total.get(1, 0) > 0
     features = _mined(chosen, total) if both else {}
 
@@ -359,8 +371,9 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, sample_rows: int = SAM
         return pa.array(found, pa.struct([("votes", pa.int32()), ("active", pa.list_(pa.int32()))]))
 
     # Unlabelled texts have posterior labels too; held-out ones stay out.
-    others = min(1.0, sample_rows / max(counts.sum(), 1))
-    unlabelled = rows.filter(~held_out("doc_id") & (hash_share(["doc_id", "text"]) < others))
+    every = named.agg(different_rows(["name"])).first()[0]
+    others = min(1.0, sample_rows / max(every, 1))
+    unlabelled = rows.filter(~held_out("doc_id") & (share_of < others))
     if both:
         unlabelled = unlabelled.join(known, "doc_id", "left_anti")
     unlabelled = unlabelled.withColumn("toxic", F.lit(None).cast("int"))
@@ -377,15 +390,15 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, sample_rows: int = SAM
         .orderBy("votes", "active", "toxic")
         .toArrow()
     )
-    active, targets, many = [], [], []
-    for row in table.to_pylist():
-        odds = model.posterior[row["votes"]] / max(1 - model.posterior[row["votes"]], 1e-9)
-        if row["toxic"] is not None and both:
-            odds *= (accuracy / (1 - accuracy)) ** (1 if row["toxic"] else -1)
-        active.append(row["active"])
-        targets.append(odds / (1 + odds))
-        many.append(row["weight"])
-    weights, bias = _linear(active, np.array(targets), np.array(many, float), len(features) + len(VOTERS))
+    posterior = model.posterior[table.column("votes").to_numpy()]
+    odds = posterior / np.maximum(1 - posterior, 1e-9)
+    if both:
+        toxic = table.column("toxic")
+        told = np.where(toxic.is_valid().to_numpy(), 2.0 * toxic.fill_null(0).to_numpy() - 1.0, 0.0)
+        odds = odds * (accuracy / (1 - accuracy)) ** told
+    active = table.column("active").combine_chunks()
+    many = table.column("weight").to_numpy().astype(float)
+    weights, bias = _linear(active, odds / (1 + odds), many, len(features) + len(VOTERS))
     return ToxicityModel(features, weights, bias, model)
 
 
