@@ -425,19 +425,20 @@ def near_duplicates(documents: DataFrame, least: float = SIMILARITY) -> DataFram
     )
     rows = nodes.select("node", F.explode("bands").alias("key"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    bucket = written(rows.join(sizes, "key").select("key", "node", "size"), "buckets")
+    # A node's buckets are no more than the bands, so they meet in its row: how many texts stand in them is central.
+    held = rows.join(sizes, "key").groupBy("node").agg(
+        F.collect_list(F.struct("key", "size")).alias("held"), F.sum("size").alias("central")
+    )
+    bucket = written(held.select("node", "central", F.inline("held")).select("key", "node", "size", "central"), "buckets")
     drawn, drawn_bands = nodes.select("node", "sketch"), nodes.select("node", "sketch", "bands")
     texts = _texts_of(
         nodes.select("node", "rep").join(bucket.select("node").distinct(), "node", "left_semi"), documents
     )
 
     # The text that stands in the biggest buckets is the most central of each.
-    central = bucket.groupBy("node").agg(F.sum("size").alias("central"))
-    pivots = written(
-        bucket.join(central, "node").groupBy("key").agg(F.max(F.struct("central", "node")).alias("best"))
-        .select("key", F.col("best.node").alias("pivot")),
-        "pivots",
-    )
+    best = bucket.groupBy("key").agg(F.max(F.struct("central", "node")).alias("best"))
+    pivots = written(best.select("key", F.col("best.node").alias("pivot")), "pivots")
+    bucket = bucket.drop("central")
     pairs = written(_unordered(bucket.join(pivots, "key").filter("pivot != node")), "pairs")
     links = _linked(pairs, texts, drawn, idf, least)
     groups = components(links)
