@@ -34,8 +34,10 @@ from wordloom import (  # noqa: E402
     stream_index,
     write_index,
 )
+from wordloom.functions.hashing import digest_at
 from wordloom.functions.text import with_tokens
 from wordloom.operators import indexing
+from wordloom.operators.pairs import PAIR_SHARE
 from wordloom.operators.requests import request_terms
 from wordloom.plans.matching import match_all_by_intersection, request_plan
 from wordloom.session import new_shared_path
@@ -58,6 +60,8 @@ WORDS = ["in", "the", "of", "elle", "être", "oire"]
 PHRASES = ["of the", "the and", "in the", "que le", "la de", "elle", "The, THE", "the zzzunknown"]
 MIXED = ["of the", "the and", "elle être", "the the", "oire", "la zzzunknown", "zzzunknown", "?!", ""]
 
+FREQUENT = ["the", "of the", "la de", "und die", "elle la"]
+
 _indexes: dict[tuple[str, str, str], object] = {}
 
 
@@ -105,6 +109,18 @@ def word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def word_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns of conversations, and every three words that follow each other in them."""
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter(F.col("text").isNotNull())
+    found = with_tokens(said.select("text"), "text", "tokens")
+    places = F.sequence(F.lit(1), F.size("tokens") - 2)
+    triples = F.transform(places, lambda place: F.array_join(F.slice("tokens", place, 3), " "))
+    asked = F.when(F.size("tokens") > 2, F.concat(F.array("text"), triples)).otherwise(F.array("text"))
+    return _once(
+        spark, sf_dir, "triples", lambda: _numbered_requests(found.select(F.explode(asked).alias("request")))
+    )
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All turns of conversations as requests."""
     found = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter(F.col("text").isNotNull())
@@ -150,7 +166,7 @@ def appended_index(spark: SparkSession, sf_dir: str):
         rows = titled_texts(spark, sf_dir)
         append_index(rows.filter("title < 'src5'"), path)
         refresh_document_frequency(spark, path)
-        append_index(rows.filter("title >= 'src5'"), path)
+        append_index(rows.filter("title >= 'src5' OR title IS NULL"), path)
         return read_index(spark, path)
 
     return _once(spark, sf_dir, "stale", make)
@@ -164,6 +180,22 @@ def blake2b_index(spark: SparkSession, sf_dir: str):
     return _once(spark, sf_dir, "blake2b", make)
 
 
+BLOCK_TEXTS = 32
+PAIR_LEAST = 20
+
+
+def sorted_index(spark: SparkSession, sf_dir: str):
+    """An index rewritten in order, with blocks and pairs."""
+
+    def make():
+        path, target = new_shared_path(spark, "unsorted"), new_shared_path(spark, "sorted")
+        write_index(texts(spark, sf_dir), path)
+        optimize_index(spark, path, target, BLOCK_TEXTS, PAIR_LEAST)
+        return read_index(spark, target)
+
+    return _once(spark, sf_dir, "sorted", make)
+
+
 # Corpus
 
 
@@ -287,7 +319,7 @@ def optimized_index_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     create_index(spark, path)
     rows = titled_texts(spark, sf_dir)
     append_index(rows.filter("title < 'src5'"), path)
-    append_index(rows.filter("title >= 'src5'"), path)
+    append_index(rows.filter("title >= 'src5' OR title IS NULL"), path)
     optimize_index(spark, path, target)
     return _postings_view(read_index(spark, target).postings)
 
@@ -308,17 +340,47 @@ def index_batch_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     create_index(spark, path)
     rows = titled_texts(spark, sf_dir)
     append_index(rows.filter("title < 'src2'"), path, "first")
-    append_index(rows.filter("title >= 'src2'"), path, "second")
+    append_index(rows.filter("title >= 'src2' OR title IS NULL"), path, "second")
     found = commits(spark, path).filter("batch IS NOT NULL")
     return found.select("batch", F.col("texts").alias("texts_added"), F.col("words").alias("words_added"))
 
 
+def words_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index by text, its hashes one by one."""
+    rows = stored_index(spark, sf_dir).text_words
+    found = rows.select("text_id", *_long("words_total"), F.posexplode("frequencies").alias("place", "term_frequency"), "hashes", "positions")
+    return found.select(
+        "text_id",
+        "words_total",
+        digest_at(F.col("hashes"), F.col("place")).alias("hash"),
+        *_long("term_frequency"),
+        F.array_join(F.get("positions", F.col("place")).cast("array<string>"), ",").alias("positions"),
+    )
+
+
+def index_score_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What frequent words can score, block by block."""
+    steps = F.transform(
+        "profile", lambda step: F.concat_ws(":", step.term_frequency, step.shortest, step.longest)
+    )
+    return sorted_index(spark, sf_dir).blocks.select("hash", "block", "texts", F.array_join(steps, ",").alias("profile"))
+
+
+def index_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings of pairs of frequent words."""
+    return _postings_view(sorted_index(spark, sf_dir).pairs)
+
+
+def index_pair_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sorted_index(spark, sf_dir).pair_frequency.select("hash", "document_count")
+
+
 def compacted_index_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three appends; two of them rewritten as one, then some bins of all."""
     path = new_shared_path(spark, "compacted")
     create_index(spark, path)
     rows = titled_texts(spark, sf_dir)
-    for batch, wanted in (("a", "title < 'src2'"), ("b", "title BETWEEN 'src2' AND 'src5'"), ("c", "title > 'src5'")):
+    for batch, wanted in (("a", "title < 'src2'"), ("b", "title BETWEEN 'src2' AND 'src5'"), ("c", "title > 'src5' OR title IS NULL")):
         append_index(rows.filter(wanted), path, batch)
     compact_index(spark, path, ["a", "b"])
     compact_index(spark, path, bins=[2, 5])
@@ -326,20 +388,21 @@ def compacted_index_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _streamed_index(spark: SparkSession, sf_dir: str):
-    """An index from a stream of four files, with texts that come again inside a file and in the next."""
+    """An index from a stream of files, with texts that come again in the same micro-batch and in later ones."""
 
     def make():
         path, checkpoint = new_shared_path(spark, "streamed"), new_shared_path(spark, "progress")
         files = new_shared_path(spark, "files")
         rows = documents(spark, sf_dir).select("doc_id", "text")
+        number = F.coalesce("doc_id", F.lit(0))
         for part in range(4):
-            own = rows.filter(F.col("doc_id") % 4 == part)
-            again = rows.filter((F.col("doc_id") % 4 == (part - 1) % 4) & (F.col("doc_id") % 8 < 4))
-            twice = own.filter(F.col("doc_id") % 3 == 0)
-            own.unionByName(again).unionByName(twice).coalesce(1).write.mode("append").parquet(files)
+            own = rows.filter(number % 4 == part)
+            again = rows.filter((number % 4 == (part - 1) % 4) & (number % 8 < 4))
+            twice = own.filter(number % 3 == 0)
+            own.unionByName(again).unionByName(twice).write.mode("append").parquet(files)
         create_index(spark, path)
         source = corpus.read_corpus_stream(
-            spark, files, rows.schema, {"doc_id": "text_id", "text": "text"}, files_per_batch=1
+            spark, files, rows.schema, {"doc_id": "text_id", "text": "text"}, files_per_batch=4
         )
         stream_index(source, path, checkpoint).awaitTermination()
         refresh_document_frequency(spark, path)
@@ -466,6 +529,10 @@ def search_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stored_index_document_frequency": stored_index_document_frequency,
         "optimized_index_postings": optimized_index_postings,
         "compacted_index_postings": compacted_index_postings,
+        "words_by_text": words_by_text,
+        "index_score_blocks": index_score_blocks,
+        "index_pairs": index_pairs,
+        "index_pair_frequency": index_pair_frequency,
         "index_batch_totals": index_batch_totals,
         "streamed_index_counts": streamed_index_counts,
         "streamed_index_postings": streamed_index_postings,
@@ -493,7 +560,13 @@ def search_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "search_word_pairs": found(search_any_position, word_pairs, k=5),
         "search_word_pairs_phrase": found(search_phrase, word_pairs, k=5),
         "search_turns": found(search_any_position, turns, k=5),
-        "search_turns_phrase": found(search_phrase, turns, k=5),
+        "search_turns_phrase": found(search_phrase, word_triples, k=5),
+        "search_phrase_pairs": found(search_phrase, PHRASES, sorted_index),
+        "search_early_stop": found(search_any_position, FREQUENT, sorted_index, k=3, early_postings=100),
+        "search_early_stop_k1_b": found(
+            search_any_position, FREQUENT, sorted_index, k=1, k1=0.6, b=0.9, early_postings=100
+        ),
+        "search_sorted_index": found(search_any_position, MIXED, sorted_index, k=100),
         "search_with_texts": search_with_texts,
         "search_with_many_texts": search_with_many_texts,
         "ingest_index_search": ingest_index_search,
@@ -559,6 +632,33 @@ _PAIRS = f"""
     ),
     requests AS (SELECT row_number() OVER (ORDER BY request) AS query_id, request FROM asked_texts)"""
 
+_TRIPLES = f"""
+    spoken AS (SELECT text, {_tokens_sql("text")} AS tokens FROM conversations WHERE text IS NOT NULL),
+    requests AS (
+        SELECT row_number() OVER (ORDER BY request) AS query_id, request FROM (
+            SELECT text AS request FROM spoken UNION
+            SELECT array_to_string(list_slice(tokens, place, place + 2), ' ')
+            FROM (SELECT tokens, unnest(range(1, len(tokens) - 1)) AS place FROM spoken WHERE len(tokens) > 2)
+        )
+    )"""
+
+# Words that stand in enough texts, and two of them that follow each other.
+_PAIR_POSTINGS = f"""
+    frequent AS (
+        SELECT hash FROM metadata, stats
+        WHERE document_count >= greatest({PAIR_LEAST}, ceil(total_documents * {PAIR_SHARE}))
+    ),
+    places AS (SELECT text_id, position, md5(word) AS hash FROM flat),
+    neighbours AS (
+        SELECT one.text_id, one.position, md5(unhex(one.hash || two.hash)) AS hash
+        FROM places one JOIN places two ON one.text_id = two.text_id AND one.position + 1 = two.position
+        WHERE one.hash IN (SELECT hash FROM frequent) AND two.hash IN (SELECT hash FROM frequent)
+    ),
+    pairs AS (
+        SELECT hash, text_id, list(position ORDER BY position) AS positions, count(*) AS term_frequency
+        FROM neighbours GROUP BY hash, text_id
+    )"""
+
 _TURNS = """
     requests AS (
         SELECT row_number() OVER (ORDER BY request) AS query_id, request
@@ -698,6 +798,21 @@ def search_sql() -> dict[str, str]:
         "stored_index_document_frequency": f"WITH {_INDEX} SELECT hash, document_count FROM metadata",
         "optimized_index_postings": _POSTINGS,
         "compacted_index_postings": _POSTINGS,
+        "words_by_text": f"""WITH {_INDEX} SELECT text_id, words_total, hash, term_frequency,
+            array_to_string(positions, ',') AS positions FROM postings""",
+        "index_score_blocks": f"""WITH {_INDEX}, steps AS (
+                SELECT hash, text_id // {BLOCK_TEXTS} AS block, term_frequency, count(*) AS texts,
+                    min(words_total) AS shortest, max(words_total) AS longest
+                FROM postings JOIN metadata USING (hash) WHERE document_count >= {BLOCK_TEXTS} GROUP BY ALL
+            )
+            SELECT hash, block, CAST(sum(texts) AS BIGINT) AS texts, string_agg(
+                term_frequency || ':' || shortest || ':' || longest, ',' ORDER BY term_frequency) AS profile
+            FROM steps GROUP BY hash, block""",
+        "index_pairs": f"""WITH {_INDEX}, {_PAIR_POSTINGS}
+            SELECT hash, text_id, array_to_string(positions, ',') AS positions, term_frequency, words_total
+            FROM pairs JOIN word_counts USING (text_id)""",
+        "index_pair_frequency": f"""WITH {_INDEX}, {_PAIR_POSTINGS}
+            SELECT hash, count(*) AS document_count FROM pairs GROUP BY hash""",
         "streamed_index_postings": _POSTINGS,
         "index_batch_totals": f"""WITH {_INDEX}
             SELECT CASE WHEN source < 'src2' THEN 'first' ELSE 'second' END AS batch,
@@ -744,7 +859,11 @@ def search_sql() -> dict[str, str]:
         "search_word_pairs": _any_sql(_PAIRS, k=5),
         "search_word_pairs_phrase": _phrase_sql(_PAIRS, k=5),
         "search_turns": _any_sql(_TURNS, k=5),
-        "search_turns_phrase": _phrase_sql(_TURNS, k=5),
+        "search_turns_phrase": _phrase_sql(_TRIPLES, k=5),
+        "search_phrase_pairs": _phrase_sql(phrases),
+        "search_early_stop": _any_sql(_requests_sql(FREQUENT), k=3),
+        "search_early_stop_k1_b": _any_sql(_requests_sql(FREQUENT), k=1, k1=0.6, b=0.9),
+        "search_sorted_index": _any_sql(mixed, k=100),
         "search_with_many_texts": f"""SELECT query_id, result_number, bm25_score, matching_words,
             doc_id AS text_id, source AS title, text
             FROM ({_any_sql(mixed, k=250)}) JOIN documents ON doc_id = text_id""",

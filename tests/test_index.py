@@ -234,7 +234,7 @@ def test_requests_go_to_the_texts_without_a_shuffle(spark, monkeypatch, micro_in
     for matches in (_any_position_matches, _phrase_matches):
         plan = matching.compile_requests(micro_index, ask("the market", "green energy"), "require", by_text=True)
         assert set(plan.routes) == {"text"}
-        text = matches(micro_index, plan, 1.5, 0.75)._jdf.queryExecution().executedPlan().toString()
+        text = matches(micro_index, plan, 10, 1.5, 0.75)._jdf.queryExecution().executedPlan().toString()
         of_texts = [line for line in text.splitlines() if "FileScan" in line]
         assert of_texts and "Exchange hashpartitioning" not in text and "postings" not in text
         unread = "positions" if matches is _any_position_matches else "frequencies"
@@ -305,6 +305,164 @@ def test_document_frequency_adds_up_batches(spark, micro_texts, micro_index, pat
     assert index.uncounted_texts == 0 and index.known_postings == index.postings.count()
 
 
+def test_a_micro_batch_looks_at_no_batch_of_its_stream(spark, micro_texts, micro_index, tmp_path, monkeypatch):
+    from wordloom.sources import index as store
+
+    source, path, checkpoint = (str(tmp_path / name) for name in ("in", "index", "progress"))
+    create_index(spark, path, 7)
+    append_index(micro_texts.filter("text_id <= 2"), path, "before")
+    for part in range(3, 9):
+        # Each file has one new text, and all that came before it.
+        micro_texts.filter(f"text_id <= {part}").coalesce(1).write.mode("append").parquet(source)
+    looked = []
+    of_batches, finished = store._of_batches, store._finished
+    monkeypatch.setattr(
+        store, "_of_batches", lambda *own: looked.append((own[1].split("/")[-1], sorted(own[2]))) or of_batches(*own)
+    )
+    monkeypatch.setattr(store, "_finished", lambda *own: looked.append("commits") or finished(*own))
+    stream = spark.readStream.schema("text_id long, text string").option("maxFilesPerTrigger", 1).parquet(source)
+    stream_index(stream, path, checkpoint).awaitTermination()
+    monkeypatch.undo()
+    assert looked.count("commits") == 1
+    batches = {name for entry in looked if entry != "commits" for name in entry[1]} - {"before"}
+    assert len(batches) == 6
+    # Each batch is read while it is written, and by no other.
+    assert all(len(entry[1]) == 1 for entry in looked if entry != "commits")
+    runs = [entry[1][0] for entry in looked if entry != "commits" and entry[1] != ["before"]]
+    assert sum(one != two for one, two in zip(runs, runs[1:])) == 5
+    refresh_document_frequency(spark, path)
+    assert content(read_index(spark, path)) == content(micro_index)
+
+
+def rows_read(frame):
+    """Rows that came out of the scans of files."""
+    frame.collect()
+    nodes = [frame._jdf.queryExecution().executedPlan()]
+    total = 0
+    for node in nodes:
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            nodes.append(node.executedPlan())
+            continue
+        if "QueryStage" in node.nodeName():
+            nodes.append(node.plan())
+        if node.nodeName().startswith("Scan parquet"):
+            total += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+def test_rare_words_skip_batches_without_them(spark, path):
+    """Unsorted batches, one bin: the Bloom filter of a row group tells that it does not have the word."""
+    create_index(spark, path, 1)
+    for part in range(6):
+        rows = spark.range(part * 500, part * 500 + 500, 1, 1)
+        texts = rows.select(F.col("id").alias("text_id"), F.concat(F.lit(f"word{'abcdef'[part]} "), "id").alias("text"))
+        append_index(texts, path, f"part{part}")
+    refresh_document_frequency(spark, path)
+    index = read_index(spark, path)
+    word = index.postings.filter(F.col("hash") == F.md5(F.lit("wordd"))).select("text_id")
+    keys = ("parquet.filter.bloom.enabled", "parquet.filter.dictionary.enabled")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    read = {}
+    try:
+        for bloom in ("true", "false"):
+            conf.set(keys[0], bloom)
+            conf.set(keys[1], "false")
+            own = read_index(spark, path).postings.filter(F.col("hash") == F.md5(F.lit("wordd"))).select("text_id")
+            read[bloom] = rows_read(own)
+    finally:
+        for key in keys:
+            conf.unset(key)
+    assert word.count() == 500
+    # One batch of six.
+    assert read["true"] <= 1_500 and read["false"] > 4 * read["true"]
+
+
+def test_positions_take_little_room(spark, tmp_path):
+    """Rising numbers are stored as differences: less than two bytes each, where plain ones take four."""
+    import glob
+    import os
+
+    texts = spark.range(200).select(F.col("id").alias("text_id"), F.repeat(F.lit("a b c d e "), 200).alias("text"))
+    write_index(texts, str(tmp_path / "index"), 1)
+    size = sum(map(os.path.getsize, glob.glob(str(tmp_path / "index/postings/*/bin=1/*.parquet"))))
+    assert size < 2 * 200 * 1000
+
+
+def test_blocks_bound_every_score(spark, tmp_path, ask):
+    """The best score of a block is never above its bound, for any tuning and any document frequency."""
+    from wordloom.plans import matching
+    from wordloom.plans.early_stop import block_bounds
+    from wordloom.plans.search import _scored_hits
+    from wordloom.functions.ranking import bm25
+
+    path, target = str(tmp_path / "index"), str(tmp_path / "sorted")
+    texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id").alias("text_id"), "text")
+    write_index(texts, path)
+    optimize_index(spark, path, target, block_texts=64)
+    index = read_index(spark, target)
+    plan = matching.compile_requests(index, ask("the", "of the", "la de"))
+    assert plan.direct
+    total, average = index.statistics()
+    for k1, b, documents in ((1.5, 0.75, total), (0.3, 1.0, total), (2.0, 0.0, 700)):
+        def score(tf, df, words):
+            return bm25(tf, df, words, F.lit(documents), F.lit(average), k1, b)
+
+        own = score(F.col("term_frequency"), F.col("document_count"), F.col("words_total"))
+        found = [_scored_hits(route, hits, own) for route, hits in matching.all_hits(index, plan, ["term_frequency", "words_total"])]
+        best = found[0].groupBy("query_id", F.floor(F.col("text_id") / 64).alias("block")).agg(F.max("bm25_score").alias("best"))
+        bounds = block_bounds(index, plan, score)
+        both = best.join(bounds, ["query_id", "block"], "left")
+        assert both.count() > 20
+        assert both.filter("bound IS NULL OR best > bound + 1e-9").count() == 0
+        # A word alone is bounded by what it has: exactly, unless frequency and length are of different texts.
+        assert both.filter("query_id = 0 AND best = bound").count() > 0
+
+
+def test_early_stop_reads_less_and_finds_the_same(spark, tmp_path, ask):
+    path, target = str(tmp_path / "index"), str(tmp_path / "sorted")
+    # A few texts are short and full of both words; they are what the best are among.
+    texts = spark.range(0, 40_000, 1, 4).select(
+        F.col("id").alias("text_id"),
+        F.when(F.col("id").isin(17, 500, 901, 1502), F.lit("of the of the"))
+        .when(F.col("id") % 3 == 0, F.concat(F.lit("of the "), F.repeat(F.lit("filler "), 20), F.col("id") % 7))
+        .otherwise(F.lit("something else"))
+        .alias("text"),
+    )
+    write_index(texts, path, 3)
+    optimize_index(spark, path, target, block_texts=256)
+    index = read_index(spark, target)
+    for request in ("of the", "the"):
+        full = search_any_position(index, ask(request), k=4)
+        early = search_any_position(index, ask(request), k=4, early_postings=1000)
+        assert sorted(full.collect()) == sorted(early.collect())
+        assert {row.text_id for row in early.collect()} == {17, 500, 901, 1502}
+        assert rows_read(early) < 0.5 * rows_read(full)
+
+
+def test_pairs_of_frequent_words(spark, micro_texts, tmp_path, ask):
+    from test_search import PHRASE, answers
+    from wordloom import search_phrase
+    from wordloom.operators.pairs import pair_hash
+
+    path, target = str(tmp_path / "index"), str(tmp_path / "sorted")
+    write_index(micro_texts, path, 7)
+    optimize_index(spark, path, target, pair_least=2)
+    index = read_index(spark, target)
+    name = pair_hash(*(__import__("hashlib").md5(word).hexdigest() for word in (b"green", b"energy")))
+    own = index.pairs.filter(F.col("hash") == name).select("text_id", "positions", "term_frequency").collect()
+    assert sorted(map(tuple, own)) == [(1, [0], 1)]
+    requests = ask(*PHRASE, "the the the", "the market the", "energy and energy green green", "the market report")
+    plain = answers(search_phrase(read_index(spark, path), requests), requests)
+    assert answers(search_phrase(index, requests), requests) == plain
+    assert {text: plain[text] for text in PHRASE} == PHRASE
+    # Neither word's own postings are looked for.
+    text = search_phrase(index, ask("green energy"))._jdf.queryExecution().executedPlan().toString()
+    assert "array_intersect" in text and name in text
+    assert __import__("hashlib").md5(b"green").hexdigest() not in text
+
+
 def test_a_batch_with_repeated_ids(spark, micro_texts, micro_index, path):
     create_index(spark, path, 7)
     twice = micro_texts.union(micro_texts.withColumn("text", F.concat("text", F.lit(" zzz"))))

@@ -44,16 +44,18 @@ def phrase_occurrences(slots: Column | str, lists: Column | str) -> Column:
 
     ``lists`` is ``array<struct<hash, positions>>``.  The positions of slot ``i`` move ``i`` places to the
     left; the starts common to all slots are the occurrences.  Overlapping ones count; a slot whose word
-    is missing makes the result 0.
+    is missing makes the result 0.  An empty slot asks for nothing: the pair before it has its word.
     """
     slots = F.col(slots) if isinstance(slots, str) else slots
     lists = F.col(lists) if isinstance(lists, str) else lists
+    placed = F.transform(slots, lambda word, i: F.struct(word.alias("word"), i.alias("place")))
+    placed = F.filter(placed, lambda slot: slot.word != "")
 
-    def starts_of(word: Column, i: Column) -> Column:
-        found = F.get(F.filter(lists, lambda entry: entry.hash == word), F.lit(0)).positions
-        return F.transform(found, lambda position: position - i)
+    def starts_of(slot: Column) -> Column:
+        found = F.get(F.filter(lists, lambda entry: entry.hash == slot.word), F.lit(0)).positions
+        return F.transform(found, lambda position: position - slot.place)
 
-    shifted = F.transform(slots, starts_of)
+    shifted = F.transform(placed, starts_of)
     common = F.aggregate(
         F.slice(shifted, 2, F.greatest(F.size(slots) - 1, F.lit(0))),
         F.get(shifted, F.lit(0)),

@@ -24,6 +24,11 @@ class Index:
     hash_metadata   bin, hash, document_count
     stats           total_documents, average_document_length (one row)
     text_words      text_id, words_total, hashes, frequencies, positions: the same by text
+    blocks          bin, hash, block, texts, profile: what frequent words can score in a block of text ids
+    pairs           like postings, of two frequent words that follow each other (``pair_hash``)
+    pair_frequency  like hash_metadata, of pairs
+
+    A sorted index has the last three.
 
     A posting repeats the length of its text, so ranking needs no join with ``word_counts``, and its term
     frequency, so only phrase search has to read positions.  A stored index knows its statistics without a
@@ -40,6 +45,11 @@ class Index:
     known_stats: tuple[int, float | None] | None = None
     uncounted_texts: int = 0
     known_postings: int | None = None
+    blocks: DataFrame | None = None
+    block_texts: int | None = None
+    pairs: DataFrame | None = None
+    pair_frequency: DataFrame | None = None
+    pair_least: int | None = None
 
     def statistics(self) -> tuple[int, float | None]:
         """Number of texts and their average length."""

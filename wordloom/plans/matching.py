@@ -28,6 +28,7 @@ from pyspark.sql.window import Window
 
 from wordloom.functions.hashing import hash_bin
 from wordloom.operators.indexing import Index
+from wordloom.operators.pairs import pair_hash
 from wordloom.operators.requests import request_terms
 from wordloom.plans.by_text import Block
 from wordloom.session import (
@@ -59,11 +60,12 @@ DIRECT_POSTINGS = 2_000_000
 
 @dataclasses.dataclass(frozen=True)
 class Pruning:
-    """Bins, hashes and texts a scan may be limited to; None means all."""
+    """Bins, hashes and texts a scan may be limited to; None means all.  Spans of text ids have both ends."""
 
     bins: list[int] | None = None
     hashes: list[str] | None = None
     text_ids: list[int] | None = None
+    spans: list[tuple[int, int]] | None = None
 
     def apply(self, frame: DataFrame) -> DataFrame:
         # Written as text, which saves a call to the JVM per literal; all are made of digits.
@@ -74,6 +76,9 @@ class Pruning:
             frame = frame.filter(is_one_of("hash", map(repr, self.hashes)))
         if self.text_ids is not None:
             frame = frame.filter(is_one_of("text_id", map(str, self.text_ids)))
+        if self.spans is not None:
+            spans = [f"text_id BETWEEN {first} AND {last}" for first, last in self.spans]
+            frame = frame.filter(" OR ".join(spans) or "false")
         return frame
 
 
@@ -111,6 +116,8 @@ class RequestPlan:
 
     In a folded batch both hold one request of those with the same words in the same order.  A small batch
     is listed on the driver too: ``queries`` are its ids, ``slots`` the hashes of each, ``listed`` the words.
+    In a ``paired`` batch of phrases a slot may be a pair of words, and the slot after it is empty.  Texts that
+    matter may be limited to ``spans`` of ids.
     """
 
     terms: DataFrame
@@ -125,6 +132,8 @@ class RequestPlan:
     listed: list[Word] | None = None
     direct: bool = False
     most_words: int = 0
+    spans: list[tuple[int, int]] | None = None
+    paired: bool = False
 
 
 def join_words(rows: DataFrame, words: DataFrame, key: str, spread: str, small: bool) -> DataFrame:
@@ -249,18 +258,20 @@ def compile_requests(
     unknown_terms: str = "drop",
     fold: bool = False,
     by_text: bool = False,
+    pairs: bool = False,
 ) -> RequestPlan:
     """Look up the words of requests (``query_id``, ``request``) and choose a route for each request.
 
     A word the index does not know is left out, so the request asks for its other words, or with
     ``unknown_terms="require"`` makes the request match nothing.  With ``fold`` a big batch is planned
-    without repeated requests, with ``by_text`` the index by text may be used.
+    without repeated requests, with ``by_text`` the index by text may be used, with ``pairs`` the postings of pairs
+    for the phrases of a small one.
     """
     if unknown_terms not in UNKNOWN_TERMS:
         raise ValueError(f"unknown_terms must be one of {UNKNOWN_TERMS}, not {unknown_terms!r}")
     terms, table = asked_terms(index, requests)
     if table is not None:
-        return _small_plan(index, terms, table, unknown_terms, by_text)
+        return _small_plan(index, terms, table, unknown_terms, by_text, pairs and index.pairs is not None)
     return _big_plan(index, terms, unknown_terms, fold, by_text)
 
 
@@ -270,8 +281,62 @@ def _worth_all_texts(index: Index, postings: int, different: int) -> bool:
     return known is not None and postings + different * index.uncounted_texts >= TEXT_SHARE * known
 
 
+def _with_pairs(index: Index, requests: list[list], counts: dict[str, int]) -> tuple[list[list], dict[str, int]]:
+    """Slots of requests with frequent neighbours as one, each slot as (term, hash, bin), and the pairs' counts.
+
+    Neighbours are joined two by two; the last of an odd number is joined with the one before it too, so that no
+    frequent word is left alone beside another.  A request with a pair that no text has is left out.
+    """
+    joined = []
+    for own in requests:
+        slots = [(row.term, row.hash, row.bin) for row in own]
+        frequent = [counts[row.hash] >= index.pair_least for row in own]
+        place = 0
+        while place < len(own):
+            if place + 1 < len(own) and frequent[place] and frequent[place + 1]:
+                first, step = place, 2
+            elif place and frequent[place - 1] and frequent[place]:
+                first, step = place - 1, 1
+            else:
+                place += 1
+                continue
+            one, two = own[first], own[first + 1]
+            name = pair_hash(one.hash, two.hash)
+            slots[first] = (f"{one.term} {two.term}", name, int(name, 16) % index.bins + 1)
+            slots[first + 1] = ("", "", 0)
+            place += step
+        joined.append(slots)
+    wanted = sorted({slot for slots in joined for slot in slots if " " in slot[0]})
+    listed = [Row(term=term, hash=name, bin=bin_) for term, name, bin_ in wanted]
+    found = _pruning_of(listed, index.bins).apply(index.pair_frequency).select("hash", "document_count")
+    names = {row.hash for row in listed}
+    known = {row.hash: row.document_count for row in found.collect() if row.hash in names} if listed else {}
+    return joined, known
+
+
+def _listed_words(
+    index: Index, queries: list, slots: list[list], counts: dict[str, int], least: list[int]
+) -> list[Word]:
+    """The different words of each request from rarest to most frequent, with the route that their numbers allow."""
+    words = []
+    for place, own in enumerate(slots):
+        different = {name: (term, bin_) for term, name, bin_ in own if name}
+        ordered = sorted(different, key=lambda name: (counts[name], different[name][0]))
+        bound = (counts[ordered[0]] + index.uncounted_texts) * len(ordered) * len(queries)
+        route = "single" if len(ordered) == 1 else "narrow" if bound <= BROADCAST_ROWS else "wide"
+        for rarity, name in enumerate(ordered, 1):
+            term, bin_ = different[name]
+            words.append(Word(place, term, name, bin_, counts[name], rarity, len(ordered), least[place], route))
+    return words
+
+
+def _is_direct(index: Index, words: list[Word]) -> bool:
+    postings = {word.hash: word.document_count + index.uncounted_texts for word in words}
+    return len(words) <= LITERALS and sum(postings.values()) <= DIRECT_POSTINGS
+
+
 def _small_plan(
-    index: Index, terms: DataFrame, table: pa.Table, unknown_terms: str, by_text: bool
+    index: Index, terms: DataFrame, table: pa.Table, unknown_terms: str, by_text: bool, pairs: bool
 ) -> RequestPlan:
     """The plan of a batch whose words the driver can hold: one look at document frequency, no other job."""
     spark = terms.sparkSession
@@ -286,28 +351,37 @@ def _small_plan(
     by_query: dict = defaultdict(list)
     for row in rows:
         by_query[row.query_id].append(row)
-    queries, slots, words = [], [], []
+    queries, requests = [], []
     for query_id, own in by_query.items():
-        different = {row.hash: row for row in own if row.hash in counts}
-        if unknown_terms == "require" and len(different) != own[0].distinct_words:
-            continue
-        if not different:
-            continue
-        ordered = sorted(different.values(), key=lambda row: (counts[row.hash], row.term))
-        least = counts[ordered[0].hash]
-        bound = (least + index.uncounted_texts) * len(ordered) * len(by_query)
-        route = "single" if len(ordered) == 1 else "narrow" if bound <= BROADCAST_ROWS else "wide"
-        for rarity, row in enumerate(ordered, 1):
-            words.append(
-                Word(len(queries), row.term, row.hash, row.bin, counts[row.hash], rarity, len(ordered), least, route)
-            )
-        queries.append(query_id)
-        slots.append([row.hash for row in sorted(own, key=lambda row: row.phrase_offset)])
-    postings = {word.hash: word.document_count + index.uncounted_texts for word in words}
-    direct = len(words) <= LITERALS and sum(postings.values()) <= DIRECT_POSTINGS
+        known = {row.hash for row in own if row.hash in counts}
+        if known and (unknown_terms != "require" or len(known) == own[0].distinct_words):
+            queries.append(query_id)
+            requests.append(sorted(own, key=lambda row: row.phrase_offset))
+    least = [min(counts[row.hash] for row in own if row.hash in counts) for own in requests]
+    slots = [[(row.term, row.hash, row.bin) for row in own] for own in requests]
+    known = [[slot for slot in own if slot[1] in counts] for own in slots]
+    words = _listed_words(index, queries, known, counts, least)
+    direct, paired = _is_direct(index, words), False
     several = {word.hash: word.document_count for word in words if word.required > 1}
-    if by_text and not direct and several and _worth_all_texts(index, sum(several.values()), len(several)):
+    worth = by_text and several and _worth_all_texts(index, sum(several.values()), len(several))
+    if pairs and any(count >= index.pair_least for count in several.values()):
+        joined, found = _with_pairs(index, requests, counts)
+        kept = [n for n, own in enumerate(joined) if all(slot[1] in found for slot in own if " " in slot[0])]
+        picked = [joined[n] for n in kept], [queries[n] for n in kept], [least[n] for n in kept]
+        their = _listed_words(index, picked[1], picked[0], counts | found, picked[2])
+        if found and (_is_direct(index, their) or not worth):
+            (slots, queries, least), words, paired = picked, their, True
+            requests, direct = [requests[n] for n in kept], _is_direct(index, their)
+    if worth and not direct and not paired:
         words = [word if word.required == 1 else dataclasses.replace(word, route="text") for word in words]
+    if paired:
+        of_slots = [
+            (own.query_id, own.phrase_offset, term, name, own.slots, own.distinct_words, bin_)
+            for request, places in zip(requests, slots, strict=True)
+            for own, (term, name, bin_) in zip(request, places, strict=True)
+        ]
+        terms = spark.createDataFrame(of_slots, terms.schema)
+    slots = [[name for _, name, _ in own] for own in slots]
 
     routes = {}
     for name in sorted({word.route for word in words}):
@@ -344,6 +418,7 @@ def _small_plan(
         listed=words,
         direct=direct,
         most_words=max((word.required for word in words), default=0),
+        paired=paired,
     )
 
 
@@ -450,19 +525,22 @@ def uncounted_words(plan: RequestPlan) -> DataFrame | None:
 _ASKED = "array<struct<query_id: int, document_count: bigint, required: bigint>>"
 
 
-def _direct_hits(index: Index, plan: RequestPlan, values: list[str]) -> DataFrame:
-    """Hits of all requests of a small batch; ``query_id`` is the request's place in ``plan.queries``."""
+def asked_by_hash(plan: RequestPlan) -> Column:
+    """What a small batch asks of the word whose ``hash`` a row has; ``query_id`` is a place in ``plan.queries``."""
     asked: dict[str, list[str]] = defaultdict(list)
     for word in plan.listed:
         asked[repr(word.hash)].append(
             f"named_struct('query_id', {word.query}, 'document_count', {word.document_count}L, "
             f"'required', {word.required}L)"
         )
-    found = lookup(
-        F.col("hash"), {name: f"array({', '.join(own)})" for name, own in asked.items()}, _ASKED
-    )
-    rows = _pruning_of(plan.listed, index.bins).apply(index.postings)
-    return rows.select("hash", "text_id", *values, F.inline(found))
+    return lookup(F.col("hash"), {name: f"array({', '.join(own)})" for name, own in asked.items()}, _ASKED)
+
+
+def _direct_hits(index: Index, plan: RequestPlan, values: list[str]) -> DataFrame:
+    """Hits of all requests of a small batch; ``query_id`` is the request's place in ``plan.queries``."""
+    found = asked_by_hash(plan)
+    pruning = dataclasses.replace(_pruning_of(plan.listed, index.bins), spans=plan.spans)
+    return pruning.apply(index.postings).select("hash", "text_id", *values, F.inline(found))
 
 
 def _narrow_hits(index: Index, plan: RequestPlan, words: DataFrame, values: list[str]) -> DataFrame:

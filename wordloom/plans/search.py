@@ -9,6 +9,8 @@ with at most k rows per request, best first.  A request that matches nothing has
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from wordloom.functions.ranking import K1, SCORE_DIGITS, B, bm25
 from wordloom.operators.indexing import Index
 from wordloom.operators.ranking import top_k
 from wordloom.operators.results import attach_texts
+from wordloom.plans.early_stop import EARLY_POSTINGS, spans_to_read
 from wordloom.plans.matching import (
     Folded,
     RequestPlan,
@@ -125,22 +128,46 @@ def search_word(
     return _ranked(_word_matches(index, terms, k1, b), k, folded, len(queries))
 
 
-def _any_position_matches(index: Index, plan: RequestPlan, k1: float, b: float) -> DataFrame:
-    def score_of(term_frequency: Column, document_count: Column) -> Column:
-        return bm25(
-            term_frequency,
-            document_count,
-            F.col("words_total"),
-            F.lit(plan.total_documents),
-            F.lit(plan.average_document_length).cast("double"),
-            k1,
-            b,
+def _scored_hits(route: str, hits: DataFrame, score: Column) -> DataFrame:
+    """``query_id, text_id, bm25_score, matching_words`` of the texts with all words."""
+    scored = hits.select("query_id", "text_id", "required", score.alias("bm25_score"))
+    if route == "single":
+        scored = scored.withColumn("matching_words", F.lit(1).cast("long"))
+    else:
+        scored = (
+            scored.groupBy("text_id", "query_id")
+            .agg(
+                F.round(F.sum("bm25_score"), SCORE_DIGITS).alias("bm25_score"),
+                F.count(F.lit(1)).alias("matching_words"),
+                F.first("required").alias("required"),
+            )
+            .filter(F.col("matching_words") == F.col("required"))
         )
+    return scored.select("query_id", "text_id", "bm25_score", "matching_words")
+
+
+def _any_position_matches(
+    index: Index, plan: RequestPlan, k: int, k1: float, b: float, early_postings: int = EARLY_POSTINGS
+) -> DataFrame:
+    """Matches of all requests, at least the ``k`` best of each."""
+
+    def score_of(term_frequency: Column, document_count: Column, words_total: Column) -> Column:
+        average = F.lit(plan.average_document_length).cast("double")
+        return bm25(term_frequency, document_count, words_total, F.lit(plan.total_documents), average, k1, b)
 
-    score = score_of(F.col("term_frequency"), F.col("document_count"))
+    score = score_of(F.col("term_frequency"), F.col("document_count"), F.col("words_total"))
+    values = ["term_frequency", "words_total"]
+
+    def scored(spans: list[tuple[int, int]]) -> DataFrame:
+        limited = dataclasses.replace(plan, direct=True, spans=spans)
+        return union_all([_scored_hits(route, hits, score) for route, hits in all_hits(index, limited, values)])
+
+    spans = spans_to_read(index, plan, k, score_of, scored, early_postings)
+    if spans is not None:
+        plan = dataclasses.replace(plan, direct=True, spans=spans)
     matched = []
     for block, _ in text_blocks(plan):
-        scores = F.zip_with("frequencies", "counts", score_of)
+        scores = F.zip_with("frequencies", "counts", lambda tf, df: score_of(tf, df, F.col("words_total")))
         total = F.aggregate(scores, F.lit(0.0), lambda sum_, own: sum_ + own)
         matched.append(
             block.any_position(index.text_words).select(
@@ -150,21 +177,7 @@ def _any_position_matches(index: Index, plan: RequestPlan, k1: float, b: float)
                 F.size("counts").cast("long").alias("matching_words"),
             )
         )
-    for route, hits in all_hits(index, plan, ["term_frequency", "words_total"]):
-        scored = hits.select("query_id", "text_id", "required", score.alias("bm25_score"))
-        if route == "single":
-            scored = scored.withColumn("matching_words", F.lit(1).cast("long"))
-        else:
-            scored = (
-                scored.groupBy("text_id", "query_id")
-                .agg(
-                    F.round(F.sum("bm25_score"), SCORE_DIGITS).alias("bm25_score"),
-                    F.count(F.lit(1)).alias("matching_words"),
-                    F.first("required").alias("required"),
-                )
-                .filter(F.col("matching_words") == F.col("required"))
-            )
-        matched.append(scored.select("query_id", "text_id", "bm25_score", "matching_words"))
+    matched += [_scored_hits(route, hits, score) for route, hits in all_hits(index, plan, values)]
     return named_queries(plan, union_all(matched)) if matched else _no_matches(plan.terms)
 
 
@@ -175,10 +188,15 @@ def search_any_position(
     k1: float = K1,
     b: float = B,
     unknown_terms: str = "drop",
+    early_postings: int = EARLY_POSTINGS,
 ) -> DataFrame:
-    """Texts with all words in any order; the score is the sum over the different words."""
+    """Texts with all words in any order; the score is the sum over the different words.
+
+    A few requests whose words have ``early_postings`` or more read only what can be among their best, if the index
+    is sorted.
+    """
     plan = compile_requests(index, requests, unknown_terms, fold=True, by_text=True)
-    return _ranked(_any_position_matches(index, plan, k1, b), k, plan.folded, _queries(plan))
+    return _ranked(_any_position_matches(index, plan, k, k1, b, early_postings), k, plan.folded, _queries(plan))
 
 
 def _queries(plan: RequestPlan) -> int | None:
@@ -206,7 +224,10 @@ def _with_phrases(plan: RequestPlan, lists: DataFrame) -> DataFrame:
     return join_words(lists, phrases, "query_id", "text_id", plan.broadcastable)
 
 
-def _phrase_matches(index: Index, plan: RequestPlan, k1: float, b: float) -> DataFrame:
+def _phrase_matches(index: Index, plan: RequestPlan, k: int, k1: float, b: float) -> DataFrame:
+    if plan.paired:
+        # Pairs have hashes of their own; each scan reads the bins and hashes that are asked for.
+        index = dataclasses.replace(index, postings=index.postings.unionByName(index.pairs))
     score = _score(
         "occurrences",
         "minimum_count",
@@ -241,8 +262,8 @@ def search_phrase(
     ``matching_words`` is the number of occurrences times the number of words.  A request with a word the
     index does not know matches nothing.
     """
-    plan = compile_requests(index, requests, "require", fold=True, by_text=True)
-    return _ranked(_phrase_matches(index, plan, k1, b), k, plan.folded, _queries(plan))
+    plan = compile_requests(index, requests, "require", fold=True, by_text=True, pairs=True)
+    return _ranked(_phrase_matches(index, plan, k, k1, b), k, plan.folded, _queries(plan))
 
 
 def search(
@@ -264,9 +285,9 @@ def search(
     if phrase and unknown_terms not in (None, "require"):
         raise ValueError("a phrase requires all of its words")
     unknown_terms = "require" if phrase else unknown_terms or "drop"
-    plan = compile_requests(index, requests, unknown_terms, fold=True, by_text=True)
+    plan = compile_requests(index, requests, unknown_terms, fold=True, by_text=True, pairs=phrase)
     find = _phrase_matches if phrase else _any_position_matches
-    matches = find(index, plan, K1, B)
+    matches = find(index, plan, k, K1, B)
 
     queries = _queries(plan)
     uncounted = uncounted_words(plan)

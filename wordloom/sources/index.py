@@ -4,6 +4,9 @@
     texts/batch=<name>/                      the index by text, in the order the texts came in
     postings/batch=<name>/bin=<n>/           postings; bin 0 holds the lengths of the batch's texts
     batch_frequency/batch=<name>/bin=<n>/    document frequency within the batch
+    blocks/batch=<name>/bin=<n>/             of a sorted batch: what the postings of frequent words can score, by block
+    pairs/batch=<name>/bin=<n>/              of a sorted batch: postings of two frequent words that follow each other
+    pair_frequency/batch=<name>/bin=<n>/     and in how many texts they do
     hash_metadata/version=<n>/bin=<n>/       document frequency, replaced as a whole
     commits/entry=<...>/                     one row per finished batch or document frequency
 
@@ -19,13 +22,15 @@ others, as a whole or some of their bins, says so in its row: readers then leave
 from __future__ import annotations
 
 import dataclasses
+import math
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.operators.blocks import BLOCK_TEXTS, score_blocks
 from wordloom.operators.indexing import (
     DEFAULT_BINS,
     Index,
@@ -33,6 +38,7 @@ from wordloom.operators.indexing import (
     postings_of_texts,
     words_by_text,
 )
+from wordloom.operators.pairs import PAIR_LEAST, PAIR_SHARE, word_pairs
 from wordloom.functions.hashing import HASH_FUNCTIONS, hash_bin
 from wordloom.session import BROADCAST_ROWS, no_rows, one_row, spread
 
@@ -40,7 +46,7 @@ _SETTINGS = "bins int, hash_function string"
 # Each attempt at a batch has a name of its own; a document frequency says which attempts it counts.
 _COMMITS = (
     "entry string, batch string, attempt string, texts long, words long, postings long, version long, "
-    "counted array<string>, replaces array<string>, replaced_bins array<int>"
+    "counted array<string>, replaces array<string>, replaced_bins array<int>, block_texts int, pair_least long"
 )
 _POSTINGS = (
     "hash string, text_id long, positions array<int>, term_frequency int, words_total int, "
@@ -48,6 +54,10 @@ _POSTINGS = (
 )
 _METADATA = "hash string, document_count long, version long, bin int"
 _FREQUENCY = "hash string, document_count long, batch string, bin int"
+_BLOCKS = (
+    "hash string, block long, texts long, profile array<struct<term_frequency: int, shortest: int, longest: int>>, "
+    "batch string, bin int"
+)
 _TEXTS = (
     "text_id long, words_total int, hashes binary, frequencies array<int>, positions array<array<int>>, "
     "batch string"
@@ -98,6 +108,8 @@ class _Snapshot:
     words: int
     postings: int
     uncounted: int
+    block_texts: int | None
+    pair_least: int | None
 
 
 def _finished(spark: SparkSession, path: str) -> _Snapshot:
@@ -125,9 +137,17 @@ def _finished(spark: SparkSession, path: str) -> _Snapshot:
         words=sum(row.words for row in own),
         postings=sum(row.postings for row in own),
         uncounted=sum(row.texts for row in own if row.attempt not in counted),
+        # Blocks and pairs are of use only if all texts are in them.
+        block_texts=_agreed([row.block_texts for row in own]),
+        pair_least=_agreed([row.pair_least for row in own]),
     )
 
 
+def _agreed(values: list) -> int | None:
+    """The value that all rows have."""
+    return values[0] if len(set(values)) == 1 else None
+
+
 def _stored_rows(spark: SparkSession, path: str, parts: dict[str, set[int] | None]) -> DataFrame:
     """Postings and lengths of the given batches; no other folder is looked at."""
     rows = _of_batches(spark, f"{path}/postings", list(parts), _POSTINGS)
@@ -137,6 +157,11 @@ def _stored_rows(spark: SparkSession, path: str, parts: dict[str, set[int] | Non
     return rows
 
 
+def text_batches(spark: SparkSession, path: str) -> list[str]:
+    """Finished batches that brought texts."""
+    return sorted(_finished(spark, path).attempts)
+
+
 def _of_batches(spark: SparkSession, folder: str, batches: Sequence[str], schema: str) -> DataFrame:
     """Rows of the given batches; no other folder is looked at."""
     if not batches:
@@ -164,6 +189,13 @@ def read_index(spark: SparkSession, path: str) -> Index:
         metadata = no_rows(spark, _METADATA)
     else:
         metadata = spark.read.schema(_METADATA).parquet(_version_folder(path, found.version))
+    names = list(found.attempts)
+    blocks = pairs = pair_frequency = None
+    if found.block_texts is not None:
+        blocks = _of_batches(spark, f"{path}/blocks", names, _BLOCKS).drop("batch")
+    if found.pair_least is not None:
+        pairs = _postings(_of_batches(spark, f"{path}/pairs", names, _POSTINGS))
+        pair_frequency = _of_batches(spark, f"{path}/pair_frequency", names, _FREQUENCY).drop("batch")
     return Index(
         postings=_postings(rows),
         word_counts=_lengths(rows),
@@ -178,12 +210,17 @@ def read_index(spark: SparkSession, path: str) -> Index:
                 }
             )
         ),
-        text_words=_of_batches(spark, f"{path}/texts", list(found.attempts), _TEXTS).drop("batch"),
+        text_words=_of_batches(spark, f"{path}/texts", names, _TEXTS).drop("batch"),
         bins=bins,
         hash_function=hash_function,
         known_stats=(found.texts, found.words / found.texts if found.texts else None),
         uncounted_texts=found.uncounted,
         known_postings=found.postings,
+        blocks=blocks,
+        block_texts=found.block_texts,
+        pairs=pairs,
+        pair_frequency=pair_frequency,
+        pair_least=found.pair_least,
     )
 
 
@@ -197,25 +234,59 @@ def _in_bins(rows: DataFrame) -> DataFrame:
     return rows.hint("rebalance", "bin").sortWithinPartitions(*order)
 
 
+# How Parquet stores an index: numbers and hashes as differences from the last one (positions of a word and text ids
+# rise), and a Bloom filter of hashes for each row group, so that a batch is skipped that has a word's bin but not the word.
+_STORED = {
+    "parquet.writer.version": "v2",
+    "parquet.enable.dictionary#positions.list.element": "false",
+    "parquet.enable.dictionary#positions.list.element.list.element": "false",
+    "parquet.enable.dictionary#text_id": "false",
+    "parquet.enable.dictionary#hash": "false",
+    "parquet.bloom.filter.enabled#hash": "true",
+    "parquet.bloom.filter.adaptive.enabled": "true",
+}
+# Rows of a page of a sorted index: what a scan for some blocks of texts can skip.
+_PAGE_ROWS = 4096
+
+
+def _store(rows: DataFrame, folder: str, by_bin: bool = True, **options) -> None:
+    writer = rows.write.mode("overwrite").options(**_STORED, **options)
+    (writer.partitionBy("bin") if by_bin else writer).parquet(folder)
+
+
 def _write_batch(
-    spark: SparkSession, path: str, by_text: DataFrame, batch: str, layout: Callable[[DataFrame], DataFrame]
+    spark: SparkSession, path: str, by_text: DataFrame, batch: str, **values: int
 ) -> tuple[int, int]:
-    """Write a batch from its index by text: that itself, postings in a layout, document frequency, totals."""
+    """Write a batch from its index by text: that itself, postings, document frequency and totals.
+
+    With ``block_texts`` postings are sorted, and blocks of so many ids and, from ``pair_least`` texts on, pairs
+    of words are written too.
+    """
     bins, _ = index_settings(spark, path)
-    by_text.write.mode("overwrite").parquet(f"{path}/texts/batch={batch}")
+    _store(by_text, f"{path}/texts/batch={batch}", by_bin=False)
     by_text = _of_batches(spark, f"{path}/texts", [batch], _TEXTS).drop("batch")
-    rows = layout(postings_of_texts(by_text, bins))
-    rows.write.mode("overwrite").partitionBy("bin").parquet(f"{path}/postings/batch={batch}")
+    rows = postings_of_texts(by_text, bins)
+    if "block_texts" in values:
+        paged = {"parquet.page.row.count.limit": str(_PAGE_ROWS)}
+        _store(_sorted_rows(rows), f"{path}/postings/batch={batch}", **paged)
+    else:
+        _store(_in_bins(rows), f"{path}/postings/batch={batch}")
     written = _postings(_of_batches(spark, f"{path}/postings", [batch], _POSTINGS))
-    counted = _in_bins(document_frequency(written))
-    counted.write.mode("overwrite").partitionBy("bin").parquet(f"{path}/batch_frequency/batch={batch}")
-    counted = _of_batches(spark, f"{path}/batch_frequency", [batch], _FREQUENCY)
+    _store(_in_bins(document_frequency(written)), f"{path}/batch_frequency/batch={batch}")
+    counted = _of_batches(spark, f"{path}/batch_frequency", [batch], _FREQUENCY).drop("batch")
     none = F.lit(0).cast("long")
     totals = by_text.agg(
         F.count("text_id").alias("texts"), F.coalesce(F.sum("words_total"), none).alias("words")
     ).first()
     postings = counted.agg(F.coalesce(F.sum("document_count"), none)).first()[0]
-    values = {"texts": totals.texts, "words": totals.words, "postings": postings}
+    if "block_texts" in values:
+        _store(score_blocks(written, counted, values["block_texts"]), f"{path}/blocks/batch={batch}")
+        values["pair_least"] = max(values["pair_least"], math.ceil(totals.texts * PAIR_SHARE))
+        pairs = word_pairs(by_text, counted, values["pair_least"], bins)
+        _store(_sorted_rows(pairs), f"{path}/pairs/batch={batch}")
+        pairs = _postings(_of_batches(spark, f"{path}/pairs", [batch], _POSTINGS))
+        _store(_in_bins(document_frequency(pairs)), f"{path}/pair_frequency/batch={batch}")
+    values |= {"texts": totals.texts, "words": totals.words, "postings": postings}
     _commit(spark, path, f"batch-{batch}", batch=batch, attempt=uuid.uuid4().hex, **values)
     return totals.texts, totals.words
 
@@ -229,14 +300,19 @@ def duplicate_ids(texts: DataFrame, known: DataFrame, few: bool) -> DataFrame:
 
 
 def append_index(
-    texts: DataFrame, path: str, batch: str | None = None, on_duplicate: str = "error"
+    texts: DataFrame,
+    path: str,
+    batch: str | None = None,
+    on_duplicate: str = "error",
+    among: Sequence[str] | None = None,
 ) -> tuple[int, int]:
     """Index texts (``text_id``, ``text``) as one batch; returns the numbers of texts and words added.
 
     Texts that are in the index already, or twice in the batch, are an error; with ``on_duplicate="skip"``
     they are left out, and of several texts with one id in a batch the smallest is taken.  A batch that is
     named again replaces its first attempt; without a name it is a new one.  Document frequency stays as it
-    is until it is refreshed.
+    is until it is refreshed.  ``among`` names the batches that may have the texts already, if the caller knows;
+    no other batch is looked at then, nor the list of them.
     """
     if on_duplicate not in ("error", "skip"):
         raise ValueError(f"on_duplicate must be 'error' or 'skip', not {on_duplicate!r}")
@@ -256,11 +332,12 @@ def append_index(
         raise ValueError("texts to append must have a text_id each, and no two the same")
     if ids.rows != ids.different:
         texts = texts.groupBy("text_id").agg(F.min("text").alias("text"))
-    found = _finished(spark, path)
-    others = {name: bins for name, bins in found.parts.items() if name != batch}
+    others = list(_finished(spark, path).attempts) if among is None else among
+    others = [name for name in others if name != batch]
     if others and ids.rows:
         # Lengths are sorted by text id in their files: new numbers skip nearly all of them.
-        known = _lengths(_stored_rows(spark, path, others)).filter(
+        known = _of_batches(spark, f"{path}/postings", others, _POSTINGS)
+        known = _lengths(known).filter(
             F.col("text_id").between(ids.lowest, ids.highest)
         )
         known = duplicate_ids(texts, known, ids.rows <= BROADCAST_ROWS)
@@ -270,7 +347,7 @@ def append_index(
         if repeated:
             texts = texts.join(known, "text_id", "left_anti")
 
-    return _write_batch(spark, path, words_by_text(texts, hash_function), batch, _in_bins)
+    return _write_batch(spark, path, words_by_text(texts, hash_function), batch)
 
 
 def refresh_document_frequency(spark: SparkSession, path: str) -> int:
@@ -291,7 +368,7 @@ def refresh_document_frequency(spark: SparkSession, path: str) -> int:
         counted = last.select(*columns).unionByName(counted)
     counted = counted.groupBy("bin", "hash").agg(F.sum("document_count").alias("document_count"))
     folder = _version_folder(path, version)
-    _in_bins(counted).write.mode("overwrite").partitionBy("bin").parquet(folder)
+    _store(_in_bins(counted), folder)
     attempts = F.array(*[F.lit(attempt) for attempt in sorted(found.attempts.values())]).cast("array<string>")
     row = one_row(spark, _COMMITS, version=version).withColumn("counted", attempts).drop("entry")
     row.write.mode("overwrite").parquet(f"{path}/commits/entry=version-{version}")
@@ -312,16 +389,19 @@ def _sorted_rows(rows: DataFrame) -> DataFrame:
     return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def optimize_index(spark: SparkSession, path: str, target: str) -> tuple[int, int]:
+def optimize_index(
+    spark: SparkSession, path: str, target: str, block_texts: int = BLOCK_TEXTS, pair_least: int = PAIR_LEAST
+) -> tuple[int, int]:
     """Rewrite all batches as one, sorted by bin, hash and text id, into a new folder.
 
-    Every file covers a narrow span of hashes that its statistics show to the scan.  Returns the numbers
-    of texts and words in it.
+    Every file covers a narrow span of hashes that its statistics show to the scan.  Blocks of ``block_texts``
+    text ids tell what a frequent word can score in them; words that stand in ``pair_least`` texts, and in a
+    share of ``PAIR_SHARE`` of all, have postings of their pairs.  Returns the numbers of texts and words in it.
     """
     bins, hash_function = index_settings(spark, path)
     by_text = _of_batches(spark, f"{path}/texts", list(_finished(spark, path).attempts), _TEXTS).drop("batch")
     create_index(spark, target, bins, hash_function)
-    totals = _write_batch(spark, target, by_text, "all", _sorted_rows)
+    totals = _write_batch(spark, target, by_text, "all", block_texts=block_texts, pair_least=pair_least)
     refresh_document_frequency(spark, target)
     return totals
 
@@ -346,7 +426,7 @@ def compact_index(
     if bins is not None:
         rows = rows.filter(F.col("bin").isin([int(number) for number in bins]))
     name = uuid.uuid4().hex
-    _sorted_rows(rows.drop("batch")).write.partitionBy("bin").parquet(f"{path}/postings/batch={name}")
+    _store(_sorted_rows(rows.drop("batch")), f"{path}/postings/batch={name}")
     # Batches that only stand in for these are replaced with them, so that what they replaced stays out.
     values = F.array(*[F.lit(batch) for batch in chosen])
     row = one_row(spark, _COMMITS, batch=name, texts=0, words=0, postings=0).withColumn("replaces", values)

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from wordloom.sources.index import append_index
+from wordloom.sources.index import append_index, text_batches
 
 
 def stream_index(
@@ -19,18 +19,28 @@ def stream_index(
     own first attempt, so every text is indexed once.  By default the query ends when all input present
     is indexed; give ``processingTime="1 minute"`` to keep it running.  Refresh the document frequency when
     the new words are to count.
+
+    With ``on_duplicate="skip"`` the first text of an id is taken, of those in one micro-batch any.  The ids that
+    the stream has seen are Spark's state, which the checkpoint keeps, so a micro-batch looks at no batch of the
+    stream itself, however many there are; only batches that others had written when the stream was started are
+    looked at.  For more ids than fit into memory use the state store of RocksDB
+    (``spark.sql.streaming.stateStore.providerClass``).  ``"error"`` looks at all batches each time.
     """
 
     # A checkpoint is one stream: its batches keep their names when they run again, and never take the
     # name of a batch of another stream.
     stream = hashlib.md5(checkpoint.encode()).hexdigest()
+    texts, others = texts.select("text_id", "text"), None
+    if on_duplicate == "skip":
+        texts = texts.dropDuplicates(["text_id"])
+        names = text_batches(texts.sparkSession, index_path)
+        others = [name for name in names if not name.startswith(f"{stream}-")]
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        append_index(batch, index_path, f"{stream}-{batch_id}", on_duplicate)
+        append_index(batch, index_path, f"{stream}-{batch_id}", on_duplicate, others)
 
     return (
-        texts.select("text_id", "text")
-        .writeStream.foreachBatch(append)
+        texts.writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
