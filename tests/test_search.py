@@ -289,6 +289,52 @@ def test_big_batches_are_folded_and_take_the_wide_route(spark):
     assert plan.folded is not None and {"wide"} <= set(plan.routes)
 
 
+@pytest.mark.parametrize("kept", [1 << 20, 40, 6])
+@pytest.mark.parametrize("k", [1, 3])
+def test_the_best_are_kept_in_the_texts_tasks(monkeypatch, kept, k):
+    """Whatever a task keeps at a time, the k best by rounded score are among what it hands on; and not much more."""
+    import numpy as np
+    from wordloom.plans import by_text
+
+    monkeypatch.setattr(by_text, "_KEPT", kept)
+    rng = np.random.default_rng(k)
+    sizes = rng.integers(1, 5, 30)
+    begins = np.concatenate(([0], np.cumsum(sizes)))
+    requests = by_text.Requests(np.array([], "S16"), np.arange(begins[-1]) % 7, begins)
+    counts = rng.integers(1, 900, begins[-1])
+    counts[0] = 2000
+    ranking = by_text.Ranking.of(k, counts, 1000, 50.0, 1.5, 0.75)
+    best, handed, every = by_text._Best(requests, ranking), [], []
+    for step in range(40):
+        places = rng.integers(0, 30, 25)
+        ids, lengths = step * 25 + np.arange(25), rng.integers(5, 9, 25)
+        frequencies = rng.integers(1, 3, sizes[places].sum()).astype(np.int32)
+        scores = ranking.scores(requests, places, frequencies, lengths)
+        part = by_text._Matches(places, ids, lengths, frequencies, scores)
+        handed += best.add(part)
+        every.append(part)
+    handed += best.rest()
+    assert (np.isfinite(scores)).all()
+
+    def rounded(part):
+        rows, at = [], 0
+        for place, text_id, length in zip(part.places.tolist(), part.text_ids.tolist(), part.lengths.tolist()):
+            own = part.frequencies[at : at + sizes[place]]
+            at += sizes[place]
+            norm = 1.5 * (0.25 + 0.75 * length / 50.0)
+            words = ranking.weights[begins[place] : begins[place + 1]] * own * 2.5 / (own + norm)
+            rows.append((place, -round(sum(round(word, 3) for word in words), 3) if np.isfinite(words).all() else 0, text_id))
+        return rows
+
+    def best_of(rows):
+        rows = sorted(rows)
+        return [row for n, row in enumerate(rows) if n < k or rows[n - k][0] != row[0]]
+
+    given = [row for part in handed for row in rounded(part)]
+    assert len(given) == len(set(given)) and best_of(given) == best_of([row for part in every for row in rounded(part)])
+    assert kept < 40 or len(given) < 1000
+
+
 def test_overlapping_occurrences(spark, ask):
     texts = spark.createDataFrame([(1, "a a a a"), (2, "b"), (3, "c")], "text_id long, text string")
     found = search_phrase(build_index(texts, 4), ask("a a")).collect()

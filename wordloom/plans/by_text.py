@@ -19,12 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions.hashing import DIGEST_BYTES
+from wordloom.functions.ranking import SCORE_DIGITS
 
 # What runs in tasks travels by value, so that executors need no copy of this module.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Matches that a task hands on at once.
+# Matches that a task hands on at once, and matches it keeps to tell the best of.
 _MATCHES = 1 << 17
+_KEPT = 1 << 20
+# A rounded score is that far from the score, for each word.
+_ROUNDING = 0.5 * 10.0**-SCORE_DIGITS + 1e-9
 
 _DIGEST = f"S{DIGEST_BYTES}"
 
@@ -161,13 +165,139 @@ def _texts(batch: pa.RecordBatch, requests: Requests):
                 yield row, at, numbers
 
 
-def texts_with_words(by_text: DataFrame, requests: Requests) -> DataFrame:
-    """``place, text_id, words_total, frequencies``: how often a matched text has each word of a request, by rarity."""
+@dataclasses.dataclass(frozen=True)
+class Ranking:
+    """What the best ``k`` texts of each request are told by: a score that is not rounded yet.
+
+    ``weights`` has the inverse document frequency of every word of ``Requests``; one that is not known makes all
+    scores of its request equal.
+    """
+
+    k: int
+    weights: np.ndarray
+    k1: float
+    b: float
+    average: float
+
+    @classmethod
+    def of(cls, k: int, counts: np.ndarray, documents: int, average: float, k1: float, b: float) -> Ranking:
+        with np.errstate(invalid="ignore", divide="ignore"):
+            weights = np.log((documents - counts + 0.5) / (counts + 0.5))
+        return cls(k, weights, k1, b, average)
+
+    def scores(self, requests: Requests, places: np.ndarray, frequencies: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Score of each match: ``frequencies`` has those of all its words, ``lengths`` that of its text."""
+        sizes = requests.sizes[places]
+        tf = frequencies.astype(np.float64)
+        norm = self.k1 * (1 - self.b + self.b * np.repeat(lengths, sizes) / self.average)
+        words = self.weights[_ranges(requests.begins[places], requests.begins[places + 1])]
+        total = np.add.reduceat(words * tf * (self.k1 + 1) / (tf + norm), np.cumsum(sizes) - sizes)
+        return np.nan_to_num(total, nan=0.0, posinf=0.0, neginf=0.0)
+
+
+@dataclasses.dataclass
+class _Matches:
+    """Matches of some texts: place, id and length of the text, frequency of each word of the request, score."""
+
+    places: np.ndarray
+    text_ids: np.ndarray
+    lengths: np.ndarray
+    frequencies: np.ndarray
+    scores: np.ndarray
+
+    @classmethod
+    def joined(cls, parts: list[_Matches]) -> _Matches:
+        return cls(*[np.concatenate([getattr(part, name) for part in parts]) for name in cls.__dataclass_fields__])
+
+    def some(self, requests: Requests, chosen: np.ndarray) -> _Matches:
+        ends = np.cumsum(requests.sizes[self.places])
+        begins = ends - requests.sizes[self.places]
+        frequencies = self.frequencies[_ranges(begins[chosen], ends[chosen])]
+        kept = (self.places, self.text_ids, self.lengths)
+        return _Matches(*[own[chosen] for own in kept], frequencies, self.scores[chosen])
+
+    def batches(self, requests: Requests):
+        """The matches as Arrow batches."""
+        ends = np.concatenate(([0], np.cumsum(requests.sizes[self.places])))
+        for begin in range(0, len(self.places), _MATCHES):
+            own = slice(begin, begin + _MATCHES)
+            bounds = ends[begin : begin + _MATCHES + 1]
+            lists = pa.ListArray.from_arrays(
+                pa.array(bounds - bounds[0], pa.int32()), pa.array(self.frequencies[bounds[0] : bounds[-1]], pa.int32())
+            )
+            columns = [
+                pa.array(self.places[own], pa.int32()),
+                pa.array(self.text_ids[own], pa.int64()),
+                pa.array(self.lengths[own], pa.int32()),
+                lists,
+            ]
+            yield pa.record_batch(columns, ["place", "text_id", "words_total", "frequencies"])
+
+
+class _Best:
+    """The matches of a task that can be among the best ``k`` of their requests.
+
+    A match is left out if ``k`` others of the task beat it by more than both scores can be rounded.  What has been
+    handed on counts among the others, so that memory is bounded however many scores are equal.
+    """
+
+    def __init__(self, requests: Requests, ranking: Ranking):
+        self._requests, self._ranking = requests, ranking
+        self._room = 2 * _ROUNDING * (requests.sizes + 1)
+        self._bars = np.full(len(requests.sizes), -np.inf)
+        self._parts: list[_Matches] = []
+        self._size = 0
+
+    def add(self, part: _Matches):
+        """Takes matches; yields what there is no room for."""
+        reached = np.flatnonzero(part.scores >= self._bars[part.places])
+        self._parts.append(part.some(self._requests, reached))
+        self._size += len(reached)
+        if self._size > _KEPT:
+            kept = self._cut()
+            if len(kept.places) > _KEPT // 2:
+                yield kept
+                self._parts, self._size = [], 0
+            else:
+                self._parts, self._size = [kept], len(kept.places)
+
+    def rest(self):
+        if self._parts:
+            yield self._cut()
+
+    def _cut(self) -> _Matches:
+        found = _Matches.joined(self._parts)
+        order = np.lexsort((-found.scores, found.places))
+        places = found.places[order]
+        rank = np.arange(len(order)) - np.searchsorted(places, places)
+        last = order[rank == self._ranking.k - 1]
+        at = found.places[last]
+        self._bars[at] = np.maximum(self._bars[at], found.scores[last] - self._room[at])
+        return found.some(self._requests, np.flatnonzero(found.scores >= self._bars[found.places]))
+
+
+def texts_with_words(by_text: DataFrame, requests: Requests, ranking: Ranking | None = None) -> DataFrame:
+    """``place, text_id, words_total, frequencies``: how often a matched text has each word of a request, by rarity.
+
+    With a ``ranking`` texts are left out that cannot be among the best of the request.
+    """
 
     def match(batches):
         matcher = WordsInTexts(requests)
+        best = _Best(requests, ranking) if ranking else None
         tf = np.zeros(len(requests.digests), np.int32)
-        sizes = requests.sizes
+
+        def part(batch: pa.RecordBatch, rows: list[int], places: list[np.ndarray], found: list[np.ndarray]) -> _Matches:
+            rows_ = np.repeat(rows, [len(own) for own in places])
+            text_ids = batch.column("text_id").to_numpy(zero_copy_only=False)[rows_]
+            lengths = batch.column("words_total").to_numpy(zero_copy_only=False)[rows_]
+            places_, frequencies = np.concatenate(places), np.concatenate(found)
+            scores = ranking.scores(requests, places_, frequencies, lengths) if ranking else np.zeros(len(places_))
+            return _Matches(places_, text_ids, lengths, frequencies, scores)
+
+        def taken(matches: _Matches):
+            for own in best.add(matches) if best else [matches]:
+                yield from own.batches(requests)
 
         for batch in batches:
             # Of a text that no match needs, nothing but hashes is looked at.
@@ -175,23 +305,6 @@ def texts_with_words(by_text: DataFrame, requests: Requests) -> DataFrame:
             offsets = frequencies.offsets.to_numpy()
             values = frequencies.values.to_numpy(zero_copy_only=False)
             rows, places, found, many = [], [], [], 0
-
-            def handed(rows, places, found, batch=batch):
-                taken = pa.array(np.repeat(rows, [len(own) for own in places]), pa.int64())
-                places = np.concatenate(places)
-                return pa.record_batch(
-                    [
-                        pa.array(places, pa.int32()),
-                        batch.column("text_id").take(taken),
-                        batch.column("words_total").take(taken),
-                        pa.ListArray.from_arrays(
-                            pa.array(np.concatenate(([0], np.cumsum(sizes[places]))), pa.int32()),
-                            pa.array(np.concatenate(found), pa.int32()),
-                        ),
-                    ],
-                    ["place", "text_id", "words_total", "frequencies"],
-                )
-
             for row, at, numbers in _texts(batch, requests):
                 own = matcher.match(numbers)
                 if not len(own):
@@ -202,10 +315,12 @@ def texts_with_words(by_text: DataFrame, requests: Requests) -> DataFrame:
                 found.append(tf[requests.words[_ranges(requests.begins[own], requests.begins[own + 1])]])
                 many += len(found[-1])
                 if many > _MATCHES:
-                    yield handed(rows, places, found)
+                    yield from taken(part(batch, rows, places, found))
                     rows, places, found, many = [], [], [], 0
             if rows:
-                yield handed(rows, places, found)
+                yield from taken(part(batch, rows, places, found))
+        for own in best.rest() if best else ():
+            yield from own.batches(requests)
 
     return by_text.select("text_id", "words_total", "hashes", "frequencies").mapInArrow(
         match, "place int, text_id long, words_total int, frequencies array<int>"
@@ -276,13 +391,19 @@ class Block:
         places = pa.array(range(len(self.query_ids)), pa.int32())
         return F.broadcast(spark.createDataFrame(pa.table({"place": places, "query_id": self.query_ids, **columns})))
 
-    def any_position(self, by_text: DataFrame) -> DataFrame:
-        """``query_id, text_id, words_total, frequencies, counts``: both lists are in the same order of words."""
+    def any_position(
+        self, by_text: DataFrame, k: int, documents: int, average: float, k1: float, b: float
+    ) -> DataFrame:
+        """``query_id, text_id, words_total, frequencies, counts``: both lists are in the same order of words.
+
+        At least the texts that are among the best ``k`` of a request.
+        """
         requests = Requests.of(self.places, self.rarity, self.hashes, len(self.query_ids))
         order = np.lexsort((self.rarity, self.places))
         counts = pa.ListArray.from_arrays(pa.array(requests.begins, pa.int32()), pa.array(self.counts[order], pa.int64()))
         asked = self.by_place(by_text.sparkSession, counts=counts)
-        return texts_with_words(by_text, requests).join(asked, "place").drop("place")
+        ranking = Ranking.of(k, self.counts[order], documents, average, k1, b)
+        return texts_with_words(by_text, requests, ranking).join(asked, "place").drop("place")
 
     def phrases(self, by_text: DataFrame, terms: DataFrame) -> DataFrame:
         """``query_id, text_id, words_total, occurrences, minimum_count, phrase_length``."""

@@ -227,6 +227,26 @@ def fold_requests(terms: DataFrame) -> tuple[DataFrame, Folded]:
     )
 
 
+def fold_words(terms: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame, Folded]:
+    """The same for requests of the same known words in any order; requests without any answer for themselves.
+
+    Returns terms and words of the requests that are left.
+    """
+    requests = words.groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_list("hash")), " ").alias("words"))
+    answered = durable(requests.groupBy("words").agg(F.min("query_id").alias("answered_by")))
+    unknown = durable(terms.select("query_id").distinct().join(requests, "query_id", "left_anti"))
+    different, others = answered.count(), unknown.count()
+    asked = join_words(requests, answered, "words", "query_id", different <= BROADCAST_ROWS)
+    asked = asked.select("query_id", "answered_by").unionByName(unknown.withColumn("answered_by", F.col("query_id")))
+    asked = durable(asked)
+    leaders = asked.filter("query_id = answered_by").select("query_id")
+    return (
+        terms.join(leaders, "query_id", "left_semi"),
+        words.join(leaders, "query_id", "left_semi"),
+        Folded(asked, different + others),
+    )
+
+
 def asked_terms(index: Index, requests: DataFrame) -> tuple[DataFrame, pa.Table | None]:
     """The words of requests with their bins, computed once; few are given as a table too.
 
@@ -259,20 +279,21 @@ def compile_requests(
     fold: bool = False,
     by_text: bool = False,
     pairs: bool = False,
+    any_order: bool = False,
 ) -> RequestPlan:
     """Look up the words of requests (``query_id``, ``request``) and choose a route for each request.
 
     A word the index does not know is left out, so the request asks for its other words, or with
     ``unknown_terms="require"`` makes the request match nothing.  With ``fold`` a big batch is planned
     without repeated requests, with ``by_text`` the index by text may be used, with ``pairs`` the postings of pairs
-    for the phrases of a small one.
+    for the phrases of a small one.  In ``any_order`` requests with the same known words are repeated ones.
     """
     if unknown_terms not in UNKNOWN_TERMS:
         raise ValueError(f"unknown_terms must be one of {UNKNOWN_TERMS}, not {unknown_terms!r}")
     terms, table = asked_terms(index, requests)
     if table is not None:
         return _small_plan(index, terms, table, unknown_terms, by_text, pairs and index.pairs is not None)
-    return _big_plan(index, terms, unknown_terms, fold, by_text)
+    return _big_plan(index, terms, unknown_terms, fold, by_text, any_order)
 
 
 def _worth_all_texts(index: Index, postings: int, different: int) -> bool:
@@ -422,9 +443,11 @@ def _small_plan(
     )
 
 
-def _big_plan(index: Index, terms: DataFrame, unknown_terms: str, fold: bool, by_text: bool) -> RequestPlan:
+def _big_plan(
+    index: Index, terms: DataFrame, unknown_terms: str, fold: bool, by_text: bool, any_order: bool
+) -> RequestPlan:
     folded = None
-    if fold:
+    if fold and not any_order:
         terms, folded = fold_requests(terms)
     size = terms.agg(
         F.count(F.lit(1)).alias("terms"),
@@ -463,13 +486,17 @@ def _big_plan(index: Index, terms: DataFrame, unknown_terms: str, fold: bool, by
         words = words.filter(F.col("required") == F.col("distinct_words"))
     narrow = candidates <= F.lit(BROADCAST_ROWS) if small else F.lit(False)
     words = durable(words)
-    others = F.when(narrow, "narrow").otherwise("wide")
+    if fold and any_order:
+        terms, words, folded = fold_words(terms, words)
+        words = durable(words)
+    route = F.when(F.col("required") == 1, "single").when(narrow, "narrow").otherwise("wide")
     if by_text:
         several = words.filter("required > 1").select("hash", "document_count").distinct()
         sums = several.agg(F.sum("document_count").alias("postings"), F.count(F.lit(1)).alias("different")).first()
         if sums.different and _worth_all_texts(index, sums.postings, sums.different):
-            others = F.lit("text")
-    words = words.withColumn("route", F.when(F.col("required") == 1, "single").otherwise(others))
+            # A phrase of one different word may be one word, which is no place to look for neighbours.
+            route = F.lit("text") if any_order else F.when(F.col("required") == 1, "single").otherwise("text")
+    words = words.withColumn("route", route)
     is_rarest = F.col("rarity") == 1
     rows = (
         words.groupBy("route")

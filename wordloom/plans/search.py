@@ -170,7 +170,9 @@ def _any_position_matches(
         scores = F.zip_with("frequencies", "counts", lambda tf, df: score_of(tf, df, F.col("words_total")))
         total = F.aggregate(scores, F.lit(0.0), lambda sum_, own: sum_ + own)
         matched.append(
-            block.any_position(index.text_words).select(
+            block.any_position(
+                index.text_words, k, plan.total_documents, plan.average_document_length, k1, b
+            ).select(
                 "query_id",
                 "text_id",
                 F.round(total, SCORE_DIGITS).alias("bm25_score"),
@@ -195,7 +197,7 @@ def search_any_position(
     A few requests whose words have ``early_postings`` or more read only what can be among their best, if the index
     is sorted.
     """
-    plan = compile_requests(index, requests, unknown_terms, fold=True, by_text=True)
+    plan = compile_requests(index, requests, unknown_terms, fold=True, by_text=True, any_order=True)
     return _ranked(_any_position_matches(index, plan, k, k1, b, early_postings), k, plan.folded, _queries(plan))
 
 
@@ -285,7 +287,9 @@ def search(
     if phrase and unknown_terms not in (None, "require"):
         raise ValueError("a phrase requires all of its words")
     unknown_terms = "require" if phrase else unknown_terms or "drop"
-    plan = compile_requests(index, requests, unknown_terms, fold=True, by_text=True, pairs=phrase)
+    plan = compile_requests(
+        index, requests, unknown_terms, fold=True, by_text=True, pairs=phrase, any_order=not phrase
+    )
     find = _phrase_matches if phrase else _any_position_matches
     matches = find(index, plan, k, K1, B)
 
