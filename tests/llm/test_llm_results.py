@@ -355,6 +355,44 @@ def test_html_anchors_end_no_text(anchor):
     assert html_text.main_text(f"<article>{anchor}<p>The only text</p></article>") == "The only text"
 
 
+def test_html_keeps_all_articles():
+    long = "One sentence of running text that goes on and on. " * 3
+    page = (
+        f"<nav>Menu</nav><main><h1>All</h1><article><h2>One</h2><p>{long}</p></article><p>Between.</p></main>"
+        f"<article><p>Short.</p></article><aside>{long}</aside><article><h2>Two</h2><p>{long}{long}</p></article>"
+        f"<article class='comment'><p>{long}</p></article><footer>Foot</footer>"
+    )
+    text, twice = long.strip(), (long + long).strip()
+    assert html_text.main_text(page).split("\n") == ["All", "One", text, "Between.", "Short.", "Two", twice]
+
+
+def test_html_distribution_inside_an_article():
+    """Surge and dive find the text, which goes on over short lines and linked paragraphs, but not over bare links."""
+    long = "One sentence of running text that goes on and on. " * 3
+    links = "<div><a href='/a'>First</a></div><div><a href='/b'>Second</a></div>"
+    page = f"<article>{links}<h1>Title</h1><p><a href='/c'>By us</a></p><p>{long}</p><p>End.</p>{links}</article>"
+    assert html_text.main_text(page).split("\n") == ["Title", "By us", long.strip(), "End."]
+    inner = f"<article><p>{long}</p>{links}<p>{long}</p></article>"
+    assert html_text.main_text(inner).split("\n") == [long.strip(), "First", "Second", long.strip()]
+
+
+def test_html_windows_by_brute_force():
+    random.seed(11)
+    for size in (*range(6), 40):
+        lengths = [random.choice([0, 0, 5, 60, 300]) for _ in range(size)]
+        expected = [sum(lengths[i : i + html_text.WINDOW]) for i in range(size)]
+        assert html_text.window_sums(lengths) == expected
+
+
+@pytest.mark.parametrize("box", ["<div class='ad'>x", "<nav>", "<li class='menu'>x", "<p class='ad'>x", "<article>y", "<a href='x'>z", "</div>"])
+def test_html_of_unclosed_elements_takes_linear_time(box):
+    import time
+
+    start = time.perf_counter()
+    html_text.main_text(box * 100_000 + "<p>The end of it.</p>")
+    assert time.perf_counter() - start < 10
+
+
 def test_html_link_paragraphs_within_running_text():
     long = "This is a paragraph of running text that is long enough to be told from a menu. " * 2
     page = f"<div><a href=1>Home</a></div><p>{long}</p><p><a href=2>The source</a></p><h2><a href=3>Part</a></h2><p>{long}</p>"

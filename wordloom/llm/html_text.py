@@ -3,7 +3,11 @@
 A page is cut into lines at block elements, markup is stripped, and the text lengths of sliding windows of
 lines show where running text begins (surge) and ends (dive); the text between is kept.  What the markup
 itself marks as menu, header, footer, sidebar, notice, advert, form, script, style or comments is left out,
-within a line too; links have length 0; an article or main element is the page if there is one.
+within a line too; links have length 0.
+
+If there are article or main elements, each outermost one has a distribution of its own, and all of them are kept,
+in page order.  Inside, running text goes on to both sides of surge and dive as far as lines have text or are text
+blocks: what markup calls the article loses a beginning or an end only where it is bare links.
 
 A null or empty page, one without text and one with nothing but menus give an empty text.  Broken markup is
 read to the end of the page; a box that is never closed counts as ordinary text, and a link that is not closed
@@ -66,15 +70,28 @@ def _is_marked(text: str) -> bool:
     return not _MARKS.isdisjoint(names)
 
 
-def _close_of(name: str, tokens: list, start: int) -> int | None:
-    """The token that closes the element opened at ``start``."""
-    depth = 0
-    for i in range(start, len(tokens)):
-        if tokens[i][1] == name:
-            depth += -1 if tokens[i][0] else 1
-            if depth == 0:
-                return i
-    return None
+def _closes(tokens: list[tuple[str, str, str]]) -> list[int | None]:
+    """For each opening token the one that closes its element, if any."""
+    found: list[int | None] = [None] * len(tokens)
+    open_: dict[str, list[int]] = {}
+    for at, (closing, name, _) in enumerate(tokens):
+        own = open_.setdefault(name, [])
+        if not closing:
+            own.append(at)
+        elif own:
+            found[own.pop()] = at
+    return found
+
+
+def _next_blocks(tokens: list[tuple[str, str, str]]) -> list[int | None]:
+    """For each token the next one of a block element."""
+    found: list[int | None] = [None] * len(tokens)
+    following = None
+    for at in range(len(tokens) - 1, -1, -1):
+        found[at] = following
+        if tokens[at][1] in _BLOCKS:
+            following = at
+    return found
 
 
 def lines_of(page: str) -> list[tuple[str, int, int | None, bool]]:
@@ -103,6 +120,7 @@ def lines_of(page: str) -> list[tuple[str, int, int | None, bool]]:
         pieces.append("")
     pieces[-1] += page[place:]
 
+    close_of, next_block = _closes(tokens), _next_blocks(tokens)
     # Whether the next anchor token closes the one at hand.
     closes = [False] * len(tokens)
     closing_next = False
@@ -152,11 +170,10 @@ def lines_of(page: str) -> list[tuple[str, int, int | None, bool]]:
             if not closing and name not in _VOID and boxed_until < 0:
                 box = name in _BOXES or (name == "header" and not article)
                 if (box or _is_marked(rest)) and name not in ("html", "body", "main"):
-                    close = _close_of(name, tokens, at)
+                    close = close_of[at]
                     if name in ("p", "li"):
                         # These end by themselves where the next block begins.
-                        following = (k for k in range(at + 1, len(tokens)) if tokens[k][1] in _BLOCKS)
-                        stop = next(following, None)
+                        stop = next_block[at]
                         close = stop if close is None or (stop is not None and stop < close) else close
                     if close is not None:
                         boxed_until = close
@@ -176,31 +193,49 @@ def lines_of(page: str) -> list[tuple[str, int, int | None, bool]]:
     return lines
 
 
-def main_lines(lines: list[tuple[str, int, int | None, bool]]) -> list[str]:
-    """Lines between the surge and the dive of the distribution."""
-    sizes: dict[int, int] = {}
-    for _, length, article, _ in lines:
-        if article is not None and length > 0:
-            sizes[article] = sizes.get(article, 0) + length
-    inside = max(sizes, key=lambda article: (sizes[article], -article)) if sizes else None
-    if inside is not None:
-        lines = [line for line in lines if line[2] == inside]
+def window_sums(lengths: list[int]) -> list[int]:
+    """The distribution: text lengths of each line and the next ones, ``WINDOW`` in all."""
+    sums, total = [0] * len(lengths), 0
+    for i in range(len(lengths) - 1, -1, -1):
+        total += lengths[i]
+        if i + WINDOW < len(lengths):
+            total -= lengths[i + WINDOW]
+        sums[i] = total
+    return sums
+
+
+def _running(lines: list[tuple[str, int, int | None, bool]], inside: bool) -> list[str]:
+    """Lines between the surge and the dive of a distribution."""
     lengths = [length for _, length, _, _ in lines]
     if not any(lengths):
         return []
-    sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
-    # Inside an article, and on pages of short lines only, any text is running text.
-    surge = 1 if inside is not None else min(SURGE, max(sums))
+    sums = window_sums(lengths)
+    # Where all lines are short, the fullest window is running text.
+    surge = min(SURGE, max(sums))
     rising = [i for i, total in enumerate(sums) if total >= surge and lengths[i] > 0]
     if not rising:
         rising = [i for i, length in enumerate(lengths) if length > 0]
+
+    def goes_on(i: int) -> bool:
+        return lengths[i] > 0 or (inside and lines[i][3])
+
     first, last = rising[0], rising[-1]
-    while last + 1 < len(lengths) and lengths[last + 1] > 0:
+    while last + 1 < len(lines) and goes_on(last + 1):
         last += 1
-    if inside is not None:
-        first, last = 0, len(lines) - 1
+    while inside and first > 0 and goes_on(first - 1):
+        first -= 1
     # A line of nothing but links inside running text belongs to it where markup names the article, or text.
-    return [text for text, length, _, block in lines[first : last + 1] if length > 0 or block or inside is not None]
+    return [text for text, length, _, block in lines[first : last + 1] if length > 0 or block or inside]
+
+
+def main_lines(lines: list[tuple[str, int, int | None, bool]]) -> list[str]:
+    """The main text's lines: those of all articles, or of the page if it has none with text."""
+    articles: dict[int, list] = {}
+    for line in lines:
+        if line[2] is not None:
+            articles.setdefault(line[2], []).append(line)
+    found = [text for own in articles.values() for text in _running(own, True)]
+    return found or _running(lines, False)
 
 
 def main_text(page: str | None) -> str:
