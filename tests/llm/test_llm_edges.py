@@ -166,6 +166,44 @@ def test_mixing(documents, nothing):
     assert [row.taken for row in mixing.mix(blank).collect()] == [0, 0, 0]
 
 
+def test_repeated_rows_at_a_threshold_are_told_apart(spark):
+    """A source of equal rows without ids ends as near to its target as one row allows."""
+    rows = [(None, "eight words are in each of these rows", "b")] * 900 + [(None, "a b c", "c")] * 7
+    rows += [(i, "word " * (1 + i % 50), "a") for i in range(400)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    found = mixing.mix(documents).collect()
+    assert len(found) == len(rows)
+    by_source = {}
+    for row in found:
+        by_source.setdefault((row.source_size, row.target), []).append(row)
+    assert len(by_source) == 3
+    for (size, target), own in by_source.items():
+        largest = max(row["size"] for row in own)
+        assert abs(sum(row.taken for row in own) - target) <= largest / 2 + 1e-6
+        assert all(row.taken in (0, row["size"], 2 * row["size"]) for row in own)
+    mixed = mixing.mixed_documents(documents)
+    assert mixed.count() == sum(row.taken // row["size"] for row in found)
+    again = mixing.mix(documents.repartition(2)).collect()
+    assert sorted(map(tuple, again), key=repr) == sorted(map(tuple, found), key=repr)
+
+
+def test_more_lengths_of_vectors_than_axes(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "_LENGTHS", 1)
+    rows = [(i, [float(i % 3), 1.0] + [0.5] * (i % 4), 0) for i in range(24)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = {row.vec_id: (row.n_links, row.component_id) for row in embeddings.near_vectors(frame).collect()}
+    assert found == {i: (1, i % 12) for i in range(24)}
+
+
+def test_repeated_items_are_one(spark):
+    items = spark.createDataFrame([(7, "some words of the test")] * 500, "item_id long, text string")
+    blocks = decontamination.benchmark_blocks(items, block_bytes=100)
+    assert len(blocks) == 1
+    documents = spark.createDataFrame([(1, "here are some words of the test again")], "doc_id long, text string")
+    row = decontamination.scan_contamination(documents, items).first()
+    assert (row.n_hit, row.n_items) == (5, 1)
+
+
 def test_line_chunks(spark, documents, nothing):
     rows = line_chunks.without_repeated_chunks(documents).collect()
     assert len(rows) == len(ROWS)

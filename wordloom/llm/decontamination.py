@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm.common import arrow_bounded, words_of
+from wordloom.session import written
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -273,10 +274,14 @@ def _combine(*scans: pa.Array) -> pa.Array:
 def benchmark_blocks(
     benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES
 ) -> list[Suffixes]:
-    """Items (``item_id``, ``text``) in blocks of about ``block_bytes``, so that a task holds a bounded part."""
+    """Items (``item_id``, ``text``) in blocks of about ``block_bytes``, so that a task holds a bounded part.
+
+    Repeated rows are one item, so that none makes a block of its own.
+    """
     items = benchmark.select(
         F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")
-    ).filter(F.length("text") > 0)
+    )
+    items = written(items.filter(F.length("text") > 0).distinct(), "items")
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(size / block_bytes))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))

@@ -31,8 +31,10 @@ TILE = 2048
 _ORDER_AXES = 3
 _BOX_AXES = 8
 _STEP = 16
-# Different lengths of vectors in one table.
+# Lengths of vectors that have principal axes, those of most vectors; others keep their own axes, which leave out less.
 _LENGTHS = 100
+# And the longest of them: axes are a square matrix.
+_LONGEST = 4_096
 _MARGIN = 1e-9
 
 
@@ -83,7 +85,14 @@ def _vectors(embeddings: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(convert, schema), "vectors")
 
 
-def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
+class Axes(dict):
+    """Axes of each length of vectors, as columns; its own ones for a length that is not named."""
+
+    def __missing__(self, size: int) -> np.ndarray:
+        return np.eye(size)
+
+
+def principal_axes(vectors: DataFrame) -> Axes:
     """For each length of vectors, axes by falling variance, as columns."""
 
     def add(batches):
@@ -113,13 +122,14 @@ def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
 
     schema = "size int, sums binary"
     rows = vectors.filter(F.col("vector").isNotNull()).select("size", "vector")
-    if rows.select("size").distinct().limit(_LENGTHS + 1).count() > _LENGTHS:
-        raise ValueError(f"vectors of more than {_LENGTHS} different lengths")
+    most = rows.filter(F.col("size") <= _LONGEST).groupBy("size").count()
+    most = most.orderBy(F.col("count").desc(), "size").limit(_LENGTHS).collect()
+    rows = rows.filter(F.col("size").isin([row.size for row in most]))
     summed = rows.mapInArrow(add, schema).repartition(8).mapInArrow(merge, schema).collect()
     total: dict[int, np.ndarray] = {}
     for row in summed:
         total[row.size] = total.get(row.size, 0) + np.frombuffer(row.sums, np.float64)
-    axes = {}
+    axes = Axes()
     for size, sums in total.items():
         sums = sums.reshape(size + 1, size + 1)
         n, mean = sums[0, 0], sums[0, 1:] / sums[0, 0]
@@ -184,7 +194,7 @@ def spanning_links(linked: np.ndarray) -> list[tuple[int, int]]:
                 queue += rows.tolist()
 
 
-def _tiled(vectors: DataFrame, axes: dict[int, np.ndarray]) -> DataFrame:
+def _tiled(vectors: DataFrame, axes: Axes) -> DataFrame:
     """Different vectors in tiles: ``number, tile, label, size, vector, weight``, a table."""
 
     def order(batches):
@@ -208,7 +218,7 @@ def _tiled(vectors: DataFrame, axes: dict[int, np.ndarray]) -> DataFrame:
     return ordered.select("number", tile.alias("tile"), "label", "size", "vector", "weight", "least")
 
 
-def _tiles(tiled: DataFrame, axes: dict[int, np.ndarray]) -> DataFrame:
+def _tiles(tiled: DataFrame, axes: Axes) -> DataFrame:
     """One row per tile and label with its vectors, and the box around them; a table."""
 
     def gather(table: pa.Table) -> pa.Table:

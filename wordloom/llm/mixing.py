@@ -5,8 +5,9 @@ target allows, and of the rest those whose hash is below a threshold.  The thres
 sorting: words are summed by source and hash bucket, the bucket where the budget ends is cut into finer
 buckets, and so on until the hash is used up.  Thresholds for smaller budgets are nested in those for larger.
 
-The group of rows at the threshold (one document, or repeated rows with the same id and text) is taken if that
-ends nearer to the target.  A null text has size 0, a null id counts as empty, rows without a source are a
+The document at the threshold is taken if that ends nearer to the target.  Repeated rows with the same id and text
+share a hash; where they are at the threshold as many of them are taken as end nearest to it, told apart by a number.
+A null text has size 0, a null id counts as empty, rows without a source are a
 source of their own that comes last.  An empty table gives an empty mix.
 """
 
@@ -78,10 +79,10 @@ def _joined(rows: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
 
 
 def thresholds(sized: DataFrame) -> DataFrame:
-    """``key, source_size, target, passes, threshold, at_threshold`` of every source.
+    """``key, source_size, target, passes, threshold, at_threshold, group_rows`` of every source.
 
-    ``sized`` has ``key, size, hash``.  ``passes`` whole passes are taken, then what is below ``threshold``,
-    and what is at it if ``at_threshold``.
+    ``sized`` has ``key, size, hash``.  ``passes`` whole passes are taken, then what is below ``threshold``, and
+    ``at_threshold`` of the ``group_rows`` rows that are at it.
     """
     sizes = sized.groupBy("key").agg(F.sum("size").alias("source_size"))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -97,17 +98,22 @@ def thresholds(sized: DataFrame) -> DataFrame:
         inside = _joined(sized, state.select("key", "prefix"), few).filter(
             F.shiftright("hash", 4 * (_ALL_DIGITS - used + _DIGITS)) == F.col("prefix")
         )
-        histogram = inside.groupBy("key", cut.alias("bucket")).agg(F.sum("size").alias("size"))
+        histogram = inside.groupBy("key", cut.alias("bucket")).agg(
+            F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")
+        )
         summed = histogram.select(
-            "key", "bucket", "size", F.sum("size").over(by_bucket).alias("up_to")
+            "key", "bucket", "size", "rows", F.sum("size").over(by_bucket).alias("up_to")
         )
         # The first bucket with more than the rest; where there is none, all rows are below.
         ends = (
             _joined(summed, state.select("key", "rest"), few)
             .filter(F.col("up_to") > F.col("rest"))
             .groupBy("key")
-            .agg(F.min(F.struct("bucket", "size", "up_to")).alias("end"))
+            .agg(F.min(F.struct("bucket", "size", "rows", "up_to")).alias("end"))
         )
+        left = F.col("rest") - (F.col("end.up_to") - F.col("end.size"))
+        # Of rows of the same size, as many as end nearest to the rest.
+        nearest = F.floor((2 * left * F.col("end.rows") + F.col("end.size")) / (2.0 * F.col("end.size")))
         state = (
             state.join(ends, "key", "left")
             .select(
@@ -115,24 +121,36 @@ def thresholds(sized: DataFrame) -> DataFrame:
                 "source_size",
                 "target",
                 "passes",
-                F.when(F.col("end").isNull(), F.col("rest"))
-                .otherwise(F.col("rest") - (F.col("end.up_to") - F.col("end.size")))
-                .alias("rest"),
+                F.when(F.col("end").isNull(), F.col("rest")).otherwise(left).alias("rest"),
                 F.coalesce(
                     F.col("end.bucket"),
                     F.shiftleft(F.col("prefix") + 1, 4 * _DIGITS),
                 ).alias("prefix"),
-                F.coalesce(F.col("end.size") <= 2 * (F.col("rest") - (F.col("end.up_to") - F.col("end.size"))), F.lit(False)).alias("at_threshold"),
+                F.coalesce(nearest, F.lit(0)).cast("long").alias("at_threshold"),
+                F.coalesce(F.col("end.rows"), F.lit(0)).alias("group_rows"),
             )
         )
         state = written(state, "thresholds")
-    return state.select("key", "source_size", "target", "passes", F.col("prefix").alias("threshold"), "at_threshold")
-
-
-def taken_times(hash_column: Column) -> Column:
-    """How often a document is taken, next to its source's thresholds."""
-    below = hash_column < F.col("threshold")
-    return F.col("passes") + (below | ((hash_column == F.col("threshold")) & F.col("at_threshold"))).cast("int")
+    columns = ["key", "source_size", "target", "passes", F.col("prefix").alias("threshold"), "at_threshold", "group_rows"]
+    return state.select(*columns)
+
+
+def with_times(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` (``key, hash`` and more) with their source's ``thresholds`` and ``times``, how often each is taken."""
+    rows = _joined(rows, found, found.count() <= _BROADCAST)
+    below, at = F.col("hash") < F.col("threshold"), F.col("hash") == F.col("threshold")
+    cut = (F.col("at_threshold") > 0) & (F.col("at_threshold") < F.col("group_rows"))
+    whole = below | (at & (F.col("at_threshold") > 0))
+    if found.filter(cut).isEmpty():
+        return rows.withColumn("times", F.col("passes") + whole.cast("int"))
+    # Repeated rows at a threshold are numbered source by source; no other row is.
+    group = numbered(rows.filter(cut & at), ["key"], "number")
+    first = group.groupBy("key").agg(F.min("number").alias("first"))
+    group = _joined(group, first, first.count() <= _BROADCAST)
+    some = F.col("number") - F.col("first") < F.col("at_threshold")
+    group = group.withColumn("times", F.col("passes") + some.cast("int")).drop("number", "first")
+    others = rows.filter(~(cut & at)).withColumn("times", F.col("passes") + whole.cast("int"))
+    return others.unionByName(group)
 
 
 def sized_documents(documents: DataFrame) -> DataFrame:
@@ -152,15 +170,8 @@ def sized_documents(documents: DataFrame) -> DataFrame:
 def mix(documents: DataFrame) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` of every document."""
     sized = sized_documents(documents)
-    found = thresholds(sized)
-    rows = _joined(sized, found, found.count() <= _BROADCAST)
-    return rows.select(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        (F.col("size") * taken_times(F.col("hash"))).alias("taken"),
-    )
+    rows = with_times(sized, thresholds(sized))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def mixed_documents(documents: DataFrame) -> DataFrame:
@@ -172,5 +183,5 @@ def mixed_documents(documents: DataFrame) -> DataFrame:
         source_key(F.col("source")).alias("key"),
         stable_hash(F.col("doc_id"), F.col("text")).alias("hash"),
     )
-    times = _joined(rows, found, found.count() <= _BROADCAST).select("row", taken_times(F.col("hash")).alias("times"))
-    return times.filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+    times = with_times(rows, found).filter("times > 0")
+    return times.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -199,13 +199,15 @@ _MIX_SQL = f"""
     placed AS (
         SELECT doc_id, size, source_size, target, floor(target / nullif(source_size, 0)) AS passes,
             CAST(sum(size) OVER (PARTITION BY docs.source ORDER BY hash RANGE UNBOUNDED PRECEDING) AS BIGINT) AS up_to,
-            CAST(sum(size) OVER (PARTITION BY docs.source, hash) AS BIGINT) AS same
+            CAST(sum(size) OVER (PARTITION BY docs.source, hash) AS BIGINT) AS same,
+            count(*) OVER (PARTITION BY docs.source, hash) AS n,
+            row_number() OVER (PARTITION BY docs.source, hash) AS nth
         FROM docs JOIN targets ON docs.source IS NOT DISTINCT FROM targets.source
     )
     SELECT doc_id, size, source_size, target, CAST(size * (coalesce(passes, 0) + CASE
             WHEN up_to <= target - passes * source_size THEN 1
             WHEN up_to - same <= target - passes * source_size
-                AND same <= 2 * (target - passes * source_size - (up_to - same)) THEN 1
+                AND nth <= floor((2 * (target - passes * source_size - (up_to - same)) * n + same) / (2.0 * same)) THEN 1
             ELSE 0 END) AS BIGINT) AS taken
     FROM placed"""
 
