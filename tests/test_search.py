@@ -189,6 +189,22 @@ def test_few_texts_are_looked_up_by_id(spark, micro_index, ask, tmp_path):
     assert "text_bin" in scan.split("PartitionFilters:")[1].split("]")[0]
 
 
+def test_many_results_are_not_sorted_in_one_task(monkeypatch, micro_index, micro_texts, ask, tmp_path):
+    """However few texts many requests share."""
+    from wordloom.operators import results
+    from wordloom.sources import corpus
+
+    store = corpus.write_texts(micro_texts, str(tmp_path / "store"), 3)
+    settled_rows = results.settled_rows
+    requests = ask(*["green energy", "the market"] * 4)
+    expected = search(micro_index, requests, method="any_position", texts=store).collect()
+    for rows, one_task in ((10_000, True), (2, False)):
+        monkeypatch.setattr(results, "settled_rows", lambda frame, rows=rows: settled_rows(frame, rows))
+        found = search(micro_index, requests, method="any_position", texts=store)
+        assert ("Coalesce 1" in found._jdf.queryExecution().executedPlan().toString()) == one_task
+        assert found.collect() == expected
+
+
 def test_many_literals_are_pushed_one_by_one(micro_index):
     from wordloom.plans.matching import Pruning
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions.hashing import text_bin
-from wordloom.session import BROADCAST_ROWS, LITERALS, is_one_of, settled, union_all
+from wordloom.session import BROADCAST_ROWS, LITERALS, is_one_of, settled_rows, union_all
 from wordloom.sources.corpus import TextStore
 
 
@@ -46,7 +46,7 @@ def attach_texts(results: DataFrame, store: TextStore) -> DataFrame:
 
     A result without a text keeps its row.  The results are computed once.
     """
-    results = settled(results)
+    results, few_rows = settled_rows(results)
     columns = [name for name in store.texts.columns if name not in ("text_id", "text", "text_bin")]
     head = [name for name in ("query_id", "result_number") if name in results.columns]
     order = head or [F.col("bm25_score").desc_nulls_last(), F.col("text_id")]
@@ -54,5 +54,5 @@ def attach_texts(results: DataFrame, store: TextStore) -> DataFrame:
     shown = results.join(texts.drop("text_bin"), "text_id", "left").select(
         *head, "bm25_score", "matching_words", "text_id", *columns, "text"
     )
-    # A few hundred rows need no sample to be put in order.
-    return shown.coalesce(1).sortWithinPartitions(*order) if few else shown.orderBy(*order)
+    # A few texts for a few rows, though many requests may share them, need no sample to be put in order.
+    return shown.coalesce(1).sortWithinPartitions(*order) if few and few_rows else shown.orderBy(*order)

@@ -53,12 +53,17 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def settled(frame: DataFrame, rows: int = LOCAL_ROWS) -> DataFrame:
-    """The frame computed once: up to ``rows`` rows become part of the plan, more are ``durable``."""
+def settled_rows(frame: DataFrame, rows: int = LOCAL_ROWS) -> tuple[DataFrame, bool]:
+    """The frame computed once, and whether it is part of the plan: up to ``rows`` rows are, more are ``durable``."""
     table = frame.limit(rows + 1).toArrow()
     if table.num_rows > rows:
-        return durable(frame)
-    return frame.sparkSession.createDataFrame(table, frame.schema)
+        return durable(frame), False
+    return frame.sparkSession.createDataFrame(table, frame.schema), True
+
+
+def settled(frame: DataFrame, rows: int = LOCAL_ROWS) -> DataFrame:
+    """The frame computed once: up to ``rows`` rows become part of the plan, more are ``durable``."""
+    return settled_rows(frame, rows)[0]
 
 
 def spread(frame: DataFrame, column: str) -> DataFrame:
