@@ -15,7 +15,7 @@ from wordloom.session import written
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 # Rows sent to Python at once hold about so many bytes.
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 8 << 20
 
 
 def words_of(text: bytes | None) -> list[bytes]:
