@@ -341,26 +341,21 @@ def _grouped(rows: DataFrame, groups: DataFrame, node: str, component: str) -> D
     return rows.join(own, node, "left").withColumn(component, F.coalesce(component, node))
 
 
-def _block_pairs(left: DataFrame, bucket: DataFrame, drawn: DataFrame, least: float, tries: int | None) -> DataFrame:
-    """``pivot, node`` from big buckets: each text of ``left`` with texts of other components it can be similar to.
+def _block_pairs(bucket: DataFrame, least: float, tries: int | None) -> DataFrame:
+    """``pivot, node`` from big buckets: each open text with texts of other components it can be similar to.
 
-    Both have ``key, node, size, component``, ``bucket`` also ``open``: whether the text is in ``left`` too.
-    A pair is made in the first of the bands that it shares, and by one of its texts if both are in ``left``.
+    ``bucket`` has ``key, node, size, component, sketch, bands, open``.
+    A pair is made in the first of the bands that it shares, and by one of its texts if both are open.
     At most ``tries`` texts of a component and block, the likeliest first, or all.
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     every = F.explode(F.sequence(F.lit(0), blocks - 1))
-    ones = left.join(drawn, "node").select(
-        "key", "node", "component", "sketch", "bands", own.alias("one"), every.alias("two")
-    )
-    # Only blocks in which a text is left are met.
+    left = bucket.filter("open")
+    ones = left.select("key", "node", "component", "sketch", "bands", own.alias("one"), every.alias("two"))
+    # Only blocks in which a text is open are met.
     met = left.select("key", own.alias("one")).distinct()
-    twos = (
-        bucket.join(drawn, "node")
-        .select("key", "node", "component", "sketch", "bands", "open", own.alias("two"))
-        .join(met, "key")
-    )
+    twos = bucket.select("key", "node", "component", "sketch", "bands", "open", own.alias("two")).join(met, "key")
     # Both come from the same tables: their columns need names of their own.
     twos = twos.select(*[F.col(name).alias(f"its_{name}") for name in twos.columns])
 
@@ -430,7 +425,7 @@ def near_duplicates(documents: DataFrame, least: float = SIMILARITY) -> DataFram
         F.collect_list(F.struct("key", "size")).alias("held"), F.sum("size").alias("central")
     )
     bucket = written(held.select("node", "central", F.inline("held")).select("key", "node", "size", "central"), "buckets")
-    drawn, drawn_bands = nodes.select("node", "sketch"), nodes.select("node", "sketch", "bands")
+    drawn = nodes.select("node", "sketch")
     texts = _texts_of(
         nodes.select("node", "rep").join(bucket.select("node").distinct(), "node", "left_semi"), documents
     )
@@ -460,11 +455,11 @@ def near_duplicates(documents: DataFrame, least: float = SIMILARITY) -> DataFram
         left.select("key", "node", F.lit(True).alias("open")), ["key", "node"], "left"
     )
     members = members.withColumn("open", F.coalesce("open", F.lit(False)))
+    if big:
+        members = written(members.join(nodes.select("node", "sketch", "bands"), "node"), "members")
     for tries in (TRIES, None):
         if big:
-            ones = _grouped(left, groups, "node", "component")
-            twos = _grouped(members, groups, "node", "component")
-            near = _unordered(_block_pairs(ones, twos, drawn_bands, least, tries))
+            near = _unordered(_block_pairs(_grouped(members, groups, "node", "component"), least, tries))
             pairs = pairs.unionByName(near).distinct() if tries else near
         pairs = written(pairs.join(tried, ["pivot", "node"], "left_anti"), "pairs")
         more = _linked(pairs, texts, drawn if tries else None, idf, least)
