@@ -61,7 +61,7 @@ def assign_text_ids(
 ) -> DataFrame:
     """Consecutive ids in the order of ``order_by``, NULLs first; a rerun numbers alike.
 
-    Any rows can be numbered: those that share a key follow each other by their other columns, and exact
+    Any rows can be numbered: those that share a key follow each other by a hash of their other columns, and exact
     copies have an id each.  ``max_texts`` keeps the first so many of the whole corpus.
     """
     ids = numbered(corpus, order_by, "text_id", start)
