@@ -1,6 +1,7 @@
 """Results next to brute force, held-out accuracy, and hand-made cases."""
 
 import collections
+import hashlib
 import itertools
 import random
 import re
@@ -240,6 +241,67 @@ def test_line_chunks_are_removed_after_their_first_place(spark):
         ]
 
 
+def lines_left(rows):
+    """(doc_id, text): text, chunks and lines removed, line by line."""
+    full = {
+        key: [(i, line) for i, line in enumerate(key[1].split("\n")) if line.strip(" \t\r")]
+        for key in rows
+        if key[1] is not None
+    }
+    found, seen = {}, set()
+    for key in sorted(full, key=lambda k: (k[0] is not None, k[0] or 0, hashlib.md5(k[1].encode()).hexdigest())):
+        gone, chunks, end = set(), 0, None
+        for (place, line), (till, following) in itertools.pairwise(full[key]):
+            if (line, following) in seen:
+                gone |= set(range(place, till + 1))
+                chunks += place != end
+                end = till
+            seen.add((line, following))
+        lines = key[1].split("\n")
+        found[key] = ("\n".join(line for i, line in enumerate(lines) if i not in gone), chunks, len(gone))
+    return found
+
+
+def texts_with_passages(size):
+    random.seed(29 + size)
+    rows = []
+    for passage in range(6):
+        planted = [f"passage {passage} {random.random()}" for _ in range(size)]
+        for _ in range(random.randint(2, 5)):
+            before = [f"before {random.random()}" for _ in range(random.randint(0, 6))]
+            after = [f"after {random.random()}" for _ in range(random.randint(0, 6))]
+            rows.append((len(rows), "\n".join(before + planted + after)))
+    return rows
+
+
+def test_passages_of_two_to_ten_lines_are_removed_everywhere_but_once(spark):
+    rows = [(f"{size}", text) for size in range(2, 11) for _, text in texts_with_passages(size)]
+    rows = [(i, text) for i, (_, text) in enumerate(rows)]
+    kept = line_chunks.without_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    left = collections.Counter(line for row in kept for line in row.text.split("\n") if line)
+    assert left == collections.Counter({line for _, text in rows for line in text.split("\n")})
+
+
+@pytest.mark.parametrize("hashes, few, share", [("good", 100, 50_000), ("good", 0, 3), ("clashing", 100, 50_000)])
+def test_line_chunks_next_to_line_by_line(spark, monkeypatch, hashes, few, share):
+    """Also with hot hashes and with lines that share a hash although they differ."""
+    monkeypatch.setattr(line_chunks, "FEW", few)
+    monkeypatch.setattr(line_chunks, "HOT_SHARE", share)
+    if hashes == "clashing":
+        monkeypatch.setattr(line_chunks, "_hash_of", lambda line: F.xxhash64(F.substring(line, 1, 1)))
+    random.seed(31)
+    lines = [f"{letter}{i}" for letter in "abcd" for i in range(6)] + ["", "", " ", "\t\r"]
+    rows = [(i, "\n".join(random.choices(lines, k=random.randint(0, 12)))) for i in range(150)]
+    rows += [(None, "a1\n\nb2\nc3"), (None, "a1\nb2"), (3, None), (4, ""), (None, None)] + [(7, "x\ny\nz")] * 5
+    rows += [(8, "x\ny\nz"), (9, "x\nx\nx\nx"), (10, "q\n" * 3000)]
+    wanted = lines_left(rows)
+    found = line_chunks.without_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string"))
+    seen = collections.Counter((r.doc_id, r.text, r.removed_chunks, r.removed_lines) for r in found.collect())
+    assert seen == collections.Counter(
+        (key[0], *wanted[key]) if key[1] is not None else (key[0], None, 0, 0) for key in rows
+    )
+
+
 # Near copies
 
 

@@ -1,14 +1,20 @@
 """Line dedup by content-defined chunks of lines.
 
-A line is hashed; a rolling hash over the last two line hashes closes a chunk wherever it is divisible by
-``DIVISOR``.  Boundaries depend on nothing but the lines around them, so a passage is cut alike wherever it
-stands.  A chunk of two or more lines that occurs more than once in all documents is removed from all places
-but its first (smallest id, then text hash, then place in the document).  Hashes only nominate chunks: these
-are removed after their bytes were compared.
-
-A null text has no lines and stays null; a text without repeated chunks stays as it is.  Documents that are
-equal keep one copy of their chunks between them; rows with the same id and text are one document and lose
-the same chunks.  A null id comes first.
+A hash rolls over the hashes of every two lines in a row, blank lines left out.  Where it occurs at one place
+only in all documents, nothing repeats, and a chunk ends between the two lines; where it occurs elsewhere too,
+they belong to one chunk.  Boundaries so depend on nothing but the two lines beside them, and a passage of two
+or more lines is cut alike wherever it stands, with its first and last line.  Every two lines of a chunk that
+stand at an earlier place too (smaller id, then text hash, then place in the document) are removed, with the
+blank lines between them.  So of a passage the first place stays, unless it is itself part of an earlier one;
+every removed line is left somewhere.
+
+Hashes only nominate lines: the bytes of all that share a hash are compared, and where they differ, places are
+ordered anew by bytes.
+
+A null text has no lines and stays null; a text without repeated lines stays as it is; a single repeated line
+stays.  Documents that are equal keep one copy of their repeated lines between them; rows with the same id and
+text are one document and lose the same lines.  Of lines repeated in a row, the first stays.  A null id comes
+first.  Blank are lines of spaces, tabs and carriage returns.
 """
 
 from __future__ import annotations
@@ -18,138 +24,165 @@ from pyspark.sql import functions as F
 
 from wordloom.session import written
 
-DIVISOR = 4
-LEAST_LINES = 2
-# Fixed values of the rolling hash; a line's hash is the first 8 hexadecimal digits of its md5.
-DIGITS = 8
-BASE = 1_000_003
-MODULUS = 2**31 - 1
+# Hashes at more than a HOT_SHARE-th of all places, and FEW, are broadcast: fewer than HOT_SHARE of some 100 bytes.
+HOT_SHARE = 50_000
+FEW = 100
+BLANK = " \t\r"
 
 
-def _line_hashes(lines: Column) -> Column:
-    return F.transform(
-        lines, lambda line: F.conv(F.substring(F.md5(line), 1, DIGITS), 16, 10).cast("long") % MODULUS
-    )
+def _hash_of(line: Column) -> Column:
+    return F.xxhash64(line)
 
 
-def _ends(hashes: Column) -> Column:
-    """Places of the last lines of chunks."""
-    places = F.sequence(F.lit(0), F.size(hashes) - 1)
+def _full_lines(lines: Column) -> Column:
+    """``array<struct<place, hash>>`` of the lines that are not blank."""
+    numbered = F.transform(
+        lines,
+        lambda line, place: F.struct(
+            place.alias("place"), F.when(F.trim(line, F.lit(BLANK)) != "", _hash_of(line)).alias("hash")
+        ),
+    )
+    return F.filter(numbered, lambda line: line.hash.isNotNull())
+
+
+def _pairs(full: Column) -> Column:
+    """``array<struct<place, lines, hash>>`` of every two lines in a row: the first one's place, how many lines
+    they are with the blank ones between them, and the rolling hash."""
+    n = F.greatest(F.size(full) - 1, F.lit(0))
+    return F.zip_with(
+        F.slice(full, F.lit(1), n),
+        F.slice(full, F.lit(2), n),
+        lambda one, two: F.struct(
+            one.place.alias("place"),
+            (two.place - one.place + 1).alias("lines"),
+            F.xxhash64(one.hash, two.hash).alias("hash"),
+        ),
+    )
 
-    def closes(place: Column) -> Column:
-        before = F.coalesce(F.get(hashes, place - 1), F.lit(0).cast("long"))
-        rolled = (before * BASE + F.get(hashes, place)) % MODULUS
-        return (rolled % DIVISOR == 0) | (place == F.size(hashes) - 1)
 
-    return F.when(F.size(hashes) > 0, F.filter(places, closes)).otherwise(F.array().cast("array<int>"))
+def _node() -> Column:
+    return F.coalesce(F.md5("text"), F.lit("")).alias("node")
 
 
-def _spans(ends: Column) -> Column:
-    """``array<struct<place, lines>>``: first line and number of lines of every chunk."""
+def _places(documents: DataFrame) -> DataFrame:
+    """``doc_id, node, place, lines, hash`` of every two lines in a row; ``node`` is the md5 of the text."""
+    # One step at a time, so that no expression is computed again for each of its uses.
+    full = documents.filter("text IS NOT NULL").select(
+        "doc_id", _node(), _full_lines(F.split("text", "\n")).alias("full")
+    )
+    return full.select("doc_id", "node", F.inline(_pairs(F.col("full"))))
 
-    def span(end: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.get(ends, i - 1)).otherwise(F.lit(-1))
-        return F.struct((before + 1).alias("place"), (end - before).alias("lines"))
 
-    return F.transform(ends, span)
+def _here() -> Column:
+    return F.struct("doc_id", "node", "place")
 
 
-def _with_chunks(documents: DataFrame) -> DataFrame:
-    """``doc_id, node, lines, spans``; ``node`` is the md5 of the text."""
-    lines = F.coalesce(F.split("text", "\n"), F.array().cast("array<string>"))
-    # One step at a time, so that no expression is computed again for each of its uses.
-    return (
-        documents.select("doc_id", F.coalesce(F.md5("text"), F.lit("")).alias("node"), lines.alias("lines"))
-        .withColumn("ends", _ends_of_lines())
-        .select("doc_id", "node", "lines", _spans(F.col("ends")).alias("spans"))
+def _nominated(places: DataFrame) -> DataFrame:
+    """The places whose hash occurs at other places too, with ``again``: whether there is an earlier one."""
+    by_hash = written(
+        places.groupBy("hash")
+        .agg(F.min(_here()).alias("first"), F.max(_here()).alias("last"), F.count(F.lit(1)).alias("n"))
+        .filter(~F.col("first").eqNullSafe(F.col("last")))
+        .select("hash", "first", "n"),
+        "repeated_lines",
+    )
+    # Fewer than HOT_SHARE hashes can each have more than that share of all places.
+    share = places.count() // HOT_SHARE
+    hot = by_hash.filter(F.col("n") > share + FEW).drop("n")
+    others = by_hash.filter(F.col("n") <= share + FEW).drop("n")
+    hot_rows = places.join(F.broadcast(hot), "hash")
+    other_rows = places.join(F.broadcast(hot.select("hash")), "hash", "left_anti").join(others, "hash")
+    return hot_rows.unionByName(other_rows).select(
+        "doc_id", "node", "place", "lines", "hash", (~_here().eqNullSafe(F.col("first"))).alias("again")
     )
 
 
-def _ends_of_lines() -> Column:
-    # The hashes are the argument of one function application, hence computed once per text.
-    return F.aggregate(
-        F.array(_line_hashes(F.col("lines"))),
-        F.array().cast("array<int>"),
-        lambda _, hashes: _ends(hashes),
+def _by_document(nominated: DataFrame) -> DataFrame:
+    """``own_id, own_node, spans``: the nominated places of each document in order."""
+    return nominated.groupBy(F.col("doc_id").alias("own_id"), F.col("node").alias("own_node")).agg(
+        F.sort_array(F.collect_set(F.struct("place", "lines", "hash", "again"))).alias("spans")
     )
 
 
-def _chunk_text(lines: Column, span: Column) -> Column:
-    return F.array_join(F.slice(lines, span.place + 1, span.lines), "\n")
+def _same_document() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("node") == F.col("own_node"))
 
 
-def removed_chunks(documents: DataFrame) -> DataFrame:
-    """``doc_id, node, place, lines`` of every chunk to remove, as a table."""
-    chunked = _with_chunks(documents)
-    several = F.filter("spans", lambda span: span.lines >= LEAST_LINES)
-    named = F.transform(
-        several,
-        lambda span: F.struct(
+def _without_clashes(met: DataFrame) -> DataFrame:
+    """``met`` with ``again`` set by bytes where lines that differ share a hash."""
+
+    def with_bytes(span: Column) -> Column:
+        last = F.get("lines", span.place + span.lines - 1)
+        return F.struct(
             span.place.alias("place"),
-            span.lines.alias("lines"),
-            F.xxhash64(_chunk_text(F.col("lines"), span)).alias("hash"),
-        ),
-    )
-    rows = written(
-        chunked.select("doc_id", "node", F.inline(named)).distinct(),
-        "chunks",
-    )
-    repeated = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
-    nominated = rows.join(repeated, "hash", "left_semi")
-    wanted = nominated.groupBy("doc_id", "node").agg(
-        F.collect_set(F.struct("place", "lines")).alias("wanted")
-    )
-    # Bytes of nominated chunks only.
-    bytes_ = (
-        documents.select(
-            "doc_id", F.coalesce(F.md5("text"), F.lit("")).alias("node"), F.split("text", "\n").alias("all_lines")
+            span.hash.alias("hash"),
+            F.concat(F.get("lines", span.place), F.lit("\n"), last).alias("chunk"),
         )
-        .join(wanted.withColumnRenamed("doc_id", "own_id").withColumnRenamed("node", "own_node"),
-              F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("node") == F.col("own_node")))
-        .select("doc_id", "node", F.inline(
-            F.transform("wanted", lambda span: F.struct(
-                span.place.alias("place"), span.lines.alias("lines"), _chunk_text(F.col("all_lines"), span).alias("chunk")))
-        ))
-        .distinct()
-    )
-    found = written(bytes_, "chunk_bytes")
-    first = found.groupBy("chunk").agg(
-        F.min(F.struct("doc_id", "node", "place")).alias("first"), F.count(F.lit(1)).alias("n")
-    )
-    repeated = first.filter("n > 1").select("chunk", "first")
-    here = F.struct("doc_id", "node", "place")
-    return written(
-        found.join(repeated, "chunk").filter(~here.eqNullSafe(F.col("first"))).select("doc_id", "node", "place", "lines"),
-        "removed_chunks",
-    )
-
 
-def without_repeated_chunks(documents: DataFrame) -> DataFrame:
-    """``doc_id, text, n_lines, removed_chunks, removed_lines`` of every document."""
-    gone = (
-        removed_chunks(documents)
+    compared = met.filter("spans IS NOT NULL").select("doc_id", "node", F.inline(F.transform("spans", with_bytes)))
+    clashes = written(
+        compared.groupBy("hash")
+        .agg(F.min("chunk").alias("least"), F.max("chunk").alias("most"))
+        .filter("least <> most")
+        .select("hash"),
+        "clashing_lines",
+    )
+    if clashes.isEmpty():
+        return met
+    clashing = compared.join(clashes, "hash", "left_semi")
+    first = clashing.groupBy("chunk").agg(F.min(_here()).alias("first"))
+    changed = (
+        clashing.join(first, "chunk")
         .groupBy(F.col("doc_id").alias("own_id"), F.col("node").alias("own_node"))
         .agg(
-            F.collect_list(F.struct("place", "lines")).alias("gone"),
-            F.count(F.lit(1)).alias("removed_chunks"),
-            F.sum("lines").alias("removed_lines"),
+            F.collect_set("place").alias("clashing"),
+            F.collect_set(F.when(~_here().eqNullSafe(F.col("first")), F.col("place"))).alias("later"),
         )
     )
-    keyed = documents.select("doc_id", "text", F.coalesce(F.md5("text"), F.lit("")).alias("node"))
-    joined = keyed.join(
-        gone, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("node") == F.col("own_node")), "left"
+    return met.join(changed, _same_document(), "left").select(
+        "doc_id", "node", "text", "lines",
+        F.when(
+            F.col("clashing").isNotNull(),
+            F.transform(
+                "spans",
+                lambda span: span.withField(
+                    "again",
+                    F.when(F.array_contains("clashing", span.place), F.array_contains("later", span.place))
+                    .otherwise(span.again),
+                ),
+            ),
+        ).otherwise(F.col("spans")).alias("spans"),
     )
-    lines = F.split("text", "\n")
-    places = F.flatten(
-        F.transform("gone", lambda span: F.sequence(span.place, span.place + span.lines - 1))
+
+
+def without_repeated_chunks(documents: DataFrame) -> DataFrame:
+    """``doc_id, text, n_lines, removed_chunks, removed_lines`` of every document.
+
+    A removed chunk is a run of removed lines of which every two in a row stand at an earlier place.
+    """
+    wanted = written(_by_document(_nominated(written(_places(documents), "line_pairs"))), "line_places")
+    # Whole texts meet their places once; what follows reads this table.
+    met = written(
+        documents.select("doc_id", "text", _node()).join(wanted, _same_document(), "left")
+        .select("doc_id", "node", "text", "spans"),
+        "texts_with_places",
+    ).withColumn("lines", F.split("text", "\n"))
+    gone = F.filter("spans", lambda span: span.again)
+    found = _without_clashes(met).withColumn("gone", F.when(F.exists("spans", lambda span: span.again), gone))
+    places = F.array_distinct(
+        F.flatten(F.transform("gone", lambda span: F.sequence(span.place, span.place + span.lines - 1)))
     )
+    # Two lines go on with a chunk if they begin where the two before them end.
+    ends = F.transform("gone", lambda span: span.place + span.lines - 1)
+    starts = F.transform("gone", lambda span: span.place)
+    found = found.withColumns({"places": places, "begins": F.size(F.array_except(starts, ends))})
     # Places that stay are a difference of two sets of numbers; lines are picked by them.
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places)
-    left = F.array_join(F.transform(stay, lambda place: F.get(lines, place)), "\n")
-    return joined.select(
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("places"))
+    left = F.array_join(F.transform(stay, lambda place: F.get("lines", place)), "\n")
+    return found.select(
         "doc_id",
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"),
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce("removed_chunks", F.lit(0)).cast("long").alias("removed_chunks"),
-        F.coalesce("removed_lines", F.lit(0)).cast("long").alias("removed_lines"),
+        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.col("begins")).cast("long").alias("removed_chunks"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("places")).cast("long").alias("removed_lines"),
     )

@@ -211,45 +211,38 @@ _MIX_SQL = f"""
             ELSE 0 END) AS BIGINT) AS taken
     FROM placed"""
 
-_CHUNKS_SQL = f"""
+_CHUNKS_SQL = """
     WITH docs AS (
         SELECT doc_id, text, coalesce(md5(text), '') AS node, string_split(text, chr(10)) AS lines FROM documents
     ),
     different AS (SELECT DISTINCT doc_id, node, lines FROM docs WHERE text IS NOT NULL),
-    flat AS (
-        SELECT doc_id, node, unnest(lines) AS line, unnest(range(len(lines))) AS place, len(lines) AS n FROM different
-    ),
-    hashed AS (
-        SELECT *, CAST('0x' || substr(md5(line), 1, {line_chunks.DIGITS}) AS BIGINT) % {line_chunks.MODULUS} AS hash
-        FROM flat
-    ),
-    rolled AS (
-        SELECT *, ((coalesce(lag(hash) OVER document, 0) * {line_chunks.BASE} + hash) % {line_chunks.MODULUS})
-            % {line_chunks.DIVISOR} = 0 AS ends
-        FROM hashed WINDOW document AS (PARTITION BY doc_id, node ORDER BY place)
-    ),
-    numbered AS (
-        SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id, node ORDER BY place
-            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk
-        FROM rolled
-    ),
-    chunks AS (
-        SELECT doc_id, node, chunk, min(place) AS place, count(*) AS size,
-            string_agg(line, chr(10) ORDER BY place) AS bytes
-        FROM numbered GROUP BY doc_id, node, chunk HAVING count(*) >= {line_chunks.LEAST_LINES}
+    flat AS (SELECT doc_id, node, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM different),
+    pairs AS (
+        SELECT doc_id, node, place, lead(place) OVER document AS till,
+            line || chr(10) || lead(line) OVER document AS bytes
+        FROM flat WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''
+        WINDOW document AS (PARTITION BY doc_id, node ORDER BY place)
     ),
     ranked AS (
         SELECT *, row_number() OVER (PARTITION BY bytes ORDER BY doc_id NULLS FIRST, node, place) AS occurrence
-        FROM chunks
+        FROM pairs WHERE till IS NOT NULL
+    ),
+    gone AS (
+        SELECT *, lag(till) OVER (PARTITION BY doc_id, node ORDER BY place) IS NOT DISTINCT FROM place AS goes_on
+        FROM ranked WHERE occurrence > 1
     ),
-    gone AS (SELECT doc_id, node, chunk, size FROM ranked WHERE occurrence > 1),
+    gone_lines AS (SELECT DISTINCT doc_id, node, unnest(range(place, till + 1)) AS place FROM gone),
     sums AS (
-        SELECT doc_id, node, count(*) AS removed_chunks, CAST(sum(size) AS BIGINT) AS removed_lines
-        FROM gone GROUP BY doc_id, node
+        SELECT * FROM (SELECT doc_id, node, count(*) FILTER (NOT goes_on) AS removed_chunks FROM gone
+            GROUP BY doc_id, node) chunks
+        JOIN (SELECT doc_id AS own_id, node AS own_node, count(*) AS removed_lines FROM gone_lines
+            GROUP BY doc_id, node) ON doc_id IS NOT DISTINCT FROM own_id AND node = own_node
     ),
     kept AS (
-        SELECT doc_id, node, string_agg(line, chr(10) ORDER BY place) AS text
-        FROM numbered ANTI JOIN gone USING (doc_id, node, chunk) GROUP BY doc_id, node
+        SELECT flat.doc_id, flat.node, string_agg(line, chr(10) ORDER BY flat.place) AS text
+        FROM flat LEFT JOIN gone_lines g
+            ON flat.doc_id IS NOT DISTINCT FROM g.doc_id AND flat.node = g.node AND flat.place = g.place
+        WHERE g.node IS NULL GROUP BY flat.doc_id, flat.node
     )
     SELECT docs.doc_id, CASE WHEN removed_chunks IS NULL THEN docs.text ELSE coalesce(kept.text, '') END AS text,
         CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, coalesce(removed_chunks, 0) AS removed_chunks,
