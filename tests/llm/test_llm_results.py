@@ -494,6 +494,35 @@ def test_best_fit_by_scanning_all_bins():
             bins[i] -= size
             expected.append(i)
         assert sharding.pack(sizes, capacity) == expected
+        runs = sorted(collections.Counter(sizes).items(), reverse=True)
+        in_runs = sharding.pack_runs(runs, capacity)
+        assert [bin_ for _, bin_, n in in_runs for _ in range(n)] == expected
+        assert [runs[run][0] for run, _, n in in_runs for _ in range(n)] == sizes
+
+
+@pytest.mark.parametrize("bits, fine", [(16, 1_000), (3, 1_000), (16, 2)])
+def test_every_group_is_packed_by_its_size(spark, monkeypatch, bits, fine):
+    """All groups are far smaller than a shard; the result is the packing of them all, one after another."""
+    monkeypatch.setattr(sharding, "SIZE_BITS", bits)
+    monkeypatch.setattr(sharding, "FINE", fine)
+    random.seed(37)
+    texts = [f"{i} " + "x" * random.randint(0, 60) for i in range(900)]
+    texts += random.choices(texts, k=300)
+    rows = sharding.shard_documents(frame(spark, texts), 5).collect()
+    sizes = collections.Counter()
+    shard_of = {}
+    for row in rows:
+        sizes[texts[row.doc_id]] += row["size"]
+        assert shard_of.setdefault(texts[row.doc_id], row.shard) == row.shard
+
+    def rounded(size):
+        unit = 2 ** max(size.bit_length() - bits, 0)
+        return -(-size // unit) * unit
+
+    ordered = sorted(sizes, key=lambda text: (-rounded(sizes[text]), hashlib.md5(text.encode()).digest()))
+    runs = [(rounded(sizes[text]), 1) for text in ordered]
+    expected = [shard for _, shard, _ in sharding.pack_into(runs, 5)]
+    assert [shard_of[text] for text in ordered] == expected
 
 
 def test_shards_are_near_equal_and_keep_groups(spark, documents):

@@ -5,26 +5,30 @@ bin with the least remaining capacity that still holds it; a balanced tree of re
 bin.  ``pack`` uses as few bins of a fixed capacity as it can; for a fixed number of shards the smallest
 capacity is taken that needs no more of them.
 
-Groups below a thousandth of a shard are gathered in bundles by hash first, so that what the driver packs is
-bounded by the number of shards and not by the corpus.  A group larger than a shard cannot stay together: it
-is cut into pieces of a shard each.  Null texts are equal to each other and have no bytes.  Repeated rows share
-a group and have slots of their own.
+Groups of a size are packed as a run: the bin that holds one is the tightest for the next too, as long as that
+fits, so a run costs a step for each bin it enters.  What the driver packs is bounded by the number of
+different sizes and not by the corpus; sizes of more than ``SIZE_BITS`` bits count as if rounded up to so many.
+A group larger than a shard cannot stay together: it is cut into pieces of a shard each.  Null texts are equal
+to each other and have no bytes.  Repeated rows share a group and have slots of their own.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import itertools
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.operators.numbering import numbered
 from wordloom.session import written
 
 SHARDS = 24
-# A group of at least capacity / FINE bytes is packed by itself, and as many bundles are made per shard.
+# Groups of at least capacity / FINE bytes, at most FINE per shard, meet their rows by broadcast.
 FINE = 1_000
+# Sizes are exact below 2^16; there are at most 2^16 below that, and 2^15 from each power of two to the next.
+SIZE_BITS = 16
 ROW_BYTES = 8
 
 
@@ -108,43 +112,62 @@ class CapacityTree:
         return self._level(node)
 
 
-def pack(sizes: list[int], capacity: int) -> list[int]:
-    """The bin of each item; items must come by falling size.  One beyond the capacity has a bin to itself."""
+def pack_runs(runs: list[tuple[int, int]], capacity: int) -> list[tuple[int, int, int]]:
+    """Runs of items, (size, count) by falling size, as (number of the run, bin, count) in the order of packing."""
     tree, bins, found = CapacityTree(), 0, []
-    for size in sizes:
-        bin_ = tree.take_tightest(size)
-        if bin_ is None:
-            bin_ = (max(capacity, size), bins)
-            bins += 1
-        tree.add(bin_[0] - size, bin_[1])
-        found.append(bin_[1])
+    for run, (size, count) in enumerate(runs):
+        while count:
+            bin_ = tree.take_tightest(size)
+            if bin_ is None:
+                bin_ = (max(capacity, size), bins)
+                bins += 1
+            entering = min(count, bin_[0] // size)
+            tree.add(bin_[0] - entering * size, bin_[1])
+            found.append((run, bin_[1], entering))
+            count -= entering
     return found
 
 
-def pack_into(sizes: list[int], shards: int) -> list[int]:
-    """Packing into at most ``shards`` bins with about the smallest capacity that allows it."""
-    if not sizes:
+def pack(sizes: list[int], capacity: int) -> list[int]:
+    """The bin of each item; items must come by falling size.  One beyond the capacity has a bin to itself."""
+    return [bin_ for _, bin_, _ in pack_runs([(size, 1) for size in sizes], capacity)]
+
+
+def pack_into(runs: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int]]:
+    """``pack_runs`` into at most ``shards`` bins with about the smallest capacity that allows it."""
+    if not runs:
         return []
-    low = max(-(-sum(sizes) // shards), sizes[0])
-    found = pack(sizes, low)
-    if max(found) < shards:
+
+    def fits(found: list[tuple[int, int, int]]) -> bool:
+        return all(bin_ < shards for _, bin_, _ in found)
+
+    low = max(-(-sum(size * count for size, count in runs) // shards), runs[0][0])
+    found = pack_runs(runs, low)
+    if fits(found):
         return found
     # Twice the mean always suffices for what fits into it: two bins less than half full would be one.
     high, best = low, found
     step = max(low // 1_000, 1)
-    while max(best) >= shards:
+    while not fits(best):
         low, high = high, high + step
-        best, step = pack(sizes, high), step * 2
+        best, step = pack_runs(runs, high), step * 2
     while high - low > max(high // 20_000, 1):
         middle = (low + high) // 2
-        found = pack(sizes, middle)
-        if max(found) < shards:
+        found = pack_runs(runs, middle)
+        if fits(found):
             high, best = middle, found
         else:
             low = middle
     return best
 
 
+def _rounded(size: Column) -> Column:
+    """The size, rounded up to ``SIZE_BITS`` significant bits."""
+    over = F.greatest(F.length(F.bin(size)) - SIZE_BITS, F.lit(0))
+    unit = F.pow(F.lit(2), over).cast("long")
+    return F.ceil(size / unit) * unit
+
+
 def assign_shards(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``rows`` (``group``, ``size``, ``doc_id``, and more) with ``shard`` and ``slot``.
 
@@ -157,62 +180,64 @@ def assign_shards(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
     total = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     capacity = max(-(-total // shards), 1)
-    large_from = max(capacity // FINE, 1)
-    bundles = shards * FINE
-    bundle = F.pmod(F.xxhash64("group"), F.lit(bundles)).cast("int")
-
-    # At most shards * FINE groups are large, as each has that part of all bytes.
-    large = groups.filter(F.col("bytes") >= large_from).collect()
-    small = (
-        groups.filter(F.col("bytes") < large_from)
-        .groupBy(bundle.alias("bundle"))
-        .agg(F.sum("bytes").alias("bytes"))
-        .collect()
+    # Fewer than ``shards`` groups are larger than one.
+    cut_groups = groups.filter(F.col("bytes") > capacity).collect()
+    whole_groups = groups.filter(F.col("bytes") <= capacity).select(
+        _rounded(F.col("bytes")).alias("run"), "group", (F.col("bytes") >= capacity // FINE).alias("large")
     )
-    items: list[tuple[int, str, object]] = [(row.bytes, "bundle", row.bundle) for row in small]
+    counts = whole_groups.groupBy("run").agg(F.count(F.lit(1)).alias("n")).orderBy("run").toArrow().to_pydict()
+
+    # (size, count, group, piece); a run of whole groups has no group.
+    runs: list[tuple[int, int, bytes, int]] = [(size, n, b"", 0) for size, n in zip(*counts.values(), strict=True)]
+    first_of = dict(zip(counts["run"], itertools.accumulate(counts["n"], initial=0), strict=False))
     pieces: dict[bytes, int] = {}
-    for row in large:
-        if row.bytes <= capacity:
-            items.append((row.bytes, "group", (bytes(row.group), 0)))
-            continue
+    for row in cut_groups:
         own = max(capacity // row.each, 1)
         pieces[bytes(row.group)] = own
         for piece in range(math.ceil(row.rows / own)):
             size = min(own, row.rows - piece * own) * row.each
-            items.append((size, "group", (bytes(row.group), piece)))
-    items.sort(key=lambda item: (-item[0], item[1], item[2]))
-    found = pack_into([item[0] for item in items], shards)
-    of_bundle = spark.createDataFrame(
-        [(name, shard) for (_, kind, name), shard in zip(items, found, strict=True) if kind == "bundle"],
-        "bundle int, bundle_shard int",
+            runs.append((size, 1, bytes(row.group), piece))
+    runs.sort(key=lambda run: (-run[0], *run[1:]))
+
+    # Groups are numbered by size; each step of the packing takes the next numbers of its run.
+    steps, of_piece = [], []
+    for number, shard, n in pack_into([run[:2] for run in runs], shards):
+        size, _, group, piece = runs[number]
+        if group:
+            of_piece.append((group, piece, shard))
+        else:
+            steps.append((size, first_of[size], first_of[size] + n, shard))
+            first_of[size] += n
+    of_run = spark.createDataFrame(steps, "run long, since long, till long, shard int")
+    # As small as what was packed.
+    placed_groups = written(
+        numbered(whole_groups, ["run", "group"], "number")
+        .join(F.broadcast(of_run), "run")
+        .filter("number >= since AND number < till")
+        .select("group", "shard", "large"),
+        "placed_groups",
     )
-    of_group = spark.createDataFrame(
-        [(*name, shard) for (_, kind, name), shard in zip(items, found, strict=True) if kind == "group"],
-        "group binary, piece int, group_shard int",
+    large = placed_groups.filter("large").select("group", "shard")
+    small = placed_groups.filter("NOT large").select("group", "shard")
+    cut = spark.createDataFrame(list(pieces.items()), "group binary, piece_rows long")
+    by_broadcast = large.select("group").unionByName(cut.select("group"))
+    # No group that is left for the shuffle has more than a thousandth of a shard.
+    placed = (
+        rows.join(F.broadcast(large), "group")
+        .unionByName(rows.join(F.broadcast(by_broadcast), "group", "left_anti").join(small, "group"))
+        .select(*rows.columns, "shard")
     )
-
-    whole = rows.withColumn("piece", F.lit(0))
     if pieces:
-        cut = spark.createDataFrame(list(pieces.items()), "group binary, piece_rows long")
-        hot = rows.join(F.broadcast(cut), "group")
-        counted = numbered(hot, ["group", "doc_id"], "number")
+        counted = numbered(rows.join(F.broadcast(cut), "group"), ["group", "doc_id"], "number")
         first = counted.groupBy("group").agg(F.min("number").alias("first"))
-        hot = counted.join(F.broadcast(first), "group").withColumn(
-            "piece", F.floor((F.col("number") - F.col("first")) / F.col("piece_rows")).cast("int")
+        piece = F.floor((F.col("number") - F.col("first")) / F.col("piece_rows")).cast("int")
+        of_piece = spark.createDataFrame(of_piece, "group binary, piece int, shard int")
+        placed = placed.unionByName(
+            counted.join(F.broadcast(first), "group")
+            .withColumn("piece", piece)
+            .join(F.broadcast(of_piece), ["group", "piece"])
+            .select(*rows.columns, "shard")
         )
-        whole = (
-            rows.join(F.broadcast(cut.select("group")), "group", "left_anti")
-            .withColumn("piece", F.lit(0))
-            .unionByName(hot.select(*rows.columns, "piece"))
-        )
-    # Both tables are as small as what was packed.
-    placed = (
-        whole.withColumn("bundle", bundle)
-        .join(F.broadcast(of_group), ["group", "piece"], "left")
-        .join(F.broadcast(of_bundle), "bundle", "left")
-        .withColumn("shard", F.coalesce("group_shard", "bundle_shard"))
-        .select(*rows.columns, "shard")
-    )
     ordered = numbered(placed, ["shard", "doc_id", "group"], "slot")
     first = ordered.groupBy("shard").agg(F.min("slot").alias("first"))
     return ordered.join(F.broadcast(first), "shard").select(
