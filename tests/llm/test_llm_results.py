@@ -546,6 +546,18 @@ def test_a_group_beyond_a_shard_is_cut(spark):
     assert len(sums) == 8 and max(sums.values()) <= 1.02 * min(sums.values())
 
 
+def test_null_texts_beyond_a_shard_are_cut(spark):
+    rows = [(i, None) for i in range(90)] + [(i, "") for i in range(90, 100)] + [(100, "some text")]
+    found = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert len(found) == 101
+    sums = collections.Counter()
+    for row in found:
+        sums[row.shard] += row["size"]
+    assert len(sums) == 4 and max(sums.values()) - min(sums.values()) <= 17
+    for shard in sums:
+        assert sorted(row.slot for row in found if row.shard == shard) == list(range(sum(row.shard == shard for row in found)))
+
+
 # Vectors
 
 

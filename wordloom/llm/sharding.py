@@ -187,8 +187,8 @@ def assign_shards(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
     counts = whole_groups.groupBy("run").agg(F.count(F.lit(1)).alias("n")).orderBy("run").toArrow().to_pydict()
 
-    # (size, count, group, piece); a run of whole groups has no group.
-    runs: list[tuple[int, int, bytes, int]] = [(size, n, b"", 0) for size, n in zip(*counts.values(), strict=True)]
+    # (size, count, piece, group); a run of whole groups has piece -1.
+    runs: list[tuple[int, int, int, bytes]] = [(size, n, -1, b"") for size, n in zip(*counts.values(), strict=True)]
     first_of = dict(zip(counts["run"], itertools.accumulate(counts["n"], initial=0), strict=False))
     pieces: dict[bytes, int] = {}
     for row in cut_groups:
@@ -196,14 +196,14 @@ def assign_shards(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
         pieces[bytes(row.group)] = own
         for piece in range(math.ceil(row.rows / own)):
             size = min(own, row.rows - piece * own) * row.each
-            runs.append((size, 1, bytes(row.group), piece))
+            runs.append((size, 1, piece, bytes(row.group)))
     runs.sort(key=lambda run: (-run[0], *run[1:]))
 
     # Groups are numbered by size; each step of the packing takes the next numbers of its run.
     steps, of_piece = [], []
     for number, shard, n in pack_into([run[:2] for run in runs], shards):
-        size, _, group, piece = runs[number]
-        if group:
+        size, _, piece, group = runs[number]
+        if piece >= 0:
             of_piece.append((group, piece, shard))
         else:
             steps.append((size, first_of[size], first_of[size] + n, shard))
