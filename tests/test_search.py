@@ -386,3 +386,58 @@ def test_repeated_requests_share_an_answer(monkeypatch, micro_index, ask, broadc
     assert [row.text_id for row in found] == 2 * [7, 1, 2] + [3, 8, 2, 6, 4] + [7, 1, 2]
     found = search(micro_index, ask(*texts), method="any_position").collect()
     assert [row.text_id for row in sorted(found) if row.query_id == 4] == [7, 1, 2]
+
+
+@pytest.fixture
+def many_blocks(monkeypatch):
+    """Requests all go to the texts, in blocks of very few words."""
+    import wordloom.plans.matching as matching
+
+    monkeypatch.setattr(matching, "DIRECT_POSTINGS", 0)
+    monkeypatch.setattr(matching, "TEXT_SHARE", 0)
+    monkeypatch.setattr(matching, "LOCAL_ROWS", 0)
+    monkeypatch.setattr(matching, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(matching, "TEXT_BLOCK", 1)
+    return matching
+
+
+@pytest.mark.parametrize("search_all, wanted", [(search_any_position, ANY), (search_phrase, PHRASE)])
+def test_the_driver_holds_one_block_of_requests(many_blocks, monkeypatch, micro_index, ask, search_all, wanted):
+    """Each block is answered and given up before the next is collected."""
+    import weakref
+
+    from wordloom.plans import by_text
+
+    seen, collect = [], by_text.Block.collect.__func__
+
+    class Seen(by_text.Block):
+        @classmethod
+        def collect(cls, words):
+            assert len([block for block in seen if block() is not None]) <= 1
+            block = collect(cls, words)
+            seen.append(weakref.ref(block))
+            return block
+
+    monkeypatch.setattr(many_blocks, "Block", Seen)
+    requests = ask(*wanted)
+    found = search_all(micro_index, requests)
+    assert len(seen) > 2
+    # What is left to do joins answers that are stored; no block is part of the plan.
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    assert answers(found, requests) == wanted
+
+
+def test_words_of_a_block_are_made_from_its_requests(many_blocks, micro_index, ask):
+    """However many blocks there are, the words of the batch are neither joined nor shuffled again for each."""
+    blocks = []
+
+    def find(block, terms):
+        blocks.append(terms._jdf.queryExecution().executedPlan().toString())
+        return block.phrases(micro_index.text_words, terms).selectExpr("query_id", "text_id", "0D AS bm25_score")
+
+    requests = ask(*["energy green", "Energy, green!", "green energy", "the market", "the energy market", "the the"])
+    plan = many_blocks.compile_requests(micro_index, requests, "require", fold=True, by_text=True)
+    many_blocks.text_matches(plan, find, 10)
+    assert len(blocks) > 2 and not any("Join" in text or "Exchange" in text for text in blocks)
+    assert plan.folded.different == 5
+    assert "Join" not in plan.terms._jdf.queryExecution().executedPlan().toString()
