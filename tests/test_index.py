@@ -514,3 +514,17 @@ def test_old_document_frequencies_go(spark, micro_texts, path):
     for _ in range(4):
         refresh_document_frequency(spark, path)
     assert sorted(os.listdir(f"{path}/hash_metadata")) == ["version=2", "version=3"]
+
+
+def test_postings_are_made_in_generated_code(spark, micro_texts):
+    """A posting's hash and positions are looked up row by row; a function inside an array is interpreted."""
+    postings_of_texts = indexing.postings_of_texts
+    by_text = indexing.words_by_text(micro_texts)
+    stored = spark.createDataFrame(by_text.collect(), by_text.schema)
+    plan = postings_of_texts(stored, 16)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan and "namedlambda" not in plan.lower()
+    rows = postings_of_texts(stored, 16)
+    assert rows.filter("bin = 0").count() == micro_texts.count()
+    empty = "hash IS NULL AND positions IS NULL AND term_frequency IS NULL"
+    assert rows.filter(f"(bin = 0) != ({empty})").count() == 0
+    assert rows.filter("bin > 0 AND size(positions) != term_frequency").count() == 0
