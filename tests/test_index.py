@@ -528,3 +528,20 @@ def test_postings_are_made_in_generated_code(spark, micro_texts):
     empty = "hash IS NULL AND positions IS NULL AND term_frequency IS NULL"
     assert rows.filter(f"(bin = 0) != ({empty})").count() == 0
     assert rows.filter("bin > 0 AND size(positions) != term_frequency").count() == 0
+
+
+def test_words_are_grouped_a_batch_at_a_time(spark):
+    """Not by sorting arrays of structs in each row; ids may repeat or be missing, texts too."""
+    long = " ".join(f"w{n % 97} é" for n in range(5000))
+    rows = [(1, "b a b"), (1, "a"), (None, "ß ẞ 12 b"), (4, None), (5, ""), (6, "a " * 300), (7, long)]
+    texts = spark.createDataFrame(rows, "text_id long, text string").repartition(2)
+    for hash_function in ("md5", "blake2b"):
+        by_text = indexing.words_by_text(texts, hash_function)
+        plan = by_text._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "sort_array" not in plan and "hashpartitioning" not in plan
+        columns = ["bin", "hash", "text_id", "positions", "term_frequency", "words_total"]
+        found = indexing.postings_of_texts(by_text, 7).filter("bin > 0").select(*columns)
+        expected = indexing.postings(texts, 7, hash_function).select(*columns)
+        assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect()))
+        counts = sorted((str(row.text_id), row.words_total) for row in by_text.collect())
+        assert counts == sorted((str(row.text_id), row.words_total) for row in indexing.word_counts(texts).collect())

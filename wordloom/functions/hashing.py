@@ -36,33 +36,6 @@ def _blake2b(word: Column) -> Column:
     return F.arrow_udf(digests_of, T.StringType())(word)
 
 
-def _blake2b_digests(words: Column) -> Column:
-    def digests_of(lists: pa.Array) -> pa.Array:
-        encoded = lists.flatten().dictionary_encode()
-        digests = [
-            hashlib.blake2b(word.encode(), digest_size=DIGEST_BYTES).digest()
-            for word in encoded.dictionary.to_pylist()
-        ]
-        order = encoded.indices.to_pylist()
-        found, begin = [], 0
-        for size in lists.value_lengths().to_pylist():
-            size = size or 0
-            found.append(b"".join([digests[i] for i in order[begin : begin + size]]))
-            begin += size
-        return pa.array(found, pa.binary())
-
-    return F.arrow_udf(digests_of, T.BinaryType())(words)
-
-
-def word_digests(words: Column, hash_function: str = "md5") -> Column:
-    """Digests of a list of words one after the other, ``DIGEST_BYTES`` each."""
-    if hash_function == "md5":
-        return F.unhex(F.array_join(F.transform(words, F.md5), ""))
-    if hash_function == "blake2b":
-        return _blake2b_digests(words)
-    raise ValueError(f"unknown hash function {hash_function!r}, choose one of {HASH_FUNCTIONS}")
-
-
 def digest_at(digests: Column, place: Column) -> Column:
     """The digest at a place, from 0, as hexadecimal digits."""
     return F.lower(F.hex(F.substring(digests, place * DIGEST_BYTES + 1, F.lit(DIGEST_BYTES))))

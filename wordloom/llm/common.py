@@ -5,31 +5,21 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wordloom.session import written
+from wordloom.session import arrow_bounded, written  # noqa: F401
 
 # A word over UTF-8 bytes, once A-Z are in lower case: digits, letters a-z, and all beyond ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
-# Rows sent to Python at once hold about so many bytes.
-ARROW_BYTES = 8 << 20
-
 
 def words_of(text: bytes | None) -> list[bytes]:
     """Words of a text given as UTF-8; ``bytes.lower`` changes A-Z only."""
     return WORD.findall(text.lower()) if text else []
 
 
-def arrow_bounded(spark: SparkSession) -> None:
-    """Bound Arrow batches by size, as texts may be very long; a setting of the session's own stays."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, None) in (None, str(2**31 - 1)):
-        spark.conf.set(key, str(ARROW_BYTES))
-
-
 def held_out(doc_id: Column | str) -> Column:
     """Rows never learned from: crc32 of the id as text, modulo 4, is 2.  A null id counts as empty text."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -7,9 +7,10 @@ import dataclasses
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.functions.hashing import JVM_HASHES, digest_at, hash_bin, word_digests, word_hash
+from wordloom.functions.hashing import JVM_HASHES, digest_at, hash_bin, word_hash
 from wordloom.functions.postings import run_starts, runs, words_with_positions
 from wordloom.functions.text import with_tokens
+from wordloom.operators.grouping import grouped_words
 from wordloom.session import BROADCAST_ROWS, written
 
 DEFAULT_BINS = 16
@@ -122,14 +123,7 @@ def words_by_text(texts: DataFrame, hash_function: str = "md5") -> DataFrame:
     ``hashes`` holds the digests of its words one after the other, ``frequencies`` how often each occurs and
     ``positions`` where, in the same order.
     """
-    found = _grouped_words(texts).select("text_id", "words_total", runs("ordered", "starts").alias("runs"))
-    return found.select(
-        "text_id",
-        "words_total",
-        word_digests(F.transform("runs", lambda run: run.word), hash_function).alias("hashes"),
-        F.transform("runs", lambda run: F.size(run.positions)).alias("frequencies"),
-        F.transform("runs", lambda run: run.positions).alias("positions"),
-    )
+    return grouped_words(with_tokens(texts).select("text_id", "tokens"), hash_function)
 
 
 def postings_of_texts(by_text: DataFrame, bins: int) -> DataFrame:

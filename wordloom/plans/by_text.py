@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.hashing import DIGEST_BYTES
 from wordloom.functions.ranking import SCORE_DIGITS
+from wordloom.operators.grouping import ranges
 
 # What runs in tasks travels by value, so that executors need no copy of this module.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -38,13 +39,6 @@ def _digests(hashes: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(hashes.to_pylist()), _DIGEST)
 
 
-def _ranges(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """All numbers of some ranges, one range after the other."""
-    sizes = ends - begins
-    before = np.cumsum(sizes) - sizes
-    return np.repeat(begins - before, sizes) + np.arange(sizes.sum())
-
-
 @dataclasses.dataclass(frozen=True)
 class Requests:
     """A block of requests by place: request ``i`` has ``words[begins[i]:begins[i + 1]]``, numbers of ``digests``.
@@ -90,7 +84,7 @@ class _Grouped:
         held = np.flatnonzero(self.keys[at] == keys)
         at = at[held]
         begins, ends = self.begins[at], self.begins[at + 1]
-        return np.repeat(held, ends - begins), self.order[_ranges(begins, ends)]
+        return np.repeat(held, ends - begins), self.order[ranges(begins, ends)]
 
 
 class WordsInTexts:
@@ -196,7 +190,7 @@ class Ranking:
         sizes = requests.sizes[places]
         tf = frequencies.astype(np.float64)
         norm = self.k1 * (1 - self.b + self.b * np.repeat(lengths, sizes) / self.average)
-        words = self.weights[_ranges(requests.begins[places], requests.begins[places + 1])]
+        words = self.weights[ranges(requests.begins[places], requests.begins[places + 1])]
         total = np.add.reduceat(words * tf * (self.k1 + 1) / (tf + norm), np.cumsum(sizes) - sizes)
         return np.nan_to_num(total, nan=0.0, posinf=0.0, neginf=0.0)
 
@@ -218,7 +212,7 @@ class _Matches:
     def some(self, requests: Requests, chosen: np.ndarray) -> _Matches:
         ends = np.cumsum(requests.sizes[self.places])
         begins = ends - requests.sizes[self.places]
-        frequencies = self.frequencies[_ranges(begins[chosen], ends[chosen])]
+        frequencies = self.frequencies[ranges(begins[chosen], ends[chosen])]
         kept = (self.places, self.text_ids, self.lengths)
         return _Matches(*[own[chosen] for own in kept], frequencies, self.scores[chosen])
 
@@ -230,7 +224,7 @@ class _Matches:
             bounds = ends[begin : begin + _MATCHES + 1]
             places = self.places[own]
             offsets = pa.array(bounds - bounds[0], pa.int32())
-            words = _ranges(requests.begins[places], requests.begins[places + 1])
+            words = ranges(requests.begins[places], requests.begins[places + 1])
             columns = [
                 query_ids.take(pa.array(places, pa.int64())),
                 pa.array(self.text_ids[own], pa.int64()),
@@ -322,7 +316,7 @@ def texts_with_words(
                 tf[numbers] = values[offsets[row] + at]
                 rows.append(row)
                 places.append(own)
-                found.append(tf[requests.words[_ranges(requests.begins[own], requests.begins[own + 1])]])
+                found.append(tf[requests.words[ranges(requests.begins[own], requests.begins[own + 1])]])
                 many += len(found[-1])
                 if many > _MATCHES:
                     yield from taken(part(batch, rows, places, found))
@@ -354,7 +348,7 @@ def texts_with_phrases(
             for row, at, numbers in _texts(batch, requests):
                 begins, ends = words[texts[row] + at], words[texts[row] + at + 1]
                 sequence = np.full(totals[row], -1, np.int64)
-                sequence[flat[_ranges(begins, ends)]] = np.repeat(numbers, ends - begins)
+                sequence[flat[ranges(begins, ends)]] = np.repeat(numbers, ends - begins)
                 own, occurrences = matcher.match(sequence)
                 if len(own):
                     rows.append(np.full(len(own), row))
