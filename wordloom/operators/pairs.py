@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions.hashing import DIGEST_BYTES, hash_bin
+from wordloom.operators.grouping import ranges, sorted_runs
+from wordloom.session import arrow_bounded
 
 # A word is frequent if this share of all texts has it, and so many texts.  A text of n different words has n of them
 # at most, so no more than n / PAIR_SHARE words of an average text are.
@@ -37,54 +39,65 @@ def word_pairs(by_text: DataFrame, counted: DataFrame, least: int, bins: int) ->
     rows = counted.filter(F.col("document_count") >= least).select("hash").collect()
     frequent = np.sort(np.frombuffer(bytes.fromhex("".join(row.hash for row in rows)), f"S{DIGEST_BYTES}"))
 
+    starts = frequent.view(">u8")[::2].astype(np.uint64)
+
+    def numbered(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which digests are frequent, and their numbers; what differs in its first 8 bytes is told apart as a number."""
+        own = digests.view(">u8")[::2].astype(np.uint64)
+        at = np.flatnonzero(starts[np.minimum(np.searchsorted(starts, own), len(starts) - 1)] == own)
+        numbers = np.minimum(np.searchsorted(frequent, digests[at]), len(frequent) - 1)
+        same = frequent[numbers] == digests[at]
+        return at[same], numbers[same]
+
     def pairs(batches):
         memo: dict[int, str] = {}
-        kind = frequent.dtype
+
+        def hash_of(key: int) -> str:
+            if key not in memo:
+                if len(memo) >= _KEPT:
+                    memo.clear()
+                one, two = (bytes(frequent[n]).ljust(DIGEST_BYTES, b"\0").hex() for n in divmod(key, len(frequent)))
+                memo[key] = pair_hash(one, two)
+            return memo[key]
+
         for batch in batches:
             lists = batch.column("positions")
             texts, words = lists.offsets.to_numpy(), lists.values.offsets.to_numpy()
             flat = lists.values.values.to_numpy(zero_copy_only=False)
-            totals = batch.column("words_total").to_pylist()
-            rows, hashes, found = [], [], []
-            for row, raw in enumerate(batch.column("hashes").to_pylist()):
-                if not raw or not len(frequent):
-                    continue
-                digests = np.frombuffer(raw, kind)
-                numbers = np.minimum(np.searchsorted(frequent, digests), len(frequent) - 1)
-                at = np.flatnonzero(frequent[numbers] == digests)
-                sequence = np.full(totals[row], -1, np.int64)
-                for place, number in zip((texts[row] + at).tolist(), numbers[at].tolist(), strict=True):
-                    sequence[flat[words[place] : words[place + 1]]] = number
-                first = np.flatnonzero((sequence[:-1] >= 0) & (sequence[1:] >= 0))
-                keys = sequence[first] * len(frequent) + sequence[first + 1]
-                order = np.argsort(keys, kind="stable")
-                different, begins = np.unique(keys[order], return_index=True)
-                for key, positions in zip(different.tolist(), np.split(first[order], begins[1:]), strict=False):
-                    if key not in memo:
-                        if len(memo) >= _KEPT:
-                            memo.clear()
-                        one, two = (
-                            bytes(frequent[n]).ljust(DIGEST_BYTES, b"\0").hex() for n in divmod(key, len(frequent))
-                        )
-                        memo[key] = pair_hash(one, two)
-                    rows.append(row)
-                    hashes.append(memo[key])
-                    found.append(positions)
-            taken = pa.array(rows, pa.int64())
-            sizes = [len(positions) for positions in found]
-            begins = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
-            values = np.concatenate(found) if found else []
+            totals = batch.column("words_total").to_numpy(zero_copy_only=False).astype(np.int64)
+            digests = np.frombuffer(b"".join([raw or b"" for raw in batch.column("hashes").to_pylist()]), frequent.dtype)
+            if not len(frequent) or not len(digests):
+                continue
+            # The words of all texts one after the other, as numbers of frequent words or -1.
+            before = np.cumsum(totals) - totals
+            at, numbers = numbered(digests)
+            held = np.repeat(np.arange(len(totals)), np.diff(texts))[at]
+            begins, ends = words[texts[0] + at].astype(np.int64), words[texts[0] + at + 1].astype(np.int64)
+            sequence = np.full(totals.sum(), -1, np.int64)
+            sequence[np.repeat(before[held], ends - begins) + flat[ranges(begins, ends)]] = np.repeat(numbers, ends - begins)
+            text = np.repeat(np.arange(len(totals)), totals)
+            first = np.flatnonzero((sequence[:-1] >= 0) & (sequence[1:] >= 0) & (text[:-1] == text[1:]))
+            different = len(frequent) ** 2
+            keys = text[first] * different + sequence[first] * len(frequent) + sequence[first + 1]
+            order, keys = sorted_runs(keys, len(totals) * different)
+            begins = np.flatnonzero(np.diff(keys, prepend=-1))
+            rows, named = np.divmod(keys[begins], different)
+            named, places = np.unique(named, return_inverse=True)
+            hashes = pa.array([hash_of(key) for key in named.tolist()], pa.string())
+            taken, ends = pa.array(rows, pa.int64()), np.append(begins, len(keys))
+            positions = first[order] - before[text[first[order]]]
             yield pa.record_batch(
                 [
-                    pa.array(hashes, pa.string()),
+                    hashes.take(pa.array(places, pa.int64())),
                     batch.column("text_id").take(taken),
-                    pa.ListArray.from_arrays(begins, pa.array(values, pa.int32())),
-                    pa.array(sizes, pa.int32()),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(positions, pa.int32())),
+                    pa.array(np.diff(ends), pa.int32()),
                     batch.column("words_total").take(taken),
                 ],
                 ["hash", "text_id", "positions", "term_frequency", "words_total"],
             )
 
+    arrow_bounded(by_text.sparkSession)
     made = by_text.select("text_id", "words_total", "hashes", "positions").mapInArrow(
         pairs, "hash string, text_id long, positions array<int>, term_frequency int, words_total int"
     )
