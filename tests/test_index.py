@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -545,3 +547,40 @@ def test_words_are_grouped_a_batch_at_a_time(spark):
         assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect()))
         counts = sorted((str(row.text_id), row.words_total) for row in by_text.collect())
         assert counts == sorted((str(row.text_id), row.words_total) for row in indexing.word_counts(texts).collect())
+
+
+def test_pairs_and_blocks_of_many_small_batches(spark, path):
+    """Pairs and blocks do not depend on how rows are cut into batches, files and tasks; blocks are not shuffled."""
+    from wordloom.operators.blocks import score_blocks, sorted_score_blocks
+    from wordloom.operators.pairs import pair_hash
+
+    rows = [(n, " ".join(["a", "b"] * (n % 3) + ["c"] + ["a"] * (n % 4) + [f"r{'abcdefg'[n % 7]}"])) for n in range(-40, 260)]
+    create_index(spark, f"{path}-one", 3)
+    append_index(spark.createDataFrame([*rows, (900, ""), (901, None)], "text_id long, text string"), f"{path}-one")
+    conf = {"spark.sql.execution.arrow.maxRecordsPerBatch": "7", "spark.sql.files.maxPartitionBytes": "8192"}
+    old = {key: spark.conf.get(key) for key in conf}
+    try:
+        for key, value in conf.items():
+            spark.conf.set(key, value)
+        optimize_index(spark, f"{path}-one", f"{path}-two", 8, 5)
+        index = read_index(spark, f"{path}-two")
+        kept = ["bin", "hash", "block", "texts", "profile"]
+        found = index.blocks.select(*kept).collect()
+        segments = index.postings.withColumn("segment", F.lit(1).cast("long"))
+        plan = sorted_score_blocks(segments, index.hash_metadata, 8)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan
+        pairs = {(row.hash, row.text_id): row.positions for row in index.pairs.collect()}
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
+    expected = score_blocks(index.postings, index.hash_metadata, 8).select(*kept).collect()
+    assert found and sorted(map(str, found)) == sorted(map(str, expected))
+    brute = {}
+    frequent = {row.hash for row in index.hash_metadata.collect() if row.document_count >= index.pair_least}
+    digest = lambda word: hashlib.md5(word.encode()).hexdigest()
+    for text_id, text in rows:
+        words = [digest(word) for word in text.split()]
+        for place, (one, two) in enumerate(zip(words, words[1:])):
+            if one in frequent and two in frequent:
+                brute.setdefault((pair_hash(one, two), text_id), []).append(place)
+    assert pairs == brute
