@@ -584,3 +584,76 @@ def test_pairs_and_blocks_of_many_small_batches(spark, path):
             if one in frequent and two in frequent:
                 brute.setdefault((pair_hash(one, two), text_id), []).append(place)
     assert pairs == brute
+
+
+def test_postings_move_packed(spark):
+    """A bin of an Arrow batch is one row, with each hash once; unpacked it is the same postings."""
+    from wordloom.operators.packing import packed_postings, unpacked_postings
+
+    long = " ".join("a" if n % 300 else f"w{n % 97}" for n in range(70_000))
+    # Words that come 70 000 times and a text that comes alone, so that numbers need one, two and four bytes.
+    rows = [(-3, "b a b"), (10**15, "a"), (4, None), (5, ""), (6, "a " * 300), (7, long), (8, "ß ẞ 12 b")]
+    rows += [(100 + n, f"a b c{'xyz'[n % 3]} {n}") for n in range(400)]
+    texts = spark.createDataFrame(rows, "text_id long, text string").repartition(2)
+    by_text = indexing.words_by_text(texts)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    try:
+        for records in (old, "7"):
+            spark.conf.set(key, records)
+            for bins in (1, 7, 16, 1_000_000):
+                found = unpacked_postings(packed_postings(by_text, bins).repartition(3)).select(POSTING)
+                expected = indexing.postings_of_texts(by_text, bins).select(POSTING)
+                assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect()))
+        spark.conf.set(key, old)
+        short = indexing.words_by_text(texts.filter("text_id >= 100"))
+        packed = packed_postings(short, 16)
+        assert packed.groupBy(F.spark_partition_id(), "bin").count().filter("count > 1").isEmpty()
+        size = sum(F.size(name) * width for name, width in (("text_ids", 8), ("lengths", 4)))
+        size += sum(F.octet_length(name) for name in ("digests", "counts", "places", "frequencies", "positions"))
+        moved = packed.agg(F.sum(size)).first()[0]
+        plain = indexing.postings_of_texts(short, 16)
+        # A hash takes 32 bytes, a position 4 and the four numbers of a posting 20.
+        whole = plain.agg(F.sum(F.coalesce(F.size("positions"), F.lit(0)) * 4 + 52)).first()[0]
+        assert moved < whole / 2
+    finally:
+        spark.conf.set(key, old)
+    nothing = unpacked_postings(packed_postings(indexing.words_by_text(texts.filter("false")), 7))
+    assert nothing.isEmpty()
+
+
+def test_an_index_is_built_with_little_moved(spark, micro_texts, path, monkeypatch):
+    """Postings are packed where they are moved, and the counts of one batch are not moved to be added up."""
+    from wordloom.sources import index as store
+
+    plans, sizes, stored = {}, {}, store._store
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    asked = spark.conf.get(key)
+
+    def spied(rows, folder, *args, **options):
+        name = folder.removeprefix(path).split("/")[1]
+        plans[name] = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        sizes[name] = spark.conf.get(key)
+        stored(rows, folder, *args, **options)
+
+    monkeypatch.setattr(store, "_store", spied)
+    try:
+        spark.conf.set(key, "6m")
+        create_index(spark, path, 7)
+        append_index(micro_texts, path, "one")
+        refresh_document_frequency(spark, path)
+        assert spark.conf.get(key) == "6m"
+        assert int(sizes["postings"]) < 6 << 20 and sizes["batch_frequency"] == "6m"
+        monkeypatch.setattr(store, "_store", lambda *args, **options: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            append_index(micro_texts.withColumn("text_id", F.col("text_id") + 100), path, "two")
+        assert spark.conf.get(key) == "6m"
+    finally:
+        spark.conf.set(key, asked)
+    lines = plans["postings"].splitlines()
+    moved, *_ = [n for n, line in enumerate(lines) if "Exchange" in line]
+    assert any("MapInArrow" in line for line in lines[:moved]) and any("MapInArrow" in line for line in lines[moved:])
+    assert "Exchange" not in plans["hash_metadata"]
+    index = read_index(spark, path)
+    counted = index.postings.groupBy("bin", "hash").agg(F.count("text_id").alias("document_count"))
+    assert sorted(counted.collect()) == sorted(index.hash_metadata.select(counted.columns).collect())

@@ -37,7 +37,7 @@ def ranges(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.repeat(begins - before, sizes) + np.arange(sizes.sum())
 
 
-def _lists(offsets: np.ndarray, values: pa.Array) -> pa.ListArray:
+def lists_of(offsets: np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
@@ -73,8 +73,8 @@ def _grouped(batch: pa.RecordBatch, digest) -> pa.RecordBatch:
             batch.column("text_id"),
             pa.array(sizes, pa.int32()),
             hashes,
-            _lists(groups, pa.array(np.diff(ends), pa.int32())),
-            _lists(groups, _lists(ends, pa.array(positions[order], pa.int32()))),
+            lists_of(groups, pa.array(np.diff(ends), pa.int32())),
+            lists_of(groups, lists_of(ends, pa.array(positions[order], pa.int32()))),
         ],
         ["text_id", "words_total", "hashes", "frequencies", "positions"],
     )

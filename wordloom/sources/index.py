@@ -39,9 +39,10 @@ from wordloom.operators.indexing import (
     postings_of_texts,
     words_by_text,
 )
+from wordloom.operators.packing import packed_postings, unpacked_postings
 from wordloom.operators.pairs import PAIR_LEAST, PAIR_SHARE, word_pairs
 from wordloom.functions.hashing import HASH_FUNCTIONS, hash_bin
-from wordloom.session import BROADCAST_ROWS, no_rows, one_row, spread
+from wordloom.session import BROADCAST_ROWS, no_rows, one_row, smaller_partitions, spread
 
 _SETTINGS = "bins int, hash_function string"
 # Each attempt at a batch has a name of its own; a document frequency says which attempts it counts.
@@ -231,13 +232,15 @@ def _version_folder(path: str, version: int) -> str:
 
 def _in_bins(rows: DataFrame) -> DataFrame:
     """Rows of a bin brought together and sorted; a bin too big for a task is split by Spark."""
-    order = [name for name in ("bin", "hash", "text_id") if name in rows.columns]
+    order = [name for name in _ORDER if name in rows.columns]
     return rows.hint("rebalance", "bin").sortWithinPartitions(*order)
 
 
 # How Parquet stores an index: numbers and hashes as differences from the last one (positions of a word and text ids
 # rise), and a Bloom filter of hashes for each row group, so that a batch is skipped that has a word's bin but not the word.
+# Zstandard finds the hashes that texts share within a page, others look back too little.
 _STORED = {
+    "compression": "zstd",
     "parquet.writer.version": "v2",
     "parquet.enable.dictionary#positions.list.element": "false",
     "parquet.enable.dictionary#positions.list.element.list.element": "false",
@@ -246,6 +249,10 @@ _STORED = {
     "parquet.bloom.filter.enabled#hash": "true",
     "parquet.bloom.filter.adaptive.enabled": "true",
 }
+# How postings are sorted in a file.
+_ORDER = ("bin", "hash", "text_id")
+# How many times smaller postings are while they are packed, about.
+_PACKED_TIMES = 4
 # Rows of a page of a sorted index: what a scan for some blocks of texts can skip.
 _PAGE_ROWS = 4096
 
@@ -266,12 +273,14 @@ def _write_batch(
     bins, _ = index_settings(spark, path)
     _store(by_text, f"{path}/texts/batch={batch}", by_bin=False)
     by_text = _of_batches(spark, f"{path}/texts", [batch], _TEXTS).drop("batch")
-    rows = postings_of_texts(by_text, bins)
     if "block_texts" in values:
         paged = {"parquet.page.row.count.limit": str(_PAGE_ROWS)}
-        _store(_sorted_rows(rows), f"{path}/postings/batch={batch}", **paged)
+        _store(_sorted_rows(postings_of_texts(by_text, bins)), f"{path}/postings/batch={batch}", **paged)
     else:
-        _store(_in_bins(rows), f"{path}/postings/batch={batch}")
+        # Postings are sorted after they are unpacked, so what a task gets is bounded by what that makes of it.
+        rows = unpacked_postings(packed_postings(by_text, bins).hint("rebalance", "bin"))
+        with smaller_partitions(spark, _PACKED_TIMES):
+            _store(rows.sortWithinPartitions(*_ORDER), f"{path}/postings/batch={batch}")
     written = _postings(_of_batches(spark, f"{path}/postings", [batch], _POSTINGS))
     _store(_in_bins(document_frequency(written)), f"{path}/batch_frequency/batch={batch}")
     counted = _of_batches(spark, f"{path}/batch_frequency", [batch], _FREQUENCY).drop("batch")
@@ -374,9 +383,13 @@ def refresh_document_frequency(spark: SparkSession, path: str) -> int:
     if merges:
         last = spark.read.schema(_METADATA).parquet(_version_folder(path, found.version))
         counted = last.select(*columns).unionByName(counted)
-    counted = counted.groupBy("bin", "hash").agg(F.sum("document_count").alias("document_count"))
+    if merges or len(since) != 1:
+        counted = _in_bins(counted.groupBy("bin", "hash").agg(F.sum("document_count").alias("document_count")))
+    else:
+        # The counts of one batch have each hash once and are in bins.
+        counted = counted.sortWithinPartitions("bin", "hash")
     folder = _version_folder(path, version)
-    _store(_in_bins(counted), folder)
+    _store(counted, folder)
     attempts = F.array(*[F.lit(attempt) for attempt in sorted(found.attempts.values())]).cast("array<string>")
     row = one_row(spark, _COMMITS, version=version).withColumn("counted", attempts).drop("entry")
     row.write.mode("overwrite").parquet(f"{path}/commits/entry=version-{version}")
@@ -393,8 +406,7 @@ def _remove(spark: SparkSession, folder: str) -> None:
 
 def _sorted_rows(rows: DataFrame) -> DataFrame:
     """Partitions are ranges of (bin, hash, text_id): a word in a third of all texts is cut into many."""
-    order = ["bin", "hash", "text_id"]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return rows.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER)
 
 
 def optimize_index(
