@@ -170,3 +170,15 @@ def test_no_shared_folder_outside_local_mode():
         session.sparkContext = Context(master)
         with pytest.raises(RuntimeError):
             shared_folder(session)
+
+
+def test_stored_texts_take_little_space(spark, tmp_path):
+    import pathlib
+
+    import pyarrow.parquet as pq
+
+    texts = spark.createDataFrame([(n, f"text {n}") for n in range(20)], "text_id long, text string")
+    store = corpus.write_texts(texts, str(tmp_path / "texts"), 3)
+    files = list(pathlib.Path(tmp_path / "texts" / "texts").rglob("*.parquet"))
+    assert {pq.read_metadata(file).row_group(0).column(1).compression for file in files} == {"ZSTD"}
+    assert sorted(store.texts.select("text_id", "text").collect()) == sorted(texts.collect())

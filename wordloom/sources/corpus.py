@@ -126,6 +126,7 @@ def append_texts(texts: DataFrame, path: str, batch: str | None = None) -> int:
         .hint("rebalance", "text_bin")
         .sortWithinPartitions("text_bin", "text_id")
         .write.mode("overwrite")
+        .option("compression", "zstd")
         .partitionBy("text_bin")
         .parquet(folder)
     )
