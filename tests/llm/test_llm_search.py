@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from wordloom.llm import centroids, hidden_markov, shared_search
@@ -394,3 +395,31 @@ def test_nothing_to_learn_from(spark, texts):
     found = hidden_markov.score_texts(only).collect()
     assert all((row.train_tokens, row.n_known, row.base_score) == (0, 0, 0.0) for row in found)
     assert all(math.isfinite(row.score) for row in found)
+
+
+def test_words_of_a_batch_are_those_of_each_text():
+    texts = ["  Ab\x0bC\x1cd  É e\t", "", None, " \n", "x", "x X\ry", "größe ÄB"]
+    raw = pa.array([None if text is None else text.encode() for text in ["cut", *texts]], pa.binary()).slice(1)
+    text, numbers, words = hidden_markov.words_in(raw)
+    found = [[] for _ in texts]
+    for place, number in zip(text.tolist(), numbers.tolist(), strict=True):
+        found[place].append(words[number].as_py())
+    assert found == [hidden_markov.tokens_of(None if text is None else text.encode()) for text in texts]
+
+
+def test_every_round_learns_from_all_texts(spark):
+    """With more texts than a sample would have, the model is that of all rounds over all of them."""
+    rows = [(i, f"a b{i % 7} c{i % 3} {'d ' * (i % 5)}") for i in range(6_000)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    vocabulary = hidden_markov.fit_vocabulary(documents)
+    encoded = hidden_markov.encoded(documents, vocabulary)
+    learned = [row.symbols for row in encoded.filter("NOT held_out").select("symbols").collect()]
+    sequences = [np.frombuffer(raw, np.uint16) for raw in learned]
+    model = hidden_markov.first_model(vocabulary.shared(), 2)
+    for _ in range(4):
+        counts = hidden_markov.Counts.none(2, len(model.emit))
+        counts.add(model, sequences)
+        model = hidden_markov.normalised(counts, vocabulary.shared())
+    found = hidden_markov.fit_markov(encoded, vocabulary, states=2, rounds=1, warm_rounds=3)
+    for own, wanted in ((found.start, model.start), (found.move, model.move), (found.emit, model.emit)):
+        assert np.allclose(own, wanted, rtol=1e-6, atol=0)
