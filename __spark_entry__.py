@@ -387,6 +387,10 @@ def compacted_index_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _postings_view(read_index(spark, path).postings)
 
 
+# Bytes of different texts in a file of the stream, about.
+STREAM_FILE_BYTES = 128 << 20
+
+
 def _streamed_index(spark: SparkSession, sf_dir: str):
     """An index from a stream of files, with texts that come again in the same micro-batch and in later ones."""
 
@@ -395,11 +399,14 @@ def _streamed_index(spark: SparkSession, sf_dir: str):
         files = new_shared_path(spark, "files")
         rows = documents(spark, sf_dir).select("doc_id", "text")
         number = F.coalesce("doc_id", F.lit(0))
+        # The stream takes files by number, so these have a size, however many files the table comes in.
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        many = max(4, size // (4 * STREAM_FILE_BYTES))
         for part in range(4):
             own = rows.filter(number % 4 == part)
             again = rows.filter((number % 4 == (part - 1) % 4) & (number % 8 < 4))
             twice = own.filter(number % 3 == 0)
-            own.unionByName(again).unionByName(twice).write.mode("append").parquet(files)
+            own.unionByName(again).unionByName(twice).coalesce(many).write.mode("append").parquet(files)
         create_index(spark, path)
         source = corpus.read_corpus_stream(
             spark, files, rows.schema, {"doc_id": "text_id", "text": "text"}, files_per_batch=4

@@ -336,6 +336,31 @@ def test_a_micro_batch_looks_at_no_batch_of_its_stream(spark, micro_texts, micro
     assert content(read_index(spark, path)) == content(micro_index)
 
 
+def test_a_micro_batch_is_computed_once(spark, micro_texts, micro_index, tmp_path, monkeypatch):
+    from wordloom.streaming import append as streaming
+
+    source, path, checkpoint = (str(tmp_path / name) for name in ("in", "index", "progress"))
+    create_index(spark, path, 7)
+    micro_texts.union(micro_texts).repartition(2).write.parquet(source)
+    plans = []
+
+    def append(texts, *own):
+        conf = texts.sparkSession.conf.get("spark.sql.adaptive.enabled")
+        plans.append((texts._jdf.queryExecution().executedPlan().toString(), conf))
+        return append_index(texts, *own)
+
+    monkeypatch.setattr(streaming, "append_index", append)
+    stream = spark.readStream.schema("text_id long, text string").parquet(source)
+    stream_index(stream, path, checkpoint).awaitTermination()
+    # What is indexed is a table: no job over it meets the state again, and bins are brought together.
+    assert plans and all("Deduplicate" not in plan and conf == "true" for plan, conf in plans)
+    batch = next((tmp_path / "index" / "postings").iterdir())
+    assert all(len(list(own.glob("*.parquet"))) == 1 for own in batch.glob("bin=*"))
+    assert not list((tmp_path / "index" / "incoming").iterdir())
+    refresh_document_frequency(spark, path)
+    assert content(read_index(spark, path)) == content(micro_index)
+
+
 def rows_read(frame):
     """Rows that came out of the scans of files."""
     frame.collect()

@@ -10,6 +10,7 @@
     pair_frequency/batch=<name>/bin=<n>/     and in how many texts they do
     hash_metadata/version=<n>/bin=<n>/       document frequency, replaced as a whole
     commits/entry=<...>/                     one row per finished batch or document frequency
+    incoming/                                the texts of a stream's micro-batch while they are indexed
 
 Texts are cut into words once, when the index by text is written; postings are made from it, and the batch's
 document frequency from its postings.  A new document frequency is the last one and that of the batches since
@@ -394,11 +395,11 @@ def refresh_document_frequency(spark: SparkSession, path: str) -> int:
     row = one_row(spark, _COMMITS, version=version).withColumn("counted", attempts).drop("entry")
     row.write.mode("overwrite").parquet(f"{path}/commits/entry=version-{version}")
     if version >= 2:
-        _remove(spark, _version_folder(path, version - 2))
+        remove(spark, _version_folder(path, version - 2))
     return spark.read.schema(_METADATA).parquet(folder).count()
 
 
-def _remove(spark: SparkSession, folder: str) -> None:
+def remove(spark: SparkSession, folder: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(folder)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

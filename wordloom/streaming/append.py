@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from wordloom.sources.index import append_index, text_batches
+from wordloom.sources.index import append_index, remove, text_batches
 
 
 def stream_index(
@@ -30,14 +30,22 @@ def stream_index(
     # A checkpoint is one stream: its batches keep their names when they run again, and never take the
     # name of a batch of another stream.
     stream = hashlib.md5(checkpoint.encode()).hexdigest()
+    spark = texts.sparkSession
     texts, others = texts.select("text_id", "text"), None
     if on_duplicate == "skip":
         texts = texts.dropDuplicates(["text_id"])
-        names = text_batches(texts.sparkSession, index_path)
+        names = text_batches(spark, index_path)
         others = [name for name in names if not name.startswith(f"{stream}-")]
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        append_index(batch, index_path, f"{stream}-{batch_id}", on_duplicate, others)
+        # A micro-batch reads its files and meets the state again in every job over it, and its session runs without
+        # adaptive execution, which cuts the bins of postings into as many files as there are tasks.  So it is stored
+        # once and indexed by the session of the caller.
+        name = f"{stream}-{batch_id}"
+        kept = f"{index_path}/incoming/{name}"
+        batch.write.mode("overwrite").parquet(kept)
+        append_index(spark.read.schema(batch.schema).parquet(kept), index_path, name, on_duplicate, others)
+        remove(spark, kept)
 
     return (
         texts.writeStream.foreachBatch(append)
