@@ -441,3 +441,26 @@ def test_words_of_a_block_are_made_from_its_requests(many_blocks, micro_index, a
     assert len(blocks) > 2 and not any("Join" in text or "Exchange" in text for text in blocks)
     assert plan.folded.different == 5
     assert "Join" not in plan.terms._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_of_a_batch_of_texts_are_looked_up_at_once(monkeypatch):
+    """Digests that begin alike among them, a text without words and a null one."""
+    import numpy as np
+    import pyarrow as pa
+    from wordloom.plans import by_text
+
+    digests = [bytes([i]) * 8 + bytes([j]) * 8 for i, j in ((1, 1), (1, 2), (2, 0), (3, 9), (7, 7))]
+    asked = np.array([digests[1], digests[3], digests[0]], "S16")
+    requests = by_text.Requests.of(np.array([0, 0, 1]), np.array([1, 2, 1]), asked, 2)
+    texts = [digests[:2], [], None, digests[1:], [digests[2]], digests[::-1]]
+    calls, known = [], by_text.Requests.known
+    monkeypatch.setattr(by_text.Requests, "known", lambda *own: calls.append(1) or known(*own))
+    batch = pa.record_batch([pa.array([None if t is None else b"".join(t) for t in texts], pa.binary())], ["hashes"])
+    found = {row: (at.tolist(), numbers.tolist()) for row, at, numbers in by_text._texts(batch, requests)}
+    number = {bytes(own).ljust(16, b"\0"): i for i, own in enumerate(requests.digests)}
+    wanted = {
+        row: ([i for i, own in enumerate(t) if own in number], [number[own] for own in t if own in number])
+        for row, t in enumerate(texts)
+        if t and any(own in number for own in t)
+    }
+    assert found == wanted and len(calls) == 1
