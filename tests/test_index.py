@@ -1,4 +1,5 @@
 import hashlib
+import pathlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -682,3 +683,19 @@ def test_an_index_is_built_with_little_moved(spark, micro_texts, path, monkeypat
     index = read_index(spark, path)
     counted = index.postings.groupBy("bin", "hash").agg(F.count("text_id").alias("document_count"))
     assert sorted(counted.collect()) == sorted(index.hash_metadata.select(counted.columns).collect())
+
+
+def test_hashes_of_a_sorted_index_move_as_bytes(spark, micro_texts, path):
+    from wordloom.sources import index as store
+
+    rows = indexing.postings_and_lengths(micro_texts, 7).withColumn("text_id", F.col("text_id").cast("long"))
+    found = store._sorted_rows(rows)
+    assert found.schema["hash"].dataType.simpleString() == "string" and found.columns == rows.columns
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, rows.collect()))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("lower(hex(") < plan.index("RepartitionByExpression") < plan.index("unhex(")
+    # Files are in order still: the writer sorts nothing again.
+    store._store(found, path)
+    for file in sorted(pathlib.Path(path).glob("bin=*/*.parquet")):
+        own = spark.read.parquet(str(file)).select("hash", "text_id").collect()
+        assert own == sorted(own, key=lambda row: (row.hash or "", row.text_id))
